@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skeinwork.functions.arrays import let
-from skeinwork.functions.text import characters, strip
+from skeinwork.functions.text import strip
 from skeinwork.session import broadcast_checked
 
 # Language kept, least length, and the one character a line's end adds to it.
@@ -35,17 +34,10 @@ def reject_counts(df: DataFrame) -> DataFrame:
 
 
 def grams(text: Column, longest: int = 3) -> Column:
-    """All character 1- to ``longest``-grams of the lowercased text, whole text, linear time."""
-
-    def of_length(chars: Column, n: int) -> Column:
-        size = F.greatest(F.size(chars) - (n - 1), F.lit(0))
-        return F.transform(
-            F.slice(chars, 1, size), lambda _, i: F.concat(*[F.get(chars, i + k) for k in range(n)])
-        )
-
-    return let(
-        characters(F.lower(text)),
-        lambda chars: F.concat(*[of_length(chars, n) for n in range(1, longest + 1)]),
+    """All character 1- to ``longest``-grams of the lowercased text: whole text, linear time."""
+    low = F.lower(text)
+    return F.concat(
+        *[F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in range(1, longest + 1)]
     )
 
 

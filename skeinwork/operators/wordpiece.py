@@ -75,10 +75,13 @@ def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: in
     parted by count: words seen at least ``total/limit`` times are at most ``limit`` and are
     broadcast; the rest join by shuffle, where none of them can be hot.
     """
-    named = F.concat(
-        *[F.transform(F.col(c), lambda w, i, k=k: F.struct(F.lit(k).alias("list"), i.alias("pos"), w.alias("word")))
-          for k, c in enumerate(lists)]
-    )
+
+    def numbered(k: int) -> Column:
+        return F.transform(
+            F.col(lists[k]), lambda w, i: F.struct(F.lit(k).alias("list"), i.alias("pos"), w.alias("word"))
+        )
+
+    named = F.concat(*[numbered(k) for k in range(len(lists))])
     tokens = (
         df.select(key, named.alias("_all"))
         .repartition(key)

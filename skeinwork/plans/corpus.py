@@ -8,19 +8,16 @@ from pyspark.sql import functions as F
 from skeinwork.functions import text
 from skeinwork.operators import language, order, vocab
 from skeinwork.plans import sql
+from skeinwork.plans.tables import documents, spread, table
 from skeinwork.session import frozen, scratch_path
 from skeinwork.sources import readers, sinks
 
 LANGUAGES = ["de", "en", "es", "fr"]
 
 
-def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
-
-
 def corpus_sentences(spark: SparkSession, folder: str) -> DataFrame:
     """Kept documents, their sentences, and per source the counts and the mean length."""
-    kept = language.accepted(table(spark, folder, "documents"))
+    kept = language.accepted(documents(spark, folder))
     listed = kept.select("source", text.sentences(F.col("text")).alias("s"))
     characters = F.aggregate("s", F.lit(0).cast("bigint"), lambda a, x: a + F.length(x))
     sums = listed.groupBy("source").agg(
@@ -32,59 +29,59 @@ def corpus_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def lang_length_filter(spark, folder):
-    return language.accepted(table(spark, folder, "documents")).select("doc_id", "lang", "text")
+    return language.accepted(documents(spark, folder)).select("doc_id", "lang", "text")
 
 
 def reject_counts(spark, folder):
-    return language.reject_counts(language.rejected(table(spark, folder, "documents")))
+    return language.reject_counts(language.rejected(documents(spark, folder)))
 
 
 def lang_predict(spark, folder):
-    documents = table(spark, folder, "documents")
-    model = frozen(language.train_languages(documents, LANGUAGES))
-    return language.predict_languages(documents, "doc_id", model, LANGUAGES)
+    docs = documents(spark, folder)
+    model = frozen(language.train_languages(docs, LANGUAGES))
+    return language.predict_languages(docs, "doc_id", model, LANGUAGES)
 
 
 def sentence_split(spark, folder):
-    documents = table(spark, folder, "documents")
-    return documents.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    docs = documents(spark, folder)
+    return docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent_idx", "sentence"))
 
 
 def sentence_split_turns(spark, folder):
-    turns = table(spark, folder, "conversations")
+    turns = spread(table(spark, folder, "conversations"))
     return turns.select(
         "conv_id", "turn", F.posexplode(text.sentences(F.col("text"))).alias("sent_idx", "sentence")
     )
 
 
 def normalise_pretokenise(spark, folder):
-    documents = table(spark, folder, "documents")
-    listed = documents.select("doc_id", text.words(F.col("text")).alias("w"))
+    docs = documents(spark, folder)
+    listed = docs.select("doc_id", text.words(F.col("text")).alias("w"))
     return listed.select("doc_id", F.size("w").alias("n_words"), F.array_join("w", " ").alias("words"))
 
 
 def word_counts(spark, folder):
-    return vocab.word_counts(table(spark, folder, "documents"))
+    return vocab.word_counts(documents(spark, folder))
 
 
 def alphabet_top(spark, folder):
-    return vocab.alphabet(vocab.word_counts(table(spark, folder, "documents")))
+    return vocab.alphabet(vocab.word_counts(documents(spark, folder)))
 
 
 def pair_counts(spark, folder):
-    return vocab.pair_counts(vocab.word_counts(table(spark, folder, "documents")))
+    return vocab.pair_counts(vocab.word_counts(documents(spark, folder)))
 
 
 def vocab_train(spark, folder):
-    return vocab.train(vocab.word_counts(table(spark, folder, "documents")), vocab_size=200)
+    return vocab.train(vocab.word_counts(documents(spark, folder)), vocab_size=200)
 
 
 def read_lines_sample(spark, folder):
     """Documents written as a line file in key order, read back with line numbers, first thousand."""
     path = scratch_path(spark, "lines")
-    documents = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     one_line = F.regexp_replace("text", r"[\r\n]+", " ")
-    ranked = order.ordinal_within(documents.select(F.lit(0).alias("g"), "doc_id", one_line.alias("t")), ["g"], ["doc_id"])
+    ranked = order.ordinal_within(docs.select(F.lit(0).alias("g"), "doc_id", one_line.alias("t")), ["g"], ["doc_id"])
     lines = ranked.select(F.concat(F.format_string("%012d", "seq"), F.lit("\t"), "t").alias("value"))
     sinks.append_lines(lines, path)
     read = readers.read_lines(spark, path)

@@ -17,6 +17,7 @@ def local_session(cpus: int | str = 8, **conf: str) -> SparkSession:
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("skeinwork")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
