@@ -1,8 +1,8 @@
-"""Reproducible draws: uniforms and orders taken from md5 of (seed, key, position).
+"""Reproducible draws: uniforms and orders taken from digests of (seed, key, position).
 
-Results depend on the data alone, not on partitions, retries or the run. One digest holds four
-32-bit draws, so a token array needs a digest per four positions. Draws stay hexadecimal text:
-eight digits of equal length compare as text the way their numbers compare.
+Results depend on the data alone, not on partitions, retries or the run. One SHA-256 digest holds
+eight 32-bit draws, so a token array needs a digest per eight positions. Draws stay hexadecimal
+text: eight digits of equal length compare as text the way their numbers compare.
 """
 
 from __future__ import annotations
@@ -10,19 +10,25 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DRAWS_PER_DIGEST = 4
+from skeinwork.functions.arrays import let
+
 DIGITS = 8
+SHARED_BITS, SHARED_MASK = 3, 7
 RANGE = 1 << 32
 
 
-def digest(*parts) -> Column:
-    """md5 over the parts joined by ``:``."""
+def _joined(*parts) -> Column:
     columns = [p if isinstance(p, Column) else F.lit(p) for p in parts]
-    return F.md5(F.concat_ws(":", *[c.cast("string") for c in columns]).cast("binary"))
+    return F.concat_ws(":", *[c.cast("string") for c in columns])
+
+
+def order_digest(seed, key: Column) -> Column:
+    """md5 that orders rows: even over all rows, whatever the keys look like."""
+    return F.md5(_joined(seed, key).cast("binary"))
 
 
 def draw(digest_hex: Column, slot) -> Column:
-    """The draw number ``slot`` (0..3) of a digest, as eight hexadecimal digits."""
+    """The draw number ``slot`` (0..7) of a digest, as eight hexadecimal digits."""
     start = slot * DIGITS + 1 if isinstance(slot, Column) else F.lit(slot * DIGITS + 1)
     return F.substr(digest_hex, start, F.lit(DIGITS))
 
@@ -38,13 +44,21 @@ def as_number(draw_hex: Column) -> Column:
     return F.conv(draw_hex, 16, 10).cast("bigint")
 
 
+def digest(prefix: Column, position: Column) -> Column:
+    """Digest of one position; ``prefix`` is the joined seed and key."""
+    return F.sha2(F.concat(prefix, F.lit(":"), position.cast("string")).cast("binary"), 256)
+
+
+def prefix(seed, key: Column) -> Column:
+    return _joined(seed, key)
+
+
 def digests(seed, key: Column, size: Column) -> Column:
-    """Array of digests that covers ``size`` positions."""
-    last = F.greatest(F.ceil(size / DRAWS_PER_DIGEST).cast("int"), F.lit(1)) - 1
-    return F.transform(F.sequence(F.lit(0), last), lambda block: digest(seed, key, block))
+    """Array of digests that covers ``size`` positions, eight each."""
+    last = F.shiftright(F.greatest(size, F.lit(1)) - 1, SHARED_BITS)
+    return let(prefix(seed, key), lambda p: F.transform(F.sequence(F.lit(0), last), lambda block: digest(p, block)))
 
 
 def position_draw(all_digests: Column, position: Column) -> Column:
     """The draw of one position from ``digests``."""
-    block = F.floor(position / DRAWS_PER_DIGEST).cast("int")
-    return draw(F.get(all_digests, block), position % DRAWS_PER_DIGEST)
+    return draw(F.get(all_digests, F.shiftright(position, SHARED_BITS)), position.bitwiseAND(SHARED_MASK))

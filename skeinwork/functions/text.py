@@ -6,7 +6,7 @@ import sys
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.arrays import let
@@ -69,6 +69,8 @@ IDEOGRAPHS = (
 # Characters dropped by text cleaning, and the punctuation that stands alone.
 DROPPED = r"[\x{0}-\x{8}\x{b}\x{c}\x{e}-\x{1f}\x{7f}-\x{9f}\x{fffd}\p{Cf}\p{Co}]"
 PUNCTUATION = r"[!-/:-@\[-`{-~\p{P}]"
+# A run of anything but spaces and punctuation.
+WORD = r"[^ !-/:-@\[-`{-~\p{P}]+"
 
 
 def _replace(text: Column, pattern: str, replacement: str) -> Column:
@@ -98,20 +100,40 @@ def sentences(text: Column, compat: bool = True) -> Column:
     return let(pieces, lambda p: F.transform(F.slice(p, 1, F.size(p) - 1), lambda s: F.trim(s)))
 
 
-@lru_cache(maxsize=1)
-def accent_table() -> tuple[str, str]:
-    """(from, to) for ``translate``: every letter whose canonical decomposition is one
-    base character plus combining marks. Built from Unicode data."""
-    source, target = [], []
-    for point in range(0x80, sys.maxunicode + 1):
+def sentence_rows(df: DataFrame, keys: list[str], text: str = "text", compat: bool = True) -> DataFrame:
+    """One row per sentence: keys, ``sent_idx``, ``sentence``. The outer explode keeps the optimizer
+    from splitting the text again for a size filter."""
+    exploded = F.posexplode_outer(sentences(F.col(text), compat)).alias("sent_idx", "sentence")
+    return df.select(*keys, exploded).filter(F.col("sent_idx").isNotNull())
+
+
+# Last code point of the range that one character table normalises alone.
+LATIN_END = 0x2FF
+
+
+@lru_cache(maxsize=None)
+def character_table(last: int, accents: bool = True) -> tuple[str, str]:
+    """(from, to) for ``translate`` up to code point ``last``, built from Unicode data.
+
+    A letter whose canonical decomposition is one base character plus combining marks becomes that
+    base. Up to ``LATIN_END`` the table also turns white space into spaces and, standing at the
+    end of ``from`` without a partner, drops control characters.
+    """
+    source, target, dropped = [], [], []
+    for point in range(last + 1):
         char = chr(point)
         if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF:
             continue
         plain = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
-        if plain != char and len(plain) == 1:
+        if last == LATIN_END and char != " " and (char in "\t\n\r" or unicodedata.category(char) == "Zs"):
+            source.append(char)
+            target.append(" ")
+        elif last == LATIN_END and unicodedata.category(char) in ("Cc", "Cf"):
+            dropped.append(char)
+        elif accents and plain != char and len(plain) == 1:
             source.append(char)
             target.append(plain)
-    return "".join(source), "".join(target)
+    return "".join(source + dropped), "".join(target)
 
 
 def _hangul_parts(text: Column) -> Column:
@@ -137,28 +159,31 @@ def _hangul_parts(text: Column) -> Column:
 
 def strip_accents(text: Column) -> Column:
     """Replace accented letters by their base letter and drop combining marks."""
-    source, target = accent_table()
+    source, target = character_table(sys.maxunicode)
     return F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")
 
 
 def normalise(text: Column, accents: bool = True, lowercase: bool = True, ideographs: bool = True) -> Column:
     """Clean control characters, space out ideographs, strip accents, lower the case.
 
-    Each step uses the one before once: a text is worked through once per step, not once per use.
+    Texts within the Latin blocks need one pass over a character table; only others go through the
+    full rules. Each step uses the one before once, so no text is worked through twice.
     """
-    out = _hangul_parts(text) if accents else text
-    out = F.regexp_replace(F.regexp_replace(out, DROPPED, ""), SPACE, " ")
+    full = _hangul_parts(text) if accents else text
+    full = F.regexp_replace(F.regexp_replace(full, DROPPED, ""), SPACE, " ")
     if ideographs:
-        out = F.regexp_replace(out, f"({IDEOGRAPHS})", " $1 ")
+        full = F.regexp_replace(full, f"({IDEOGRAPHS})", " $1 ")
     if accents:
-        out = strip_accents(out)
+        full = strip_accents(full)
+    source, target = character_table(LATIN_END, accents)
+    beyond = text.rlike(rf"[^\x{{0}}-\x{{{LATIN_END:x}}}]")
+    out = F.when(beyond, full).otherwise(F.translate(text, source, target))
     return F.lower(out) if lowercase else out
 
 
 def pre_tokens(text: Column) -> Column:
     """Words of normalised text: spaces separate, every punctuation mark stands alone."""
-    spaced = F.regexp_replace(text, f"({PUNCTUATION})", " $1 ")
-    return F.filter(F.split(spaced, " +"), lambda w: w != "")
+    return F.regexp_extract_all(text, F.lit(f"{PUNCTUATION}|{WORD}"), F.lit(0))
 
 
 def words(text: Column) -> Column:

@@ -47,7 +47,8 @@ def train_languages(df: DataFrame, languages: list[str], longest: int = 3) -> Da
     Whole numbers make the later sums exact in any order. The grams of a document are counted in
     the map task before they are shuffled.
     """
-    exploded = df.select("lang", F.explode(grams(F.col("text"), longest)).alias("gram"))
+    exploded = df.select("lang", F.explode_outer(grams(F.col("text"), longest)).alias("gram"))
+    exploded = exploded.filter(F.col("gram").isNotNull())
     counts = exploded.groupBy("gram").agg(
         *[F.sum((F.col("lang") == code).cast("bigint")).alias(f"n_{code}") for code in languages]
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.arrays import let, literal_array
-from skeinwork.functions.draws import as_number, below, digest, digests, draw, position_draw
+from skeinwork.functions.draws import as_number, below, digest, digests, draw, position_draw, prefix
 
 # Ids of the special tokens.
 PAD, UNK, CLS, SEP, MASK = 0, 1, 2, 3, 4
@@ -30,55 +30,72 @@ def budget(size: Column, probability: float = 0.15, most: int = 80) -> Column:
     return F.least(F.lit(most), F.greatest(F.lit(1), wanted))
 
 
-def words_of_pieces(ids: Column, continues: Column, skip_padding: bool) -> Column:
-    """Words as ``array<struct(first, size, at)>``; a continuation piece belongs to the word before.
+def candidates(ids: Column, skip_padding: bool) -> Column:
+    """Positions that may be masked, as ``array<struct(at, id)>``: all but boundary ids."""
+    skipped = [CLS, SEP, PAD] if skip_padding else [CLS, SEP]
+    placed = F.transform(ids, lambda x, i: F.struct(i.alias("at"), x.alias("id")))
+    return F.filter(placed, lambda c: ~c["id"].isin(skipped))
+
+
+def words_of_pieces(found: Column, continues: Column, draws: Column) -> Column:
+    """Words as ``array<struct(draw, first, size)>``; a continuation piece belongs to the word before.
 
-    ``continues`` is a constant array: whether an id is a continuation piece. Boundary ids are no
-    candidates; a continuation with no word before it starts one. ``first`` counts candidates,
-    ``at`` is the position in ``ids``.
+    ``continues`` is a constant array: whether an id is a continuation piece. A continuation with no
+    word before it starts one. ``first`` counts candidates; ``draw`` is that of its position.
     """
-    skipped = [CLS, SEP, PAD] if skip_padding else [CLS, SEP]
-    candidates = F.filter(
-        F.transform(ids, lambda x, i: F.struct(i.alias("at"), x.alias("id"))), lambda c: ~c["id"].isin(skipped)
-    )
 
-    def first_pieces(found: Column) -> Column:
+    def first_pieces() -> Column:
         numbered = F.transform(found, lambda c, k: F.struct(k.alias("first"), c["at"].alias("at"), c["id"].alias("id")))
         return F.filter(numbered, lambda c: (c["first"] == 0) | ~F.coalesce(F.get(continues, c["id"]), F.lit(False)))
 
-    def with_sizes(firsts: Column, total: Column) -> Column:
+    def with_sizes(firsts: Column) -> Column:
         return F.transform(
             firsts,
             lambda s, n: F.struct(
+                position_draw(draws, s["at"]).alias("draw"),
                 s["first"].alias("first"),
-                (F.coalesce(F.get(firsts, n + 1)["first"], total) - s["first"]).alias("size"),
-                s["at"].alias("at"),
+                (F.coalesce(F.get(firsts, n + 1)["first"], F.size(found)) - s["first"]).alias("size"),
             ),
         )
 
-    return let(candidates, lambda found: let(first_pieces(found), lambda firsts: with_sizes(firsts, F.size(found))))
+    return let(first_pieces(), with_sizes)
 
 
-def _taken(words: Column, draws: Column, cap: Column) -> Column:
-    """Words in drawn order, each taken while it still fits; their positions among the candidates."""
-    ordered = F.sort_array(
-        F.transform(
-            words,
-            lambda w: F.struct(
-                position_draw(draws, w["at"]).alias("draw"), w["first"].alias("first"), w["size"].alias("size")
-            ),
-        )
-    )
+def _take(words: Column, cap: Column) -> Column:
+    """Words in drawn order, each taken while it still fits: ``struct(n, picked)``."""
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<int>").alias("picked"))
 
-    def take(state: Column, word: Column) -> Column:
+    def step(state: Column, word: Column) -> Column:
         more = F.sequence(word["first"], word["first"] + word["size"] - 1)
-        grown = F.struct(
-            (state["n"] + word["size"]).alias("n"), F.concat(state["picked"], more).alias("picked")
-        )
+        grown = F.struct((state["n"] + word["size"]).alias("n"), F.concat(state["picked"], more).alias("picked"))
         return F.when(state["n"] + word["size"] <= cap, grown).otherwise(state)
 
-    return F.aggregate(ordered, start, take)["picked"]
+    return F.aggregate(F.sort_array(words), start, step)
+
+
+def _picked(words: Column, cap: Column, probability: float) -> Column:
+    """Candidates to mask. The words with the lowest draws are tried alone first: once they fill the
+    budget no later word fits, so the others need no sorting. Otherwise all words are gone through."""
+    bound = below(min(2 * probability, 0.99))
+    few = F.filter(words, lambda w: w["draw"] < bound)
+    return let(
+        _take(few, cap), lambda tried: F.when(tried["n"] == cap, tried["picked"]).otherwise(_take(words, cap)["picked"])
+    )
+
+
+def _spliced(ids: Column, chosen: Column, replacement) -> Column:
+    """``ids`` with ``replacement(id, position)`` at the chosen positions; untouched runs are copied."""
+
+    def piece(places: Column, at: Column, j: Column) -> Column:
+        before = F.coalesce(F.get(places, j - 1), F.lit(-1))
+        return F.concat(F.slice(ids, before + 2, at - before - 1), F.array(replacement(F.get(ids, at), at)))
+
+    def joined(places: Column) -> Column:
+        last = F.coalesce(F.get(places, F.size(places) - 1), F.lit(-1))
+        head = F.flatten(F.transform(places, lambda at, j: piece(places, at, j)))
+        return F.concat(head, F.slice(ids, last + 2, F.size(ids)))
+
+    return let(F.sort_array(chosen), joined)
 
 
 def mask_whole_words(
@@ -99,29 +116,25 @@ def mask_whole_words(
     """
     flags = literal_array([bool(c) for c in continues], "boolean")
     order_seed, piece_seed = f"{seed}:order", f"{seed}:piece"
-    skipped = [CLS, SEP, PAD] if skip_padding else [CLS, SEP]
+    cap = budget(F.size(ids), probability, most)
 
-    def replaced(x: Column, i: Column) -> Column:
+    def replaced(base: Column, x: Column, i: Column) -> Column:
         return let(
-            digest(piece_seed, F.col(key), i),
+            digest(base, i),
             lambda drawn: F.when(draw(drawn, 0) < below(0.8), F.lit(MASK))
             .when(draw(drawn, 1) < below(0.5), x)
             .otherwise((as_number(draw(drawn, 2)) % len(continues)).cast("int")),
         )
 
-    positions = F.filter(F.transform(F.col(ids), lambda x, i: F.when(~x.isin(skipped), i)), lambda i: i.isNotNull())
-    picked = let(
-        digests(order_seed, F.col(key), F.size(ids)),
-        lambda draws: _taken(
-            words_of_pieces(F.col(ids), flags, skip_padding), draws, budget(F.size(ids), probability, most)
-        ),
-    )
-    places = let(positions, lambda at: F.transform(picked, lambda k: F.get(at, k)))
+    def chosen(found: Column) -> Column:
+        words = let(digests(order_seed, F.col(key), F.size(ids)), lambda draws: words_of_pieces(found, flags, draws))
+        picked = let(words, lambda w: let(cap, lambda most_pieces: _picked(w, most_pieces, probability)))
+        return F.transform(picked, lambda k: F.get(found, k)["at"])
+
+    places = let(candidates(F.col(ids), skip_padding), chosen)
     masked = let(
-        places,
-        lambda chosen: F.transform(
-            F.col(ids), lambda x, i: F.when(F.array_contains(chosen, i), replaced(x, i)).otherwise(x)
-        ),
+        prefix(piece_seed, F.col(key)),
+        lambda base: _spliced(F.col(ids), places, lambda x, i: replaced(base, x, i)),
     )
     return df.withColumns({"labels": F.col(ids), ids: masked})
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skeinwork.functions.draws import digest
+from skeinwork.functions.draws import order_digest
 from skeinwork.session import frozen
 
 
@@ -18,7 +18,7 @@ def exact_rank(df: DataFrame, key: str, seed, rank: str = "rank", rows: str | No
     each bucket its offset, and only buckets are sorted. ``key`` must be unique. ``rows`` names a
     column for the total. The offset table has at most ``16**digits`` rows, so it is broadcast.
     """
-    head = F.substr(digest(seed, F.col(key)), F.lit(1), F.lit(digits))
+    head = F.substr(order_digest(seed, F.col(key)), F.lit(1), F.lit(digits))
     counts = df.select(head.alias("_bucket")).groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     ordered = Window.orderBy("_bucket")
     before = ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -29,7 +29,7 @@ def exact_rank(df: DataFrame, key: str, seed, rank: str = "rank", rows: str | No
     )
     inside = Window.partitionBy("_bucket").orderBy("_digest", key)
     ranked = (
-        df.withColumn("_digest", digest(seed, F.col(key)))
+        df.withColumn("_digest", order_digest(seed, F.col(key)))
         .withColumn("_bucket", F.substr("_digest", F.lit(1), F.lit(digits)))
         .withColumn("_place", F.row_number().over(inside))
         .join(F.broadcast(offsets), "_bucket")

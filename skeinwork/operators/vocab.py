@@ -21,13 +21,24 @@ GAP = "  "
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """``(word, n)`` of normalised, pre-tokenised text; counted in the map task before the shuffle."""
-    return df.select(F.explode(words(F.col(text))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    return counted(df, words(F.col(text)))
+
+
+def counted(df: DataFrame, lists: Column) -> DataFrame:
+    """``(word, n)`` of the words in an array expression.
+
+    The outer explode matters: for the inner one the optimizer adds a filter on the array's size,
+    which would compute the array again.
+    """
+    exploded = df.select(F.explode_outer(lists).alias("word")).filter(F.col("word").isNotNull())
+    return exploded.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def character_counts(counts: DataFrame) -> DataFrame:
     """``(char, n)`` weighted by word counts."""
     return (
-        counts.select(F.explode(characters(F.col("word"))).alias("char"), "n")
+        counts.select(F.explode_outer(characters(F.col("word"))).alias("char"), "n")
+        .filter(F.col("char").isNotNull())
         .groupBy("char")
         .agg(F.sum("n").alias("n"))
     )
@@ -57,7 +68,7 @@ def neighbours(parts: Column) -> Column:
 def pair_counts(counts: DataFrame, parts: Column | None = None) -> DataFrame:
     """``(left, right, n)``: adjacent symbol pairs weighted by word counts."""
     parts = symbols(F.col("word")) if parts is None else parts
-    pairs = counts.select(F.explode(neighbours(parts)).alias("p"), "n")
+    pairs = counts.select(F.explode_outer(neighbours(parts)).alias("p"), "n").filter(F.col("p").isNotNull())
     return pairs.groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
 
 

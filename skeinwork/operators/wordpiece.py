@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions import arrays
 from skeinwork.functions.text import words
 from skeinwork.operators.masking import CLS, PAD, SEP, UNK
-from skeinwork.operators.vocab import PREFIX
+from skeinwork.operators.vocab import PREFIX, counted
 from skeinwork.session import at_most, broadcast_checked, frozen
 
 # Longest word that is cut into pieces, and the default sequence length.
@@ -25,11 +25,15 @@ def segment(types: DataFrame, vocab: DataFrame, max_chars: int = MAX_WORD_CHARS)
     With ``types`` hashed by word (the result of a count) nothing but the vocabulary moves.
     """
     others = [c for c in types.columns if c != "word"]
-    longest = vocab.agg(F.max(F.length("token"))).first()[0] or 1
+    inner = F.col("token").startswith(PREFIX)
+    first, rest = vocab.agg(
+        F.max(F.when(~inner, F.length("token"))), F.max(F.when(inner, F.length("token") - len(PREFIX)))
+    ).first()
+    longest = F.when(F.col("_start") == 0, F.lit(first or 1)).otherwise(F.lit(rest or 1))
     size = F.length("word")
     short = F.when(size <= max_chars, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
     starts = types.select("word", *others, F.explode_outer(short).alias("_start"))
-    lengths = F.sequence(F.lit(1), F.least(F.lit(longest), F.length("word") - F.col("_start")))
+    lengths = F.sequence(F.lit(1), F.least(longest, F.length("word") - F.col("_start")))
     cuts = starts.select(
         "word", *others, "_start", F.explode_outer(F.when(F.col("_start").isNotNull(), lengths)).alias("_len")
     )
@@ -38,6 +42,9 @@ def segment(types: DataFrame, vocab: DataFrame, max_chars: int = MAX_WORD_CHARS)
         "token", F.concat(mark, F.substr("word", F.col("_start") + 1, F.col("_len")))
     )
     found = cuts.join(broadcast_checked(vocab.select("token", "id"), VOCAB_LIMIT), "token", "left")
+    # One row per word stays even if nothing matches; the rest of the misses need not be grouped.
+    first_cut = F.coalesce(F.col("_start"), F.lit(0)) + F.coalesce(F.col("_len"), F.lit(1)) == 1
+    found = found.filter(F.col("id").isNotNull() | first_cut)
     match = F.when(
         F.col("id").isNotNull(), F.struct(F.col("_start").alias("start"), (-F.col("_len")).alias("minus"), "id")
     )
@@ -62,9 +69,7 @@ def segment(types: DataFrame, vocab: DataFrame, max_chars: int = MAX_WORD_CHARS)
 
 def dictionary(df: DataFrame, lists: list[str], vocab: DataFrame) -> DataFrame:
     """``(word, n, pieces)`` of all distinct words in the given array columns, written once."""
-    every = F.explode(F.concat(*[F.col(c) for c in lists])).alias("word")
-    counts = df.select(every).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return frozen(segment(counts, vocab))
+    return frozen(segment(counted(df, F.concat(*[F.col(c) for c in lists])), vocab))
 
 
 def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: int = DICTIONARY_LIMIT) -> DataFrame:

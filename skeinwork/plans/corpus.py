@@ -44,14 +44,12 @@ def lang_predict(spark, folder):
 
 def sentence_split(spark, folder):
     docs = documents(spark, folder)
-    return docs.select("doc_id", F.posexplode(text.sentences(F.col("text"))).alias("sent_idx", "sentence"))
+    return text.sentence_rows(docs, ["doc_id"])
 
 
 def sentence_split_turns(spark, folder):
     turns = spread(table(spark, folder, "conversations"))
-    return turns.select(
-        "conv_id", "turn", F.posexplode(text.sentences(F.col("text"))).alias("sent_idx", "sentence")
-    )
+    return text.sentence_rows(turns, ["conv_id", "turn"])
 
 
 def normalise_pretokenise(spark, folder):

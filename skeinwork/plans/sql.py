@@ -35,13 +35,13 @@ def words(expr: str) -> str:
 
 
 def draw(parts: str, slot: str) -> str:
-    """Eight hexadecimal digits of an md5 over ``:``-joined parts."""
-    return f"substr(md5(concat_ws(':', {parts})), ({slot}) * 8 + 1, 8)"
+    """Eight hexadecimal digits of a SHA-256 digest over ``:``-joined parts."""
+    return f"substr(sha256(concat_ws(':', {parts})), ({slot}) * 8 + 1, 8)"
 
 
 def position_draw(seed: str, key: str, position: str) -> str:
-    """Draw of a zero-based position: four positions share a digest."""
-    return draw(f"{quote(seed)}, {key}, ({position}) // 4", f"({position}) % 4")
+    """Draw of a zero-based position: eight positions share a digest."""
+    return draw(f"{quote(seed)}, {key}, ({position}) // 8", f"({position}) % 8")
 
 
 def shuffle_rank(seed: str, key: str) -> str:
