@@ -124,7 +124,9 @@ def character_table(last: int, accents: bool = True) -> tuple[str, str]:
         char = chr(point)
         if 0xAC00 <= point <= 0xD7A3 or 0xD800 <= point <= 0xDFFF:
             continue
-        plain = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
+        plain = char
+        if unicodedata.decomposition(char):
+            plain = "".join(c for c in unicodedata.normalize("NFD", char) if unicodedata.category(c) != "Mn")
         if last == LATIN_END and char != " " and (char in "\t\n\r" or unicodedata.category(char) == "Zs"):
             source.append(char)
             target.append(" ")

@@ -6,13 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions import arrays, labels, markers
-from skeinwork.functions.text import WHITESPACE, characters
+from skeinwork.functions.text import SPACE, characters
 from skeinwork.operators.order import running_before
 from skeinwork.session import broadcast_checked
 
 # Fixed value: label of a word no span covers.
 OUTSIDE = "O"
-SPAN_FIELDS = ["id", "start", "end", "surface", "label", "concept"]
+# Characters per stretch of text in which words and spans are matched; length from which a span is
+# checked against the end of its text.
+STRETCH, LONG_SPAN = 16, 4096
 
 
 def split_tagged_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -23,7 +25,7 @@ def split_tagged_lines(lines: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
     line has six tab fields with whole-number offsets; all else is a reject.
     """
     value = F.col("value")
-    kept = lines.filter(~value.rlike(f"^{WHITESPACE}*$"))
+    kept = lines.filter(~value.rlike(f"^{SPACE}*$"))
     is_text = value.rlike(r"^[^|]*\|[at]\|[^|]*$")
     is_span = ~is_text & value.rlike(r"^[^\t]*\t\s*[+-]?\d{1,9}\s*\t\s*[+-]?\d{1,9}\s*(\t[^\t]*){3}$")
     bars = F.split(value, r"\|")
@@ -71,7 +73,7 @@ def document_words(docs: DataFrame) -> DataFrame:
         "id",
         "_chars_before",
         "_words_before",
-        F.posexplode(F.arrays_zip("_words", "_starts")).alias("_i", "_w"),
+        F.posexplode_outer(F.arrays_zip("_words", "_starts")).alias("_i", "_w"),
     ).select(
         "id",
         (F.col("_words_before") + F.col("_i")).cast("bigint").alias("pos"),
@@ -84,25 +86,37 @@ def span_labels(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``(id, pos, start, word, label)``: label of the span over each word's first character.
 
     A word that starts with ``(`` looks one character further. Of overlapping spans the last line
-    wins. Spans become one row per character they cover, reduced before the shuffle, so the join
-    is an equi-join and no pair of word and span is formed that does not match.
+    wins. Words and spans meet in stretches of ``STRETCH`` characters: a stretch holds few words,
+    so a span row meets few of them however long its document is, and a long document spreads over
+    many keys. The result is grouped within the partitions the join left.
     """
-    ends = docs.groupBy("id").agg(F.sum(F.length("text") + 1).alias("_end"))
-    covered = (
-        spans.groupBy("id", "start", "end")
-        .agg(F.max(F.struct("line_no", "label")).alias("_mark"))
-        .join(ends, "id")
-        .withColumn("_last", F.least(F.col("end").cast("bigint"), F.col("_end")) - 1)
-        .withColumn("_from", F.greatest(F.col("start").cast("bigint"), F.lit(0)))
-        .filter("_from <= _last")
-        .select("id", F.explode(F.sequence("_from", "_last")).alias("_look"), "_mark")
-        .groupBy("id", "_look")
-        .agg(F.max("_mark").alias("_mark"))
+    long_span = F.col("end") - F.col("start") > LONG_SPAN
+    ends = docs.groupBy("id").agg(F.sum(F.length("text") + 1).alias("_text_end"))
+    # Only an overlong span can reach far beyond its text; it is cut there.
+    clipped = spans.filter(long_span).join(ends, "id").withColumn(
+        "end", F.least(F.col("end").cast("bigint"), F.col("_text_end"))
+    )
+    columns = ["id", F.col("start").alias("_from"), F.col("end").cast("bigint").alias("_to"), "line_no", "label"]
+    bounded = spans.filter(~long_span).select(*columns).unionByName(clipped.select(*columns))
+    stretches = F.sequence(
+        F.floor(F.greatest("_from", F.lit(0)) / STRETCH), F.floor((F.col("_to") - 1) / STRETCH)
+    )
+    placed = bounded.filter((F.col("_from") < F.col("_to")) & (F.col("_to") > 0)).select(
+        "id", "_from", "_to", F.struct("line_no", "label").alias("_mark"), F.explode(stretches).alias("_stretch")
     )
     looked = document_words(docs).withColumn("_look", F.col("start") + F.col("word").startswith("(").cast("int"))
-    return looked.join(covered, ["id", "_look"], "left").select(
-        "id", "pos", "start", "word", F.coalesce("_mark.label", F.lit(OUTSIDE)).alias("label")
+    looked = looked.withColumn("_stretch", F.floor(F.col("_look") / STRETCH))
+    s = placed.alias("s")
+    met = looked.alias("w").join(
+        s,
+        (F.col("w.id") == F.col("s.id"))
+        & (F.col("w._stretch") == F.col("s._stretch"))
+        & (F.col("w._look") >= F.col("s._from"))
+        & (F.col("w._look") < F.col("s._to")),
+        "left",
     )
+    best = met.groupBy("w.id", "w._stretch", "w.pos", "w.start", "w.word").agg(F.max("s._mark").alias("_mark"))
+    return best.select("id", "pos", "start", "word", F.coalesce("_mark.label", F.lit(OUTSIDE)).alias("label"))
 
 
 def grouped_sentences(tokens: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from skeinwork.operators import labelled
 from skeinwork.plans import sql
 from skeinwork.plans.tables import documents, spread, table
 from skeinwork.plans.tokens import shown, turn_pairs
+from skeinwork.session import frozen
 from skeinwork.sources import readers
 
 STEP = 40
@@ -48,11 +49,12 @@ def tagged_lines(docs: DataFrame) -> DataFrame:
     texts = F.array(
         line(0, "id", F.lit("|t|"), "title"), line(1, "id", F.lit("|a|"), "abstract")
     )
-    return clean.select(F.inline(F.concat(texts, spans)))
+    return clean.select(F.inline_outer(F.concat(texts, spans)))
 
 
 def _labelled_words(spark, folder):
-    docs, spans, _ = labelled.split_tagged_lines(tagged_lines(documents(spark, folder)))
+    lines = frozen(tagged_lines(documents(spark, folder)))
+    docs, spans, _ = labelled.split_tagged_lines(lines)
     return labelled.span_labels(docs, spans)
 
 
@@ -72,10 +74,10 @@ def label_index(spark, folder):
 
 
 def label_pad(spark, folder):
-    words = _labelled_words(spark, folder)
+    words = frozen(_labelled_words(spark, folder))
     known = labelled.with_label_ids(words, labelled.label_index(words))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "label_id")))
-    grouped = known.groupBy("id").agg(F.col("id").alias("_i"), ordered.alias("t")).drop("_i")
+    grouped = known.groupBy("id").agg(ordered.alias("t"))
     return grouped.select("id", shown(labelled.padded_labels(F.col("t.label_id"))).alias("label_ids"))
 
 
