@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import strip
-from skeinwork.session import broadcast_checked
+from skeinwork.session import hot_and_cold
 
 # Language kept, least length, and the one character a line's end adds to it.
 KEPT_LANGUAGE, MIN_CHARS, LINE_END = "en", 1000, 1
@@ -42,7 +42,7 @@ def grams(text: Column, longest: int = 3) -> Column:
 
 
 def train_languages(df: DataFrame, languages: list[str], longest: int = 3) -> DataFrame:
-    """``(gram, weights)``: per language the add-one log probability, in millionths.
+    """``(gram, n, weights)``: its count, and per language the add-one log probability in millionths.
 
     Whole numbers make the later sums exact in any order. The grams of a document are counted in
     the map task before they are shuffled.
@@ -60,19 +60,26 @@ def train_languages(df: DataFrame, languages: list[str], longest: int = 3) -> Da
         for code in languages
     ]
     # ``totals`` is one row.
-    return counts.join(F.broadcast(totals)).select("gram", F.array(*weight).alias("weights"))
+    everywhere = sum((F.col(f"n_{code}") for code in languages[1:]), F.col(f"n_{languages[0]}"))
+    return counts.join(F.broadcast(totals)).select("gram", everywhere.alias("n"), F.array(*weight).alias("weights"))
 
 
 def predict_languages(
-    df: DataFrame, key: str, model: DataFrame, languages: list[str], longest: int = 3, limit: int = 2_000_000
+    df: DataFrame, key: str, model: DataFrame, languages: list[str], longest: int = 3, limit: int = 1_000_000
 ) -> DataFrame:
     """``(key, lang, score)``: the language with the best summed weight, ties by name.
 
     Weights are summed per document in the map task; only one row per document is shuffled.
-    Unknown grams weigh nothing. A model beyond ``limit`` grams is joined by shuffle.
+    Unknown grams weigh nothing. Of a model beyond ``limit`` grams the frequent ones are broadcast
+    and the others joined by shuffle.
     """
     found = df.select(key, F.explode_outer(grams(F.col("text"), longest)).alias("gram"))
-    scored = found.join(broadcast_checked(model, limit), "gram", "left")
+    hot, cold = hot_and_cold(model, limit)
+    scored = found.join(hot.select("gram", "weights"), "gram", "left")
+    if cold is not None:
+        missed = scored.filter(F.col("weights").isNull() & F.col("gram").isNotNull()).select(key, "gram")
+        rare = missed.join(cold.select("gram", "weights"), "gram")
+        scored = scored.select(key, "weights").unionByName(rare.select(key, "weights"))
     order = sorted(languages)
     sums = scored.groupBy(key).agg(
         *[F.coalesce(F.sum(F.get("weights", F.lit(languages.index(c)))), F.lit(0)).alias(f"s_{c}") for c in order]

@@ -9,7 +9,7 @@ from skeinwork.functions import arrays
 from skeinwork.functions.text import words
 from skeinwork.operators.masking import CLS, PAD, SEP, UNK
 from skeinwork.operators.vocab import PREFIX, counted
-from skeinwork.session import at_most, broadcast_checked, frozen
+from skeinwork.session import broadcast_checked, frozen, hot_and_cold
 
 # Longest word that is cut into pieces, and the default sequence length.
 MAX_WORD_CHARS, MAX_LENGTH = 100, 512
@@ -94,19 +94,15 @@ def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: in
         .select(key, "_t.list", "_t.pos", "_t.word")
     )
     entry = F.struct("list", "pos", "pieces")
-    if at_most(cut, limit):
-        joined = tokens.join(F.broadcast(cut.select("word", "pieces")), "word", "left")
-        held = joined.groupBy(key).agg(F.sort_array(F.collect_list(F.when(F.col("pieces").isNotNull(), entry))).alias("_p"))
-    else:
-        total = cut.agg(F.sum("n")).first()[0]
-        hot, cold = cut.filter(F.col("n") * limit >= total), cut.filter(F.col("n") * limit < total)
-        first = tokens.join(F.broadcast(hot.select("word", "pieces")), "word", "left")
-        common = first.groupBy(key).agg(F.collect_list(F.when(F.col("pieces").isNotNull(), entry)).alias("_a"))
-        missed = first.filter(F.col("pieces").isNull() & F.col("word").isNotNull()).drop("pieces")
-        rare = missed.join(cold.select("word", "pieces"), "word").groupBy(key).agg(F.collect_list(entry).alias("_b"))
-        held = common.join(rare, key, "left").select(
-            key, F.sort_array(F.concat("_a", F.coalesce("_b", F.array()))).alias("_p")
-        )
+    hot, cold = hot_and_cold(cut, limit)
+    joined = tokens.join(hot.select("word", "pieces"), "word", "left")
+    known = F.when(F.col("pieces").isNotNull(), entry)
+    held = joined.groupBy(key).agg(F.collect_list(known).alias("_p"))
+    if cold is not None:
+        missed = joined.filter(F.col("pieces").isNull() & F.col("word").isNotNull()).drop("pieces")
+        rare = missed.join(cold.select("word", "pieces"), "word").groupBy(key).agg(F.collect_list(entry).alias("_r"))
+        held = held.join(rare, key, "left").select(key, F.concat("_p", F.coalesce("_r", F.array())).alias("_p"))
+    held = held.select(key, F.sort_array("_p").alias("_p"))
 
     def ids_of(k: int) -> Column:
         mine = F.filter("_p", lambda p: p["list"] == k) if len(lists) > 1 else F.col("_p")

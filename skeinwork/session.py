@@ -71,3 +71,16 @@ def at_most(df: DataFrame, limit: int) -> bool:
 def broadcast_checked(df: DataFrame, limit: int) -> DataFrame:
     """Hint a broadcast only after counting; beyond ``limit`` rows the join shuffles."""
     return F.broadcast(df) if at_most(df, limit) else df
+
+
+def hot_and_cold(df: DataFrame, limit: int, n: str = "n") -> tuple[DataFrame, DataFrame | None]:
+    """Part a lookup table with counts so that its hot keys can be broadcast.
+
+    With at most ``limit`` rows all of it is hot. Otherwise hot are the keys counted at least
+    ``total/limit`` times, which cannot be more than ``limit``; no cold key is frequent enough to
+    skew a shuffle.
+    """
+    if at_most(df, limit):
+        return F.broadcast(df), None
+    total = df.agg(F.sum(n)).first()[0]
+    return F.broadcast(df.filter(F.col(n) * limit >= total)), df.filter(F.col(n) * limit < total)

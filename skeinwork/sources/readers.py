@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions.text import file_stem, strip
 from skeinwork.operators.order import first_rows
+from skeinwork.session import broadcast_checked, frozen
 
 # Field names of the question-answer and run-record files.
 INDEXED_SCHEMA = "MAP<STRING, STRUCT<QUESTION: STRING, CONTEXTS: ARRAY<STRING>, final_decision: STRING>>"
@@ -19,6 +20,8 @@ RUN_SCHEMA = (
     "scores ARRAY<DOUBLE>, mean_score DOUBLE"
 )
 
+SPLIT_LIMIT = 500_000
+
 
 def list_files(spark: SparkSession, path: str, prefix: str = "", suffix: str = "", first: int | None = None) -> DataFrame:
     """Sorted ``(path, name)`` of the files under ``path`` by name prefix and suffix; the first n.
@@ -35,7 +38,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
     A scan keeps the rows of one file split in order, so a line's place is its row id less the
     split's least, plus the lines in earlier splits of the file. Only per-split counts, one row
-    per split, are shuffled; no file passes through one task.
+    per split, are shuffled and kept; no file passes through one task.
     """
     scan = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("file"),
@@ -46,8 +49,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     splits = scan.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    # One row per input split of at least a few megabytes: small beside the lines themselves.
-    return scan.join(F.broadcast(offsets), ["file", "_at"]).select(
+    return scan.join(broadcast_checked(frozen(offsets), SPLIT_LIMIT), ["file", "_at"]).select(
         "file", (F.col("_base") + F.col("_row") - F.col("_first")).alias("line_no"), "value"
     )
 

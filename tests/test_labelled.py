@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from skeinwork.operators import labelled, metrics, order, runs
+from skeinwork.operators import labelled, language, metrics, order, runs
 
 LINES = [
     "1|t|Role of (ataxia) gene",
@@ -151,3 +151,13 @@ def test_overrides_and_rounding(spark):
     got = {r["row_idx"]: r["model_name"] for r in runs.with_overrides(df, new, "row_idx", "model_name").collect()}
     assert got == {3: "a", 4: "z"}
     assert spark.range(1).select(F.bround(F.lit(76.5))).first()[0] == 76
+
+
+def test_language_model_beyond_the_limit_gives_the_same(spark):
+    rows = [(1, "en", "the cat the"), (2, "fr", "le chat été"), (3, "en", "that"), (4, "fr", ""), (5, "en", None)]
+    df = spark.createDataFrame(rows, "k int, lang string, text string")
+    model = language.train_languages(df, ["en", "fr"])
+    small = language.predict_languages(df, "k", model, ["en", "fr"], limit=5).collect()
+    whole = language.predict_languages(df, "k", model, ["en", "fr"]).collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, whole)) and len(whole) == 5
+    assert {r["k"]: r["lang"] for r in whole}[2] == "fr"
