@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from skeinwork.functions.arrays import let
+
 # Markers in the order in which a word is tested for them.
 MARKERS = ["<<", ">>", "[[", "]]"]
 # The shift that turns a marker's word index into the entity's.
@@ -20,15 +22,13 @@ def token_span(text: Column) -> Column:
     first_marker = F.transform(
         tokens, lambda w: F.coalesce(*[F.when(w.contains(m), F.lit(m)) for m in MARKERS], F.lit(""))
     )
-    size = F.size(tokens)
-    backwards = F.reverse(first_marker)
 
-    def index(name: str) -> Column:
+    def index(backwards: Column, name: str) -> Column:
         marker, shift = SHIFTS[name]
         found = F.array_position(backwards, marker)
-        return F.when(found > 0, (size - found + shift).cast("int")).alias(name)
+        return F.when(found > 0, (F.size(backwards) - found + shift).cast("int")).alias(name)
 
-    return F.struct(*[index(name) for name in SHIFTS])
+    return let(F.reverse(first_marker), lambda b: F.struct(*[index(b, name) for name in SHIFTS]))
 
 
 def _between(text: Column, opening: str, closing: str, skip: int) -> Column:

@@ -207,12 +207,13 @@ def relation_records(df: DataFrame, variant: str = "token", obj_skip: int = 12)
     and the second text segment.
     """
     if variant == "token":
-        spanned = df.withColumn("_s", markers.token_span(F.col("text"))).select("*", "_s.*").drop("_s")
-        fields = ["ss", "se", "os", "oe"]
+        spans, fields = markers.token_span(F.col("text")), ["ss", "se", "os", "oe"]
     else:
-        spanned = df.withColumn("_s", markers.substring_span(F.col("text"), obj_skip)).select("*", "_s.*").drop("_s")
+        spans, fields = markers.substring_span(F.col("text"), obj_skip), ["subj", "obj"]
+    # As a generator's output the fields are computed once, not again for the filter below.
+    spanned = df.select("*", F.inline_outer(F.array(spans)))
+    if variant != "token":
         spanned = spanned.withColumn("segment", markers.second_segment(F.col("subj"), F.col("obj")))
-        fields = ["subj", "obj"]
     complete = ~F.greatest(*[F.col(f).isNull().cast("int") for f in fields]).cast("boolean")
     known, unknown = encoded_labels(spanned.filter(complete), "label", labels.RELATION)
     broken = spanned.filter(~complete)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import strip
-from skeinwork.session import hot_and_cold
+from skeinwork.session import frozen, hot_and_cold
 
 # Language kept, least length, and the one character a line's end adds to it.
 KEPT_LANGUAGE, MIN_CHARS, LINE_END = "en", 1000, 1
@@ -19,7 +19,7 @@ def is_kept(lang: Column, text: Column, language: str = KEPT_LANGUAGE, min_chars
 
 def accepted(df: DataFrame, language: str = KEPT_LANGUAGE, min_chars: int = MIN_CHARS) -> DataFrame:
     """Documents of the language that are long enough, stripped."""
-    kept = df.filter(is_kept(F.col("lang"), F.col("text"), language, min_chars))
+    kept = df.filter(F.col("lang") == language).filter(F.length("text") + LINE_END >= min_chars)
     return kept.withColumn("text", strip(F.col("text")))
 
 
@@ -52,16 +52,14 @@ def train_languages(df: DataFrame, languages: list[str], longest: int = 3) -> Da
     counts = exploded.groupBy("gram").agg(
         *[F.sum((F.col("lang") == code).cast("bigint")).alias(f"n_{code}") for code in languages]
     )
-    totals = counts.agg(
-        F.count(F.lit(1)).alias("kinds"), *[F.sum(f"n_{code}").alias(f"t_{code}") for code in languages]
-    )
+    counts = frozen(counts)
+    kinds, *sizes = counts.agg(F.count(F.lit(1)), *[F.sum(f"n_{code}") for code in languages]).first()
     weight = [
-        F.round(F.log((F.col(f"n_{code}") + 1) / (F.col(f"t_{code}") + F.col("kinds"))) * SCALE).cast("bigint")
-        for code in languages
+        F.round(F.log((F.col(f"n_{code}") + 1) / F.lit(float((size or 0) + kinds))) * SCALE).cast("bigint")
+        for code, size in zip(languages, sizes)
     ]
-    # ``totals`` is one row.
     everywhere = sum((F.col(f"n_{code}") for code in languages[1:]), F.col(f"n_{languages[0]}"))
-    return counts.join(F.broadcast(totals)).select("gram", everywhere.alias("n"), F.array(*weight).alias("weights"))
+    return counts.select("gram", everywhere.alias("n"), F.array(*weight).alias("weights"))
 
 
 def predict_languages(

@@ -9,7 +9,7 @@ from skeinwork.functions import text
 from skeinwork.operators import language, order, vocab
 from skeinwork.plans import sql
 from skeinwork.plans.tables import documents, spread, table
-from skeinwork.session import frozen, scratch_path
+from skeinwork.session import scratch_path
 from skeinwork.sources import readers, sinks
 
 LANGUAGES = ["de", "en", "es", "fr"]
@@ -38,7 +38,7 @@ def reject_counts(spark, folder):
 
 def lang_predict(spark, folder):
     docs = documents(spark, folder)
-    model = frozen(language.train_languages(docs, LANGUAGES))
+    model = language.train_languages(docs, LANGUAGES)
     return language.predict_languages(docs, "doc_id", model, LANGUAGES)
 
 
@@ -75,7 +75,7 @@ def vocab_train(spark, folder):
 
 
 def read_lines_sample(spark, folder):
-    """Documents written as a line file in key order, read back with line numbers, first thousand."""
+    """Documents written as numbered lines, read back, first thousand in order."""
     path = scratch_path(spark, "lines")
     docs = documents(spark, folder)
     one_line = F.regexp_replace("text", r"[\r\n]+", " ")
