@@ -14,7 +14,7 @@ from skeinwork.session import broadcast_checked, frozen, hot_and_cold
 # Longest word that is cut into pieces, and the default sequence length.
 MAX_WORD_CHARS, MAX_LENGTH = 100, 512
 VOCAB_LIMIT = 500_000
-DICTIONARY_LIMIT = 1_000_000
+DICTIONARY_LIMIT = 500_000
 
 
 def segment(types: DataFrame, vocab: DataFrame, max_chars: int = MAX_WORD_CHARS) -> DataFrame:
@@ -68,12 +68,16 @@ def segment(types: DataFrame, vocab: DataFrame, max_chars: int = MAX_WORD_CHARS)
 
 
 def dictionary(df: DataFrame, lists: list[str], vocab: DataFrame) -> DataFrame:
-    """``(word, n, pieces)`` of all distinct words in the given array columns, written once."""
-    return frozen(segment(counted(df, F.concat(*[F.col(c) for c in lists])), vocab))
+    """``(word, n, pieces)`` of the distinct words in the given array columns, written once.
+
+    Words too long to be cut are left out, so a row has a bounded size.
+    """
+    counts = counted(df, F.concat(*[F.col(c) for c in lists]))
+    return frozen(segment(counts.filter(F.length("word") <= MAX_WORD_CHARS), vocab))
 
 
 def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: int = DICTIONARY_LIMIT) -> DataFrame:
-    """``(key, <list>_ids ..)``: word arrays replaced by piece ids, in order.
+    """``(key, <list>_ids, <list>_sizes ..)``: piece ids of the word arrays, and pieces per word, in order.
 
     Rows are hashed by ``key`` while they are still whole; exploding, the broadcast lookup and
     collecting them again then stay in the partition. A dictionary of more than ``limit`` words is
@@ -95,7 +99,10 @@ def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: in
     )
     entry = F.struct("list", "pos", "pieces")
     hot, cold = hot_and_cold(cut, limit)
-    joined = tokens.join(hot.select("word", "pieces"), "word", "left")
+    too_long = F.when(F.length("word") > MAX_WORD_CHARS, F.array(F.lit(UNK)))
+    joined = tokens.join(hot.select("word", "pieces"), "word", "left").withColumn(
+        "pieces", F.coalesce("pieces", too_long)
+    )
     known = F.when(F.col("pieces").isNotNull(), entry)
     held = joined.groupBy(key).agg(F.collect_list(known).alias("_p"))
     if cold is not None:
@@ -104,11 +111,13 @@ def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: in
         held = held.join(rare, key, "left").select(key, F.concat("_p", F.coalesce("_r", F.array())).alias("_p"))
     held = held.select(key, F.sort_array("_p").alias("_p"))
 
-    def ids_of(k: int) -> Column:
+    def pieces_of(k: int) -> Column:
         mine = F.filter("_p", lambda p: p["list"] == k) if len(lists) > 1 else F.col("_p")
-        return F.flatten(F.transform(mine, lambda p: p["pieces"]))
+        return F.transform(mine, lambda p: p["pieces"])
 
-    return held.select(key, *[ids_of(k).alias(f"{c}_ids") for k, c in enumerate(lists)])
+    ids = [F.flatten(pieces_of(k)).alias(f"{c}_ids") for k, c in enumerate(lists)]
+    sizes = [F.transform(pieces_of(k), lambda p: F.size(p)).alias(f"{c}_sizes") for k, c in enumerate(lists)]
+    return held.select(key, *ids, *sizes)
 
 
 def template(ids: Column, max_len: int = MAX_LENGTH, mode: str = "truncate") -> Column:
@@ -200,8 +209,3 @@ def encode_pair(
         arrays.fit(F.col("p.token_type_ids"), max_len, 0).alias("token_type_ids"),
         arrays.attention(F.size("p.input_ids"), max_len).alias("attention_mask"),
     )
-
-
-def piece_counts(word_list: Column, cut_pieces: Column) -> Column:
-    """Pieces per word, from aligned word and piece arrays."""
-    return F.zip_with(word_list, cut_pieces, lambda _, p: F.size(p))

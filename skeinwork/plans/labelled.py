@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions import labels as label_functions
-from skeinwork.operators import labelled
-from skeinwork.plans import sql
+from skeinwork.operators import entities, labelled
+from skeinwork.plans import sql, tokens
 from skeinwork.plans.tables import documents, spread, table
 from skeinwork.plans.tokens import shown, turn_pairs
 from skeinwork.session import frozen
@@ -81,6 +81,13 @@ def label_pad(spark, folder):
     return grouped.select("id", shown(labelled.padded_labels(F.col("t.label_id"))).alias("label_ids"))
 
 
+def entity_encode(spark, folder):
+    words = frozen(_labelled_words(spark, folder))
+    index = frozen(labelled.label_index(words))
+    rows = entities.entity_rows(words, index, tokens.corpus_vocabulary(spark, folder))
+    return rows.select("id", *[shown(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
 def label_lines(spark, folder) -> DataFrame:
     """Label files as a table ``(doc_id, value)``, with blanks, doubles, NULL and AND."""
     known = table(spark, folder, "labels").join(documents(spark, folder).select("doc_id", "lang", "source"), "doc_id")
@@ -182,6 +189,7 @@ QUERIES = {
     "sentence_group": sentence_group,
     "label_index": label_index,
     "label_pad": label_pad,
+    "entity_encode": entity_encode,
     "hallmark_parse": hallmark_parse,
     "hallmark_sets": hallmark_sets,
     "multi_hot": multi_hot,
@@ -239,6 +247,18 @@ ORACLES = {
     "label_pad": f"""with {_WORDS}, {_INDEX},
         ids as (select id, list(idx order by pos) as l from labelled join numbered using (label) group by id)
         select id, array_to_string(list_resize(l[:200], 200, 4), ' ') as label_ids from ids""",
+    "entity_encode": f"""with {_WORDS}, {_INDEX},
+        rows as (select id, list(idx order by pos) as l, {sql.words("string_agg(word, ' ' order by pos)")} as w
+            from labelled join numbered using (label) group by id),
+        {tokens.VOCABULARY.replace("counts as", "word_totals as").replace("from counts", "from word_totals")},
+        seen as (select id, i, w[i] as word from (select id, w, unnest(range(1, len(w[:200]) + 1)) as i from rows)),
+        {tokens.cut('select word from seen')},
+        flat as (select s.id, flatten(list(p.ids order by s.i)) as ids from seen s join pieces p on s.word = p.word group by s.id),
+        enc as (select r.id, l, list_concat(list_concat([2], coalesce(f.ids, [])[:198]), [3]) as ids
+            from rows r left join flat f on r.id = f.id)
+        select id, array_to_string(list_resize(ids, 200, 0), ' ') as input_ids,
+            array_to_string(list_transform(range(1, 201), lambda i: case when i <= len(ids) then 1 else 0 end), ' ') as attention_mask,
+            array_to_string(list_resize(l[:200], 200, 4), ' ') as labels from enc""",
     "hallmark_parse": f"with {_TRUE_PAIRS} select doc_id, label from pairs",
     "hallmark_sets": f"""with {_TRUE_PAIRS},
         more as (select * from pairs union select doc_id, 'quality' from marked where toxic = 1)

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators import masking, vocab, wordpiece
+from skeinwork.operators import entities, labelled, masking, vocab, wordpiece
 from skeinwork.plans import tokens
 from skeinwork.session import frozen
 
@@ -190,3 +190,25 @@ def test_training_equals_one_merge_at_a_time(spark):
     df = spark.createDataFrame(list(counts.items()), "word string, n bigint")
     got = [r["token"] for r in vocab.train(df, vocab_size=60, look=16).orderBy("id").collect()]
     assert got == train_by_hand(counts, 60)
+
+
+@pytest.mark.parametrize("align", ["word", "first_piece"])
+def test_entity_rows(spark, align):
+    sentence = [("unaffable", "X"), ("", "O"), ("hello,b", "Y"), ("xyz", "X"), ("a", "O")]
+    rows = [("1", i, w, label) for i, (w, label) in enumerate(sentence)] + [("2", 0, "b", "X")]
+    df = spark.createDataFrame(rows, "id string, pos int, word string, label string")
+    index = labelled.label_index(df)
+    number = {r["label"]: r["idx"] for r in index.collect()}
+    out = entities.entity_rows(df, index, vocab.from_tokens(spark, TOKENS), length=12, pad_label=9, align=align)
+    got = {r["id"]: r for r in out.collect()}
+    ids, labels = [], [9]
+    for word, label in sentence:
+        pieces = [p for part in word.replace(",", " , ").split() for p in cut(part)]
+        ids += pieces
+        labels += [number[label]] + [9] * (len(pieces) - 1) if pieces else []
+    wanted = [2, *ids, 3]
+    assert got["1"]["input_ids"] == wanted + [0] * (12 - len(wanted))
+    assert sum(got["1"]["attention_mask"]) == len(wanted)
+    if align == "word":
+        labels = [number[label] for _, label in sentence]
+    assert got["1"]["labels"] == labels + [9] * (12 - len(labels))
