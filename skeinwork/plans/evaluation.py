@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinwork.functions import arrays
-from skeinwork.operators import head, labelled, metrics, order
+from skeinwork.operators import head, metrics, order
 from skeinwork.plans import sql
-from skeinwork.plans.tables import documents, spread, table
+from skeinwork.plans.tables import spread, table
 from skeinwork.plans.tokens import shown
 from skeinwork.session import frozen
 

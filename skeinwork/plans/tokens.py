@@ -215,7 +215,6 @@ _MASKED = f"""
 masked as (select doc_id, ids, list_transform(ids, lambda x, i: case when x > 4 and
     {sql.position_draw(str(SEED), 'doc_id', 'i - 1')} < '{_BOUND}' then 4 else x end) as m from enc)"""
 _KEEP_MASK, _KEEP_SAME = format(int(0.8 * (1 << 32)), "08x"), format(int(0.5 * (1 << 32)), "08x")
-_PIECE = f"'{SEED}:piece', doc_id, i"
 
 ORACLES = {
     "wordpiece_encode": f"""{encoded(512)},
