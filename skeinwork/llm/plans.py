@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skeinwork.llm import decontam, mixing, quality, simhash, tokens_out
+from skeinwork.llm import decontam, mixing, quality, simhash, substring_dedup, suffix_dedup, tokens_out
 from skeinwork.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -16,6 +16,10 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.repeated_strings(table(spark, folder, "documents"), texts=False).drop("kept")
+
+
 def op4_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(table(spark, folder, "documents"))
 
@@ -36,6 +40,10 @@ def op9_token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return tokens_out.token_table(spark, table(spark, folder, "documents"), vocabulary_path())
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op5_simhash, op7_decontamination, op8_quality, op9_token_shards)}
+def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring_dedup.repeated_windows(table(spark, folder, "documents"), texts=False).drop("kept")
+
+
+QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op10_substring_dedup, op4_mixing, op5_simhash, op7_decontamination, op8_quality, op9_token_shards)}
 
 ORACLES: dict[str, str] = {}
