@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from skeinwork.llm import decontam, mixing, quality, simhash, substring_dedup, suffix_dedup, tokens_out
+from skeinwork.llm import decontam, embed_dedup, line_dedup, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, tokens_out
 from skeinwork.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -16,6 +17,15 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = line_dedup.without_boilerplate(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.personal_data(spark, table(spark, folder, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return suffix_dedup.repeated_strings(table(spark, folder, "documents"), texts=False).drop("kept")
 
@@ -28,6 +38,10 @@ def op5_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, folder, "embeddings"))
+
+
 def op7_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.contamination(spark, table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
@@ -44,6 +58,12 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_windows(table(spark, folder, "documents"), texts=False).drop("kept")
 
 
-QUERIES = {f.__name__: f for f in (op3_suffix_dedup, op10_substring_dedup, op4_mixing, op5_simhash, op7_decontamination, op8_quality, op9_token_shards)}
+QUERIES = {
+    query.__name__: query
+    for query in (
+        op1_line_dedup, op2_personal_data, op3_suffix_dedup, op4_mixing, op5_simhash, op6_embedding_dedup,
+        op7_decontamination, op8_quality, op9_token_shards, op10_substring_dedup,
+    )
+}
 
 ORACLES: dict[str, str] = {}
