@@ -8,7 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.draws import order_digest
-from skeinwork.session import frozen
+from skeinwork.session import broadcast_checked, frozen
+
+# Rows of an offset table that may be broadcast.
+OFFSET_LIMIT = 500_000
+
+
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join where a NULL key meets a NULL key; the keys stand once in the result."""
+    renamed = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys])
+    return left.join(renamed, same).drop(*[f"_right_{k}" for k in keys])
 
 
 def exact_rank(df: DataFrame, key: str, seed, rank: str = "rank", rows: str | None = None, digits: int = 4):
@@ -45,7 +55,7 @@ def ordinal_within(df: DataFrame, groups: list[str], order: list[str], name: str
 
     One range shuffle on (group, order) spreads a hot group over many partitions; the sorted
     layout is frozen, and counts per (group, partition) give the offsets. ``order`` must be
-    unique within a group.
+    unique within a group. Rows without a group are a group of their own.
     """
     spread = (
         df.repartitionByRange(*groups, *order)
@@ -59,7 +69,7 @@ def ordinal_within(df: DataFrame, groups: list[str], order: list[str], name: str
     before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
     return (
-        spread.join(parts, keys)
+        null_safe_join(spread, broadcast_checked(parts, OFFSET_LIMIT), keys)
         .withColumn(name, F.col("_offset") + F.col("_row") - F.col("_first"))
         .drop("_part", "_row", "_first", "_offset")
     )
@@ -82,7 +92,7 @@ def running_before(
     )
     inside = Window.partitionBy(*keys).orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
     local = cut.select("*", *[F.coalesce(F.sum(c).over(inside), F.lit(0)).alias(f"_l_{n}") for n, c in sums.items()])
-    out = local.join(bases, keys)
+    out = null_safe_join(local, bases, keys)
     for n in sums:
         out = out.withColumn(n, F.col(f"_b_{n}") + F.col(f"_l_{n}")).drop(f"_b_{n}", f"_l_{n}")
     return out.drop("_block")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import model_name
+from skeinwork.operators.order import OFFSET_LIMIT, null_safe_join
 from skeinwork.session import broadcast_checked
 
 # Tokenizer choice of a run, and the step distance of logged losses.
@@ -37,7 +38,8 @@ def sampled_steps(losses: DataFrame, step: str = "step", per_epoch: int = 10) ->
     """
     sizes = losses.groupBy("run", "epoch").agg(F.max(step).alias("_steps"))
     every = F.greatest(F.floor(F.col("_steps") / per_epoch), F.lit(1))
-    return losses.join(sizes, ["run", "epoch"]).filter(F.col(step) % every == 0).drop("_steps")
+    joined = null_safe_join(losses, broadcast_checked(sizes, OFFSET_LIMIT), ["run", "epoch"])
+    return joined.filter(F.col(step) % every == 0).drop("_steps")
 
 
 def epoch_means(losses: DataFrame, digits: int = 3) -> DataFrame:
@@ -68,15 +70,16 @@ def run_grid(models: DataFrame, seeds: list[int]) -> DataFrame:
     ).select("model_path", "model_name", "tokenizer", "seed", (F.col("_no") + 1).alias("run_no"))
 
 
-def run_records(scores: DataFrame, batch_size: int, epochs: int, metric: str) -> DataFrame:
-    """One record per model from ``(model_name, run_no, seed, score)``: seeds and scores in run
+def run_records(scores: DataFrame, batch_size: int, epochs: int, metric: str, by: list[str] = ()) -> DataFrame:
+    """One record per model (and value of the columns ``by``) from ``(model_name, run_no, seed, score)``: seeds and scores in run
     order, scores rounded to 6 digits and their mean to 4, both half-even."""
     rounded = scores.withColumn("score", F.bround("score", 6))
-    grouped = rounded.groupBy("model_name").agg(
+    grouped = rounded.groupBy(*by, "model_name").agg(
         F.sort_array(F.collect_list(F.struct("run_no", "seed", "score"))).alias("_runs"),
         F.bround(F.avg("score"), 4).alias("mean_score"),
     )
     return grouped.select(
+        *by,
         "model_name",
         F.col("_runs.seed").alias("seeds"),
         F.lit(batch_size).alias("batch_size"),

@@ -34,23 +34,27 @@ def list_files(spark: SparkSession, path: str, prefix: str = "", suffix: str = "
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, line_no, value)`` with zero-based line numbers per file, in file order.
+    """``(file, name, line_no, value)`` with zero-based line numbers per file, in file order.
 
     A scan keeps the rows of one file split in order, so a line's place is its row id less the
-    split's least, plus the lines in earlier splits of the file. Only per-split counts, one row
-    per split, are shuffled and kept; no file passes through one task.
+    split's least, plus the lines in earlier splits of the file. The scanned rows themselves are
+    frozen with their row ids, and offsets are counted from the frozen rows: another scan could cut
+    the files elsewhere. No file passes through one task.
     """
-    scan = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_at"),
-        F.monotonically_increasing_id().alias("_row"),
-        "value",
+    scan = frozen(
+        spark.read.text(path).select(
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_name").alias("name"),
+            F.col("_metadata.file_block_start").alias("_at"),
+            F.monotonically_increasing_id().alias("_row"),
+            "value",
+        )
     )
     splits = scan.groupBy("file", "_at").agg(F.count(F.lit(1)).alias("_n"), F.min("_row").alias("_first"))
     before = Window.partitionBy("file").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_base", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return scan.join(broadcast_checked(frozen(offsets), SPLIT_LIMIT), ["file", "_at"]).select(
-        "file", (F.col("_base") + F.col("_row") - F.col("_first")).alias("line_no"), "value"
+    return scan.join(broadcast_checked(offsets, SPLIT_LIMIT), ["file", "_at"]).select(
+        "file", "name", (F.col("_base") + F.col("_row") - F.col("_first")).alias("line_no"), "value"
     )
 
 
@@ -67,7 +71,7 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     Files whose name starts with a dot or underscore are skipped."""
     files = spark.read.text(path, wholetext=True)
     return files.select(
-        file_stem(F.col("_metadata.file_path")).alias("doc_id"), F.replace("value", F.lit("\n"), F.lit(" ")).alias("text")
+        file_stem(F.col("_metadata.file_name")).alias("doc_id"), F.replace("value", F.lit("\n"), F.lit(" ")).alias("text")
     )
 
 
@@ -75,16 +79,34 @@ def first_lines(spark: SparkSession, path: str) -> DataFrame:
     """``(doc_id, value)``: the first line of each file."""
     files = spark.read.text(path, wholetext=True)
     return files.select(
-        file_stem(F.col("_metadata.file_path")).alias("doc_id"), F.split("value", "\n")[0].alias("value")
+        file_stem(F.col("_metadata.file_name")).alias("doc_id"), F.split("value", "\n")[0].alias("value")
     )
 
 
+CORRUPT = "_corrupt"
+
+
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).json(path)
+    """Rows of the lines that parse; ``json_line_rejects`` has the others."""
+    read = _json_lines(spark, path, schema)
+    return read.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def json_line_rejects(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """``(value)``: the lines that are no JSON object of the schema."""
+    read = _json_lines(spark, path, schema)
+    return read.filter(F.col(CORRUPT).isNotNull()).select(F.col(CORRUPT).alias("value"))
+
+
+def _json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    lines = spark.read.text(path).filter(strip(F.col("value")) != "")
+    parsed = F.from_json("value", f"{schema}, {CORRUPT} STRING", options)
+    return lines.select(parsed.alias("_r")).select("_r.*")
 
 
 def indexed(value: Column, schema: str = INDEXED_SCHEMA) -> Column:
-    """Map of a JSON object keyed by row id."""
+    """Map of a JSON object keyed by row id; NULL if it is malformed."""
     return F.from_json(value, schema)
 
 
@@ -94,19 +116,36 @@ def indexed_json(spark: SparkSession, path: str) -> DataFrame:
 
 
 def explode_indexed(values: DataFrame) -> DataFrame:
+    """The entries of the objects that parse; ``malformed`` has the others."""
     return values.select(F.explode(indexed(F.col("value"))).alias("id", "_r")).select("id", "_r.*")
 
 
+def malformed(values: DataFrame, schema: str) -> DataFrame:
+    """Rows of ``values`` whose JSON text ``value`` is no object of the schema."""
+    return values.filter(F.from_json("value", schema, {"mode": "PERMISSIVE"}).isNull() | _broken(schema))
+
+
+def _broken(schema: str) -> Column:
+    """A struct schema reads a malformed text as a struct of NULLs, so it is asked for the corrupt text."""
+    if schema.upper().startswith("MAP<"):
+        return F.lit(False)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return F.from_json("value", f"{schema}, {CORRUPT} STRING", options)[CORRUPT].isNotNull()
+
+
+GROUND_TRUTH_SCHEMA = "MAP<STRING, STRING>"
+
+
 def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """``(id, label)`` from an object of scalars keyed by id."""
     values = spark.read.text(path, wholetext=True)
-    return values.select(F.explode(F.from_json("value", "MAP<STRING, STRING>")).alias("id", "label"))
+    return values.select(F.explode(F.from_json("value", GROUND_TRUTH_SCHEMA)).alias("id", "label"))
 
 
 def nested_json(spark: SparkSession, path: str) -> DataFrame:
     """``(body, exact_answer, snippets)`` of every question in a file or a folder of files.
     An answer that is no string reads as its JSON text."""
-    return spark.read.schema(NESTED_SCHEMA).json(path, multiLine=True).selectExpr("inline(questions)")
+    return nested_values(spark.read.text(path, wholetext=True))
 
 
 def nested_values(values: DataFrame) -> DataFrame:
@@ -123,12 +162,25 @@ def encodings(spark: SparkSession, path: str, sources: list[str] | None = None)
 
 
 def float_log(spark: SparkSession, path: str, stride: int | None = None) -> DataFrame:
-    """``(run, seq, loss)`` of logs with one number per line; ``run`` is the file's stem."""
+    """``(run, seq, loss)`` of logs with one number per line; ``run`` is the file's stem.
+
+    Lines that are no number keep their place in the count; ``float_log_rejects`` has them.
+    """
+    log = _float_log(spark, path).filter(F.col("loss").isNotNull()).drop("value")
+    return log if stride is None else log.withColumn("step", F.col("seq") * stride)
+
+
+def float_log_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """``(run, seq, value)`` of the lines of logs that are neither blank nor a number."""
+    return _float_log(spark, path).filter(F.col("loss").isNull()).drop("loss")
+
+
+def _float_log(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).filter(strip(F.col("value")) != "")
-    log = lines.select(
-        file_stem(F.col("file")).alias("run"), F.col("line_no").alias("seq"), strip(F.col("value")).cast("double").alias("loss")
+    return lines.select(
+        file_stem(F.col("name")).alias("run"), F.col("line_no").alias("seq"), "value",
+        strip(F.col("value")).try_cast("double").alias("loss"),
     )
-    return log if stride is None else log.withColumn("step", F.col("seq") * stride)
 
 
 def vocabulary(spark: SparkSession, path: str) -> DataFrame:
