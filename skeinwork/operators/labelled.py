@@ -144,7 +144,10 @@ def with_label_ids(tokens: DataFrame, index: DataFrame, label: str = "label", li
     return tokens.join(broadcast_checked(lookup, limit), label, "left")
 
 
-def padded_labels(label_ids: Column, length: int = 200, pad_label: int = 4) -> Column:
+LABEL_LENGTH = 200
+
+
+def padded_labels(label_ids: Column, length: int = LABEL_LENGTH, pad_label: int = 4) -> Column:
     """Label ids cut or filled to ``length``."""
     return arrays.fit(label_ids, length, pad_label)
 

@@ -140,9 +140,9 @@ def mask_whole_words(
 
 
 def masked_share(df: DataFrame, ids: str = "input_ids", labels: str = "labels", by: list[str] = ()) -> DataFrame:
-    """Mask ids in the input over non-mask ids in the labels."""
+    """Mask ids in the input over non-mask ids in the labels; NULL where there are none."""
     masked = F.sum(F.size(F.filter(ids, lambda x: x == MASK)).cast("bigint"))
     others = F.sum(F.size(F.filter(labels, lambda x: x != MASK)).cast("bigint"))
     return df.groupBy(*by).agg(masked.alias("masked"), others.alias("others")).withColumn(
-        "share", F.col("masked") / F.col("others")
+        "share", F.try_divide("masked", "others")
     )

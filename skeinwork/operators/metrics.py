@@ -43,7 +43,8 @@ def multilabel_micro_f1(df: DataFrame, pred: str, truth: str, by: list[str] = ()
 def class_report(df: DataFrame, pred: str = "pred", truth: str = "truth") -> DataFrame:
     """Per class ``precision, recall, f1, support``, then accuracy, macro and weighted averages.
 
-    Classes are all values seen on either side. The confusion counts are reduced before anything
+    Classes are all values seen on either side; a missing value is no class, but a row whose prediction
+    is missing counts in its truth's support. The confusion counts are reduced before anything
     else, so every later step works on at most classes squared rows.
     """
     cells = df.groupBy(F.col(truth).cast("string").alias("t"), F.col(pred).cast("string").alias("p")).agg(
@@ -58,7 +59,7 @@ def class_report(df: DataFrame, pred: str = "pred", truth: str = "truth") -> Dat
         ).alias("s"),
         "n",
         (F.col("t") == F.col("p")).cast("int").alias("same"),
-    ).select("s.*", "n", "same")
+    ).select("s.*", "n", "same").filter(F.col("label").isNotNull())
     per_class = (
         sides.groupBy("label")
         .agg(

@@ -76,10 +76,10 @@ def dictionary(df: DataFrame, lists: list[str], vocab: DataFrame) -> DataFrame:
     return frozen(segment(counts.filter(F.length("word") <= MAX_WORD_CHARS), vocab))
 
 
-def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: int = DICTIONARY_LIMIT) -> DataFrame:
-    """``(key, <list>_ids, <list>_sizes ..)``: piece ids of the word arrays, and pieces per word, in order.
+def look_up(df: DataFrame, key: list[str], lists: list[str], cut: DataFrame, limit: int = DICTIONARY_LIMIT) -> DataFrame:
+    """``(*key, <list>_ids, <list>_sizes ..)``: piece ids of the word arrays, and pieces per word, in order.
 
-    Rows are hashed by ``key`` while they are still whole; exploding, the broadcast lookup and
+    The columns ``key`` are unique and not NULL together. Rows are hashed by them while they are still whole; exploding, the broadcast lookup and
     collecting them again then stay in the partition. A dictionary of more than ``limit`` words is
     parted by count: words seen at least ``total/limit`` times are at most ``limit`` and are
     broadcast; the rest join by shuffle, where none of them can be hot.
@@ -92,10 +92,10 @@ def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: in
 
     named = F.concat(*[numbered(k) for k in range(len(lists))])
     tokens = (
-        df.select(key, named.alias("_all"))
-        .repartition(key)
-        .select(key, F.explode_outer("_all").alias("_t"))
-        .select(key, "_t.list", "_t.pos", "_t.word")
+        df.select(*key, named.alias("_all"))
+        .repartition(*key)
+        .select(*key, F.explode_outer("_all").alias("_t"))
+        .select(*key, "_t.list", "_t.pos", "_t.word")
     )
     entry = F.struct("list", "pos", "pieces")
     hot, cold = hot_and_cold(cut, limit)
@@ -104,12 +104,12 @@ def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: in
         "pieces", F.coalesce("pieces", too_long)
     )
     known = F.when(F.col("pieces").isNotNull(), entry)
-    held = joined.groupBy(key).agg(F.collect_list(known).alias("_p"))
+    held = joined.groupBy(*key).agg(F.collect_list(known).alias("_p"))
     if cold is not None:
         missed = joined.filter(F.col("pieces").isNull() & F.col("word").isNotNull()).drop("pieces")
-        rare = missed.join(cold.select("word", "pieces"), "word").groupBy(key).agg(F.collect_list(entry).alias("_r"))
-        held = held.join(rare, key, "left").select(key, F.concat("_p", F.coalesce("_r", F.array())).alias("_p"))
-    held = held.select(key, F.sort_array("_p").alias("_p"))
+        rare = missed.join(cold.select("word", "pieces"), "word").groupBy(*key).agg(F.collect_list(entry).alias("_r"))
+        held = held.join(rare.drop(*key[1:]), key[0], "left").select(*key, F.concat("_p", F.coalesce("_r", F.array())).alias("_p"))
+    held = held.select(*key, F.sort_array("_p").alias("_p"))
 
     def pieces_of(k: int) -> Column:
         mine = F.filter("_p", lambda p: p["list"] == k) if len(lists) > 1 else F.col("_p")
@@ -117,7 +117,15 @@ def look_up(df: DataFrame, key: str, lists: list[str], cut: DataFrame, limit: in
 
     ids = [F.flatten(pieces_of(k)).alias(f"{c}_ids") for k, c in enumerate(lists)]
     sizes = [F.transform(pieces_of(k), lambda p: F.size(p)).alias(f"{c}_sizes") for k, c in enumerate(lists)]
-    return held.select(key, *ids, *sizes)
+    return held.select(*key, *ids, *sizes)
+
+
+ROW = "_row"
+
+
+def numbered_rows(df: DataFrame) -> DataFrame:
+    """``df`` written once with a row number, so that rows of one key, or without a key, stay apart."""
+    return frozen(df.withColumn(ROW, F.monotonically_increasing_id()))
 
 
 def template(ids: Column, max_len: int = MAX_LENGTH, mode: str = "truncate") -> Column:
@@ -161,12 +169,20 @@ def encode(
 
     A word gives one piece at least, so only the first ``max_len`` words can reach the output;
     the rest is cut off before words are exploded. ``pad`` is ``none``, ``longest`` (of the whole
-    table) or ``max_length``. ``max_len=None`` keeps whole texts.
+    table) or ``max_length``. ``max_len=None`` keeps whole texts. Every row of ``df`` gets a row,
+    whether its key repeats or is NULL.
     """
-    listed = words(F.col(text))
-    listed = listed if max_len is None else F.slice(listed, 1, max_len)
-    prepared = df.select(key, listed.alias("w"))
-    ids = look_up(prepared, key, ["w"], dictionary(prepared, ["w"], vocab), limit)
+    return encode_words(df.select(key, words(F.col(text)).alias("w")), key, vocab, "w", max_len, mode, pad, limit)
+
+
+def encode_words(
+    df: DataFrame, key: str, vocab: DataFrame, listed: str = "w", max_len: int | None = MAX_LENGTH,
+    mode: str = "truncate", pad: str = "none", limit: int = DICTIONARY_LIMIT,
+) -> DataFrame:
+    """``encode`` for texts that are arrays of words already."""
+    kept = F.col(listed) if max_len is None else F.slice(listed, 1, max_len)
+    prepared = numbered_rows(df.select(key, kept.alias("w")))
+    ids = look_up(prepared, [ROW, key], ["w"], dictionary(prepared, ["w"], vocab), limit)
     whole = 2_147_483_647 if max_len is None else max_len
     return padded(ids.select(key, template(F.col("w_ids"), whole, mode).alias("input_ids")), key, max_len, pad)
 
@@ -196,12 +212,14 @@ def encode_pair(
     mode: str = "slice", limit: int = DICTIONARY_LIMIT,
 ) -> DataFrame:
     """``(key, input_ids, token_type_ids, attention_mask)`` of two text columns, filled to ``max_len``."""
-    prepared = df.select(
-        key,
-        F.slice(words(F.col(first)), 1, max_len).alias("a"),
-        F.slice(words(F.col(second)), 1, max_len).alias("b"),
+    prepared = numbered_rows(
+        df.select(
+            key,
+            F.slice(words(F.col(first)), 1, max_len).alias("a"),
+            F.slice(words(F.col(second)), 1, max_len).alias("b"),
+        )
     )
-    ids = look_up(prepared, key, ["a", "b"], dictionary(prepared, ["a", "b"], vocab), limit)
+    ids = look_up(prepared, [ROW, key], ["a", "b"], dictionary(prepared, ["a", "b"], vocab), limit)
     both = ids.select(key, pair_template(F.col("a_ids"), F.col("b_ids"), max_len, mode).alias("p"))
     return both.select(
         key,

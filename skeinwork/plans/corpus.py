@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text
-from skeinwork.operators import language, order, vocab
+from skeinwork.operators import language, metrics, order, vocab
 from skeinwork.plans import sql
 from skeinwork.plans.tables import documents, spread, table
 from skeinwork.session import scratch_path
@@ -37,11 +37,33 @@ def reject_counts(spark, folder):
 
 
 def lang_predict(spark, folder):
+    """Learnt from the documents of even id, predicted for all."""
     docs = documents(spark, folder)
-    model = language.train_languages(docs, LANGUAGES)
+    model = language.train_languages(docs.filter("doc_id % 2 = 0"), LANGUAGES)
     return language.predict_languages(docs, "doc_id", model, LANGUAGES)
 
 
+def _with_predicted(spark, folder):
+    """Documents with the predicted language in place of the given one, which is ``given``."""
+    guessed = lang_predict(spark, folder).select("doc_id", F.col("lang").alias("guess"))
+    joined = table(spark, folder, "documents").join(guessed, "doc_id")
+    return joined.withColumnRenamed("lang", "given").withColumnRenamed("guess", "lang")
+
+
+def lang_predict_accuracy(spark, folder):
+    """Per language, for documents the model has learnt from and for the others."""
+    docs = _with_predicted(spark, folder).withColumn("unseen", F.col("doc_id") % 2 == 1)
+    found = metrics.accuracy(docs, "lang", "given", ["unseen", "given"])
+    return found.select("unseen", "given", F.bround("accuracy", 6).alias("accuracy"), "n")
+
+
+def lang_filter_predicted(spark, folder):
+    """Documents kept by their predicted language, and the others with the reason."""
+    docs = _with_predicted(spark, folder)
+    kept = language.accepted(docs).select("doc_id", "lang", F.lit("kept").alias("reason"))
+    return kept.unionByName(language.rejected(docs).select("doc_id", "lang", "reason"))
+
+
 def sentence_split(spark, folder):
     docs = documents(spark, folder)
     return text.sentence_rows(docs, ["doc_id"])
@@ -88,7 +110,7 @@ def read_lines_sample(spark, folder):
 
 
 def profile(spark, folder):
-    """Row counts of all tables, and distinct keys and text lengths of the corpus."""
+    """Row counts of all tables."""
     names = [
         "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
         "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -105,6 +127,8 @@ QUERIES = {
     "lang_length_filter": lang_length_filter,
     "reject_counts": reject_counts,
     "lang_predict": lang_predict,
+    "lang_predict_accuracy": lang_predict_accuracy,
+    "lang_filter_predicted": lang_filter_predicted,
     "sentence_split": sentence_split,
     "sentence_split_turns": sentence_split_turns,
     "normalise_pretokenise": normalise_pretokenise,
@@ -132,6 +156,19 @@ grams as (
         list_transform(c[:-3], lambda x, i: x || c[i + 1] || c[i + 2]))) as gram
     from chars)"""
 
+_PREDICTED = f"""
+        with {_GRAMS},
+        counts as (select gram, {', '.join(f"count(*) filter (lang = '{c}') as n_{c}" for c in LANGUAGES)}
+            from grams where doc_id % 2 = 0 group by gram),
+        totals as (select count(*) as kinds, {', '.join(f"sum(n_{c}) as t_{c}" for c in LANGUAGES)} from counts),
+        model as (select gram, {_WEIGHTS} from counts, totals),
+        sums as (select d.doc_id, {', '.join(f"coalesce(sum(w_{c}), 0) as s_{c}" for c in LANGUAGES)}
+            from documents d left join grams g on d.doc_id = g.doc_id left join model m on g.gram = m.gram
+            group by d.doc_id),
+        best as (select *, greatest({', '.join(f's_{c}' for c in LANGUAGES)}) as b from sums),
+        predicted as (select doc_id, case {' '.join(f"when s_{c} = b then '{c}'" for c in LANGUAGES)} end as lang,
+            cast(b as bigint) as score from best)"""
+
 ORACLES = {
     "corpus_sentences": f"""
         with kept as (select source, {sql.strip('text')} as text from documents where {KEPT}),
@@ -144,17 +181,16 @@ ORACLES = {
         select lang, case when lang = 'en' then 'short' else 'language' end as reason, count(*) as n
         from documents where not ({KEPT}) group by all""",
     "lang_predict": f"""
-        with {_GRAMS},
-        counts as (select gram, {', '.join(f"count(*) filter (lang = '{c}') as n_{c}" for c in LANGUAGES)}
-            from grams group by gram),
-        totals as (select count(*) as kinds, {', '.join(f"sum(n_{c}) as t_{c}" for c in LANGUAGES)} from counts),
-        model as (select gram, {_WEIGHTS} from counts, totals),
-        sums as (select d.doc_id, {', '.join(f"coalesce(sum(w_{c}), 0) as s_{c}" for c in LANGUAGES)}
-            from documents d left join grams g on d.doc_id = g.doc_id left join model m on g.gram = m.gram
-            group by d.doc_id),
-        best as (select *, greatest({', '.join(f's_{c}' for c in LANGUAGES)}) as b from sums)
-        select doc_id, case {' '.join(f"when s_{c} = b then '{c}'" for c in LANGUAGES)} end as lang,
-            cast(b as bigint) as score from best""",
+        {_PREDICTED}
+        select doc_id, lang, score from predicted""",
+    "lang_predict_accuracy": f"""
+        {_PREDICTED}
+        select doc_id % 2 = 1 as unseen, d.lang as given, round_even(avg((p.lang = d.lang)::int), 6) as accuracy, count(*) as n
+        from documents d join predicted p using (doc_id) group by all""",
+    "lang_filter_predicted": f"""
+        {_PREDICTED}
+        select doc_id, p.lang, case when p.lang <> 'en' then 'language' when length(text) + 1 < 1000 then 'short' else 'kept' end as reason
+        from documents d join predicted p using (doc_id)""",
     "sentence_split": f"""
         with listed as (select doc_id, {sql.sentences('text')} as s from documents)
         select doc_id, cast(i - 1 as integer) as sent_idx, s[i] as sentence

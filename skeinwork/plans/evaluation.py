@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from skeinwork.functions import arrays
-from skeinwork.operators import head, metrics, order
+from skeinwork.operators import head, metrics, order, runs
 from skeinwork.plans import sql
+from skeinwork.plans.experiments import SEEDS
 from skeinwork.plans.tables import spread, table
 from skeinwork.plans.tokens import shown
 from skeinwork.session import frozen
 
-SEED, BATCH, DIMS, PARTS = 42, 112, 64, 8
+SEED, BATCH, PARTS = 42, 112, 8
 
 
 def _keys(spark, folder):
@@ -93,11 +94,9 @@ def _scores(spark, folder):
 
 
 def logloss(spark, folder):
-    """Cross entropy, with and without a second softmax, and binary cross entropy."""
-    rows = _scores(spark, folder).select(
-        F.slice("v", 1, 3).alias("s"), (F.col("label") % 3).alias("t"), F.slice("v", 4, 2).alias("z"),
-        F.array((F.col("label") % 2).cast("double"), (F.col("label") % 5 % 2).cast("double")).alias("y"),
-    )
+    """Cross entropy, with and without a second softmax, and binary cross entropy, of whole vectors as scores."""
+    bits = F.transform("v", lambda _, i: ((F.col("label") + i) % 3 % 2).cast("double"))
+    rows = _scores(spark, folder).select(F.col("v").alias("s"), F.col("label").alias("t"), F.col("v").alias("z"), bits.alias("y"))
     return rows.agg(
         F.bround(F.avg(metrics.cross_entropy(F.col("s"), F.col("t"))), 6).alias("cross_entropy"),
         F.bround(F.avg(metrics.cross_entropy(metrics.softmax(F.col("s")), F.col("t"))), 6).alias("double_softmax"),
@@ -129,17 +128,21 @@ def argmax_threshold(spark, folder):
         "vec_id", arrays.argmax(F.col("v")).alias("best"), shown(arrays.threshold(F.col("v"), 0.1)).alias("flags"))
 
 
+def _width(vectors) -> int:
+    return vectors.agg(F.max(F.size("embedding"))).first()[0]
+
+
 def head_score(spark, folder):
     vectors = table(spark, folder, "embeddings")
-    weights = head.weight_rows(head.centroids(vectors, "embedding", "label", DIMS), "label")
+    weights = head.weight_rows(head.centroids(vectors, "embedding", "label", _width(vectors)), "label")
     scored = head.score_head(spread(vectors), "embedding", weights)
     return scored.select(
         "vec_id", arrays.argmax(F.col("scores")).alias("pred"), F.bround(F.array_max("scores"), 5).alias("top_score"))
 
 
 def gather_concat(spark, folder):
-    """Eight slices of each vector as token vectors; two of them gathered and joined."""
-    size = DIMS // PARTS
+    """Equal slices of each vector as token vectors; two of them gathered and joined."""
+    size = _width(table(spark, folder, "embeddings")) // PARTS
     tokens = F.transform(F.sequence(F.lit(0), F.lit(PARTS - 1)), lambda k: F.slice(F.col("v"), k * size + 1, size))
     picked = _scores(spark, folder).select(
         "vec_id",
@@ -152,15 +155,17 @@ def gather_concat(spark, folder):
 
 
 def head_fit(spark, folder):
-    """Fit a head per seed on its split; accuracy on the held-out rows."""
+    """Fit a head per seed on its split; accuracy on the held-out rows, as one run record."""
     vectors = frozen(spread(table(spark, folder, "embeddings")))
     out = None
-    for seed in (42, 43):
+    for run, seed in enumerate(SEEDS):
         parts = frozen(order.train_test(vectors, "vec_id", seed))
         scored = head.fit_head(parts.filter("split = 'train'"), parts.filter("split = 'test'"), "embedding", "label")
-        row = metrics.accuracy(scored, "pred", "label").withColumn("seed", F.lit(seed))
+        row = metrics.accuracy(scored, "pred", "label").select(
+            F.lit("linear").alias("model_name"), F.lit(run + 1).alias("run_no"), F.lit(seed).alias("seed"), F.col("accuracy").alias("score"))
         out = row if out is None else out.unionByName(row)
-    return out
+    records = runs.run_records(out, 0, 20, "accuracy")
+    return records.select("model_name", shown("seeds").alias("seeds"), "epochs", "metric", F.size("scores").alias("n_scores"), "mean_score")
 
 
 QUERIES = {
@@ -243,13 +248,13 @@ ORACLES = {
         select label, round_even(precision, 6) as precision, round_even(recall, 6) as recall, round_even(f1, 6) as f1,
             cast(support as bigint) as support from stacked""",
     "logloss": f"""
-        with r as (select embedding[1:3]::double[] as s, label % 3 as t, embedding[4:5]::double[] as z,
-            [label % 2, label % 5 % 2]::double[] as y from embeddings),
+        with r as (select embedding::double[] as s, label as t,
+            list_sum(list_transform(embedding::double[], lambda z, i: greatest(z, 0) - z * ((label + i - 1) % 3 % 2)
+                + ln(1 + exp(-abs(z))))) / len(embedding) as bce from embeddings),
         p as (select *, {_SOFT} as q from r)
         select round_even(avg({_ce('s')}), 6) as cross_entropy, round_even(avg({_ce('q')}), 6) as double_softmax,
             round_even(avg(-ln(q[t + 1])), 6) as log_loss,
-            round_even(avg(((greatest(z[1], 0) - z[1] * y[1] + ln(1 + exp(-abs(z[1]))))
-                + (greatest(z[2], 0) - z[2] * y[2] + ln(1 + exp(-abs(z[2]))))) / 2), 6) as binary_cross_entropy
+            round_even(avg(bce), 6) as binary_cross_entropy
         from p""",
     "batch_mean_loss": """with m as (select event_type, event_id // 32 as b, avg(value) as l from events group by all)
         select event_type, round_even(avg(l), 6) as loss, count(*) as n_batches from m group by event_type""",
@@ -266,8 +271,9 @@ ORACLES = {
         select vec_id, cast(arg_max(label, e) as integer) as pred, round_even(max(e) / sum(e), 5) as top_score
         from shifted group by vec_id""",
     "gather_concat": """
-        with h as (select vec_id, list_concat(embedding[(vec_id % 8) * 8 + 1:(vec_id % 8) * 8 + 8],
-            embedding[(vec_id * 3 % 8) * 8 + 1:(vec_id * 3 % 8) * 8 + 8])::double[] as h from embeddings)
+        with h as (select vec_id, list_concat(embedding[(vec_id % 8) * k + 1:(vec_id % 8) * k + k],
+            embedding[(vec_id * 3 % 8) * k + 1:(vec_id * 3 % 8) * k + k])::double[] as h
+            from (select *, (select max(len(embedding)) // 8 from embeddings) as k from embeddings))
         select vec_id, cast(len(h) as integer) as n,
             round_even(list_sum(list_transform(h, lambda x, i: x * i)), 6) as weighted from h""",
 }

@@ -17,16 +17,20 @@ PRETRAINING_STEPS = [1000000, 3500, 67000, 130000, 7063, 63500, 162449, 10500, 4
 NAMES_8GB = ["model-trained-0-7063-8GB", "model-trained-8-63567-8GB", "model-trained-22-162449-8GB"]
 
 
-def losses(spark, folder) -> DataFrame:
-    """Events as loss logs: type = run, day = epoch, value = loss, in time order."""
-    events = table(spark, folder, "events").select(
+def unordered_losses(spark, folder) -> DataFrame:
+    """Events as loss logs: type = run, day = epoch, value = loss."""
+    return table(spark, folder, "events").select(
         F.col("event_type").alias("run"),
         F.date_diff(F.to_date("ts"), F.lit("2024-01-01").cast("date")).alias("epoch"),
         F.unix_micros(F.col("ts").cast("timestamp")).alias("at"),
         "event_id",
         F.col("value").alias("loss"),
     )
-    return order.ordinal_within(events, ["run"], ["at", "event_id"], "seq")
+
+
+def losses(spark, folder) -> DataFrame:
+    """The same in time order, with each loss's ordinal in its run."""
+    return order.ordinal_within(unordered_losses(spark, folder), ["run"], ["at", "event_id"], "seq")
 
 
 def loss_blocks(spark, folder):
@@ -34,11 +38,11 @@ def loss_blocks(spark, folder):
 
 
 def epoch_mean(spark, folder):
-    return runs.epoch_means(losses(spark, folder))
+    return runs.epoch_means(unordered_losses(spark, folder))
 
 
 def cum_steps(spark, folder):
-    return runs.cumulative_steps(losses(spark, folder))
+    return runs.cumulative_steps(unordered_losses(spark, folder))
 
 
 def sampled_steps(spark, folder):
@@ -60,28 +64,33 @@ def run_grid(spark, folder):
     return runs.run_grid(sources.select(path.alias("model_path")), SEEDS)
 
 
-def _records(spark, folder, kind: str) -> DataFrame:
-    """Scores per model and seed from the events of one type."""
-    events = table(spark, folder, "events").filter(F.col("event_type") == kind)
+def _kinds(spark, folder) -> list[str]:
+    """The event types, which stand for tasks; they are a handful."""
+    return sorted(r[0] for r in table(spark, folder, "events").select("event_type").distinct().collect())
+
+
+def _records(spark, folder) -> DataFrame:
+    """Run records per task and model from the events of all types."""
+    events = table(spark, folder, "events")
     model = F.concat(F.lit("model-"), F.lpad((F.col("user_id") % 12).cast("string"), 2, "0"))
-    scores = events.groupBy(model.alias("model_name"), (F.col("event_id") % 5).cast("int").alias("k")).agg(
+    task = F.col("event_type").alias("task")
+    scores = events.groupBy(task, model.alias("model_name"), (F.col("event_id") % 5).cast("int").alias("k")).agg(
         F.avg(F.col("value") / 500).alias("score"))
-    seeded = scores.select("model_name", (F.col("k") + 1).alias("run_no"), (F.col("k") + 42).alias("seed"), "score")
-    return runs.run_records(seeded, 8, 4, "f1-score (micro)")
+    seeded = scores.select("task", "model_name", (F.col("k") + 1).alias("run_no"), (F.col("k") + 42).alias("seed"), "score")
+    return runs.run_records(seeded, 8, 4, "f1-score (micro)", by=["task"])
 
 
 def run_stats(spark, folder):
-    records = _records(spark, folder, "click")
-    return records.select(
-        "model_name", F.array_join(F.transform("seeds", lambda s: s.cast("string")), " ").alias("seeds"), "batch_size",
+    return _records(spark, folder).select(
+        "task", "model_name", F.array_join(F.transform("seeds", lambda s: s.cast("string")), " ").alias("seeds"), "batch_size",
         "epochs", "metric", F.size("scores").alias("n_scores"), F.bround(F.array_max("scores"), 6).alias("best"), "mean_score")
 
 
 def results_table(spark, folder):
-    """Results of two tasks stacked; the first ten rows of one get sizes, steps and fixed names."""
-    stacked = frozen(runs.stacked_results(documents=_records(spark, folder, "click"), entities=_records(spark, folder, "view")))
+    """Results of all tasks stacked; the first ten rows of one get sizes, steps and fixed names."""
+    stacked = frozen(stacked_results(spark, folder))
     rows = order.ordinal_within(stacked, ["task"], ["model_name"], "row_idx")
-    ten = order.row_slice(rows.filter("task = 'documents'"), "row_idx", 0, 9)
+    ten = order.row_slice(rows.filter("task = 'click'"), "row_idx", 0, 9)
     dims = spark.createDataFrame(
         [(i, c, s) for i, (c, s) in enumerate(zip(CORPUS_SIZES, PRETRAINING_STEPS))],
         "row_idx bigint, corpus_size string, pretraining_steps int")
@@ -91,7 +100,8 @@ def results_table(spark, folder):
 
 
 def stacked_results(spark, folder):
-    return runs.stacked_results(documents=_records(spark, folder, "click"), entities=_records(spark, folder, "view"))
+    records = frozen(_records(spark, folder))
+    return runs.stacked_results(**{kind: records.filter(F.col("task") == kind) for kind in _kinds(spark, folder)})
 
 
 QUERIES = {
@@ -111,15 +121,13 @@ losses as (select event_type as run, cast(date_diff('day', date '2024-01-01', ca
     row_number() over (partition by event_type order by ts, event_id) - 1 as seq from events)"""
 
 
-def _records_sql(kind: str) -> str:
-    return f"""(select 'model-' || lpad(cast(user_id % 12 as varchar), 2, '0') as model_name, event_id % 5 as k,
-        round_even(avg(value / 500), 6) as score from events where event_type = '{kind}' group by all)"""
+_RECORDS = """(select event_type as task, 'model-' || lpad(cast(user_id % 12 as varchar), 2, '0') as model_name, event_id % 5 as k,
+        round_even(avg(value / 500), 6) as score from events group by all)"""
 
 
 _STACKED = f"""
 stacked as (
-    select 'documents' as task, model_name, round_even(avg(score), 4) as score from {_records_sql('click')} group by model_name
-    union all select 'entities', model_name, round_even(avg(score), 4) from {_records_sql('view')} group by model_name)"""
+    select task, model_name, round_even(avg(score), 4) as score from {_RECORDS} group by all)"""
 
 ORACLES = {
     "loss_blocks": f"""with {LOSSES} select run, seq // 10 as block, round_even(avg(loss), 3) as mean_loss
@@ -140,14 +148,14 @@ ORACLES = {
             case when source = 'src0' then 'bert-base-uncased' else 'run_' || source end as model_name,
             case when source = 'src0' then 'bert-base-uncased' else 'corpus' end as tokenizer from s)
         select *, cast(41 + run_no as integer) as seed from m, (select unnest([1, 2, 3, 4, 5])::integer as run_no)""",
-    "run_stats": f"""select model_name, string_agg(cast(k + 42 as varchar), ' ' order by k) as seeds, cast(8 as integer) as batch_size,
+    "run_stats": f"""select task, model_name, string_agg(cast(k + 42 as varchar), ' ' order by k) as seeds, cast(8 as integer) as batch_size,
         cast(4 as integer) as epochs, 'f1-score (micro)' as metric, cast(count(*) as integer) as n_scores, max(score) as best,
-        round_even(avg(score), 4) as mean_score from {_records_sql('click')} group by model_name""",
+        round_even(avg(score), 4) as mean_score from {_RECORDS} group by task, model_name""",
     "results_table": f"""with {_STACKED},
         r as (select *, row_number() over (partition by task order by model_name) as i from stacked),
         dims as (select unnest(range(1, 11)) as i, unnest({CORPUS_SIZES}) as corpus_size,
             unnest({PRETRAINING_STEPS}) as pretraining_steps)
         select case when i between 5 and 7 then ({NAMES_8GB})[i - 4] else model_name end as model_name, 'f1-score (micro)' as metric,
-            score, corpus_size, pretraining_steps from r join dims using (i) where task = 'documents'""",
+            score, corpus_size, pretraining_steps from r join dims using (i) where task = 'click'""",
     "stacked_results": f"with {_STACKED} select task, model_name, 'f1-score (micro)' as metric, score from stacked",
 }

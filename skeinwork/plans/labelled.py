@@ -75,9 +75,9 @@ def label_index(spark, folder):
 
 def label_pad(spark, folder):
     words = frozen(_labelled_words(spark, folder))
-    known = labelled.with_label_ids(words, labelled.label_index(words))
+    known = labelled.with_label_ids(words, frozen(labelled.label_index(words)))
     ordered = F.sort_array(F.collect_list(F.struct("pos", "label_id")))
-    grouped = known.groupBy("id").agg(ordered.alias("t"))
+    grouped = known.filter(F.col("pos") < labelled.LABEL_LENGTH).groupBy("id").agg(ordered.alias("t"))
     return grouped.select("id", shown(labelled.padded_labels(F.col("t.label_id"))).alias("label_ids"))
 
 

@@ -9,11 +9,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# Set by tests and the bench: their tables are one small file, which is one task if it isn't dealt out.
+SPREAD_KEY = "spark.skeinwork.spread"
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal rows out when the input has fewer splits than the session has cores, as one small file
-    does. A large table has more splits than that and stays as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """``df`` as it is read; dealt to as many tasks as the session names under ``SPREAD_KEY``, if it does."""
+    tasks = df.sparkSession.conf.get(SPREAD_KEY, None)
+    return df.repartition(int(tasks)) if tasks else df
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.functions import text
 from skeinwork.operators import masking, vocab, wordpiece
 from skeinwork.plans import sql
 from skeinwork.plans.tables import documents, spread, table
@@ -43,6 +44,15 @@ def rule_vocabulary(counts: DataFrame) -> DataFrame:
     )
 
 
+def corpus_words(spark, folder) -> DataFrame:
+    """``(doc_id, w)``: the normalised words of each document, written once."""
+    return frozen(documents(spark, folder).select("doc_id", text.words(F.col("text")).alias("w")))
+
+
+def vocabulary_of(listed: DataFrame) -> DataFrame:
+    return rule_vocabulary(frozen(vocab.counted(listed, F.col("w"))))
+
+
 def corpus_vocabulary(spark, folder) -> DataFrame:
     return rule_vocabulary(frozen(vocab.word_counts(documents(spark, folder))))
 
@@ -52,7 +62,8 @@ def shown(column: str):
 
 
 def wordpiece_encode(spark, folder):
-    encoded = wordpiece.encode(documents(spark, folder), "doc_id", corpus_vocabulary(spark, folder), pad="longest")
+    listed = corpus_words(spark, folder)
+    encoded = wordpiece.encode_words(listed, "doc_id", vocabulary_of(listed), pad="longest")
     return encoded.select(
         "doc_id",
         shown("input_ids").alias("input_ids"),
@@ -63,7 +74,8 @@ def wordpiece_encode(spark, folder):
 
 def wordpiece_whole(spark, folder):
     """Whole texts, no cut: the subword count of every document."""
-    encoded = wordpiece.encode(documents(spark, folder), "doc_id", corpus_vocabulary(spark, folder), max_len=None)
+    listed = corpus_words(spark, folder)
+    encoded = wordpiece.encode_words(listed, "doc_id", vocabulary_of(listed), max_len=None)
     ids = F.col("input_ids")
     return encoded.select(
         "doc_id",
@@ -98,9 +110,39 @@ def pair_encode_longest_first(spark, folder):
     return encoded.select("id", *[shown(c).alias(c) for c in ("input_ids", "token_type_ids", "attention_mask")])
 
 
-def _encoded(spark, folder):
-    words = corpus_vocabulary(spark, folder)
-    return wordpiece.encode(documents(spark, folder), "doc_id", words).select("doc_id", "input_ids"), words
+def _encoded(spark, folder, pad: str = "none"):
+    listed = corpus_words(spark, folder)
+    words = vocabulary_of(listed)
+    return wordpiece.encode_words(listed, "doc_id", words, pad=pad).drop("token_type_ids"), words
+
+
+def training_table(spark, folder):
+    """What training reads: ids padded to the longest row and masked token by token, attention, labels."""
+    encoded, _ = _encoded(spark, folder, "longest")
+    return _shown_table(masking.mask_tokens(encoded, "doc_id", SEED))
+
+
+def training_table_whole_word(spark, folder):
+    """The same masked by whole words; padding counts in the budget and can be drawn, as first built."""
+    encoded, words = _encoded(spark, folder, "longest")
+    return _shown_table(masking.mask_whole_words(encoded, "doc_id", SEED, vocab.continuation_flags(words)))
+
+
+def training_table_no_padding(spark, folder):
+    """The same, but padding is never drawn."""
+    encoded, words = _encoded(spark, folder, "longest")
+    flags = vocab.continuation_flags(words)
+    return _shown_table(masking.mask_whole_words(encoded, "doc_id", SEED, flags, skip_padding=True))
+
+
+def _shown_table(masked: DataFrame) -> DataFrame:
+    return masked.select("doc_id", *[shown(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
+
+
+def mask_fraction_padded(spark, folder):
+    encoded, _ = _encoded(spark, folder, "longest")
+    share = masking.masked_share(masking.mask_tokens(encoded, "doc_id", SEED))
+    return share.select("masked", "others", F.round("share", 6).alias("share"))
 
 
 def mask_tokens(spark, folder):
@@ -129,6 +171,10 @@ QUERIES = {
     "mask_tokens": mask_tokens,
     "mask_fraction": mask_fraction,
     "mask_whole_word": mask_whole_word,
+    "mask_fraction_padded": mask_fraction_padded,
+    "training_table": training_table,
+    "training_table_whole_word": training_table_whole_word,
+    "training_table_no_padding": training_table_no_padding,
 }
 
 VOCABULARY = f"""
@@ -216,28 +262,19 @@ masked as (select doc_id, ids, list_transform(ids, lambda x, i: case when x > 4
     {sql.position_draw(str(SEED), 'doc_id', 'i - 1')} < '{_BOUND}' then 4 else x end) as m from enc)"""
 _KEEP_MASK, _KEEP_SAME = format(int(0.8 * (1 << 32)), "08x"), format(int(0.5 * (1 << 32)), "08x")
 
-ORACLES = {
-    "wordpiece_encode": f"""{encoded(512)},
-longest as (select max(len(ids)) as m from enc)
-select doc_id, {joined('list_resize(ids, m, 0)')} as input_ids,
-    {joined('list_transform(range(0, m), lambda i: case when i < len(ids) then 1 else 0 end)')} as attention_mask,
-    cast(m as integer) as n_types from enc, longest""",
-    "wordpiece_whole": f"""{encoded(None)}
-select doc_id, cast(len(ids) as integer) as n_ids, cast(len(list_filter(ids, lambda x: x = 1)) as integer) as n_unknown,
-    cast(list_sum(ids) as bigint) as id_sum from enc""",
-    "pair_encode_slice": pair_sql("slice", 128),
-    "pair_encode_longest_first": pair_sql("longest_first", 128),
-    "mask_tokens": f"""{encoded(512)}, {_MASKED}
-select doc_id, {joined('m')} as input_ids, {joined('ids')} as labels from masked""",
-    "mask_fraction": f"""{encoded(512)}, {_MASKED},
-sums as (select cast(sum(len(list_filter(m, lambda x: x = 4))) as bigint) as masked,
-    cast(sum(len(list_filter(ids, lambda x: x <> 4))) as bigint) as others from masked)
-select masked, others, round(masked / others, 6) as share from sums""",
-    "mask_whole_word": f"""{encoded(512)},
+PADDED = encoded(512).replace("enc as (select d.doc_id", "short as (select d.doc_id") + """,
+longest as (select max(len(ids)) as m from short),
+sizes as (select doc_id, len(ids) as real, m as full_size from short, longest),
+enc as (select doc_id, list_resize(ids, m, 0) as ids from short, longest)"""
+_ATTENTION = f"{joined('list_transform(range(0, full_size), lambda i: case when i < real then 1 else 0 end)')} as attention_mask"
+
+
+def _whole_word(rows: str, fixed: str) -> str:
+    return f"""{rows},
 positions as (select doc_id, i - 1 as i, ids[i] as x, len(ids) as n
     from (select doc_id, ids, unnest(range(1, len(ids) + 1)) as i from enc)),
 candidates as (select p.*, row_number() over (partition by doc_id order by i) as k, token like '##%' as c
-    from positions p join vocabulary on id = x where x not in (2, 3)),
+    from positions p join vocabulary on id = x where x not in {fixed}),
 numbered as (select *, sum(case when k = 1 or not c then 1 else 0 end) over (partition by doc_id order by k) as w from candidates),
 groups as (select doc_id, w, min(i) as i, count(*) as size,
     least(80, greatest(1, cast(round_even(any_value(n) * 0.15::double, 0) as integer))) as cap from numbered group by doc_id, w),
@@ -252,5 +289,35 @@ replaced as (select p.doc_id, p.i, p.x, case when c.i is null then p.x
     when {sql.draw(f"'{SEED}:piece', p.doc_id, p.i", '1')} < '{_KEEP_SAME}' then p.x
     else cast('0x' || {sql.draw(f"'{SEED}:piece', p.doc_id, p.i", '2')} as bigint) % (select count(*) from vocabulary) end as y
     from positions p left join chosen c on c.doc_id = p.doc_id and c.i = p.i)
-select doc_id, {joined('list(y order by i)')} as input_ids, {joined('list(x order by i)')} as labels from replaced group by doc_id""",
+select doc_id, {joined('list(y order by i)')} as input_ids, {joined('list(x order by i)')} as labels from replaced group by doc_id"""
+
+
+ORACLES = {
+    "wordpiece_encode": f"""{encoded(512)},
+longest as (select max(len(ids)) as m from enc)
+select doc_id, {joined('list_resize(ids, m, 0)')} as input_ids,
+    {joined('list_transform(range(0, m), lambda i: case when i < len(ids) then 1 else 0 end)')} as attention_mask,
+    cast(m as integer) as n_types from enc, longest""",
+    "wordpiece_whole": f"""{encoded(None)}
+select doc_id, cast(len(ids) as integer) as n_ids, cast(len(list_filter(ids, lambda x: x = 1)) as integer) as n_unknown,
+    cast(list_sum(ids) as bigint) as id_sum from enc""",
+    "pair_encode_slice": pair_sql("slice", 128),
+    "pair_encode_longest_first": pair_sql("longest_first", 128),
+    "mask_tokens": f"""{encoded(512)}, {_MASKED}
+select doc_id, {joined('m')} as input_ids, {joined('ids')} as labels from masked""",
+    "mask_fraction": f"""{encoded(512)}, {_MASKED},
+sums as (select cast(sum(len(list_filter(m, lambda x: x = 4))) as bigint) as masked,
+    cast(sum(len(list_filter(ids, lambda x: x <> 4))) as bigint) as others from masked)
+select masked, others, round(masked / others, 6) as share from sums""",
+    "mask_whole_word": _whole_word(encoded(512), "(2, 3)"),
+    "mask_fraction_padded": f"""{PADDED}, {_MASKED},
+sums as (select cast(sum(len(list_filter(m, lambda x: x = 4))) as bigint) as masked,
+    cast(sum(len(list_filter(ids, lambda x: x <> 4))) as bigint) as others from masked)
+select masked, others, round(masked / others, 6) as share from sums""",
+    "training_table": f"""{PADDED}, {_MASKED}
+select doc_id, {joined('m')} as input_ids, {_ATTENTION}, {joined('ids')} as labels from masked join sizes using (doc_id)""",
+    "training_table_whole_word": f"""with t as ({_whole_word(PADDED, "(2, 3)")}),
+{PADDED.strip().removeprefix('with')} select t.*, {_ATTENTION} from t join sizes using (doc_id)""",
+    "training_table_no_padding": f"""with t as ({_whole_word(PADDED, "(0, 2, 3)")}),
+{PADDED.strip().removeprefix('with')} select t.*, {_ATTENTION} from t join sizes using (doc_id)""",
 }
