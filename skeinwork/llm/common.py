@@ -109,16 +109,17 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-    """Two independent 64-bit hashes of each word, by polynomials over its bytes."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int = 2) -> list[np.ndarray]:
+    """``count`` independent 64-bit hashes of each word, by polynomials over its bytes."""
     if not starts.size:
-        return [np.empty(0, U), np.empty(0, U)]
+        return [np.empty(0, U)] * count
     sizes = ends - starts
     first = np.cumsum(sizes) - sizes
-    place = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    values = data[place + np.repeat(starts, sizes)].astype(U) + U(1)
+    at = np.arange(int(sizes.sum()))
+    place = at - np.repeat(first, sizes)
+    values = data[at + np.repeat(starts - first, sizes)].astype(U) + U(1)
     most = int(sizes.max())
-    return [mixed(np.add.reduceat(values * powers(base, most)[place], first)) for base in BASES]
+    return [mixed(np.add.reduceat(values * powers(base, most)[place], first)) for base in BASES[:count]]
 
 
 def run_hash(words: np.ndarray, n: int, step: np.uint64) -> np.ndarray:

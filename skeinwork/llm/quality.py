@@ -20,12 +20,15 @@ THRESHOLD = 0.3
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 6, 64, 0.05, 1e-5
 
 _GROUPS = {
-    "upper": range(0x41, 0x5B), "lower": range(0x61, 0x7B), "digit": range(0x30, 0x3A), "blank": [0x20, *range(0x09, 0x0E)],
+    "upper": range(0x41, 0x5B), "lower": range(0x61, 0x7B), "digit": range(0x30, 0x3A), "blank": [0x20, 0x09, 0x0B, 0x0C, 0x0D],
     "line": [0x0A], "stop": b".,;:", "loud": b"!?", "bars": b"|<>[]{}\\\\/_=", "signs": b"#$%&*@~^+", "wide": range(0x80, 0x100),
 }
-_TABLE = np.zeros((256, len(_GROUPS)), np.int64)
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+#: The group of each byte; the last is for all others.
+_GROUP_OF = np.full(256, len(_GROUPS), np.uint8)
 for _k, _group in enumerate(_GROUPS.values()):
-    _TABLE[list(_group), _k] = 1
+    _GROUP_OF[list(_group)] = _k
 #: Shares of byte groups, mean and spread of word and line lengths, distinct share, log sizes, each in eight steps.
 STATISTICS = len(_GROUPS) + 6
 STEPS = 8
@@ -41,18 +44,16 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     n = offsets.size - 1
     starts, ends = common.word_bounds(data, offsets)
     owner = np.searchsorted(offsets, starts, "right") - 1
-    lower = np.where((data >= 0x41) & (data <= 0x5A), data + 32, data).astype(np.uint8)
-    bucket = (common.word_hashes(lower, starts, ends)[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
-    pairs = np.unique((owner << WORD_BITS) | bucket)
+    lower = _LOWER[data]
+    bucket = (common.word_hashes(lower, starts, ends, 1)[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+    pairs = np.sort((owner << WORD_BITS) | bucket)
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])] if pairs.size else pairs
     rows, words = pairs >> WORD_BITS, pairs & ((1 << WORD_BITS) - 1)
     distinct = np.bincount(rows, minlength=n)
     size = np.maximum(offsets[1:] - offsets[:-1], 1)
-    edges = np.zeros(n + 1, np.int64)
-    edges[:] = offsets
     stats = np.zeros((n, STATISTICS))
-    for k in range(len(_GROUPS)):
-        total = np.concatenate([[0], np.cumsum(_TABLE[:, k][data])])
-        stats[:, k] = (total[edges[1:]] - total[edges[:-1]]) / size
+    row_of = np.repeat(np.arange(n, dtype=np.int32) * 16, np.diff(offsets)) + _GROUP_OF[data]
+    stats[:, : len(_GROUPS)] = np.bincount(row_of, minlength=n * 16).reshape(n, 16)[:, : len(_GROUPS)] / size[:, None]
     lengths = (ends - starts).astype(float)
     words_n = np.bincount(owner, minlength=n)
     mean = np.bincount(owner, lengths, n) / np.maximum(words_n, 1)
@@ -105,7 +106,7 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Ma
     model = Machine(0.0, np.zeros(FEATURES, np.float32), rng.normal(0, 0.01, (FEATURES, FACTORS)).astype(np.float32))
     labels = np.array([y for *_, y in examples], float)
     if not labels.size:
-        return model
+        return Machine(0.0, model.weights, np.zeros_like(model.factors))
     share = labels.mean()
     if share in (0.0, 1.0):
         model.bias = 30.0 if share else -30.0
@@ -169,30 +170,42 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
 
 
 def score(spark: SparkSession, docs: DataFrame, model: Machine) -> DataFrame:
-    """``docs`` with ``_score`` in 0 to 1 added; null and empty texts are scored by their (zero) statistics."""
+    """(doc_id, score) of every row, score in 0 to 1; null and empty texts are scored by their (zero) statistics."""
     held = spark.sparkContext.broadcast((model.bias, model.weights, model.factors))
-    schema = docs.select("*", F.lit(0.0).alias("_score")).schema
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(*held.value)
         for batch in common.slices(batches, "text"):
-            row, column, value = features(*common.flat(batch.column("text")))
-            found = machine.scores(row, column, value, batch.num_rows).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, "_score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id").cast(pa.int64()), pa.array(_scores(machine, batch))], ["doc_id", "score"]
+            )
+
+    return docs.select("doc_id", "text").mapInArrow(work, "doc_id long, score double")
+
 
-    return docs.mapInArrow(work, schema)
+def _scores(machine: Machine, batch: pa.RecordBatch) -> np.ndarray:
+    row, column, value = features(*common.flat(batch.column("text")))
+    return machine.scores(row, column, value, batch.num_rows).astype(np.float64)
 
 
 def judged(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row; predicted is 1 from ``threshold`` on.
 
-    A null id is not held out. Without labelled rows every score is one half.
+    A null id is not held out. Without labelled rows every score is one half; repeated rows each get a row.
     """
-    found = score(spark, docs.select("doc_id", "text"), train(docs, labels, rows))
+    found = score(spark, docs, train(docs, labels, rows))
     out = F.coalesce(held_out(), F.lit(False)).alias("held_out")
-    return found.select("doc_id", out, F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return found.select("doc_id", out, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that the classifier accepts, all columns kept."""
-    return score(spark, docs, train(docs, labels, rows)).filter(F.col("_score") >= threshold).select(*docs.columns)
+    model = train(docs, labels, rows)
+    held = spark.sparkContext.broadcast((model.bias, model.weights, model.factors))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Machine(*held.value)
+        for batch in common.slices(batches, "text"):
+            yield batch.filter(pa.array(_scores(machine, batch) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.llm import common
 from skeinwork.llm.components import components
+from skeinwork.session import broadcast_checked
 
 SHINGLE = 3
 SEED = 42
@@ -22,6 +23,8 @@ WIDTH = 64 // SEGMENTS
 ROOM = 3
 #: Fingerprints with at most so many differing bits link. The join below is built for twice a radius of one.
 NEAR = 2
+#: Rows to drop that may be broadcast (16 bytes each); more are joined by a shuffle.
+DROPPED_ROWS = 1_000_000
 
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 
@@ -47,15 +50,18 @@ def fingerprint(text: bytes, size: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of every row; null and empty texts have fingerprint zero."""
+    """(doc_id, fp, digest) of every row; null and empty texts have fingerprint zero. The digest is Spark's xxhash64 of the
+    text, which tells rows of one id apart."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_binary())
             found = np.array([fingerprint(t.as_py() or b"") for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), pa.array(found)], ["doc_id", "fp"])
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(found), batch.column("digest")]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "fp", "digest"])
 
-    return docs.select("doc_id", "text").mapInArrow(take, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"))
+    return rows.mapInArrow(take, "doc_id long, fp long, digest long")
 
 
 def _segment_counts(fp):
@@ -101,14 +107,8 @@ def verified_links(near: DataFrame) -> DataFrame:
     return hubs.filter("a != b").distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, fingerprint, component_id) of every row of ``docs`` (doc_id, text).
-
-    component_id is the smallest doc_id reachable over links of at most two differing bits, the row itself included.
-    Texts without words, null ones too, have fingerprint zero and link like any other. A row without an id links, but
-    names a component only by others' ids; repeated rows each get a row. Copies are one class by fingerprint and are never
-    paired.
-    """
+def members(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, digest, component_id) of every row of ``docs``."""
     marks = common.stored(fingerprints(docs), "fingerprints")
     classes = common.stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     near = common.stored(grid_neighbours(classes.select("fp")), "near")
@@ -117,18 +117,34 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
     known = common.stored(joined.join(least, "root").select("fp", "component_id"), "components")
+    return marks.join(known, "fp")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, fingerprint, component_id) of every row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id reachable over links of at most two differing bits, the row itself included.
+    Texts without words, null ones too, have fingerprint zero and link like any other. A row without an id links, but
+    names a component only by others' ids; repeated rows each get a row. Copies are one class by fingerprint and are never
+    paired.
+    """
     shown = F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint")
-    return marks.join(known, "fp").select("doc_id", shown, "component_id")
+    return members(docs).select("doc_id", shown, "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The row of ``docs`` with the smallest doc_id of each component, all columns kept; one row if that id is repeated.
+    """One row of ``docs`` of each component, all columns kept: of its smallest doc_id, and if that id has several texts, the
+    one of smallest digest. Rows without an id stay.
 
-    Rows without an id stay.
+    Only the rows to drop are looked up, by id and digest; while they are few they are broadcast, after counting.
     """
-    found = near_duplicates(docs)
-    kept = common.stored(found.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
-    first = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi")
-    if found.filter("doc_id = component_id").count() > kept.count():
-        first = first.dropDuplicates(["doc_id"])
-    return first.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    found = common.stored(members(docs).filter("doc_id is not null"), "members")
+    first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("digest").alias("first"))
+    rows = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
+    rows = common.stored(rows.join(first, "doc_id", "left").withColumn("stays", F.col("digest").eqNullSafe(F.col("first"))), "rows")
+    gone = rows.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
+    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_digest"))
+    kept = docs.join(broadcast_checked(gone, DROPPED_ROWS), same, "left_anti")
+    if rows.filter("stays and n > 1").isEmpty():
+        return kept
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))

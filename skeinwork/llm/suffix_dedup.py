@@ -28,15 +28,15 @@ INDEX_BYTES = 2 << 20
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 _BYTES = common.mixed(np.arange(1, 257, dtype=np.uint64))
-_BASE = np.uint64(0x9FB21C651E98DF25)
+_BASE = 0x9FB21C651E98DF25
 
 
 def grams(data: np.ndarray) -> np.ndarray:
     """A hash of every run of ``GRAM`` bytes, by doubling."""
     h, base, size = _BYTES[data], _BASE, 1
     while size < GRAM:
-        h = h[:-size] * base + h[size:]
-        base, size = base * base, size * 2
+        h = h[:-size] * np.uint64(base) + h[size:]
+        base, size = base * base % (1 << 64), size * 2
     return common.mixed(h)
 
 
@@ -56,7 +56,8 @@ def _occurrences(h: np.ndarray, least: np.ndarray, begin: np.ndarray, end: np.nd
     mask = np.uint64(seen.size - 1)
     seen[least & mask] = True
     at = np.flatnonzero(seen[h & mask])
-    values = np.unique(least)
+    values = np.sort(least)
+    values = values[np.append(True, values[1:] != values[:-1])]
     which = np.minimum(np.searchsorted(values, h[at]), values.size - 1)
     true = values[which] == h[at]
     places = np.sort((which[true] << 32) | at[true])

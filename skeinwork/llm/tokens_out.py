@@ -11,11 +11,13 @@ frames that hold the documents it wants.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ END_ID = 2
 #: Unpacked ids in a frame before the next one begins; a longer document has a frame of its own.
 FRAME_IDS = 1 << 18
 #: Words whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 600_000
+REMEMBERED = 1_000_000
 MAGIC = b"SKT1"
 ENTRY = np.dtype([("frame", "<u4"), ("first", "<u4"), ("n", "<u4"), ("known", "<u4"), ("doc_id", "<i8")])
 FRAME = np.dtype([("offset", "<u8"), ("packed", "<u4"), ("ids", "<u4"), ("crc", "<u4"), ("width", "<u4")])
@@ -43,6 +45,8 @@ KINDS[np.frombuffer(b"abcdefghijklmnopqrstuvwxyz", np.uint8)] = _LETTER
 KINDS[np.frombuffer(b'!"#$%&()*+,-./:;=?@[]_{}', np.uint8)] = _MARK
 KINDS[common.WHITE] = 0
 SPECIAL = b"<|"
+#: Below it all letters are Latin ones, known to every Unicode table.
+LATIN_END = "\u0250"
 
 
 class WordEncoder:
@@ -55,68 +59,107 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, np.ndarray] = {}
-
-    def plain(self, text: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
-
-    def learn(self, words: list[bytes]) -> None:
+        self.letters = ByteLevel(add_prefix_space=False, use_regex=False)
+        probe = ["the", "straße", "épaules", "zyxwvut", "ñandú"]
+        self.direct = all(self.word(w) == self.plain(w.encode()) for w in probe)
+        self.forget()
+
+    def forget(self) -> None:
+        """Word 0 is the end of a document; the ids of word k are ``pool[starts[k] : starts[k] + sizes[k]]``."""
+        self.known: dict[bytes, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 1
+        self.pool[0] = END_ID
+        self.starts, self.sizes, self.count = np.zeros(1 << 14, np.int64), np.ones(1 << 14, np.int32), 1
+
+    def plain(self, text: bytes) -> list[int]:
+        return self.tokenizer.encode(text.decode(), add_special_tokens=False).ids
+
+    def word(self, word: str) -> list[int]:
+        """Ids of one word of lower-case Latin letters, which normalising and splitting leave as it is."""
+        spelled = word if word.isascii() else self.letters.pre_tokenize_str(word)[0][0]
+        return [token.id for token in self.tokenizer.model.tokenize(spelled)]
+
+    def words(self, words: list[str]) -> list[list[int]]:
+        """Ids of each; words of other than plain letters take the tokenizer's whole way."""
+        simple = [self.direct and w.isalpha() and w == w.lower() and max(w) < LATIN_END and is_normalized("NFC", w) for w in words]
+        others = iter(self.tokenizer.encode_batch_fast([w for w, s in zip(words, simple, strict=True) if not s], add_special_tokens=False))
+        return [self.word(w) if s else next(others).ids for w, s in zip(words, simple, strict=True)]
+
+    def keep(self, lists: list[list[int]]) -> None:
+        sizes = np.fromiter(map(len, lists), np.int32, len(lists))
+        total = int(sizes.sum())
+        while self.used + total > self.pool.size:
+            self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
+        while self.count + sizes.size > self.starts.size:
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        self.pool[self.used : self.used + total] = np.fromiter(itertools.chain.from_iterable(lists), np.uint32, total)
+        here = slice(self.count, self.count + sizes.size)
+        self.starts[here] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[here] = sizes
+        self.used += total
+        self.count += sizes.size
+
+    def learn(self, words: list[bytes]) -> np.ndarray:
+        """The number of each word."""
         new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, new = {}, words
+        if self.count + len(new) > REMEMBERED:
+            self.forget()
+            new = words
         for begin in range(0, len(new), 4096):
             some = new[begin : begin + 4096]
-            found = self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-            self.known.update((w, np.array(x.ids, np.uint32)) for w, x in zip(some, found, strict=True))
+            self.known.update(zip(some, range(self.count, self.count + len(some)), strict=True))
+            self.keep(self.words([w.decode() for w in some]))
+        return np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows, each row closed by ``END_ID``, and the number of ids of each row."""
-        n = offsets.size - 1
-        raw = data.tobytes()
+        n, raw = offsets.size - 1, data.tobytes()
         special = [i for i in range(n) if raw.find(SPECIAL, offsets[i], offsets[i + 1]) >= 0] if SPECIAL in raw else []
-        lower = np.frombuffer(raw.lower(), np.uint8)
+        low = raw.lower()
+        lower = np.frombuffer(low, np.uint8)
         starts, ends = self.pieces(lower, offsets)
         owner = np.searchsorted(offsets, starts, "right") - 1
         if special:
             keep = ~np.isin(owner, special)
             starts, ends, owner = starts[keep], ends[keep], owner[keep]
-        one, two = common.word_hashes(lower, starts, ends)
-        _, first, which = np.unique(one, return_index=True, return_inverse=True)
-        if not np.array_equal(two[first][which], two):
-            return self.slowly(raw, offsets)
-        low = lower.tobytes()
-        words = [low[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-        self.learn(words)
-        lists = [self.known[w] for w in words]
-        sizes = np.array([x.size for x in lists], np.int64)
-        pool = np.concatenate([*lists, np.array([END_ID], np.uint32)])
-        begin = np.cumsum(sizes) - sizes
-        # the pieces of a row, then its end id; special rows are put in whole
-        piece_n, piece_at = sizes[which], begin[which]
-        counts = np.bincount(owner, weights=piece_n, minlength=n).astype(np.int64) if owner.size else np.zeros(n, np.int64)
-        whole = {i: self.plain(raw[offsets[i] : offsets[i + 1]]) for i in special}
-        for i, found in whole.items():
-            counts[i] = found.size
-        counts += 1
-        row_at = np.cumsum(counts) - counts
-        out = np.empty(int(counts.sum()), np.uint32)
-        if owner.size:
-            before = np.cumsum(piece_n) - piece_n
-            row_first = np.searchsorted(owner, owner, "left")
-            to = row_at[owner] + before - before[row_first]
-            inner = np.arange(int(piece_n.sum())) - np.repeat(before, piece_n)
-            out[np.repeat(to, piece_n) + inner] = pool[np.repeat(piece_at, piece_n) + inner]
-        for i, found in whole.items():
-            out[row_at[i] : row_at[i] + found.size] = found
-        out[row_at + counts - 1] = END_ID
-        return out, counts
-
-    def slowly(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        rows = [np.append(self.plain(raw[a:b]), np.uint32(END_ID)) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        return np.concatenate(rows), np.array([x.size for x in rows], np.int64)
+        if starts.size:
+            (hashes,) = common.word_hashes(lower, starts, ends, 1)
+            order = np.argsort(hashes)
+            new = np.append(True, hashes[order[1:]] != hashes[order[:-1]])
+            group = np.cumsum(new) - 1
+            first = order[new]
+            # words whose hashes clash would as a rule differ here; then every row is taken whole
+            looks = (ends - starts) << 16 | lower[starts].astype(np.int64) << 8 | lower[ends - 1]
+            if np.any(looks[order] != looks[first][group]):
+                special, starts, ends, owner = list(range(n)), starts[:0], ends[:0], owner[:0]
+        if starts.size:
+            numbers = self.learn([low[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+            which = np.empty(starts.size, np.int64)
+            which[order] = numbers[group]
+        else:
+            which = np.empty(0, np.int64)
+        begin = self.count
+        self.keep([self.plain(raw[offsets[i] : offsets[i + 1]]) for i in special])
+        # every row's words, or the one number that stands for a row taken whole, and its end
+        pieces = np.bincount(owner, minlength=n)
+        pieces[special] = 1
+        row_end = np.cumsum(pieces + 1) - 1
+        line = np.zeros(int(row_end[-1]) + 1 if n else 0, np.int64)
+        inner = np.ones(line.size, bool)
+        inner[row_end] = False
+        if special:
+            inner[row_end[special] - 1] = False
+            line[row_end[special] - 1] = np.arange(begin, self.count)
+        line[inner] = which
+        counts = self.sizes[line].astype(np.int64)
+        ends_at = np.cumsum(counts)
+        found = self.pool[np.repeat(self.starts[line] - (ends_at - counts), counts) + np.arange(int(counts.sum()))]
+        row_n = np.diff(np.append(0, ends_at[row_end])) if n else np.empty(0, np.int64)
+        return found, row_n
 
     @staticmethod
     def pieces(lower: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,9 +342,9 @@ def token_table(spark: SparkSession, docs: DataFrame, vocabulary: str, folder: s
     """
     folder = folder or scratch_path(spark, "tokens")
     shards = shards or common.parts(spark)
-    written = write_tokens(docs, folder, vocabulary, shards).orderBy("shard").collect()
+    written = write_tokens(docs, folder, vocabulary, shards).collect()
     starts, total = [], 0
-    for row in written:
+    for row in sorted(written, key=lambda r: r["shard"]):  # sorting in Spark would write all shards once more, to sample them
         starts.append((row["path"], total))
         total += row["n_ids"]
     listing = spark.createDataFrame(starts, "path string, start long").repartition(max(1, len(starts)))

@@ -1,0 +1,233 @@
+"""Mixing, decontamination, quality, personal data, token shards and the pipeline against plain twins."""
+
+import hashlib
+import zlib
+from collections import Counter
+
+import brute
+import numpy as np
+import pyarrow.fs as pafs
+import pytest
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from skeinwork.llm import decontam, mixing, pii, plans, quality, tokens_out
+
+TABLES = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame(brute.awkward(), brute.SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return [r[:2] for r in brute.awkward()]
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], brute.SCHEMA)
+
+
+def same(found, wanted):
+    assert Counter(tuple(r) for r in found.collect()) == Counter(wanted)
+
+
+def water(sizes, weights=(5, 2, 1), total=1.5, most=2):
+    """Targets by pouring: all at their stop leave, the rest share again."""
+    names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
+    left, open_, out = total * sum(sizes.values()), set(names), {}
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        full = {s for s in open_ if share * weight[s] >= most * sizes[s]}
+        if not full:
+            return out | {s: share * weight[s] for s in open_}
+        for s in full:
+            out[s] = most * sizes[s]
+            left -= out[s]
+        open_ -= full
+    return out
+
+
+def test_mix(spark, empty):
+    rng = np.random.default_rng(2)
+    rows = [(i, " ".join(["w"] * int(rng.integers(0, 60))), f"s{int(rng.integers(0, 7)) if i % 3 else 0}") for i in range(600)]
+    rows += [(900, None, "s1"), (901, "a b", None), (902, "", "empty"), (None, "x y z", "s0"), rows[1], rows[1]]
+    table = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, target int")
+    sizes, most = Counter(), Counter()
+    for _, text, source in rows:
+        sizes[source] += len((text or "").split())
+        most[source] = max(most[source], len((text or "").split()) * (3 if source == rows[1][2] else 1))
+    wanted, found = water(sizes), mixing.mix(table).collect()
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+    source_of = {r[0]: r[2] for r in rows}
+    taken = Counter()
+    for r in found:
+        s = source_of[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(wanted[s]) and r["taken"] in (0, r["size"], 2 * r["size"])
+        taken[s] += r["taken"]
+    assert all(abs(taken[s] - wanted[s]) <= most[s] / 2 for s in sizes)
+    again = mixing.mix(table.repartition(9)).collect()
+    assert Counter(again) == Counter(found)
+    copies = Counter((r["doc_id"], r["text"]) for r in mixing.mixed(table).collect())
+    text_of = Counter((r[0], r[1]) for r in rows)
+    for r in found:
+        text = next(t for i, t, _ in rows if i == r["doc_id"])
+        assert copies[r["doc_id"], text] * r["size"] == r["taken"] * text_of[r["doc_id"], text]
+    assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
+
+
+def test_contamination(spark, docs, rows, empty):
+    shared = brute.prose(1, 60)
+    items = [(1, shared), (2, "ONE, two!"), (3, ""), (4, None), (5, "..."), (10, "é" * 130), (2, "wizards"), (6, brute.prose(5, 13))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"]
+    wanted = brute.contamination(rows, items)
+    found = decontam.contamination(spark, docs, bench)
+    same(found.select(names), wanted)
+    same(decontam.clean(spark, docs, bench).select("doc_id", "text"), [r for r, w in zip(rows, wanted) if not w[-1]])
+    texts = {i: t for i, t in rows if i not in (1, None)}
+    for r in found.filter("n_hit > 0 and doc_id > 1").collect():
+        cut = [texts[r["doc_id"]][slice(*map(int, s.split(":")))] for s in r["spans"].split(",")]
+        assert sum(len(decontam.words_of(c.encode())) for c in cut) == r["n_hit"]
+    assert decontam.contamination(spark, empty, bench).count() == 0
+    assert decontam.contamination(spark, docs, bench.filter("false")).filter("n_hit > 0 or contaminated").count() == 0
+
+
+def test_benchmark_in_several_automata(spark, docs, rows, monkeypatch):
+    items = [(k, brute.prose(1, 60)[k : k + 200]) for k in range(12)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    chunks = decontam.chunks
+    monkeypatch.setattr(decontam, "chunks", lambda table: chunks(table, 300))
+    assert len(list(decontam.chunks(bench))) > 3
+    same(decontam.contamination(spark, docs, bench).drop("spans"), brute.contamination(rows, items))
+
+
+def test_pairs_in_linear_time():
+    rng = np.random.default_rng(0)
+    model = quality.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
+    rows, columns, values = np.repeat([0, 1, 2], [5, 1, 7]), rng.integers(0, 50, 13), rng.normal(size=13)
+    for n, got in enumerate(model.margins(rows, columns, values, 3)):
+        x, v = columns[rows == n], values[rows == n]
+        pairs = sum(model.factors[x[a]] @ model.factors[x[b]] * v[a] * v[b] for a in range(x.size) for b in range(a))
+        assert got == pytest.approx(0.3 + model.weights[x] @ v + pairs)
+
+
+def test_quality(spark, docs, rows, empty):
+    table, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    found = {r["doc_id"]: r for r in quality.judged(spark, table, labels).collect()}
+    assert len(found) == table.count()
+    assert all(r["held_out"] == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= r["score"] <= 1 for i, r in found.items())
+    assert all(r["predicted"] == (r["score"] >= 0.3) for r in found.values())
+    held = [r for r in labels.collect() if found[r["doc_id"]]["held_out"]]
+    good = [found[r["doc_id"]]["predicted"] for r in held if r["quality"] == 1]
+    bad = [found[r["doc_id"]]["predicted"] for r in held if r["quality"] == 0]
+    assert np.mean(good) > 0.99 and np.mean(bad) < 0.1
+    again = {r["doc_id"]: r["score"] for r in quality.judged(spark, table.repartition(7), labels).collect()}
+    assert all(abs(again[i] - found[i]["score"]) < 1e-9 for i in found)
+    odd = quality.judged(spark, docs, spark.createDataFrame([(2, 1), (18, 0), (None, 1), (7, None), (2, 1)], "doc_id long, quality int"))
+    assert Counter(r["doc_id"] for r in odd.collect()) == Counter(i for i, _ in rows)
+    none = quality.judged(spark, docs, labels.filter("false"))
+    assert {r["score"] for r in none.collect()} == {0.5}
+    assert quality.judged(spark, empty, labels).count() == 0 and quality.accepted(spark, docs, labels).columns == docs.columns
+
+
+CASES = [
+    "mail a.b@c.de, x@y z@w.org.", "a@b.c%d@e.f @g.h i@j", "at 10.0.0.255 or 256.1.1.1 or 1.2.3.4.5.6.7.8.9", "0001.2.3.004",
+    "card 4111 1111 1111 1111 and 4111-1111-1111-1112", "4111111111111111 0", "call +1 (988) 555-2485 or +44 20 7946 0958.", "+1 2",
+    "é ü +1 (988) 555-2485 ñ a@b.cd", "9" * 400, "+" * 40 + "1" * 12, "@" * 30, "1.2.3." * 20, "- - 1 2 3 - 4",
+]
+
+
+def test_personal_data(spark, docs, empty):
+    rows = [*enumerate(CASES), (90, None), (91, ""), (None, CASES[0]), (1, CASES[1]), (1, CASES[2])]
+    table = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, spans string").repartition(3)
+    found = pii.personal_data(spark, table).collect()
+    assert len(found) == len(rows)
+    wanted = []
+    for i, text in rows:
+        spans = brute.personal(text)
+        listed = ",".join(f"{k}:{a}:{b}" for k in pii.KINDS for a, b in spans[k])
+        wanted.append((i, *(len(spans[k]) for k in pii.KINDS), hashlib.sha256(listed.encode()).hexdigest()))
+    assert Counter(tuple(r)[:6] for r in found) == Counter(wanted)
+    assert pii.personal_data(spark, empty).count() == 0
+    assert pii.personal_data(spark, docs.filter("doc_id = 14")).first()["spans"] == ""
+
+
+def test_field_is_exact_and_learns():
+    rng = np.random.default_rng(4)
+    n = len(pii.LABELS)
+    field = pii.Field(rng.normal(size=(pii.BUCKETS, n)), rng.normal(size=(n, n)))
+    stretch = rng.integers(1, pii.BUCKETS, (4, pii.WIDTH))
+    score = field.emissions(stretch)
+    paths = np.stack(np.meshgrid(*[range(n)] * 4, indexing="ij"), -1).reshape(-1, 4)
+    sums = sum(score[t, paths[:, t]] for t in range(4)) + sum(field.step[paths[:, t - 1], paths[:, t]] for t in range(1, 4))
+    assert field.decode([stretch, stretch[:2]])[0].tolist() == paths[sums.argmax()].tolist()
+    texts = [f"word other reach me at user{k}@mail{k}.example.org or +1 (9{k}) 555-01{k} from 10.0.{k}.7 today".encode() for k in range(10, 60)]
+    learnt = pii.fit([e for t in texts[:40] for e in pii.labelled(t)])
+    for text in texts[40:]:
+        for (words, truth), got in zip(pii.labelled(text), learnt.decode([w for w, _ in pii.labelled(text)])):
+            assert got.tolist() == truth.tolist()
+    text = b"just call 1 (955) 555-0155 today"
+    (starts, ends), = pii.stretches(text)
+    labels = np.array([0, 7, 8, 8, 0]) if len(starts) == 5 else np.array([0, 0, 7, 8, 8, 0])
+    assert list(pii.added_spans(text, starts, ends, labels, [])) == [("phone", 10, 26)]
+    assert not list(pii.added_spans(text, starts, ends, labels, [(12, 14)]))
+
+
+def encoded(text):
+    return Tokenizer.from_file(plans.vocabulary_path()).encode(text or "", add_special_tokens=False).ids + [tokens_out.END_ID]
+
+
+def test_token_shards(spark, docs, rows, empty, folder):
+    extra = [(30, "Don't stop<|endoftext|>here, <|ENDOFTEXT|> étude 12,345.67 (it's) ﬁn…. I'M naïve—ok ÀÉ 中文 ß"), (31, "a,b.c!d"), (32, "<|")]
+    table = docs.select("doc_id", "text", "source").unionByName(spark.createDataFrame([(*r, "s") for r in extra], "doc_id long, text string, source string"))
+    found = tokens_out.token_table(spark, table, plans.vocabulary_path(), folder, 3).collect()
+    key = lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")
+    wanted, start = [], 0
+    for i, text in sorted([*rows, *extra], key=key):
+        found_ids = encoded(text)
+        wanted.append((i, start, len(found_ids), zlib.crc32(np.array(found_ids, "<u4").tobytes())))
+        start += len(found_ids)
+    assert sorted(map(tuple, found), key=lambda r: r[1]) == wanted
+    assert tokens_out.token_table(spark, empty, plans.vocabulary_path(), f"{folder}/none", 3).count() == 0
+
+
+def test_shards_are_read_by_document_and_damage_is_seen(folder, monkeypatch):
+    monkeypatch.setattr(tokens_out, "FRAME_IDS", 100)
+    store, path = pafs.LocalFileSystem(), f"{folder}/a.skt"
+    docs = [(k if k else None, np.arange(k * 7 % 150, dtype=np.uint32) + (70_000 if k == 9 else 0)) for k in range(40)]
+    assert tokens_out.write_shard(store, path, docs) == (40, sum(d.size for _, d in docs))
+    reader = tokens_out.ShardReader(store, path)
+    opened = []
+    frame = reader.frame
+    monkeypatch.setattr(reader, "frame", lambda k: opened.append(k) or frame(k))
+    some = list(reader.documents([0, 9, 30]))
+    assert [i for i, _ in some] == [None, 9, 30] and all(np.array_equal(x, docs[k][1]) for (_, x), k in zip(some, (0, 9, 30)))
+    assert len(opened) <= 3 < len(reader.frames)
+    for at in (5, -60):
+        data = bytearray(open(path, "rb").read())
+        data[at] ^= 1
+        open(f"{folder}/b.skt", "wb").write(data)
+        with pytest.raises(Exception):
+            list(tokens_out.ShardReader(store, f"{folder}/b.skt").documents())
+
+
+def test_stages(spark, docs):
+    table = spark.read.parquet(f"{TABLES}/documents.parquet")
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "near_duplicates", "decontamination", "mixing", "tokens"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, table, TABLES)
+        assert kept.columns == table.columns and 0 < kept.count()
+    odd = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    for _, stage in corpus_pipeline.STAGES:
+        stage(spark, odd, TABLES).collect()
+        assert stage(spark, odd.filter("false"), TABLES).count() == 0
+    chain = table
+    for _, stage in corpus_pipeline.STAGES:
+        chain = stage(spark, chain, TABLES)
+    assert Counter(chain.collect()) == Counter(corpus_pipeline.run(spark, TABLES).collect())
