@@ -205,5 +205,6 @@ def model_name(path: Column) -> Column:
 
 
 def file_stem(path: Column) -> Column:
-    """File name up to its first dot."""
-    return F.split_part(F.element_at(F.split(path, "/"), -1), F.lit("."), F.lit(1))
+    """File name up to its first dot. Spark gives paths and names URL-encoded, a plus sign as itself."""
+    name = F.url_decode(F.replace(F.element_at(F.split(path, "/"), -1), F.lit("+"), F.lit("%2B")))
+    return F.split_part(name, F.lit("."), F.lit(1))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +47,22 @@ def append_losses(df: DataFrame, path: str) -> None:
 
 def save_results(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
+
+
+def save_named_files(df: DataFrame, path: str, name: str = "name", text: str = "text") -> int:
+    """Write each row's text as a file of the given name; returns how many.
+
+    Tasks write into the shared folder themselves. A task that runs again replaces its files.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        local = re.sub(r"^file:(//)?(?=/)", "", path)
+        store, base = (pafs.LocalFileSystem(), local) if local.startswith("/") else pafs.FileSystem.from_uri(path)
+        store.create_dir(base, recursive=True)
+        for batch in batches:
+            for file, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with store.open_output_stream(f"{base}/{file}") as out:
+                    out.write((content or "").encode())
+            yield pa.RecordBatch.from_arrays([batch.column(0)], ["name"])
+
+    return df.select(name, text).mapInArrow(write, "name string").count()
