@@ -4,9 +4,10 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from skeinwork.functions.draws import below
-from skeinwork.operators import labelled, language, vocab
+from skeinwork.operators import labelled, language, order, runs, vocab, wordpiece
 from skeinwork.session import at_most, local_session, shared_dir
 from skeinwork.sources import readers, sinks
 
@@ -34,6 +35,59 @@ def test_line_numbers_over_many_splits(spark, folder):
     assert [r["text"] for r in first] == [line.strip() for line in lines[:3]]
 
 
+def test_line_numbers_when_the_split_size_changes(spark, folder):
+    lines = [f"line {i}" for i in range(20_000)]
+    write(f"{folder}/a.txt", "\n".join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16384")
+    try:
+        numbered = readers.numbered_lines(spark, folder)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "50000")
+        got = {r["line_no"]: r["value"] for r in numbered.collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [got.get(i) for i in range(20_000)] == lines
+
+
+@pytest.mark.parametrize("name", ["a b", "ü+1", "50%", "x#y"])
+def test_file_names_as_they_are(spark, folder, name):
+    write(f"{folder}/f/{name}.v2.txt", "1.5\n")
+    assert [r["doc_id"] for r in readers.whole_files(spark, f"{folder}/f").collect()] == [name]
+    assert [r["run"] for r in readers.float_log(spark, f"{folder}/f").collect()] == [name]
+
+
+def test_bad_input_is_rejected_not_fatal(spark, folder):
+    write(f"{folder}/l/r.txt", "1.5\nabc\n\n2.5\n")
+    assert [tuple(r) for r in readers.float_log(spark, f"{folder}/l").orderBy("seq").collect()] == [("r", 0, 1.5), ("r", 3, 2.5)]
+    assert [tuple(r) for r in readers.float_log_rejects(spark, f"{folder}/l").collect()] == [("r", 1, "abc")]
+    write(f"{folder}/j/x.jsonl", '{"text": "a", "label": "b"}\n{"text": "a", \n\nnull x\n')
+    assert readers.json_lines(spark, f"{folder}/j", readers.RELATION_SCHEMA).collect() == [("a", "b")]
+    assert readers.json_line_rejects(spark, f"{folder}/j", readers.RELATION_SCHEMA).count() == 2
+    values = spark.createDataFrame([(1, '{"7": {"QUESTION": "q"}}'), (2, '{"7": '), (3, "[]")], "n int, value string")
+    assert readers.explode_indexed(values).count() == 1
+    assert {r["n"] for r in readers.malformed(values, readers.INDEXED_SCHEMA).collect()} == {2, 3}
+    nested = spark.createDataFrame([(1, '{"questions": [{"body": "b"}]}'), (2, '{"questions": [')], "n int, value string")
+    assert readers.nested_values(nested).count() == 1
+    assert [r["n"] for r in readers.malformed(nested, readers.NESTED_SCHEMA).collect()] == [2]
+
+
+def test_rows_without_a_group_stay(spark):
+    rows = [("a", 1), ("a", 2), (None, 5), (None, 3)]
+    df = spark.createDataFrame(rows, "run string, at int")
+    numbered = order.ordinal_within(df, ["run"], ["at"])
+    assert {(r["run"], r["at"]): r["seq"] for r in numbered.collect()} == {("a", 1): 0, ("a", 2): 1, (None, 3): 0, (None, 5): 1}
+    running = order.running_before(numbered, ["run"], "seq", {"before": F.col("at")}, block=1)
+    assert {(r["run"], r["at"]): r["before"] for r in running.collect()} == {("a", 1): 0, ("a", 2): 1, (None, 3): 0, (None, 5): 3}
+    losses = spark.createDataFrame([(None, 0, k) for k in range(1, 21)] + [("a", None, 1)], "run string, epoch int, step int")
+    assert runs.sampled_steps(losses).count() == 11
+
+
+def test_rows_that_share_a_key_are_encoded_apart(spark):
+    words = vocab.from_tokens(spark, [*vocab.SPECIALS, "a", "b", "##b"])
+    df = spark.createDataFrame([(1, "a b"), (1, "ab"), (None, "b"), (None, None)], "k int, text string")
+    got = sorted((r["k"] or 0, r["input_ids"]) for r in wordpiece.encode(df, "k", words).collect())
+    assert got == [(0, [2, 3]), (0, [2, 6, 3]), (1, [2, 5, 6, 3]), (1, [2, 5, 7, 3])]
+
+
 def test_listing(spark, folder):
     for name in ("b.pt", "a.pt", "c.txt"):
         write(f"{folder}/{name}", "x")

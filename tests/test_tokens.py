@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,50 +88,71 @@ def test_budget(spark, size, wanted):
     assert spark.range(1).select(masking.budget(F.lit(size))).first()[0] == wanted
 
 
-def whole_word(ids, continues, order, pieces, vocab_size, skip_padding):
-    """Greedy choice over words in drawn order; ``order`` and ``pieces`` give the draws."""
-    groups = []
-    for i, x in enumerate(ids):
-        if x in (2, 3) or (skip_padding and x == 0):
-            continue
-        if groups and continues[x]:
-            groups[-1].append(i)
-        else:
-            groups.append([i])
-    most = min(80, max(1, round(len(ids) * 0.15)))
-    out, used = list(ids), 0
-    for group in sorted(groups, key=lambda g: (order(g[0]), g[0])):
-        if used + len(group) > most:
-            continue
-        used += len(group)
-        for i in group:
-            first, second, third = pieces(i)
-            out[i] = 4 if first < 0.8 else ids[i] if second < 0.5 else third % vocab_size
-    return out, used, most
+def always(_):
+    """A bound above every draw: each chosen piece becomes the mask id and can be seen."""
+    return "g"
+
+
+def test_whole_words_by_hand(spark, monkeypatch):
+    monkeypatch.setattr(masking, "below", always)
+    continues = [False] * 7 + [True] * 3
+    rows = [
+        (1, [2, 5, 7, 3]),  # budget one piece, the only word has two: nothing fits
+        (2, [2, 5, 6, 3]),  # one of two words
+        (3, [2, 5, 3]),
+        (4, [2, 3]),
+        (5, [2, 7, 8, 3] + [0] * 9),  # a word may begin with a continuation; budget two of thirteen
+        (6, []),
+    ]
+    df = spark.createDataFrame(rows, "k int, input_ids array<int>")
+    got = {r["k"]: r["input_ids"] for r in masking.mask_whole_words(df, "k", 1, continues, skip_padding=True).collect()}
+    assert got[1] == [2, 5, 7, 3] and got[2] in ([2, 4, 6, 3], [2, 5, 4, 3]) and got[3] == [2, 4, 3]
+    assert got[4] == [2, 3] and got[5] == [2, 4, 4, 3] + [0] * 9 and got[6] == []
+    padded = {r["k"]: r["input_ids"] for r in masking.mask_whole_words(df, "k", 1, continues).collect()}
+    assert padded[5] in ([2, 4, 4, 3] + [0] * 9, [*padded[5][:13]]) and padded[5].count(4) == 2
 
 
 @pytest.mark.parametrize("skip_padding", [False, True])
-def test_mask_whole_words(spark, skip_padding):
+def test_whole_words_keep_to_their_budget(spark, monkeypatch, skip_padding):
     import hashlib
 
-    chance = random.Random(5)
-    continues = [i >= 5 and chance.random() < 0.4 for i in range(60)]
-    rows = [
-        (k, [2] + [chance.randrange(0, 60) for _ in range(chance.choice([0, 1, 7, 60, 510]))] + [3] + [0] * chance.choice([0, 9]))
-        for k in range(60)
-    ]
+    chance = np.random.default_rng(5)
+    continues = (np.arange(60) >= 5) & (chance.random(60) < 0.4)
+    rows = []
+    for k in range(60):
+        inner = chance.integers(5, 60, int(chance.choice([0, 1, 7, 60, 510]))).tolist()
+        rows.append((k, [2, *inner, 3] + [0] * int(chance.choice([0, 9]))))
     df = spark.createDataFrame(rows, "k int, input_ids array<int>")
-    got = {r["k"]: r for r in masking.mask_whole_words(df, "k", 3, continues, skip_padding=skip_padding).collect()}
+    flags = [bool(c) for c in continues]
+    drawn = {r["k"]: r for r in masking.mask_whole_words(df, "k", 3, flags, skip_padding=skip_padding).collect()}
+    monkeypatch.setattr(masking, "below", always)
+    seen = {r["k"]: r for r in masking.mask_whole_words(df, "k", 3, flags, skip_padding=skip_padding).collect()}
+    outcomes = []
     for k, ids in rows:
-        def draws(kind, i):
-            text = hashlib.sha256(f"3:{kind}:{k}:{i}".encode()).hexdigest()
-            return [int(text[j * 8:j * 8 + 8], 16) for j in range(8)]
-
-        wanted, used, most = whole_word(
-            ids, continues, lambda i: draws("order", i // 8)[i % 8],
-            lambda i: (draws("piece", i)[0] / 2**32, draws("piece", i)[1] / 2**32, draws("piece", i)[2]), 60, skip_padding)
-        assert used <= most
-        assert got[k]["input_ids"] == wanted and got[k]["labels"] == ids
+        ids, out, other = np.array(ids), np.array(seen[k]["input_ids"]), np.array(drawn[k]["input_ids"])
+        assert seen[k]["labels"] == drawn[k]["labels"] == ids.tolist()
+        free = ~np.isin(ids, [0, 2, 3] if skip_padding else [2, 3])
+        at = np.flatnonzero(free)
+        if not at.size:
+            assert np.array_equal(out, ids)
+            continue
+        word = np.cumsum(~continues[ids[at]] | (np.arange(at.size) == 0)) - 1
+        taken = out[at] == 4
+        assert np.array_equal(out[~free], ids[~free]) and np.array_equal(out[at][~taken], ids[at][~taken])
+        sizes, hits = np.bincount(word), np.bincount(word, taken)
+        assert set(hits / sizes) <= {0.0, 1.0}  # whole words or none of it
+        most = min(80, max(1, round(ids.size * 0.15)))
+        assert hits.sum() <= most
+        heads = at[np.unique(word, return_index=True)[1]]
+        texts = [hashlib.sha256(f"3:order:{k}:{i // 8}".encode()).hexdigest()[i % 8 * 8 : i % 8 * 8 + 8] for i in heads]
+        order = np.lexsort((heads, texts))
+        size, chosen = sizes[order], hits[order] > 0
+        before = np.cumsum(size * chosen) - size * chosen
+        assert np.array_equal(before + size <= most, chosen)  # taken exactly where it still fits
+        assert np.array_equal(other[out == ids], ids[out == ids])
+        outcomes += [np.select([y == 4, y == x], ["mask", "same"], "other") for x, y in zip(ids[at][taken], other[at][taken])]
+    share = {name: np.mean(np.array(outcomes) == name) for name in ("mask", "same", "other")}
+    assert abs(share["mask"] - 0.8) < 0.05 and abs(share["same"] - 0.1) < 0.04 and abs(share["other"] - 0.1) < 0.04
 
 
 def test_mask_tokens_invariants(spark):
