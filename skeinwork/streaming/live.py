@@ -19,22 +19,29 @@ def loss_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
 
 
 def block_means(losses: DataFrame, size: int = 10) -> DataFrame:
-    """Running sum and count per block of ``size`` losses; the state is one row per block."""
+    """Running sum and count per block of ``size`` losses; the state is a block's losses, each line once."""
     block = F.floor(F.col("seq") / size).cast("bigint")
-    return losses.groupBy("run", block.alias("block")).agg(F.sum("loss").alias("total"), F.count("loss").alias("n"))
+    held = losses.groupBy("run", block.alias("block")).agg(F.sort_array(F.collect_set(F.struct("seq", "loss"))).alias("s"))
+    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["loss"])
+    return held.select("run", "block", total.alias("total"), F.size("s").alias("n"))
 
 
 def watch_blocks(losses: DataFrame, out: str, checkpoint: str, size: int = 10, digits: int = 3) -> None:
     """Write the mean of each block once it is complete, for all input there is now.
 
-    A block reaches ``size`` losses in one micro-batch only. The folder is named by the batch, so a
-    batch that runs again after a failure replaces its own output.
+    A line that is appended twice counts once. A block is written by the first micro-batch in which
+    it is complete, and not again by a later one that repeats some line of it. The folder is named by
+    the batch, so a batch that runs again after a failure replaces its own output.
     """
 
     def complete(batch: DataFrame, batch_id: int) -> None:
-        done = batch.filter(F.col("n") == size).select(
+        done = batch.filter(F.col("n") >= size).select(
             "run", "block", F.bround(F.col("total") / F.col("n"), digits).alias("mean_loss")
         )
+        if batch_id:
+            written = batch.sparkSession.read.schema("run STRING, block BIGINT, batch BIGINT").parquet(out)
+            earlier = written.filter(F.col("batch") < batch_id).select("run", "block")
+            done = done.join(earlier, ["run", "block"], "left_anti")
         done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     query = (
