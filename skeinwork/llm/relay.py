@@ -22,7 +22,57 @@ ARROW = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), *((x, pa.binary()
 ASK, TELL, TEXT = 0, 1, 2
 
 
-def parcels(kind: int, dest: np.ndarray, arrays: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+class Short:
+    """A hash of which only so many low bytes travel; its part is known by the others."""
+
+    empty = np.empty(0, np.uint64)
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def pack(self, values: np.ndarray) -> bytes:
+        return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : self.size].tobytes()
+
+    def unpack(self, packed: bytes) -> np.ndarray:
+        out = np.zeros((len(packed) // self.size, 8), np.uint8)
+        out[:, : self.size] = np.frombuffer(packed, np.uint8).reshape(-1, self.size)
+        return out.reshape(-1).view("<u8").astype(np.uint64)
+
+
+class Deltas:
+    """Integers that repeat or rise: differences, byte by byte, compressed."""
+
+    def __init__(self, dtype):
+        self.dtype = np.dtype(dtype)
+        self.empty = np.empty(0, dtype)
+
+    def pack(self, values: np.ndarray) -> bytes:
+        values = values.astype(self.dtype)
+        steps = np.concatenate([values[:1], values[1:] - values[:-1]])
+        planes = np.ascontiguousarray(steps.view(np.uint8).reshape(-1, self.dtype.itemsize).T)
+        return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+    def unpack(self, packed: bytes) -> np.ndarray:
+        planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(self.dtype.itemsize, -1)
+        return np.cumsum(np.ascontiguousarray(planes.T).reshape(-1).view(self.dtype), dtype=self.dtype)
+
+
+class Bytes:
+    """Pieces of text, joined and compressed."""
+
+    empty = np.empty(0, np.uint8)
+
+    def pack(self, joined: bytes) -> bytes:
+        return zstandard.ZstdCompressor(level=1).compress(joined)
+
+    def unpack(self, packed: bytes) -> np.ndarray:
+        return np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+
+
+HASH, PLACE, DOC, KEY = Short(5), Deltas(np.int32), Deltas(np.int64), Deltas(np.uint64)
+
+
+def parcels(kind: int, dest: np.ndarray, arrays: list[np.ndarray], codecs: list) -> Iterator[pa.RecordBatch]:
     """One row per part with that part's share of each array, in the order given."""
     if not dest.size:
         return
@@ -33,21 +83,16 @@ def parcels(kind: int, dest: np.ndarray, arrays: list[np.ndarray]) -> Iterator[p
     for k in range(6):
         if k < len(arrays):
             moved = np.ascontiguousarray(arrays[k][order])
-            columns.append(pa.array([moved[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
+            columns.append(pa.array([codecs[k].pack(moved[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()))
         else:
             columns.append(pa.nulls(parts.size, pa.binary()))
     yield pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
 
-def opened(column: pa.Array, dtype) -> np.ndarray:
-    """The arrays of several parcels joined."""
-    return np.frombuffer(common.flat(column)[0].tobytes(), dtype)
-
-
-def gathered(batches: list[pa.RecordBatch], dtypes: list) -> list[np.ndarray]:
+def gathered(batches: list[pa.RecordBatch], codecs: list) -> list[np.ndarray]:
     """The arrays of all parcels of a list, each joined."""
-    parts = [[opened(b.column(2 + k), t) for b in batches] for k, t in enumerate(dtypes)]
-    return [np.concatenate([np.empty(0, t), *x]) for x, t in zip(parts, dtypes, strict=True)]
+    parts = [[codec.unpack(x.as_py()) for b in batches for x in b.column(2 + k)] for k, codec in enumerate(codecs)]
+    return [np.concatenate([codec.empty, *x]) for x, codec in zip(parts, codecs, strict=True)]
 
 
 def row_keys(doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -58,7 +103,7 @@ def row_keys(doc: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 
 def part_of(keys: np.ndarray, n: int) -> np.ndarray:
-    return ((keys >> np.uint64(33)) % np.uint64(n)).astype(np.int32)
+    return ((keys >> np.uint64(40)) % np.uint64(n)).astype(np.int32)
 
 
 def texts(docs: DataFrame, n: int) -> DataFrame:
@@ -107,7 +152,7 @@ def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBat
                 yield int(kinds[a]), batch.slice(a, b - a)
 
 
-def against(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[tuple]:
+def against(batches: Iterator[pa.RecordBatch], codecs: list) -> Iterator[tuple]:
     """(told, ids, row keys, bytes, offsets) for texts joined to passes of some size, after all that is told of them."""
     waiting, told, held, size = [], None, [], 0
     for kind, batch in split(batches):
@@ -115,7 +160,7 @@ def against(batches: Iterator[pa.RecordBatch], dtypes: list) -> Iterator[tuple]:
             waiting.append(batch)
             continue
         if told is None:
-            told = Told(*gathered(waiting, dtypes))
+            told = Told(*gathered(waiting, codecs))
             waiting.clear()
         for found in unpacked(batch):
             held.append(found)

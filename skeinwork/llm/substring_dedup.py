@@ -18,6 +18,11 @@ PERIOD, COVER = 7, (0, 1, 3)
 #: The longest anchor that every window still holds whole, whatever the shift.
 ANCHOR = WINDOW - PERIOD + 1
 
+#: What travels: of anchors 40 bits of hash, which only choose candidates; of windows 96 bits, which decide.
+ANCHORS = [relay.HASH, relay.DOC, relay.KEY, relay.PLACE]
+WINDOWS = [relay.Short(8), relay.Short(4), relay.DOC, relay.KEY, relay.PLACE]
+TOLD = [relay.KEY, relay.PLACE]
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -77,22 +82,21 @@ def anchor_entries(docs: DataFrame, n: int) -> DataFrame:
             rows = owner[at]
             tell, ask = _settle([found], doc[rows], later=False)
             yield from told(key[rows[tell]], place[at[tell]], n)
-            yield from relay.parcels(
-                relay.ASK, relay.part_of(found[ask], n),
-                [found[ask], doc[rows[ask]], key[rows[ask]], place[at[ask]].astype(np.int32)],
-            )
+            ask.sort()
+            arrays = [found[ask], doc[rows[ask]], key[rows[ask]], place[at[ask]]]
+            yield from relay.parcels(relay.ASK, relay.part_of(found[ask], n), arrays, ANCHORS)
 
     return docs.select("doc_id", "text").mapInArrow(take, relay.SCHEMA)
 
 
 def told(keys: np.ndarray, places: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    return relay.parcels(relay.TELL, relay.part_of(keys, n), [keys, places.astype(np.int32)])
+    order = np.lexsort((places, keys))
+    keys, places = keys[order], places[order]
+    return relay.parcels(relay.TELL, relay.part_of(keys, n), [keys, places], TOLD)
 
 
 def answered(entries: DataFrame, n: int, windows: bool) -> DataFrame:
     """In each part, tell which places share their key; what was told before goes through."""
-    dtypes = [np.uint64] * (2 if windows else 1) + [np.int64, np.uint64, np.int32]
-
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for kind, batch in relay.split(batches):
@@ -100,7 +104,7 @@ def answered(entries: DataFrame, n: int, windows: bool) -> DataFrame:
                 yield batch
             else:
                 held.append(batch)
-        *keys, doc, key, place = relay.gathered(held, dtypes)
+        *keys, doc, key, place = relay.gathered(held, WINDOWS if windows else ANCHORS)
         tell, _ = _settle(keys, doc, later=windows)
         yield from told(key[tell], place[tell], n)
 
@@ -111,7 +115,7 @@ def window_entries(shared: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Windows around shared anchors: (two hashes, doc, row, word place) to the part of the hash."""
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for anchors, doc, key, data, offsets in relay.against(batches, [np.uint64, np.int32]):
+        for anchors, doc, key, data, offsets in relay.against(batches, TOLD):
             yield from _windows(anchors, doc, key, data, offsets, n)
 
     return relay.met(shared, docs, n).mapInArrow(grow, relay.SCHEMA)
@@ -139,17 +143,16 @@ def _windows(anchors, doc, key, data, offsets, n):
     rows, place = owner[at], at - first[owner[at]]
     tell, ask = _settle([one, two], doc[rows], later=True)
     yield from told(key[rows[tell]], place[tell], n)
-    yield from relay.parcels(
-        relay.ASK, relay.part_of(one[ask], n),
-        [one[ask], two[ask], doc[rows[ask]], key[rows[ask]], place[ask].astype(np.int32)],
-    )
+    ask.sort()
+    arrays = [one[ask], two[ask], doc[rows[ask]], key[rows[ask]], place[ask]]
+    yield from relay.parcels(relay.ASK, relay.part_of(one[ask], n), arrays, WINDOWS)
 
 
 def cut(found: DataFrame, docs: DataFrame, n: int, texts: bool = True) -> DataFrame:
     """Remove the told windows' words from the texts."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for windows, doc, key, data, offsets in relay.against(batches, [np.uint64, np.int32]):
+        for windows, doc, key, data, offsets in relay.against(batches, TOLD):
             raw, out = data.tobytes(), []
             for i in range(doc.size):
                 words = raw[offsets[i] : offsets[i + 1]].split()
@@ -171,7 +174,7 @@ def repeated_windows(docs: DataFrame, texts: bool = True) -> DataFrame:
 
     A word goes if a window of 13 consecutive words over it also starts in a document of smaller id. Any two equal windows
     share an anchor of seven words that lies on the cover in both, so only windows around anchors of two documents are
-    compared, by 128 bits of hash over their words. Null and empty texts have no words; a null id counts as larger than all others;
+    compared, by 96 bits of hash over their words. Null and empty texts have no words; a null id counts as larger than all others;
     rows that repeat an id never remove each other's words. ``kept`` is null unless ``texts``.
     """
     docs = docs.select("doc_id", "text")
