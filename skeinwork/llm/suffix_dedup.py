@@ -25,6 +25,11 @@ SPREAD = LENGTH - GRAM + 1
 #: Segment bytes in one index; a group of segments that belongs together is never split.
 INDEX_BYTES = 2 << 20
 
+#: What travels: of minimisers 40 bits, which only choose candidates; of segments their bytes.
+MINIMISERS = [relay.HASH, relay.KEY, relay.PLACE]
+SEGMENTS = [relay.Short(8), relay.DOC, relay.KEY, relay.PLACE, relay.PLACE, relay.Bytes()]
+TOLD = [relay.KEY, relay.PLACE, relay.PLACE]
+
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 _BYTES = common.mixed(np.arange(1, 257, dtype=np.uint64))
@@ -115,7 +120,7 @@ class RunIndex:
         self.heads = before[self.starts]
         lengths = np.diff(np.append(self.starts, n))
         by_head = np.argsort(self.heads, kind="stable")
-        self.jump = np.empty(self.starts.size, np.int64)
+        self.lengths, self.jump = lengths, np.empty(self.starts.size, np.int64)
         self.jump[by_head] = np.cumsum(lengths[by_head]) - lengths[by_head]
         sampled = change | (before == 0)
         rows = np.flatnonzero(sampled[1:]) + 1
@@ -132,15 +137,16 @@ class RunIndex:
             key = (key << 9) | symbols[np.minimum(place + k, limit)]
         depth, ranks = 7, 0
         while True:
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             ordered = key[order]
             new = np.zeros(n, np.int64)
             new[1:] = ordered[1:] != ordered[:-1]
+            new = np.cumsum(new)
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(new)
-            if int(rank.max()) + 1 in (ranks, n):
-                return order
-            ranks = int(rank.max()) + 1
+            rank[order] = new
+            if int(new[-1]) + 1 in (ranks, n):
+                return np.sort((rank << 32) | place) & 0xFFFFFFFF
+            ranks = int(new[-1]) + 1
             key = (rank << 32) | rank[np.minimum(place + depth, limit)]
             depth *= 2
 
@@ -158,9 +164,8 @@ class RunIndex:
 
     def statistics(self) -> np.ndarray:
         """For every place, the bytes it shares with the row above, from the samples alone."""
-        place = np.arange(self.symbols.size)
-        last = np.searchsorted(self.at, place, "right") - 1
-        return self.shared[last] - (place - self.at[last])
+        gaps = np.diff(np.append(self.at, self.symbols.size))
+        return np.repeat(self.shared + self.at, gaps) - np.arange(self.symbols.size)
 
     def rows(self) -> np.ndarray:
         """The row of every place, by streaming all texts backward through the transform at once."""
@@ -168,14 +173,13 @@ class RunIndex:
         going = np.argsort(-self.sizes, kind="stable")
         row, left = going.copy(), self.sizes[going]  # the row of a text's end is the text's number
         out[self.ends[going]] = row
+        shift = np.repeat(self.jump - self.starts, self.lengths)  # the runs' backward steps, row by row
         step = 0
         while True:
             alive = int(np.searchsorted(-left, -step, "left"))
             if not alive:
                 return out
-            row = row[:alive]
-            run = np.searchsorted(self.starts, row, "right") - 1
-            row = self.jump[run] + row - self.starts[run]
+            row = row[:alive] + shift[row[:alive]]
             step += 1
             out[self.ends[going[:alive]] - step] = row
 
@@ -195,6 +199,7 @@ def later_strings(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, key: np.
     index = RunIndex(data, sizes)
     kind = index.classes(length)
     where = np.flatnonzero(kind >= 0)
+    where = where[(np.bincount(kind[where], minlength=1) > 1)[kind[where]]]
     text = np.searchsorted(index.ends, where)
     place = where - (index.ends - index.sizes)[text]
     order = np.lexsort((start[text] + place, key[text], doc[text], kind[where]))
@@ -205,7 +210,9 @@ def later_strings(data: np.ndarray, sizes: np.ndarray, doc: np.ndarray, key: np.
 
 
 def _told(keys: np.ndarray, starts: np.ndarray, counts: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
-    return relay.parcels(relay.TELL, relay.part_of(keys, n), [keys, starts.astype(np.int32), counts.astype(np.int32)])
+    order = np.lexsort((starts, keys))
+    keys, starts, counts = keys[order], starts[order], counts[order]
+    return relay.parcels(relay.TELL, relay.part_of(keys, n), [keys, starts, counts], TOLD)
 
 
 def minimiser_entries(docs: DataFrame, n: int) -> DataFrame:
@@ -221,8 +228,8 @@ def minimiser_entries(docs: DataFrame, n: int) -> DataFrame:
             many = np.diff(np.append(first, order.size)) > 1
             tell = order[many[group] | twice[order]] if order.size else order
             yield from _told(key[row[tell]], start[tell], np.zeros(tell.size), n)
-            ask = order[first]
-            yield from relay.parcels(relay.ASK, relay.part_of(least[ask], n), [least[ask], key[row[ask]], start[ask].astype(np.int32)])
+            ask = np.sort(order[first])
+            yield from relay.parcels(relay.ASK, relay.part_of(least[ask], n), [least[ask], key[row[ask]], start[ask]], MINIMISERS)
 
     return docs.select("doc_id", "text").mapInArrow(take, relay.SCHEMA)
 
@@ -235,7 +242,7 @@ def shared_minimisers(entries: DataFrame, n: int) -> DataFrame:
                 yield batch
             else:
                 held.append(batch)
-        least, key, start = relay.gathered(held, [np.uint64, np.uint64, np.int32])
+        least, key, start = relay.gathered(held, MINIMISERS)
         order, first, group = relay.groups(least)
         if order.size:
             tell = order[(np.diff(np.append(first, order.size)) > 1)[group]]
@@ -251,7 +258,7 @@ def segment_entries(shared: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """
 
     def grow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chosen, doc, key, data, offsets in relay.against(batches, [np.uint64, np.int32, np.int32]):
+        for chosen, doc, key, data, offsets in relay.against(batches, TOLD):
             yield from _segments(chosen, doc, key, data, offsets, n)
 
     return relay.met(shared, docs, n).mapInArrow(grow, relay.SCHEMA)
@@ -270,31 +277,44 @@ def _segments(chosen, doc, key, data, offsets, n):
     content = contents(data, offsets[row] + start, size)
     tell, ask = copies(content, doc[row], key[row], start)
     yield from _told(key[row[tell]], start[tell], size[tell] - LENGTH + 1, n)
+    ask.sort()
     dest = relay.part_of(least[ask], n)
     ask = ask[np.argsort(dest, kind="stable")]
     dest = np.sort(dest)
     raw, at = data.tobytes(), offsets[row] + start
     for batch in relay.parcels(
         relay.ASK, dest,
-        [least[ask], doc[row[ask]], key[row[ask]], start[ask].astype(np.int32), np.where(twice, -size, size)[ask].astype(np.int32)],
+        [least[ask], doc[row[ask]], key[row[ask]], start[ask], np.where(twice, -size, size)[ask]], SEGMENTS[:5],
     ):
         cuts = np.searchsorted(dest, np.append(batch.column(0).to_numpy(), n))
-        joined = [b"".join(raw[at[i] : at[i] + size[i]] for i in ask[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        joined = [relay.Bytes().pack(b"".join(raw[at[i] : at[i] + size[i]] for i in ask[a:b])) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
         yield batch.set_column(7, "f", pa.array(joined, pa.binary()))
 
 
+_BASES = tuple(map(int, common.BASES))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def _powers(base: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2^64, kept by the worker."""
+    if base not in _POWERS or _POWERS[base][0].size < size:
+        room = max(size, common.PASS_BYTES * 5 // 4)
+        _POWERS[base] = tuple(common.powers(np.uint64(b), room) for b in (base, pow(base, -1, 1 << 64)))
+    return tuple(p[:size] for p in _POWERS[base])
+
+
 def contents(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit hashes of each range of bytes, from running sums of bytes weighed by powers."""
-    out = [np.empty(at.size, np.uint64) for _ in common.BASES]
+    out = [np.empty(at.size, np.uint64) for _ in _BASES]
     begin = 0
     while begin < at.size:  # ``at`` ascends
         stop = max(begin + 1, int(np.searchsorted(at, at[begin] + common.PASS_BYTES)))
         low, high = int(at[begin]), int((at + size)[begin:stop].max())
         some, values = slice(begin, stop), _BYTES[data[low:high]]
+        powers = [_powers(base, values.size) for base in _BASES]
         first, last = at[some] - low, (at + size)[some] - low
-        for k, base in enumerate(common.BASES):
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * common.powers(base, values.size))])
-            inverse = common.powers(np.uint64(pow(int(base), -1, 1 << 64)), values.size)
+        for k, (power, inverse) in enumerate(powers):
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * power)])
             out[k][some] = common.mixed((sums[last] - sums[first]) * inverse[first] + size[some].astype(np.uint64))
         begin = stop
     return out
@@ -320,7 +340,7 @@ def indexed(entries: DataFrame, n: int) -> DataFrame:
                 yield batch
             else:
                 held.append(batch)
-        least, doc, key, start, size, data = relay.gathered(held, [np.uint64, np.int64, np.uint64, np.int32, np.int32, np.uint8])
+        least, doc, key, start, size, data = relay.gathered(held, SEGMENTS)
         held.clear()
         if not least.size:
             return
@@ -337,7 +357,13 @@ def indexed(entries: DataFrame, n: int) -> DataFrame:
         def settle(chosen: np.ndarray) -> Iterator[pa.RecordBatch]:
             text = np.frombuffer(b"".join(raw[at[i] : at[i] + size[i]] for i in chosen), np.uint8)
             which, place = later_strings(text, size[chosen], doc[chosen], key[chosen], start[chosen])
-            yield from _told(key[chosen[which]], start[chosen[which]] + place, np.ones(which.size), n)
+            if not which.size:
+                return
+            order = np.lexsort((place, which))
+            which, place = which[order], place[order]
+            new = np.flatnonzero(np.append(True, (which[1:] != which[:-1]) | (place[1:] != place[:-1] + 1)))
+            which, place, count = which[new], place[new], np.diff(np.append(new, which.size))
+            yield from _told(key[chosen[which]], start[chosen[which]] + place, count, n)
 
         for a, count in zip(cuts.tolist(), counts.tolist(), strict=True):
             group = kept[a : a + count]
@@ -358,7 +384,7 @@ def cut(found: DataFrame, docs: DataFrame, n: int, texts: bool = True) -> DataFr
     """Remove every byte that a told string covers."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for told, doc, key, data, offsets in relay.against(batches, [np.uint64, np.int32, np.int32]):
+        for told, doc, key, data, offsets in relay.against(batches, TOLD):
             out = []
             for i in range(doc.size):
                 own = data[offsets[i] : offsets[i + 1]]
