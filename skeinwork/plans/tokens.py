@@ -96,6 +96,18 @@ def turn_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def pair_rejects(spark, folder):
+    """Turns that are in no pair: system turns, unanswered questions, answers to nothing."""
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role")
+    asked = turns.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"))
+    paired = turns.filter("role = 'assistant'").join(asked, ["conv_id", "turn"], "left_semi")
+    role = F.when(F.col("turn") == F.col("_last"), "assistant").otherwise("user")
+    used = paired.withColumn("_last", F.col("turn")).select("conv_id", F.explode(F.array(F.col("turn") - 1, "turn")).alias("turn"), "_last")
+    used = used.select("conv_id", "turn", role.alias("role"))
+    left = turns.join(used, ["conv_id", "turn", "role"], "left_anti")
+    return left.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "role")
+
+
 def pair_encode_slice(spark, folder):
     pairs = turn_pairs(spread(table(spark, folder, "conversations")))
     encoded = wordpiece.encode_pair(pairs, "id", corpus_vocabulary(spark, folder), "question", "context", 128)
@@ -167,6 +179,7 @@ QUERIES = {
     "wordpiece_encode": wordpiece_encode,
     "wordpiece_whole": wordpiece_whole,
     "pair_encode_slice": pair_encode_slice,
+    "pair_rejects": pair_rejects,
     "pair_encode_longest_first": pair_encode_longest_first,
     "mask_tokens": mask_tokens,
     "mask_fraction": mask_fraction,
@@ -302,6 +315,9 @@ select doc_id, {joined('list_resize(ids, m, 0)')} as input_ids,
 select doc_id, cast(len(ids) as integer) as n_ids, cast(len(list_filter(ids, lambda x: x = 1)) as integer) as n_unknown,
     cast(list_sum(ids) as bigint) as id_sum from enc""",
     "pair_encode_slice": pair_sql("slice", 128),
+    "pair_rejects": """select c.conv_id || '-' || c.turn as id, c.role from conversations c where not exists (
+        select 1 from conversations o where o.conv_id = c.conv_id and (c.role = 'user' and o.role = 'assistant' and o.turn = c.turn + 1
+            or c.role = 'assistant' and o.role = 'user' and o.turn = c.turn - 1))""",
     "pair_encode_longest_first": pair_sql("longest_first", 128),
     "mask_tokens": f"""{encoded(512)}, {_MASKED}
 select doc_id, {joined('m')} as input_ids, {joined('ids')} as labels from masked""",
