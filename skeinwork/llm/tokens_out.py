@@ -230,6 +230,8 @@ def write_shard(store: pafs.FileSystem, path: str, docs: Iterable[tuple[int | No
         out.write(seek.tobytes())
         crc = zlib.crc32(seek.tobytes(), zlib.crc32(plain))
         out.write(np.array([(len(packed), seek.size, listing.size, crc, MAGIC)], FOOTER).tobytes())
+    if store.get_file_info(path).type != pafs.FileType.NotFound:
+        store.delete_file(path)  # of an attempt whose answer was lost
     store.move(attempt, path)
     return listing.size, int(seek["ids"].sum())
 
