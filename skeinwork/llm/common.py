@@ -14,6 +14,8 @@ from skeinwork.session import scratch_path
 
 #: Bytes of text that one numpy pass takes at once; bounds a worker's memory, not what is read.
 PASS_BYTES = 4 << 20
+#: The same where rows are worked on one by one and nothing is settled between them.
+ROW_BYTES = 2 << 20
 #: A missing document id sorts after every other.
 NO_ID = np.iinfo(np.int64).max
 

@@ -104,7 +104,7 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, size:
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [automaton(x.value) for x in held]
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", common.ROW_BYTES):
             texts = batch.column("text").cast(pa.large_binary()).to_pylist()
             out = []
             for text in texts:
@@ -135,7 +135,7 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = WI
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [automaton(x.value) for x in held]
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", common.ROW_BYTES):
             good = []
             for text in batch.column("text").cast(pa.large_binary()).to_pylist():
                 words = words_of(text or b"")

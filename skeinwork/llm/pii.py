@@ -300,7 +300,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, field: Field | None = No
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Field(*held.value)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", common.ROW_BYTES):
             data, offsets = common.flat(batch.column("text"))
             total = np.concatenate([[0], np.cumsum(MARKS[data])])
             marked = np.flatnonzero(total[offsets[1:]] > total[offsets[:-1]])

@@ -150,7 +150,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     found = docs.select("doc_id", "text").filter("text is not null").join(F.broadcast(chosen), "doc_id")
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", common.ROW_BYTES):
             row, column, value = features(*common.flat(batch.column("text")))
             cuts = np.searchsorted(row, np.arange(batch.num_rows + 1))
             spans = list(zip(cuts[:-1], cuts[1:], strict=True))
@@ -175,7 +175,7 @@ def score(spark: SparkSession, docs: DataFrame, model: Machine) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(*held.value)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", common.ROW_BYTES):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), pa.array(_scores(machine, batch))], ["doc_id", "score"]
             )
@@ -205,7 +205,7 @@ def accepted(spark: SparkSession, docs: DataFrame, labels: DataFrame, rows: int
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = Machine(*held.value)
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", common.ROW_BYTES):
             yield batch.filter(pa.array(_scores(machine, batch) >= threshold))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -54,7 +54,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     text, which tells rows of one id apart."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in common.slices(batches, "text", common.ROW_BYTES):
             texts = batch.column("text").cast(pa.large_binary())
             found = np.array([fingerprint(t.as_py() or b"") for t in texts], np.uint64).view(np.int64)
             columns = [batch.column("doc_id").cast(pa.int64()), pa.array(found), batch.column("digest")]

@@ -33,7 +33,7 @@ END_ID = 2
 #: Unpacked ids in a frame before the next one begins; a longer document has a frame of its own.
 FRAME_IDS = 1 << 18
 #: Words whose ids a worker remembers; beyond it the memory starts afresh.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 MAGIC = b"SKT1"
 ENTRY = np.dtype([("frame", "<u4"), ("first", "<u4"), ("n", "<u4"), ("known", "<u4"), ("doc_id", "<i8")])
 FRAME = np.dtype([("offset", "<u8"), ("packed", "<u4"), ("ids", "<u4"), ("crc", "<u4"), ("width", "<u4")])
@@ -297,7 +297,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, shards: int) ->
         shard = head.column("shard")[0].as_py()
 
         def rows() -> Iterator[tuple[int | None, np.ndarray]]:
-            for batch in common.slices(_chain(head, batches), "text"):
+            for batch in common.slices(_chain(head, batches), "text", common.ROW_BYTES):
                 found, counts = encode.encode(*common.flat(batch.column("text")))
                 ends = np.cumsum(counts)
                 for doc_id, a, b in zip(batch.column("doc_id").to_pylist(), ends - counts, ends, strict=True):
