@@ -23,6 +23,9 @@ ANCHORS = [relay.HASH, relay.DOC, relay.KEY, relay.PLACE]
 WINDOWS = [relay.Short(8), relay.Short(4), relay.DOC, relay.KEY, relay.PLACE]
 TOLD = [relay.KEY, relay.PLACE]
 
+#: In place of a word's place: two documents of a pass hold this anchor, and its places there are told.
+SHARED = -1
+
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
@@ -41,28 +44,34 @@ def _whole(owner: np.ndarray, n: int) -> np.ndarray:
     return ok
 
 
-def _settle(keys: list[np.ndarray], doc: np.ndarray, later: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Places to tell and places to pass on, of entries with equal keys.
+def _settle(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows to tell and to pass on, of entries with equal keys: those in documents after the smallest are told, the
+    smallest one's stand."""
+    order, first, group = relay.groups(*keys)
+    if not order.size:
+        return order, order
+    after = doc[order] > np.minimum.reduceat(doc[order], first)[group]
+    return order[after], order[~after]
 
-    Anchors (``later`` false): where a key has two documents, all its places are told and one stands for them. Windows:
-    places in documents after the smallest are told, the smallest one's stand.
+
+def _share(keys: list[np.ndarray], doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors to tell, one of each told key, and the others, of entries with equal keys.
+
+    A key's places are told where it has two documents or an entry marked ``SHARED``, which has no place of its own.
     """
     order, first, group = relay.groups(*keys)
     if not order.size:
-        return order, order
-    least = np.minimum.reduceat(doc[order], first)
-    if later:
-        after = doc[order] > least[group]
-        return order[after], order[~after]
-    shared = np.maximum.reduceat(doc[order], first) > least
-    head = np.zeros(order.size, bool)
-    head[first] = True
-    return order[shared[group]], order[~shared[group] | head]
+        return order, order, order
+    several = np.maximum.reduceat(doc[order], first) > np.minimum.reduceat(doc[order], first)
+    shared = several | (np.minimum.reduceat(place[order], first) == SHARED)
+    tell = order[shared[group]]
+    return tell[place[tell] != SHARED], order[first[shared]], order[~shared[group]]
 
 
 def anchor_entries(docs: DataFrame, n: int) -> DataFrame:
     """Anchors of ``docs``: (hash, doc, row, word place) to the part of the hash; anchors that two documents of the same pass
-    share are told at once, and one entry goes on for all of them, so a hot passage sends one a pass."""
+    share are told at once, and one entry marked ``SHARED`` goes on for all of them, so a hot passage sends one a pass.
+    The mark, not the entry's document, says that there are two: another pass may hold only that document's id again."""
     cover = np.isin(np.arange(PERIOD), COVER)
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +89,12 @@ def anchor_entries(docs: DataFrame, n: int) -> DataFrame:
                 continue
             found = common.run_hash(common.word_hashes(data, starts, ends)[0], ANCHOR, common.STEPS[0])[at]
             rows = owner[at]
-            tell, ask = _settle([found], doc[rows], later=False)
-            yield from told(key[rows[tell]], place[at[tell]], n)
-            ask.sort()
-            arrays = [found[ask], doc[rows[ask]], key[rows[ask]], place[at[ask]]]
+            at_word = place[at]
+            tell, heads, alone = _share([found], doc[rows], at_word)
+            yield from told(key[rows[tell]], at_word[tell], n)
+            at_word[heads] = SHARED
+            ask = np.sort(np.concatenate([heads, alone]))
+            arrays = [found[ask], doc[rows[ask]], key[rows[ask]], at_word[ask]]
             yield from relay.parcels(relay.ASK, relay.part_of(found[ask], n), arrays, ANCHORS)
 
     return docs.select("doc_id", "text").mapInArrow(take, relay.SCHEMA)
@@ -105,7 +116,7 @@ def answered(entries: DataFrame, n: int, windows: bool) -> DataFrame:
             else:
                 held.append(batch)
         *keys, doc, key, place = relay.gathered(held, WINDOWS if windows else ANCHORS)
-        tell, _ = _settle(keys, doc, later=windows)
+        tell = (_settle(keys, doc) if windows else _share(keys, doc, place))[0]
         yield from told(key[tell], place[tell], n)
 
     return common.dealt(entries, n).mapInArrow(settle, relay.SCHEMA)
@@ -141,7 +152,7 @@ def _windows(anchors, doc, key, data, offsets, n):
     hashes = common.word_hashes(data, starts, ends)
     one, two = (common.run_hash(h, WINDOW, step)[at] for h, step in zip(hashes, common.STEPS, strict=True))
     rows, place = owner[at], at - first[owner[at]]
-    tell, ask = _settle([one, two], doc[rows], later=True)
+    tell, ask = _settle([one, two], doc[rows])
     yield from told(key[rows[tell]], place[tell], n)
     ask.sort()
     arrays = [one[ask], two[ask], doc[rows[ask]], key[rows[ask]], place[ask]]

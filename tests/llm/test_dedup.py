@@ -37,6 +37,21 @@ def test_repeated_windows(docs, rows, empty):
     assert substring_dedup.repeated_windows(empty).count() == 0
 
 
+def test_windows_of_null_and_repeated_ids_in_several_passes(spark):
+    passages = [brute.prose(70 + k, 30) for k in range(3)]
+    own = lambda k: brute.prose(100 + k, 20)
+    passes = [
+        [(None, own(0) + " " + passages[0]), (5, passages[0] + " " + own(1))], [(None, own(2) + " " + passages[0])],
+        [(7, own(3) + " " + passages[1]), (6, passages[1])], [(7, passages[1] + " " + own(4))],
+        [(9, passages[2] + " " + own(5)), (8, own(6) + " " + passages[2])], [(9, own(7) + " " + passages[2])], [(9, own(8) + passages[2])],
+    ]
+    table = spark.createDataFrame(spark.sparkContext.parallelize(passes, len(passes)).flatMap(list), "doc_id long, text string")
+    found = substring_dedup.repeated_windows(table)
+    wanted = brute.windows([r for rows in passes for r in rows])
+    assert sum(removed > 0 for _, _, removed, _ in wanted) == 7
+    same(found.select("doc_id", "n_words", "n_removed", "kept_sha256"), wanted)
+
+
 def test_every_window_holds_an_aligned_anchor():
     for a in range(substring_dedup.PERIOD):
         for b in range(substring_dedup.PERIOD):
