@@ -14,8 +14,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    return simhash.one_of_each(docs)
+    """One document of each group of near copies: the one with the smallest id, one without an id only if none has one."""
+    return simhash.one_of_each(docs, unnamed=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -108,7 +108,7 @@ def verified_links(near: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp, digest, component_id) of every row of ``docs``."""
+    """(doc_id, fp, digest, root, component_id) of every row of ``docs``; the root, a fingerprint, tells components apart."""
     marks = common.stored(fingerprints(docs), "fingerprints")
     classes = common.stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
     near = common.stored(grid_neighbours(classes.select("fp")), "near")
@@ -116,7 +116,7 @@ def members(docs: DataFrame) -> DataFrame:
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    known = common.stored(joined.join(least, "root").select("fp", "component_id"), "components")
+    known = common.stored(joined.join(least, "root").select("fp", "root", "component_id"), "components")
     return marks.join(known, "fp")
 
 
@@ -132,19 +132,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return members(docs).select("doc_id", shown, "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, unnamed: bool = False) -> DataFrame:
     """One row of ``docs`` of each component, all columns kept: of its smallest doc_id, and if that id has several texts, the
-    one of smallest digest. Rows without an id stay.
+    one of smallest digest. Rows without an id stay; with ``unnamed`` they come after all that have one, so one stays, of
+    smallest digest, only where nothing else of its component does.
 
     Only the rows to drop are looked up, by id and digest; while they are few they are broadcast, after counting.
     """
-    found = common.stored(members(docs).filter("doc_id is not null"), "members")
+    found = common.stored(members(docs), "members")
+    counted = found.groupBy("doc_id", "digest", "root").agg(F.count("*").alias("n"))
     first = found.filter("doc_id = component_id").groupBy("doc_id").agg(F.min("digest").alias("first"))
-    rows = found.groupBy("doc_id", "digest").agg(F.count("*").alias("n"))
-    rows = common.stored(rows.join(first, "doc_id", "left").withColumn("stays", F.col("digest").eqNullSafe(F.col("first"))), "rows")
+    stays = F.col("digest").eqNullSafe(F.col("first")).alias("stays")
+    named = counted.filter("doc_id is not null").join(first, "doc_id", "left")
+    rows = common.stored(named.select("doc_id", "digest", "root", "n", stays), "rows")
+    if unnamed:
+        others = counted.filter("doc_id is null")
+        alone = others.groupBy("root").agg(F.min("digest").alias("first")).join(rows.filter("stays").select("root"), "root", "left_anti")
+        others = others.join(alone, "root", "left").select("doc_id", "digest", "root", "n", stays)
+        rows = common.stored(rows.unionByName(others), "rows")
     gone = rows.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
-    same = (F.col("doc_id") == F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_digest"))
     kept = docs.join(broadcast_checked(gone, DROPPED_ROWS), same, "left_anti")
     if rows.filter("stays and n > 1").isEmpty():
         return kept
-    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+    without = kept.filter("doc_id is null")
+    without = without.dropDuplicates(["text"]) if unnamed else without
+    return kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(without)

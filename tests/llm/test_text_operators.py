@@ -216,6 +216,21 @@ def test_shards_are_read_by_document_and_damage_is_seen(folder, monkeypatch):
             list(tokens_out.ShardReader(store, f"{folder}/b.skt").documents())
 
 
+def test_one_of_each_group_without_ids(spark, docs, rows):
+    own = brute.prose(50, 40)
+    more = [(None, own), (None, own), (None, own.upper()), (None, brute.prose(51, 40)), (None, brute.prose(1, 60).upper())]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    kept = corpus_pipeline.near_duplicates(spark, table, TABLES).collect()
+    every = [*rows, *more]
+    marks = [brute.fingerprint(t) for _, t in every]
+    linked = [(a, b) for a in range(len(every)) for b in range(a) if (marks[a] ^ marks[b]).bit_count() <= 2]
+    root = brute.classes(len(every), linked)
+    least = {r: min((i for (i, _), x in zip(every, root) if x == r and i is not None), default=None) for r in root}
+    unnamed = [r for r in kept if r["doc_id"] is None]
+    assert len(unnamed) == 2 and {r["text"].lower() for r in unnamed} == {own.lower(), brute.prose(51, 40)}
+    assert Counter(r["doc_id"] for r in kept if r["doc_id"] is not None) == Counter({i for i in least.values() if i is not None})
+
+
 def test_stages(spark, docs):
     table = spark.read.parquet(f"{TABLES}/documents.parquet")
     names = [name for name, _ in corpus_pipeline.STAGES]
