@@ -21,8 +21,6 @@ SEGMENTS = 16
 WIDTH = 64 // SEGMENTS
 #: Room in a cell's key for one coordinate, which may be off by one either way.
 ROOM = 3
-#: Fingerprints with at most so many differing bits link. The join below is built for twice a radius of one.
-NEAR = 2
 #: Rows to drop that may be broadcast (16 bytes each); more are joined by a shuffle.
 DROPPED_ROWS = 1_000_000
 
