@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skeinwork.llm import common
 
 WINDOW = 13
 #: Of its words a document may have one in this many hit before it counts as contaminated.
 SHARE = 20
-#: Bytes of normalised items in one automaton. A larger benchmark is split over several, each scanned in turn.
+#: Bytes of items in one automaton. A larger benchmark is split over several, each scanned in turn; driver and executors
+#: hold one at a time. Its windows take about ``WINDOW`` times as much.
 AUTOMATON_BYTES = 8 << 20
 
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
@@ -23,6 +27,7 @@ NO_WORD[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = True
 #: Lower-cases A-Z and turns every byte outside words into a space.
 PLAIN = bytes(0x20 if NO_WORD[LOWER[c]] else LOWER[c] for c in range(256))
 
+HITS = "text_key string, ranges binary, items array<string>"
 FOUND = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans string"
 
 
@@ -55,7 +60,11 @@ def automaton(held: dict[bytes, tuple[int, list[str]]]):
 
 
 def chunks(items: DataFrame, limit: int = AUTOMATON_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in pieces of about ``limit`` bytes, streamed to the driver one partition at a time."""
+    """The items in pieces of about ``limit`` bytes, streamed to the driver one partition at a time, which hold no more than
+    about ``limit`` bytes either."""
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if total > limit:
+        items = items.repartition(-(-total // limit))
     held, size = [], 0
     for row in items.toLocalIterator():
         text = (row["text"] or "").encode()
@@ -92,58 +101,140 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(point[starts[first]], point[ends[last]], strict=True)]
 
 
+def cut_items(items: DataFrame, size: int, limit: int) -> DataFrame:
+    """(item_id, text), items of over ``limit`` bytes cut into parts with the same windows: they overlap by a window less
+    one word."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, texts = [], []
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data = (text.as_py() or "").encode()
+                parts = [data]
+                if len(data) > limit:
+                    words = words_of(data)
+                    # so many windows begin in one part
+                    step = max(1, len(words) * limit // len(data))
+                    starts = range(0, max(1, len(words) - size + 1), step)
+                    parts = [b" ".join(words[a : a + step + size - 1]) for a in starts]
+                names.extend([item] * len(parts))
+                texts.extend(part.decode() for part in parts)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["item_id", "text"])
+
+    return items.select(F.col("item_id").cast("string"), "text").mapInArrow(work, "item_id string, text string")
+
+
+def hits_by_text(spark: SparkSession, docs: DataFrame, pieces: Iterator[list[tuple[str, bytes]]], size: int) -> DataFrame:
+    """(text_key, ranges, items) of the texts that are hit: one scan of ``docs`` per piece, stored, so that no more than one
+    piece's windows are held anywhere."""
+    found = [spark.createDataFrame([], HITS)]
+    for piece in pieces:
+        held = spark.sparkContext.broadcast(windows(piece, size))
+
+        def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            machine = automaton(held.value)
+            for batch in common.slices(batches, "text", common.ROW_BYTES):
+                out = []
+                for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
+                    hit, met = scan(machine, text, words_of(text))
+                    if met:
+                        edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
+                        out.append((key, edges.astype("<i8").tobytes(), sorted(met)))
+                if out:
+                    types = [pa.string(), pa.binary(), pa.list_(pa.string())]
+                    columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["text_key", "ranges", "items"])
+
+        texts = docs.filter("text is not null").select(F.sha2("text", 256).alias("text_key"), "text")
+        found.append(common.stored(texts.mapInArrow(look, HITS).dropDuplicates(["text_key"]), "hits"))
+        held.destroy()
+    every = functools.reduce(DataFrame.unionByName, found)
+    return every.groupBy("text_key").agg(F.collect_list("ranges").alias("ranges"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+
+def judge(text: bytes | None, hit_of, share: int) -> tuple:
+    text = text or b""
+    words = words_of(text)
+    hit, met = hit_of(text, words)
+    n_hit = int(hit.sum())
+    spans = ",".join(f"{a}:{b}" for a, b in original_spans(text, hit)) if n_hit else ""
+    digest = hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()
+    return len(words), n_hit, len(met), digest, n_hit > 0 and share * n_hit >= len(words), spans
+
+
+def from_ranges(ranges: list[bytes], items: list[str]):
+    """The hits of a text as they were stored, in the form of ``scan``."""
+    def hit_of(text: bytes, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        edges = np.frombuffer(b"".join(ranges), "<i8")
+        return common.covered(len(words), edges[0::2], edges[1::2]), set(items)
+
+    return hit_of
+
+
+def split_pieces(items: DataFrame, size: int) -> tuple[list[tuple[str, bytes]] | None, Iterator[list[tuple[str, bytes]]]]:
+    """The benchmark if it is one piece, else none; and its pieces, of which no more than two are held at once."""
+    pieces = chunks(cut_items(items, size, AUTOMATON_BYTES))
+    first = next(pieces, [])
+    second = next(pieces, None)
+    return (first, iter(())) if second is None else (None, itertools.chain([first, second], pieces))
+
+
+def joined(spark: SparkSession, docs: DataFrame, pieces: Iterator[list[tuple[str, bytes]]], size: int) -> DataFrame:
+    """``docs`` with the stored hits of their texts, null where there are none."""
+    hits = hits_by_text(spark, docs, pieces, size).withColumnsRenamed({"text_key": "_key", "ranges": "_ranges", "items": "_items"})
+    return docs.join(hits, F.sha2("text", 256) == F.col("_key"), "left").drop("_key")
+
+
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): the words, those hit, the items met, the verdict, and the hit runs.
 
     ``spans`` lists start:end of each run of hit words in the original text (code points, end exclusive). Null and empty
     texts have no words and are clean; items without words match nothing; an empty benchmark hits nothing; repeated rows
-    each get a row. Items go to the executors in automata of bounded size; a larger benchmark takes more scans.
+    each get a row. Items go to the executors in automata of bounded size, one at a time; a larger benchmark takes more scans.
     """
-    pieces = list(chunks(items.select("item_id", "text"))) or [[]]
-    held = [spark.sparkContext.broadcast(windows(piece, size)) for piece in pieces]
+    docs = docs.select("doc_id", "text")
+    whole, pieces = split_pieces(items, size)
+    if whole is None:
+        docs = joined(spark, docs, pieces, size)
+    held = None if whole is None else spark.sparkContext.broadcast(windows(whole, size))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [automaton(x.value) for x in held]
+        machine = None if held is None else automaton(held.value)
         for batch in common.slices(batches, "text", common.ROW_BYTES):
-            texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-            out = []
-            for text in texts:
-                text = text or b""
-                words = words_of(text)
-                hit, met = np.zeros(len(words), bool), set()
-                for machine in machines:
-                    more, items_met = scan(machine, text, words)
-                    hit |= more
-                    met |= items_met
-                n_hit = int(hit.sum())
-                spans = ",".join(f"{a}:{b}" for a, b in original_spans(text, hit)) if n_hit else ""
-                digest = hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()
-                out.append((len(words), n_hit, len(met), digest, n_hit > 0 and share * n_hit >= len(words), spans))
-            columns = list(zip(*out, strict=True))
+            columns = list(zip(*(judge(text, hit_of, share) for text, hit_of in told_hits(batch, machine)), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), *map(pa.array, columns)],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(look, FOUND)
+    return docs.mapInArrow(look, FOUND)
+
+
+def told_hits(batch: pa.RecordBatch, machine) -> Iterator[tuple]:
+    """Each text of the batch and how to find its hits: with the automaton, or as they were stored."""
+    texts = batch.column("text").cast(pa.large_binary()).to_pylist()
+    if machine is not None:
+        return ((text, functools.partial(scan, machine)) for text in texts)
+    ranges, items = batch.column("_ranges").to_pylist(), batch.column("_items").to_pylist()
+    return ((text, from_ranges(r or [], i or [])) for text, r, i in zip(texts, ranges, items, strict=True))
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with all their columns."""
-    pieces = list(chunks(items.select("item_id", "text"))) or [[]]
-    held = [spark.sparkContext.broadcast(windows(piece, size)) for piece in pieces]
+    schema = docs.schema
+    whole, pieces = split_pieces(items, size)
+    if whole is None:
+        docs = joined(spark, docs, pieces, size)
+    held = None if whole is None else spark.sparkContext.broadcast(windows(whole, size))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [automaton(x.value) for x in held]
+        machine = None if held is None else automaton(held.value)
         for batch in common.slices(batches, "text", common.ROW_BYTES):
             good = []
-            for text in batch.column("text").cast(pa.large_binary()).to_pylist():
+            for text, hit_of in told_hits(batch, machine):
                 words = words_of(text or b"")
-                hit = np.zeros(len(words), bool)
-                for machine in machines:
-                    hit |= scan(machine, text or b"", words)[0]
-                n_hit = int(hit.sum())
+                n_hit = int(hit_of(text or b"", words)[0].sum())
                 good.append(not (n_hit and share * n_hit >= len(words)))
-            yield batch.filter(pa.array(good))
+            yield batch.select(schema.names).filter(pa.array(good))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(keep, schema)

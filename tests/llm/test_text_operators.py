@@ -106,6 +106,30 @@ def test_benchmark_in_several_automata(spark, docs, rows, monkeypatch):
     same(decontam.contamination(spark, docs, bench).drop("spans"), brute.contamination(rows, items))
 
 
+def test_large_benchmark_is_held_a_piece_at_a_time(spark, docs, rows, monkeypatch):
+    items = [(1, brute.prose(1, 60) + " " + brute.prose(5, 300)), *((k, brute.prose(k, 30)) for k in range(2, 9)), (9, None)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 600)
+    chunks, context, sizes, live = decontam.chunks, type(spark.sparkContext), [], []
+    monkeypatch.setattr(decontam, "chunks", lambda table: chunks(table, 600))
+    broadcast = context.broadcast
+
+    def counted(self, value):
+        sizes.append(sum(map(len, value)))
+        held = broadcast(self, value)
+        live.append(held)
+        destroy = held.destroy
+        held.destroy = lambda *a: (live.remove(held), destroy(*a))
+        assert len(live) == 1
+        return held
+
+    monkeypatch.setattr(context, "broadcast", counted)
+    wanted = brute.contamination(rows, items)
+    same(decontam.contamination(spark, docs, bench).drop("spans"), wanted)
+    same(decontam.clean(spark, docs, bench).select("doc_id", "text"), [r for r, w in zip(rows, wanted) if not w[-1]])
+    assert len(sizes) > 8 and max(sizes) < 2 * decontam.WINDOW * 600 and not live
+
+
 def test_pairs_in_linear_time():
     rng = np.random.default_rng(0)
     model = quality.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, 4)))
