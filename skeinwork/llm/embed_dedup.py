@@ -58,7 +58,7 @@ def links_at_all():
 
 def placed(classes: DataFrame, cosine: float) -> DataFrame:
     """Each class once at home in its cell of every block and once in every cell that its radius reaches."""
-    schema = "label string, size int, block int, cell string, home boolean, vec_id long, copies long, turned binary, vector binary"
+    schema = "label string, size int, block int, cell string, home boolean, node long, copies long, turned binary, vector binary"
     names = [field.split()[0] for field in schema.split(", ")]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +73,7 @@ def placed(classes: DataFrame, cosine: float) -> DataFrame:
     def _place(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
         plain = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
         turned = np.rint(unit(plain) @ rotation(size) / UNIT).astype(np.int32)
-        labels, vec, copies = (batch.column(x).to_pylist() for x in ("label", "vec_id", "copies"))
+        labels, node, copies = (batch.column(x).to_pylist() for x in ("label", "node", "copies"))
         rows = []
         for block, (a, b) in enumerate(bounds(size)):
             radius = np.sqrt(budget(size, b - a, cosine))
@@ -81,9 +81,9 @@ def placed(classes: DataFrame, cosine: float) -> DataFrame:
             width = CELL * radius
             home = np.floor(grid / width).astype(int)
             low, high = np.floor((grid - radius) / width).astype(int), np.floor((grid + radius) / width).astype(int)
-            for i in range(len(vec)):
+            for i in range(len(node)):
                 own = (str(labels[i]), size, block)
-                rest = (vec[i], copies[i], turned[i].tobytes(), plain[i].tobytes())
+                rest = (node[i], copies[i], turned[i].tobytes(), plain[i].tobytes())
                 rows.append((*own, ",".join(map(str, home[i])), True, *rest))
                 for cell in np.ndindex(*(high[i] - low[i] + 1)):
                     rows.append((*own, ",".join(map(str, low[i] + cell)), False, *rest))
@@ -106,7 +106,7 @@ def dealt(rows: DataFrame) -> DataFrame:
         *key, *(F.ceil(F.col(x) / SIDE).cast("int").alias(x) for x in ("homes", "guests"))
     )
     joined = rows.join(broadcast_checked(counts, 100_000), key)
-    side = F.pmod(F.xxhash64("vec_id"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int")
+    side = F.pmod(F.xxhash64("node"), F.when(F.col("home"), F.col("homes")).otherwise(F.col("guests"))).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.when(F.col("home"), F.col("guests")).otherwise(F.col("homes")) - 1))
     joined = joined.withColumn("side", side).withColumn("other", others)
     task = F.when(F.col("home"), F.struct(F.col("side").alias("h"), F.col("other").alias("g"))).otherwise(
@@ -116,9 +116,9 @@ def dealt(rows: DataFrame) -> DataFrame:
 
 
 def links(rows: DataFrame, cosine: float) -> DataFrame:
-    """(vec_id, n, root): links found of a class in a task, copies counted, and a class it is connected to there.
+    """(node, n, root): links found of a class in a task, copies counted, and a class it is connected to there.
 
-    A pair is counted in the first of its blocks that it passes, where the smaller id is at home; so in one task only.
+    A pair is counted in the first of its blocks that it passes, where the smaller node is at home; so in one task only.
     """
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -126,7 +126,7 @@ def links(rows: DataFrame, cosine: float) -> DataFrame:
         home, guest = group[group["home"]], group[~group["home"]]
         spans = bounds(size)
         turned = [np.frombuffer(b"".join(x["turned"]), np.int32).reshape(-1, size).astype(np.float64) for x in (home, guest)]
-        ids, copies = ([x[c].to_numpy() for x in (home, guest)] for c in ("vec_id", "copies"))
+        ids, copies = ([x[c].to_numpy() for x in (home, guest)] for c in ("node", "copies"))
         candidate = ids[0][:, None] < ids[1][None, :]
         for k in range(block + 1):
             a, b = spans[k]
@@ -148,11 +148,11 @@ def links(rows: DataFrame, cosine: float) -> DataFrame:
             np.minimum.at(root[0], i, root[1][j])
             if all(np.array_equal(x, y) for x, y in zip(root, before, strict=True)):
                 break
-        out = pd.DataFrame({"vec_id": np.concatenate(ids), "n": np.concatenate(counts).astype(np.int64), "root": np.concatenate(root)})
+        out = pd.DataFrame({"node": np.concatenate(ids), "n": np.concatenate(counts).astype(np.int64), "root": np.concatenate(root)})
         return out[out["n"] > 0]
 
     keys = ["label", "size", "block", "cell", "task"]
-    return rows.groupBy(*keys).applyInPandas(compare, "vec_id long, n long, root long")
+    return rows.groupBy(*keys).applyInPandas(compare, "node long, n long, root long")
 
 
 def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
@@ -160,20 +160,26 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     Rows link if their labels are equal and their cosine is at least ``cosine``. Equal vectors are one class, counted but not
     paired. Vectors that are null, zero, of another length, or hold null or non-finite components link with nothing, nor do
-    rows without a label or an id; they are their own component. Repeated rows link with each other.
+    rows without a label or an id; they are their own component. Repeated rows link with each other. An id only names: rows
+    that repeat one with other vectors or labels link by their own, and a component is named by its smallest id, so two that
+    hold rows of one id can share a name.
     """
     vectors = vectors.select("vec_id", "embedding", "label")
     good = vectors.filter(links_at_all())
     classes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
-    classes = common.stored(classes, "classes")
+    # numbers that stay as they are stored
+    classes = common.stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = common.stored(placed(classes, cosine), "placed")
     found = common.stored(links(dealt(rows), cosine), "links")
-    counts = found.groupBy("vec_id").agg(F.sum("n").alias("others"))
-    roots = components(found.select(F.col("vec_id").alias("a"), F.col("root").alias("b")))
-    known = classes.join(counts, "vec_id", "left").join(roots.withColumnRenamed("node", "vec_id"), "vec_id", "left")
+    counts = found.groupBy("node").agg(F.sum("n").alias("others"))
+    roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    members = roots.join(classes.select("node", "vec_id"), "node")
+    names = members.groupBy("root").agg(F.min("vec_id").alias("name"))
+    named = roots.join(names, "root").select("node", "name")
+    known = classes.join(counts, "node", "left").join(named, "node", "left")
     known = known.select(
         F.col("label").alias("l"), F.col("embedding").alias("e"),
-        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("root", "vec_id").alias("c"),
+        (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n"), F.coalesce("name", "vec_id").alias("c"),
     )
     linked = good.join(known, (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e"))).select("vec_id", "n", "c")
     lone = vectors.filter(~links_at_all()).select("vec_id", F.lit(0).cast("long").alias("n"), F.col("vec_id").alias("c"))

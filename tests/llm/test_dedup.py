@@ -158,6 +158,21 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.near_duplicates(table.filter("false")).count() == 0
 
 
+def test_embeddings_of_repeated_ids(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(4, 12))
+    near = lambda k: (base[k] + rng.normal(size=12) * 0.02).astype(np.float32).tolist()
+    rows = [(1, near(0), 0), (1, near(0), 0), (2, near(0), 0), (1, near(1), 0), (3, near(1), 0), (1, near(1), 1), (4, near(1), 1)]
+    rows += [(7, near(2), 0), (7, near(3), 1), (6, near(2), 0), (8, near(3), 1), (9, near(3), 1), (5, near(3), 1)]
+    units = [np.array(v, float) / np.linalg.norm(np.array(v, float)) for _, v, _ in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(len(rows))
+             if a != b and rows[a][2] == rows[b][2] and units[a] @ units[b] >= embed_dedup.COSINE]
+    root, count = brute.classes(len(rows), links), Counter(a for a, _ in links)
+    least = {r: min(i for (i, *_), x in zip(rows, root) if x == r) for r in root}
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    same(embed_dedup.near_duplicates(table), [(i, count[k], least[root[k]], i == least[root[k]]) for k, (i, *_) in enumerate(rows)])
+
+
 def test_lines(spark, empty):
     rows = [(i, "menu \n" + f"own {i}\n\n  footer{i % 2}", f"s{i}") for i in range(12)]
     rows += [(50, None, "s1"), (51, "", "s2"), (52, "menu\nmenu", None), (53, "\n", "s3"), (0, "other under a known id\nmenu", "s0"), rows[1]]
