@@ -48,6 +48,22 @@ def removed(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+class Held:
+    """Stored stages of one operator, deleted together when its result is stored."""
+
+    def __init__(self) -> None:
+        self.stages: list[DataFrame] = []
+
+    def stored(self, df: DataFrame, name: str) -> DataFrame:
+        self.stages.append(stored(df, name))
+        return self.stages[-1]
+
+    def clear(self) -> None:
+        for stage in self.stages:
+            removed(stage.sparkSession, stage)
+        self.stages = []
+
+
 def parts(spark: SparkSession) -> int:
     """Into how many parts keyed stages are dealt: as many as the session's shuffles."""
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))

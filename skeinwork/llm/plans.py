@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import decontam, embed_dedup, line_dedup, mixing, pii, quality, simhash, substring_dedup, suffix_dedup, tokens_out
+from skeinwork.llm import common, decontam, embed_dedup, line_dedup, mixing, pii, prefix_trie, quality, simhash, substring_dedup, suffix_dedup, tokens_out
 from skeinwork.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -59,11 +59,16 @@ def op10_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring_dedup.repeated_windows(table(spark, folder, "documents"), texts=False).drop("kept")
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    placed = common.stored(prefix_trie.numbered(table(spark, folder, "conversations")), "placed")
+    return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(placed), placed.select("conv_id").distinct())
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_line_dedup, op2_personal_data, op3_suffix_dedup, op4_mixing, op5_simhash, op6_embedding_dedup,
-        op7_decontamination, op8_quality, op9_token_shards, op10_substring_dedup,
+        op7_decontamination, op8_quality, op9_token_shards, op10_substring_dedup, op11_prefix_trie,
     )
 }
 
@@ -150,4 +155,23 @@ sums as (select doc_id, count(*) filter (gone) as n_removed,
     sha256(coalesce(string_agg(word, ' ' order by k) filter (not gone), '')) as kept from marked group by doc_id)
 select doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, coalesce(kept, sha256('')) as kept_sha256
 from docs left join sums using (doc_id)""",
+    "op11_prefix_trie": """with placed as (select conv_id as c, row_number() over (partition by conv_id order by turn nulls first,
+        md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) as p,
+        {'role': coalesce(role, ''), 'text': coalesce(text, '')} as t from conversations where conv_id is not null),
+own as (select c, list(t order by p) as turns, list_transform(flatten(list_transform(string_split(cast(c as varchar), ''),
+        lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])), lambda x: cast(x as bigint)) as bits from placed group by c),
+hashed as (select c, turns, xor(list_reduce(list_prepend(4294967295, bits), lambda a, x: case when x >= 0 then xor(a, x)
+        when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295) % 6 as h from own),
+rebuilt as (select a.c, list_concat(coalesce(b.turns[1:a.h], []), a.turns[a.h + 1:]) as turns
+    from hashed a left join hashed b on b.c = a.c - a.c % 100),
+paths as (select c, len(turns) as size, d, turns[1:d] as prefix from (select c, turns, unnest(range(0, len(turns) + 1)) as d from rebuilt)),
+nodes as (select d, prefix, min(c) as conv_id, count(*) as n, case when d = 0 then 0 else length(prefix[d].text) end as chars,
+    sha256(coalesce(string_agg(cast(c as varchar), ',' order by c) filter (size = d), '')) as ends from paths group by d, prefix),
+kids as (select d - 1 as d, prefix[1:d - 1] as prefix, count(*) as k from nodes where d > 0 group by all),
+known as (select n.*, coalesce(k, 0) as k from nodes n left join kids using (d, prefix)),
+below as (select t as d, prefix[1:t] as prefix, count(*) filter (k = 0) as leaves, sum((n - 1) * chars) as saved
+    from (select *, unnest(range(0, d + 1)) as t from known) group by all)
+select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n as n_convs, n.k as n_children, leaves as n_leaves,
+    cast(saved as bigint) as saved_tokens, n.ends as ends_sha256
+from known n join below b using (d, prefix) left join nodes p on p.d = n.d - 1 and p.prefix = n.prefix[1:n.d - 1]""",
 }
