@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import common, decontam, embed_dedup, line_dedup, mixing, pii, prefix_trie, quality, simhash, substring_dedup, suffix_dedup, tokens_out
+from skeinwork.llm import common, decontam, embed_dedup, line_dedup, mixing, pii, prefix_trie, quality, secrets, simhash, substring_dedup, suffix_dedup, tokens_out
 from skeinwork.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,11 +64,15 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(placed), placed.select("conv_id").distinct())
 
 
+def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_spans(spark, table(spark, folder, "documents"))
+
+
 QUERIES = {
     query.__name__: query
     for query in (
         op1_line_dedup, op2_personal_data, op3_suffix_dedup, op4_mixing, op5_simhash, op6_embedding_dedup,
-        op7_decontamination, op8_quality, op9_token_shards, op10_substring_dedup, op11_prefix_trie,
+        op7_decontamination, op8_quality, op9_token_shards, op10_substring_dedup, op11_prefix_trie, op13_secrets,
     )
 }
 

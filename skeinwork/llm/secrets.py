@@ -26,10 +26,10 @@ _ASSIGN = re.compile(rb"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=
 _ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 _HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{24,}")
 
-#: A candidate: a run of these characters between LEAST and MOST bytes, with a digit and a letter.
+#: A candidate: a run of at least LEAST of these characters, with a digit and a letter.
 BODY = np.zeros(256, bool)
 BODY[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-.", np.uint8)] = True
-LEAST, MOST = 16, 512
+LEAST = 16
 DIGIT = np.zeros(256, bool)
 DIGIT[0x30:0x3A] = True
 LETTER = np.zeros(256, bool)
@@ -141,8 +141,7 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends = common.word_bounds(data, offsets, ~BODY)
     trim = data[ends - 1] == 0x2E if ends.size else np.empty(0, bool)
     ends = ends - trim  # the full stop of a sentence
-    sizes = ends - starts
-    keep = (sizes >= LEAST) & (sizes <= MOST)
+    keep = ends - starts >= LEAST
     starts, ends = starts[keep], ends[keep]
     if not starts.size:
         return starts, ends
@@ -151,6 +150,16 @@ def candidates(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts[keep], ends[keep]
 
 
+def untouched(ranges: list[tuple[int, int]], base: list[tuple[int, str, int]]) -> Iterator[tuple[int, str, int]]:
+    """The ranges, ascending and apart, that no base span touches."""
+    taken, k, reach = sorted((a, b) for a, _, b in base), 0, 0
+    for a, b in ranges:
+        while k < len(taken) and taken[k][0] < b:
+            reach, k = max(reach, taken[k][1]), k + 1
+        if reach <= a:
+            yield a, RANDOM, b
+
+
 FOUND = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long"
 _ORDER = {kind: k for k, kind in enumerate((*KINDS, RANDOM))}
 
@@ -186,7 +195,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, models: Markov | None = N
                 text = raw[offsets[i] : offsets[i + 1]]
                 found = base_spans(text)
                 base = [(a, kind, b) for kind in KINDS for a, b in found[kind]]
-                added = [(a, RANDOM, b) for a, b in more.get(i, []) if not any(s < b and e > a for s, _, e in base)]
+                added = list(untouched(more.get(i, []), base))
                 if not base and not added:
                     continue
                 place = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
