@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.llm import common, decontam, embed_dedup, line_dedup, mixing, pii, prefix_trie, quality, secrets, simhash, substring_dedup, suffix_dedup, tokens_out
+from skeinwork.llm import common, decontam, embed_dedup, hard_negatives, line_dedup, mixing, pii, prefix_trie, quality, secrets, simhash, substring_dedup, suffix_dedup, tokens_out
 from skeinwork.llm.common import table
 
 VOCABULARY = "word_bpe_49k.json"
@@ -64,6 +64,12 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.with_shared_heads(placed), placed.select("conv_id").distinct())
 
 
+def op12_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", relabelled))
+
+
 def op13_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.secret_spans(spark, table(spark, folder, "documents"))
 
@@ -72,7 +78,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_line_dedup, op2_personal_data, op3_suffix_dedup, op4_mixing, op5_simhash, op6_embedding_dedup,
-        op7_decontamination, op8_quality, op9_token_shards, op10_substring_dedup, op11_prefix_trie, op13_secrets,
+        op7_decontamination, op8_quality, op9_token_shards, op10_substring_dedup, op11_prefix_trie, op12_hard_negatives, op13_secrets,
     )
 }
 
@@ -178,4 +184,16 @@ below as (select t as d, prefix[1:t] as prefix, count(*) filter (k = 0) as leave
 select n.conv_id, n.d as depth, p.conv_id as parent_conv_id, n.n as n_convs, n.k as n_children, leaves as n_leaves,
     cast(saved as bigint) as saved_tokens, n.ends as ends_sha256
 from known n join below b using (d, prefix) left join nodes p on p.d = n.d - 1 and p.prefix = n.prefix[1:n.d - 1]""",
+    "op12_hard_negatives": """with v as (select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+        list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q from embeddings
+    where vec_id is not null and label is not null and embedding is not null
+        and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, cast(list_dot_product(a.q, b.q) as bigint) as score
+    from v a join v b on a.vec_id <> b.vec_id and len(a.q) = len(b.q) where a.vec_id % 100 = 0),
+p as (select anchor_id, vec_id as positive_id, score as positive_score from s where same
+    qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5)
+select anchor_id, positive_id, cast(row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) as integer) as rank,
+    vec_id as negative_id, positive_score, score as negative_score
+from p join s using (anchor_id) where not same and 30 * positive_score <= 100 * score and 100 * score <= 90 * positive_score
+qualify rank <= 10""",
 }
