@@ -168,7 +168,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[MultiIndex]:
         sizes = pc.list_value_length(batch.column("q")).to_numpy(zero_copy_only=False)
         for size in np.unique(sizes).tolist():
             some = batch.take(pa.array(np.flatnonzero(sizes == size)))
-            vectors = some.column("q").flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
+            vectors = some.column("q").flatten().to_numpy(zero_copy_only=False).reshape(some.num_rows, size)
             for begin in range(0, len(vectors), most := max(256, SHARD_BYTES // (8 * max(1, size)))):
                 piece = slice(begin, begin + most)
                 waiting.setdefault(size, []).append((*(some.column(c).to_numpy()[piece] for c in ("vec_id", "tie", "label")), vectors[piece]))
