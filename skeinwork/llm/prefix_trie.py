@@ -174,15 +174,16 @@ def prefix_trie(placed: DataFrame, every: DataFrame) -> DataFrame:
     nodes = _nodes(path, cut, held)
     sums = _class_sums(nodes, cut, held)
 
-    root = nodes.filter("depth = 0").select("conv_id", "depth", F.lit(-1).cast("long").alias("k"))
-    inner = _node_sums(path, found.join(sums, PREFIX).select("rep", "k", "rest", "leaves"))
-    totals = inner.unionByName(root.join(sums, "k").select("conv_id", "depth", F.col("rest").alias("saved_tokens"), F.col("leaves").alias("n_leaves")))
+    zero = F.lit(0).cast("long").alias("depth")
+    top = sums.filter("k = -1").select(F.col("first").alias("conv_id"), zero, F.col("rest").alias("saved_tokens"), F.col("leaves").alias("n_leaves"))
+    totals = _node_sums(path, found.join(sums, PREFIX).select("rep", "k", "rest", "leaves")).unionByName(top)
 
     last = cut.groupBy("conv_id").agg(F.max(F.struct(*PREFIX)).alias("last")).select("conv_id", "last.*")
     digests = held.stored(listed_digests(last), "digests")
     closed = digests.join(found.select(*PREFIX, "rep", (F.col("k") * BLOCK + F.col("m")).alias("pos")), PREFIX).select("rep", "pos", "ends_sha256")
     ends = closed.join(path, ["rep", "pos"]).select(F.col("node").alias("conv_id"), F.col("pos").alias("depth"), "ends_sha256")
-    ends = ends.unionByName(root.join(digests, "k").select("conv_id", "depth", "ends_sha256"))
+    bare = digests.join(sums.select(*PREFIX, "first"), PREFIX).filter("k = -1").select(F.col("first").alias("conv_id"), zero, "ends_sha256")
+    ends = ends.unionByName(bare)
 
     key = ["conv_id", "depth"]
     out = nodes.join(totals, key).join(ends, key, "left").select(
@@ -208,7 +209,7 @@ def _nodes(path: DataFrame, cut: DataFrame, held: common.Held) -> DataFrame:
 
 
 def _class_sums(nodes: DataFrame, cut: DataFrame, held: common.Held) -> DataFrame:
-    """(k, a, b, rest, leaves): what the members of a class save after its block, and how many leaves they end in."""
+    """(k, a, b, first, rest, leaves): a class's smallest member, what its members save after its block, and the leaves they end in."""
     gains = nodes.groupBy("conv_id", F.floor((F.col("depth") - 1) / BLOCK).cast("long").alias("k")).agg(
         F.sum((F.col("n_convs") - 1) * F.col("chars")).alias("w"), F.count_if(F.col("n_children") == 0).alias("leaf")
     )
@@ -217,7 +218,7 @@ def _class_sums(nodes: DataFrame, cut: DataFrame, held: common.Held) -> DataFram
     )
     later = _running(own, "back", {"p": F.col("w"), "q": F.col("leaf")}, F.sum)
     rest, leaves = F.col("p") + F.col("t_p"), F.col("q") + F.col("t_q") + F.col("leaf")
-    return held.stored(later.groupBy(*PREFIX).agg(F.sum(rest).alias("rest"), F.sum(leaves).alias("leaves")), "sums")
+    return held.stored(later.groupBy(*PREFIX).agg(F.min("conv_id").alias("first"), F.sum(rest).alias("rest"), F.sum(leaves).alias("leaves")), "sums")
 
 
 def _node_sums(path: DataFrame, sums: DataFrame) -> DataFrame:
