@@ -10,7 +10,7 @@ from skeinwork.functions.arrays import let
 from skeinwork.functions.text import words
 from skeinwork.operators.labelled import labels_on_pieces, padded_labels, with_label_ids
 from skeinwork.operators.masking import PAD
-from skeinwork.operators.wordpiece import ROW, DICTIONARY_LIMIT, dictionary, look_up, numbered_rows, template
+from skeinwork.operators.wordpiece import cut_words, template
 
 # Sequence length and the class of positions without a word.
 LENGTH, PAD_LABEL = 200, 4
@@ -26,7 +26,7 @@ def _first_only(label_ids: Column, owners: Column, pad_label: int) -> Column:
 
 def entity_rows(
     tokens: DataFrame, index: DataFrame, vocab: DataFrame, length: int = LENGTH, pad_label: int = PAD_LABEL,
-    align: str = "word", limit: int = DICTIONARY_LIMIT,
+    align: str = "word",
 ) -> DataFrame:
     """``(id, input_ids, attention_mask, labels)`` of length ``length`` from ``(id, pos, word, label)``.
 
@@ -48,9 +48,7 @@ def entity_rows(
         listed = rows.select(
             "id", F.slice(F.flatten(parts), 1, length).alias("w"), F.slice(per_token, 1, length).alias("l")
         )
-    listed = numbered_rows(listed)
-    ids = look_up(listed, [ROW, "id"], ["w"], dictionary(listed, ["w"], vocab), limit)
-    both = ids.join(listed.select(ROW, "l"), ROW).withColumn("_ids", template(F.col("w_ids"), length))
+    both = cut_words(listed, ["w"], vocab).withColumn("_ids", template(F.col("w_ids"), length))
     labels = F.col("l") if align == "word" else labels_on_pieces(F.col("l"), F.col("w_sizes"), length, pad_label)
     return both.select(
         "id",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,9 +18,9 @@ SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
 PREFIX = "##"
 VOCAB_SIZE, MIN_FREQUENCY, ALPHABET_LIMIT = 30_500, 2, 1000
 
-# A word as text, each symbol between two spaces: neighbours meet at a double space, so replacing
-# " a  b " by " ab " merges left to right without overlap.
-GAP = "  "
+# Best pairs a training round begins to look at and most it comes to, distinct stretches of words that may reach the driver,
+# and symbols seen on each side of a pair.
+LOOK, LOOK_MOST, STRETCH_LIMIT, AROUND = 64, 8192, 60_000, 2
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -76,30 +80,147 @@ def _merged(left: str, right: str) -> str:
     return left + right.removeprefix(PREFIX)
 
 
-def independent_head(ranked: list, known: set[str], complete: bool) -> list:
-    """Longest head of the ranked pairs that one-by-one training would also merge next, in order.
+def marked_pairs(top: list[tuple[str, str]], known: set[str]) -> tuple[frozenset, frozenset]:
+    """Pairs whose every occurrence a round must see: the best ones, and all beside a token that one of them makes again."""
+    return frozenset(top), frozenset(t for t in (_merged(left, right) for left, right in top) if t in known)
+
+
+def stretches(parts: list[str], pairs: frozenset, again: frozenset) -> list[tuple[int, int]]:
+    """Ranges of a word's symbols around its marked pairs; ranges do not overlap or touch."""
+    out: list[tuple[int, int]] = []
+    for i in range(len(parts) - 1):
+        if (parts[i], parts[i + 1]) in pairs or parts[i] in again or parts[i + 1] in again:
+            begin, end = max(0, i - AROUND), min(len(parts), i + 2 + AROUND)
+            if out and begin <= out[-1][1]:
+                out[-1] = out[-1][0], end
+            else:
+                out.append((begin, end))
+    return out
+
 
-    A merge changes only counts of pairs that share a symbol with it, and a pair it creates counts
-    no more than one of those. So pairs ranked above the first that shares a symbol, and counted
-    strictly more often, are safe together. A doubled symbol, or a token that exists already, ends
-    the head after itself. ``complete`` says that no pair is left beyond the list.
+def contexts(state: DataFrame, top: list[tuple[str, str]], known: set[str]) -> DataFrame:
+    """``(s, before, after, n)``: the stretches of all words that a round must see, equal ones counted together.
+
+    ``before`` and ``after`` tell whether the word goes on beyond the stretch.
+    """
+    pairs, again = marked_pairs(top, known)
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple[str, bool, bool], int] = {}
+            for s, n in zip(batch.column("s").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                parts = s.split(" ")
+                for begin, end in stretches(parts, pairs, again):
+                    key = " ".join(parts[begin:end]), begin > 0, end < len(parts)
+                    found[key] = found.get(key, 0) + n
+            yield pa.RecordBatch.from_pydict(
+                {"s": [k[0] for k in found], "before": [k[1] for k in found], "after": [k[2] for k in found], "n": list(found.values())},
+                pa.schema([("s", pa.string()), ("before", pa.bool_()), ("after", pa.bool_()), ("n", pa.int64())]),
+            )
+
+    schema = "s string, before boolean, after boolean, n bigint"
+    return state.select("s", "n").mapInArrow(find, schema).groupBy("s", "before", "after").agg(F.sum("n").alias("n"))
+
+
+def merge_order(
+    found: list[tuple[list[str], bool, bool, int]], top: list[tuple[str, str]], last: tuple | None, least: int, known: set[str], room: int
+) -> list[tuple[str, str]]:
+    """The next merges of one-at-a-time training, as far as the stretches tell them.
+
+    A pair that was not among the best counts no more than the last of them, ``last`` (None: there are no others), and its count
+    only falls, so nothing unseen comes before ``last``. Counts of pairs with a new symbol are whole but for
+    occurrences at the end of a stretch that goes on; merging ends where such a pair could win, and after a token that exists
+    already though its surroundings were not asked for. ``room`` is the number of tokens still wanted.
     """
-    head, used, made = [], set(), set()
-    for row in ranked:
-        token = _merged(row["left"], row["right"])
-        alone = row["left"] == row["right"] or token in known or token in made
-        if used & {row["left"], row["right"]} or (head and alone):
-            return [h for h in head if h["n"] > row["n"]] or head[:1]
-        head.append(row)
-        used |= {row["left"], row["right"]}
-        made.add(token)
-        if alone:
+    pairs, again = marked_pairs(top, known)
+    parts = [list(p) for p, *_ in found]
+    counts: dict[tuple[str, str], int] = {}
+    where: dict[tuple[str, str], set[int]] = {}
+    for i, (some, _, _, n) in enumerate(found):
+        for pair in zip(some, some[1:]):
+            counts[pair] = counts.get(pair, 0) + n
+            where.setdefault(pair, set()).add(i)
+    fresh: set[str] = set()
+    heap = [(-counts[p], *p) for p in pairs if p in counts]
+    heap += [(-n, *p) for p, n in counts.items() if p not in pairs and (p[0] in again or p[1] in again)]
+    heapq.heapify(heap)
+    edges: dict[str, int] = {}
+    unseen, out = 0, []
+    while heap and room > 0:
+        rank = heapq.heappop(heap)
+        pair = rank[1:]
+        if -rank[0] != counts.get(pair, 0):
+            continue
+        if -rank[0] < least or -rank[0] <= unseen or (last is not None and rank > last):
             break
-    if complete:
-        return head
-    # The pair after a full list is unknown; it may tie with the last one.
-    last = ranked[-1]["n"]
-    return [h for h in head if h["n"] > last] or head[:1]
+        token = _merged(*pair)
+        out.append(pair)
+        strange = token in known and token not in again
+        if token not in known and token not in fresh:
+            room -= 1
+        fresh.add(token)
+        changed: set[tuple[str, str]] = set()
+        for i in where.pop(pair):
+            old, (_, before, after, n) = parts[i], found[i]
+            for p in zip(old, old[1:]):
+                counts[p] -= n
+                changed.add(p)
+            new = joined_at(old, pair, token)
+            parts[i] = new
+            for p in zip(new, new[1:]):
+                counts[p] = counts.get(p, 0) + n
+                where.setdefault(p, set()).add(i)
+                changed.add(p)
+            if before and new[0] == token and old[0] != token:
+                edges[token] = edges.get(token, 0) + n
+            if after and new[-1] == token and old[-1] != token:
+                edges[token + " "] = edges.get(token + " ", 0) + n
+        unseen = max(unseen, edges.get(token, 0), edges.get(token + " ", 0))
+        counts.pop(pair, None)
+        for p in changed:
+            if counts.get(p, 0) > 0 and (p in pairs or p[0] in fresh or p[1] in fresh or p[0] in again or p[1] in again):
+                heapq.heappush(heap, (-counts[p], *p))
+        if strange:
+            break
+    return out
+
+
+def joined_at(parts: list[str], pair: tuple[str, str], token: str) -> list[str]:
+    """``parts`` with every occurrence of the pair joined, from the left and without overlap."""
+    out, i = [], 0
+    while i < len(parts):
+        if i + 1 < len(parts) and parts[i] == pair[0] and parts[i + 1] == pair[1]:
+            out.append(token)
+            i += 2
+        else:
+            out.append(parts[i])
+            i += 1
+    return out
+
+
+def apply_merges(state: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
+    """Words after the merges, taken in order; a pair that comes to be after its turn stays apart."""
+    turns: dict[tuple[str, str], list[int]] = {}
+    for turn, pair in enumerate(merges):
+        turns.setdefault(pair, []).append(turn)
+
+    def merged(s: str) -> str:
+        parts, now = s.split(" "), 0
+        while len(parts) > 1:
+            due = [t for pair in zip(parts, parts[1:]) if pair in turns for t in turns[pair] if t >= now]
+            if not due:
+                break
+            now = min(due)
+            parts = joined_at(parts, merges[now], _merged(*merges[now]))
+            now += 1
+        return " ".join(parts)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = pa.array([merged(s) for s in batch.column("s").to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("n"), texts], ["n", "s"])
+
+    return state.select("n", "s").mapInArrow(work, "n bigint, s string")
 
 
 def train(
@@ -107,49 +228,54 @@ def train(
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
     alphabet_limit: int = ALPHABET_LIMIT,
-    look: int = 64,
-    freeze_every: int = 8,
+    look: int = LOOK,
+    limit: int = STRETCH_LIMIT,
 ) -> DataFrame:
     """Vocabulary ``(token, id)`` from word counts: specials, alphabet, continuations, then merges.
 
-    Each round counts all pairs as a Spark aggregation and brings the ``look`` best to the driver;
-    those that cannot influence each other are merged together, with the result of merging one at
-    a time. Equal counts go by left, then right symbol. Characters outside the alphabet drop out.
+    The result is that of merging one pair at a time; equal counts go by left, then right symbol. Characters outside the
+    alphabet drop out. A round counts all pairs and takes the ``look`` best (up to ``LOOK_MOST`` as rounds go on); the words'
+    stretches around them, counted together, are all that decides the next merges. At most ``limit`` distinct stretches come
+    to the driver: beyond that fewer pairs are looked at, and of a single pair nothing but its merge. So a round settles
+    hundreds or thousands of merges and the driver's share is bounded; words are counted, searched and rewritten where they lie.
     """
     spark = counts.sparkSession
     letters = sorted(r["char"] for r in alphabet(counts, alphabet_limit).collect())
     allowed = F.lit("".join(letters))
     kept = F.filter(characters(F.col("word")), lambda c: F.contains(allowed, c))
     spelled = F.transform(kept, lambda c, i: F.when(i == 0, c).otherwise(F.concat(F.lit(PREFIX), c)))
-    state = frozen(
-        counts.select("n", F.concat(F.lit(" "), F.array_join(spelled, GAP), F.lit(" ")).alias("s"))
-    )
-    parts = F.split(F.trim(F.col("s")), GAP)
+    state = frozen(counts.select("n", F.array_join(spelled, " ").alias("s")).filter("s <> ''"))
+    parts = F.split("s", " ")
     inner = state.select(F.explode(parts).alias("t")).filter(F.col("t").startswith(PREFIX)).distinct()
     tokens = SPECIALS + letters + sorted(r["t"] for r in inner.limit(2 * alphabet_limit).collect())
-    known, rounds = set(tokens), 0
+    known = set(tokens)
     while len(tokens) < vocab_size:
-        ranked = (
-            pair_counts(state, parts)
-            .filter(F.col("n") >= min_frequency)
-            .orderBy(F.desc("n"), "left", "right")
-            .limit(look)
-            .collect()
-        )
+        ranked = pair_counts(state, parts).filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "left", "right").limit(look + 1).collect()
         if not ranked:
             break
-        text = F.col("s")
-        for row in independent_head(ranked, known, len(ranked) < look):
-            token = _merged(row["left"], row["right"])
+        while True:
+            top = [(r["left"], r["right"]) for r in ranked[:look]]
+            merges = top if look == 1 else None
+            if merges:
+                break
+            found = contexts(state, top, known).limit(limit + 1).collect()
+            if len(found) <= limit:
+                break
+            look = max(1, look // 2)
+        if merges is None:
+            some = [(r["s"].split(" "), r["before"], r["after"], r["n"]) for r in found]
+            end = ranked[look - 1]
+            last = (-end["n"], end["left"], end["right"]) if len(ranked) > look else None
+            merges = merge_order(some, top, last, min_frequency, known, vocab_size - len(tokens))
+        for left, right in merges:
+            token = _merged(left, right)
             if token not in known:
-                if len(tokens) == vocab_size:
-                    break
                 tokens.append(token)
                 known.add(token)
-            text = F.replace(text, F.lit(f" {row['left']}{GAP}{row['right']} "), F.lit(f" {token} "))
-        state, rounds = state.select("n", text.alias("s")), rounds + 1
-        if rounds % freeze_every == 0:
-            state = frozen(state)
+        if len(tokens) < vocab_size:
+            state = frozen(apply_merges(state, merges))
+        if look == 1 or len(found) * 3 <= limit:
+            look = min(2 * look, LOOK_MOST)
     return from_tokens(spark, tokens)
 
 

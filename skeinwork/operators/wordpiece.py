@@ -1,131 +1,151 @@
-"""Subword encoding: every distinct word is cut once by joins, then documents look words up."""
+"""Subword encoding: words are cut by a trie where their rows lie, each distinct word of a batch once."""
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from skeinwork.functions import arrays
 from skeinwork.functions.text import words
 from skeinwork.operators.masking import CLS, PAD, SEP, UNK
-from skeinwork.operators.vocab import PREFIX, counted
-from skeinwork.session import broadcast_checked, frozen, hot_and_cold
+from skeinwork.operators.vocab import PREFIX
+from skeinwork.session import frozen
 
 # Longest word that is cut into pieces, and the default sequence length.
 MAX_WORD_CHARS, MAX_LENGTH = 100, 512
 VOCAB_LIMIT = 500_000
-DICTIONARY_LIMIT = 500_000
+# Cut words that a worker remembers.
+MEMO_WORDS = 300_000
 
 
-def segment(types: DataFrame, vocab: DataFrame, max_chars: int = MAX_WORD_CHARS) -> DataFrame:
-    """Adds ``pieces`` to a table with unique ``word``: ids of the greedy longest match from the left.
+class Trie:
+    """Longest match from the left in one pass over a word, by failure links (linear in the word's length).
 
-    Every substring that is in the vocabulary is found by one join; a fold keeps, at each start
-    it reaches, the longest. A word that cannot be covered, or is too long, is the unknown id.
-    With ``types`` hashed by word (the result of a count) nothing but the vocabulary moves.
+    Every node is a text that some token begins with. Where no child fits the next character, ``cut[node]`` are the pieces that
+    the text so far certainly ends with, and ``link[node]`` is the node of what is left over, below the continuation root; no
+    link means that the word cannot be covered.
     """
-    others = [c for c in types.columns if c != "word"]
-    inner = F.col("token").startswith(PREFIX)
-    first, rest = vocab.agg(
-        F.max(F.when(~inner, F.length("token"))), F.max(F.when(inner, F.length("token") - len(PREFIX)))
-    ).first()
-    longest = F.when(F.col("_start") == 0, F.lit(first or 1)).otherwise(F.lit(rest or 1))
-    size = F.length("word")
-    short = F.when(size <= max_chars, F.sequence(F.lit(0), size - 1)).otherwise(F.array().cast("array<int>"))
-    starts = types.select("word", *others, F.explode_outer(short).alias("_start"))
-    lengths = F.sequence(F.lit(1), F.least(longest, F.length("word") - F.col("_start")))
-    cuts = starts.select(
-        "word", *others, "_start", F.explode_outer(F.when(F.col("_start").isNotNull(), lengths)).alias("_len")
-    )
-    mark = F.when(F.col("_start") > 0, F.lit(PREFIX)).otherwise(F.lit(""))
-    cuts = cuts.withColumn(
-        "token", F.concat(mark, F.substr("word", F.col("_start") + 1, F.col("_len")))
-    )
-    found = cuts.join(broadcast_checked(vocab.select("token", "id"), VOCAB_LIMIT), "token", "left")
-    # One row per word stays even if nothing matches; the rest of the misses need not be grouped.
-    first_cut = F.coalesce(F.col("_start"), F.lit(0)) + F.coalesce(F.col("_len"), F.lit(1)) == 1
-    found = found.filter(F.col("id").isNotNull() | first_cut)
-    match = F.when(
-        F.col("id").isNotNull(), F.struct(F.col("_start").alias("start"), (-F.col("_len")).alias("minus"), "id")
-    )
-    grouped = found.groupBy("word").agg(
-        F.sort_array(F.collect_list(match)).alias("_m"), *[F.first(c).alias(c) for c in others]
-    )
-    begin = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("ids"))
 
-    def step(state: Column, m: Column) -> Column:
-        taken = F.struct(
-            (state["next"] - m["minus"]).alias("next"), F.concat(state["ids"], F.array(m["id"])).alias("ids")
-        )
-        return F.when(m["start"] == state["next"], taken).otherwise(state)
-
-    unknown = F.array(F.lit(UNK))
-    cut = arrays.let(
-        F.aggregate("_m", begin, step),
-        lambda s: F.when((s["next"] == F.length("word")) & (F.size(s["ids"]) > 0), s["ids"]).otherwise(unknown),
+    def __init__(self, tokens: list[str], ids: list[int]) -> None:
+        self.child: list[dict[str, int]] = [{}, {}]
+        whole: dict[int, int] = {}
+        parents: list[tuple[int, str]] = [(0, ""), (0, "")]
+        for token, number in zip(tokens, ids, strict=True):
+            for root, text in ((0, token), (1, token.removeprefix(PREFIX) if token.startswith(PREFIX) else "")):
+                node = root
+                for c in text:
+                    below = self.child[node].get(c)
+                    if below is None:
+                        below = self.child[node][c] = len(self.child)
+                        self.child.append({})
+                        parents.append((node, c))
+                    node = below
+                if text:
+                    whole[node] = number
+        self.link, self.cut = [-1] * len(self.child), [()] * len(self.child)
+        level = [*self.child[0].values(), *self.child[1].values()]
+        while level:
+            for node in level:
+                if node in whole:
+                    self.link[node], self.cut[node] = 1, (whole[node],)
+                    continue
+                parent, c = parents[node]
+                pieces, at = self.cut[parent], self.link[parent]
+                while at >= 0 and c not in self.child[at]:
+                    pieces, at = pieces + self.cut[at], self.link[at]
+                if at >= 0:
+                    self.link[node], self.cut[node] = self.child[at][c], pieces
+            level = [below for node in level for below in self.child[node].values()]
+
+    def pieces(self, word: str) -> tuple[int, ...]:
+        """Ids of the greedy longest match; the unknown id alone for a word that cannot be covered, or is empty."""
+        node, out = 0, ()
+        for c in word:
+            while (below := self.child[node].get(c)) is None:
+                if self.link[node] < 0:
+                    return (UNK,)
+                out, node = out + self.cut[node], self.link[node]
+            node = below
+        while node != 1:
+            if self.link[node] < 0:
+                return (UNK,)
+            out, node = out + self.cut[node], self.link[node]
+        return out or (UNK,)
+
+
+#: The trie a worker has built last, and the words it has cut with it.
+_HELD: dict[str, tuple[Trie, dict[str, tuple[int, ...]]]] = {}
+
+
+def _held(digest: str, tokens: list[str], ids: list[int]) -> tuple[Trie, dict[str, tuple[int, ...]]]:
+    if digest not in _HELD:
+        _HELD.clear()
+        _HELD[digest] = Trie(tokens, ids), {}
+    return _HELD[digest]
+
+
+def _cut_lists(lists: pa.Array, trie: Trie, memo: dict[str, tuple[int, ...]], max_chars: int) -> tuple[pa.Array, pa.Array]:
+    """Piece ids of a column of word arrays, and pieces of each word; each distinct word of the batch is looked at once."""
+    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    coded = lists.flatten().dictionary_encode()
+    types = []
+    for word in coded.dictionary.to_pylist():
+        ids = memo.get(word)
+        if ids is None:
+            ids = trie.pieces(word) if len(word) <= max_chars else (UNK,)
+            if len(memo) >= MEMO_WORDS:
+                memo.clear()
+            memo[word] = ids
+        types.append(ids)
+    lengths = np.fromiter(map(len, types), np.int64, len(types))
+    pool = np.fromiter((x for ids in types for x in ids), np.int32, int(lengths.sum()))
+    which = coded.indices.to_numpy(zero_copy_only=False)
+    sizes = lengths[which] if which.size else np.empty(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    first = np.cumsum(lengths) - lengths
+    source = np.repeat(first[which] - ends[:-1], sizes) + np.arange(ends[-1]) if which.size else np.empty(0, np.int64)
+    words = np.concatenate([[0], np.cumsum(counts)])
+    return (
+        pa.ListArray.from_arrays(pa.array(ends[words], pa.int32()), pa.array(pool[source], pa.int32())),
+        pa.ListArray.from_arrays(pa.array(words, pa.int32()), pa.array(sizes, pa.int32())),
     )
-    return grouped.select("word", *others, cut.alias("pieces"))
-
-
-def dictionary(df: DataFrame, lists: list[str], vocab: DataFrame) -> DataFrame:
-    """``(word, n, pieces)`` of the distinct words in the given array columns, written once.
-
-    Words too long to be cut are left out, so a row has a bounded size.
-    """
-    counts = counted(df, F.concat(*[F.col(c) for c in lists]))
-    return frozen(segment(counts.filter(F.length("word") <= MAX_WORD_CHARS), vocab))
 
 
-def look_up(df: DataFrame, key: list[str], lists: list[str], cut: DataFrame, limit: int = DICTIONARY_LIMIT) -> DataFrame:
-    """``(*key, <list>_ids, <list>_sizes ..)``: piece ids of the word arrays, and pieces per word, in order.
+def cut_words(df: DataFrame, lists: list[str], vocab: DataFrame, max_chars: int = MAX_WORD_CHARS) -> DataFrame:
+    """``df`` with ``<list>_ids`` and ``<list>_sizes`` for each array column of words: piece ids, and pieces per word, in order.
 
-    The columns ``key`` are unique and not NULL together. Rows are hashed by them while they are still whole; exploding, the broadcast lookup and
-    collecting them again then stay in the partition. A dictionary of more than ``limit`` words is
-    parted by count: words seen at least ``total/limit`` times are at most ``limit`` and are
-    broadcast; the rest join by shuffle, where none of them can be hot.
+    Pieces are the greedy longest match from the left; a word that cannot be covered, is longer than ``max_chars`` or is empty
+    is the unknown id. A missing array is empty. Nothing moves: rows are cut where they lie, in a batch or a stream, against a trie
+    that each worker builds once. The vocabulary, which is small by construction, may have ``VOCAB_LIMIT`` tokens.
     """
+    rows = sorted(((r["id"], r["token"]) for r in vocab.select("token", "id").limit(VOCAB_LIMIT + 1).collect()))
+    if len(rows) > VOCAB_LIMIT:
+        raise ValueError(f"more than {VOCAB_LIMIT} tokens")
+    ids, tokens = [i for i, _ in rows], [t for _, t in rows]
+    digest = hashlib.sha256(repr(rows).encode()).hexdigest()
+    held = df.sparkSession.sparkContext.broadcast((tokens, ids))
+    schema = StructType([*df.schema.fields, *[StructField(f"{c}_{x}", ArrayType(IntegerType())) for c in lists for x in ("ids", "sizes")]])
 
-    def numbered(k: int) -> Column:
-        return F.transform(
-            F.col(lists[k]), lambda w, i: F.struct(F.lit(k).alias("list"), i.alias("pos"), w.alias("word"))
-        )
-
-    named = F.concat(*[numbered(k) for k in range(len(lists))])
-    tokens = (
-        df.select(*key, named.alias("_all"))
-        .repartition(*key)
-        .select(*key, F.explode_outer("_all").alias("_t"))
-        .select(*key, "_t.list", "_t.pos", "_t.word")
-    )
-    entry = F.struct("list", "pos", "pieces")
-    hot, cold = hot_and_cold(cut, limit)
-    too_long = F.when(F.length("word") > MAX_WORD_CHARS, F.array(F.lit(UNK)))
-    joined = tokens.join(hot.select("word", "pieces"), "word", "left").withColumn(
-        "pieces", F.coalesce("pieces", too_long)
-    )
-    known = F.when(F.col("pieces").isNotNull(), entry)
-    held = joined.groupBy(*key).agg(F.collect_list(known).alias("_p"))
-    if cold is not None:
-        missed = joined.filter(F.col("pieces").isNull() & F.col("word").isNotNull()).drop("pieces")
-        rare = missed.join(cold.select("word", "pieces"), "word").groupBy(*key).agg(F.collect_list(entry).alias("_r"))
-        held = held.join(rare.drop(*key[1:]), key[0], "left").select(*key, F.concat("_p", F.coalesce("_r", F.array())).alias("_p"))
-    held = held.select(*key, F.sort_array("_p").alias("_p"))
-
-    def pieces_of(k: int) -> Column:
-        mine = F.filter("_p", lambda p: p["list"] == k) if len(lists) > 1 else F.col("_p")
-        return F.transform(mine, lambda p: p["pieces"])
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, memo = _held(digest, *held.value)
+        for batch in batches:
+            added = [x for c in lists for x in _cut_lists(batch.column(c), trie, memo, max_chars)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
 
-    ids = [F.flatten(pieces_of(k)).alias(f"{c}_ids") for k, c in enumerate(lists)]
-    sizes = [F.transform(pieces_of(k), lambda p: F.size(p)).alias(f"{c}_sizes") for k, c in enumerate(lists)]
-    return held.select(*key, *ids, *sizes)
+    return df.mapInArrow(work, schema)
 
 
-ROW = "_row"
-
-
-def numbered_rows(df: DataFrame) -> DataFrame:
-    """``df`` written once with a row number, so that rows of one key, or without a key, stay apart."""
-    return frozen(df.withColumn(ROW, F.monotonically_increasing_id()))
+def segment(types: DataFrame, vocab: DataFrame, max_chars: int = MAX_WORD_CHARS) -> DataFrame:
+    """Adds ``pieces`` to a table with ``word``: ids of the greedy longest match from the left."""
+    cut = cut_words(types.withColumn("_w", F.array("word")), ["_w"], vocab, max_chars)
+    return cut.select(*types.columns, F.col("_w_ids").alias("pieces"))
 
 
 def template(ids: Column, max_len: int = MAX_LENGTH, mode: str = "truncate") -> Column:
@@ -163,7 +183,7 @@ def pair_template(a: Column, b: Column, max_len: int = MAX_LENGTH, mode: str = "
 
 def encode(
     df: DataFrame, key: str, vocab: DataFrame, text: str = "text", max_len: int | None = MAX_LENGTH,
-    mode: str = "truncate", pad: str = "none", limit: int = DICTIONARY_LIMIT,
+    mode: str = "truncate", pad: str = "none",
 ) -> DataFrame:
     """``(key, input_ids, attention_mask, token_type_ids)`` of one text column.
 
@@ -172,17 +192,16 @@ def encode(
     table) or ``max_length``. ``max_len=None`` keeps whole texts. Every row of ``df`` gets a row,
     whether its key repeats or is NULL.
     """
-    return encode_words(df.select(key, words(F.col(text)).alias("w")), key, vocab, "w", max_len, mode, pad, limit)
+    return encode_words(df.select(key, words(F.col(text)).alias("w")), key, vocab, "w", max_len, mode, pad)
 
 
 def encode_words(
     df: DataFrame, key: str, vocab: DataFrame, listed: str = "w", max_len: int | None = MAX_LENGTH,
-    mode: str = "truncate", pad: str = "none", limit: int = DICTIONARY_LIMIT,
+    mode: str = "truncate", pad: str = "none",
 ) -> DataFrame:
     """``encode`` for texts that are arrays of words already."""
     kept = F.col(listed) if max_len is None else F.slice(listed, 1, max_len)
-    prepared = numbered_rows(df.select(key, kept.alias("w")))
-    ids = look_up(prepared, [ROW, key], ["w"], dictionary(prepared, ["w"], vocab), limit)
+    ids = cut_words(df.select(key, kept.alias("w")), ["w"], vocab)
     whole = 2_147_483_647 if max_len is None else max_len
     return padded(ids.select(key, template(F.col("w_ids"), whole, mode).alias("input_ids")), key, max_len, pad)
 
@@ -209,17 +228,11 @@ def padded(encoded: DataFrame, key: str, max_len: int | None, pad: str) -> DataF
 
 def encode_pair(
     df: DataFrame, key: str, vocab: DataFrame, first: str, second: str, max_len: int = MAX_LENGTH,
-    mode: str = "slice", limit: int = DICTIONARY_LIMIT,
+    mode: str = "slice",
 ) -> DataFrame:
     """``(key, input_ids, token_type_ids, attention_mask)`` of two text columns, filled to ``max_len``."""
-    prepared = numbered_rows(
-        df.select(
-            key,
-            F.slice(words(F.col(first)), 1, max_len).alias("a"),
-            F.slice(words(F.col(second)), 1, max_len).alias("b"),
-        )
-    )
-    ids = look_up(prepared, [ROW, key], ["a", "b"], dictionary(prepared, ["a", "b"], vocab), limit)
+    listed = [F.slice(words(F.col(c)), 1, max_len).alias(name) for c, name in ((first, "a"), (second, "b"))]
+    ids = cut_words(df.select(key, *listed), ["a", "b"], vocab)
     both = ids.select(key, pair_template(F.col("a_ids"), F.col("b_ids"), max_len, mode).alias("p"))
     return both.select(
         key,

@@ -9,7 +9,7 @@ from skeinwork.functions import text
 from skeinwork.operators import language, metrics, order, vocab
 from skeinwork.plans import sql
 from skeinwork.plans.tables import documents, spread, table
-from skeinwork.session import scratch_path
+from skeinwork.session import frozen, scratch_path
 from skeinwork.sources import readers, sinks
 
 LANGUAGES = ["de", "en", "es", "fr"]
@@ -93,7 +93,7 @@ def pair_counts(spark, folder):
 
 
 def vocab_train(spark, folder):
-    return vocab.train(vocab.word_counts(documents(spark, folder)), vocab_size=200)
+    return vocab.train(frozen(vocab.word_counts(documents(spark, folder))))
 
 
 def read_lines_sample(spark, folder):

@@ -29,7 +29,7 @@ def cut(word):
                 break
         else:
             return [1]
-    return out
+    return out or [1]
 
 
 WORDS = ["unaffable", "una", "hello", "xyz", "a" * 101, "a" * 100, "aff", "unaffablex", ",", "b"]
@@ -41,18 +41,42 @@ def test_segment(spark):
     assert got == {w: cut(w) for w in WORDS}
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 3])
-def test_encode_with_small_and_large_dictionary(spark, limit):
-    """Beyond the limit the rare words join by shuffle; the result is the same."""
+@pytest.mark.parametrize("remembered", [1_000_000, 1])
+def test_encode_with_and_without_remembered_words(spark, monkeypatch, remembered):
+    monkeypatch.setattr(wordpiece, "MEMO_WORDS", remembered)
     texts = [(1, "hello, unaffable b b b"), (2, ""), (3, "b xyz " * 400), (4, None)]
     df = spark.createDataFrame(texts, "doc_id int, text string")
-    encoded = wordpiece.encode(df, "doc_id", vocab.from_tokens(spark, TOKENS), max_len=16, limit=limit)
+    encoded = wordpiece.encode(df, "doc_id", vocab.from_tokens(spark, TOKENS), max_len=16)
     got = {r["doc_id"]: r["input_ids"] for r in encoded.collect()}
     for key, text in texts:
         ids = [i for w in (text or "").replace(",", " , ").split() for i in cut(w)]
         assert got[key] == [2, *ids[:14], 3]
 
 
+def test_trie_is_the_longest_match(spark):
+    chance = random.Random(3)
+    spell = lambda most: "".join(chance.choice("ab#é") for _ in range(chance.randrange(1, most)))
+    for _ in range(60):
+        tokens = [*vocab.SPECIALS, *{chance.choice(["", "##"]) + spell(5) for _ in range(chance.randrange(1, 14))}]
+        ids = {t: i for i, t in enumerate(tokens)}
+        trie = wordpiece.Trie(tokens, list(ids.values()))
+        for word in [spell(12) for _ in range(80)]:
+            out, start = [], 0
+            while start < len(word) and out != [1]:
+                ends = [e for e in range(len(word), start, -1) if ("##" if start else "") + word[start:e] in ids]
+                out, start = (out + [ids[("##" if start else "") + word[start : ends[0]]]], ends[0]) if ends else ([1], len(word))
+            assert list(trie.pieces(word)) == out, (tokens, word)
+
+
+def test_cut_words_keeps_rows_and_columns(spark):
+    rows = [(1, ["hello", "b", "hello"], ["una"]), (1, None, []), (None, [], ["xyz", "a" * 101, ""]), (1, ["hello", "b", "hello"], ["una"])]
+    df = spark.createDataFrame(rows, "k int, x array<string>, y array<string>").repartition(1)
+    got = sorted(map(repr, (tuple(r) for r in wordpiece.cut_words(df, ["x", "y"], vocab.from_tokens(spark, TOKENS)).collect())))
+    cutting = lambda ws: ([i for w in ws or [] for i in cut(w)], [len(cut(w)) for w in ws or []])
+    assert got == sorted(repr((k, x, y, *cutting(x), *cutting(y))) for k, x, y in rows)
+    assert wordpiece.cut_words(df.limit(0), ["x"], vocab.from_tokens(spark, TOKENS)).count() == 0
+
+
 def test_padding_modes(spark):
     df = spark.createDataFrame([(1, "hello b"), (2, "b")], "doc_id int, text string")
     words = vocab.from_tokens(spark, TOKENS)
@@ -174,43 +198,53 @@ def test_masked_share_of_whole_words(spark):
 
 
 def train_by_hand(counts, size, least=2):
-    """One merge at a time over all words."""
+    """One merge at a time; only the words of the merged pair are counted again."""
     letters = sorted({c for w in counts for c in w})
     split = {w: [c if i == 0 else "##" + c for i, c in enumerate(w)] for w in counts}
-    out = [*vocab.SPECIALS, *letters, *sorted({s for p in split.values() for s in p if s.startswith("##")})]
-    while len(out) < size:
-        pairs = {}
-        for word, parts in split.items():
-            for left, right in zip(parts, parts[1:]):
-                pairs[left, right] = pairs.get((left, right), 0) + counts[word]
-        ranked = sorted((-n, *p) for p, n in pairs.items() if n >= least)
-        if not ranked:
+    out = dict.fromkeys([*vocab.SPECIALS, *letters, *sorted({s for p in split.values() for s in p[1:]})])
+    pairs, held = {}, {}
+
+    def add(word):
+        for pair in zip(split[word], split[word][1:]):
+            pairs[pair] = pairs.get(pair, 0) + counts[word]
+            held.setdefault(pair, set()).add(word)
+
+    for word in split:
+        add(word)
+    while len(out) < size and pairs:
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        if pairs[best] < least:
             break
-        _, left, right = ranked[0]
-        token = left + right.removeprefix("##")
-        if token not in out:
-            out.append(token)
-        for word, parts in split.items():
-            merged, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and parts[i] == left and parts[i + 1] == right:
-                    merged.append(token)
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
+        out[best[0] + best[1].removeprefix("##")] = None
+        for word in held.pop(best):
+            for pair in zip(split[word], split[word][1:]):
+                pairs[pair] -= counts[word]
+            merged, parts = [], split[word]
+            while parts:
+                two = tuple(parts[:2]) == best
+                merged.append(best[0] + best[1].removeprefix("##") if two else parts[0])
+                parts = parts[1 + two :]
             split[word] = merged
-    return out
+            add(word)
+        pairs = {p: n for p, n in pairs.items() if n > 0 and p != best}
+    return list(out)
+
+
+def test_training_on_a_corpus_equals_one_merge_at_a_time(spark):
+    counts = frozen(vocab.word_counts(tokens.documents(spark, TABLES)))
+    got = [r["token"] for r in vocab.train(counts, vocab_size=1500).orderBy("id").collect()]
+    assert got == train_by_hand({r["word"]: r["n"] for r in counts.collect()}, 1500)
 
 
-def test_training_equals_one_merge_at_a_time(spark):
+@pytest.mark.parametrize("limit", [60_000, 40, 3])
+def test_training_equals_one_merge_at_a_time(spark, limit):
     chance = random.Random(11)
     counts = {}
     for _ in range(120):
         word = "".join(chance.choice("aabcde") for _ in range(chance.randrange(1, 8)))
         counts[word] = counts.get(word, 0) + chance.choice([1, 2, 3, 40])
     df = spark.createDataFrame(list(counts.items()), "word string, n bigint")
-    got = [r["token"] for r in vocab.train(df, vocab_size=60, look=16).orderBy("id").collect()]
+    got = [r["token"] for r in vocab.train(df, vocab_size=60, look=16, limit=limit).orderBy("id").collect()]
     assert got == train_by_hand(counts, 60)
 
 
