@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from skeinwork.functions import arrays
 from skeinwork.functions.text import words
@@ -148,6 +148,30 @@ def segment(types: DataFrame, vocab: DataFrame, max_chars: int = MAX_WORD_CHARS)
     return cut.select(*types.columns, F.col("_w_ids").alias("pieces"))
 
 
+def decode_words(df: DataFrame, ids: str, sizes: str, vocab: DataFrame, name: str = "decoded") -> DataFrame:
+    """``df`` with the text of its pieces: those of a word without gap or prefix, words apart by one space."""
+    rows = vocab.select("id", "token").limit(VOCAB_LIMIT + 1).collect()
+    if len(rows) > VOCAB_LIMIT:
+        raise ValueError(f"more than {VOCAB_LIMIT} tokens")
+    plain = [""] * (max((r["id"] for r in rows), default=-1) + 1)
+    for r in rows:
+        plain[r["id"]] = r["token"].removeprefix(PREFIX)
+    held = df.sparkSession.sparkContext.broadcast(plain)
+    schema = StructType([*df.schema.fields, StructField(name, StringType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = pa.array(held.value, pa.string())
+        for batch in batches:
+            lengths = batch.column(sizes)
+            ends = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False))])
+            words = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.take(batch.column(ids).flatten())), "")
+            rows = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lengths), 0).to_numpy(zero_copy_only=False))])
+            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(rows, pa.int32()), words), " ")
+            yield pa.RecordBatch.from_arrays([*batch.columns, joined], schema.names)
+
+    return df.mapInArrow(work, schema)
+
+
 def template(ids: Column, max_len: int = MAX_LENGTH, mode: str = "truncate") -> Column:
     """Boundary ids around one sequence. ``truncate`` keeps both; ``slice`` cuts afterwards."""
     if mode == "slice":

@@ -11,9 +11,9 @@ from skeinwork.plans import sql
 from skeinwork.plans.tables import documents, spread, table
 from skeinwork.session import frozen
 
-# The vocabulary of these queries: specials, all characters alone and as continuation, the most
-# frequent words and word endings. It has a plain SQL twin, unlike a trained one.
-TOP_WORDS, TOP_ENDINGS, ENDING = 2000, 1000, 3
+# The vocabulary of the queries that have a SQL twin: specials, all characters alone and as continuation, the most frequent
+# words and word endings, up to the size of a trained one. The queries named "trained" train theirs.
+TOP_WORDS, TOP_ENDINGS, ENDING = 26_000, 4_000, 3
 SEED = 17
 
 
@@ -57,6 +57,12 @@ def corpus_vocabulary(spark, folder) -> DataFrame:
     return rule_vocabulary(frozen(vocab.word_counts(documents(spark, folder))))
 
 
+def trained_vocabulary(spark, folder) -> tuple[DataFrame, DataFrame]:
+    """The documents' words, and a vocabulary trained on them to the full size."""
+    listed = corpus_words(spark, folder)
+    return listed, vocab.train(frozen(vocab.counted(listed, F.col("w"))))
+
+
 def shown(column: str):
     return F.array_join(F.transform(column, lambda x: x.cast("string")), " ")
 
@@ -85,6 +91,28 @@ def wordpiece_whole(spark, folder):
     )
 
 
+def wordpiece_encode_trained(spark, folder):
+    """The encoding on a trained vocabulary."""
+    listed, words = trained_vocabulary(spark, folder)
+    encoded = wordpiece.encode_words(listed, "doc_id", words, pad="longest")
+    return encoded.select("doc_id", shown("input_ids").alias("input_ids"), shown("attention_mask").alias("attention_mask"))
+
+
+def trained_round_trip(spark, folder):
+    """Whole texts on a trained vocabulary and back: the words as they were, none unknown but those too long to be cut."""
+    listed, words = trained_vocabulary(spark, folder)
+    cut = wordpiece.decode_words(wordpiece.cut_words(listed, ["w"], words), "w_ids", "w_sizes", words)
+    return cut.select("doc_id", F.size("w_sizes").alias("n_words"), F.col("decoded").alias("words"))
+
+
+def training_table_trained(spark, folder):
+    """What training reads, on a trained vocabulary: whole words masked, padding never drawn."""
+    listed, words = trained_vocabulary(spark, folder)
+    encoded = wordpiece.encode_words(listed, "doc_id", words, pad="longest").drop("token_type_ids")
+    flags = vocab.continuation_flags(words)
+    return _shown_table(masking.mask_whole_words(encoded, "doc_id", SEED, flags, skip_padding=True))
+
+
 def turn_pairs(turns: DataFrame) -> DataFrame:
     """Each user turn with the assistant turn after it."""
     asked = turns.filter("role = 'user'").select(
@@ -178,6 +206,9 @@ def mask_whole_word(spark, folder):
 QUERIES = {
     "wordpiece_encode": wordpiece_encode,
     "wordpiece_whole": wordpiece_whole,
+    "wordpiece_encode_trained": wordpiece_encode_trained,
+    "trained_round_trip": trained_round_trip,
+    "training_table_trained": training_table_trained,
     "pair_encode_slice": pair_encode_slice,
     "pair_rejects": pair_rejects,
     "pair_encode_longest_first": pair_encode_longest_first,
@@ -306,6 +337,9 @@ select doc_id, {joined('list(y order by i)')} as input_ids, {joined('list(x orde
 
 
 ORACLES = {
+    "trained_round_trip": f"""with listed as (select doc_id, {sql.words('text')} as w from documents)
+select doc_id, cast(len(w) as integer) as n_words,
+    array_to_string(list_transform(w, lambda x: case when length(x) > 100 then '[UNK]' else x end), ' ') as words from listed""",
     "wordpiece_encode": f"""{encoded(512)},
 longest as (select max(len(ids)) as m from enc)
 select doc_id, {joined('list_resize(ids, m, 0)')} as input_ids,
