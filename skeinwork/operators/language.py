@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions.text import strip
-from skeinwork.session import frozen, hot_and_cold
+from skeinwork.session import frozen
 
 # Language kept, least length, and the one character a line's end adds to it.
 KEPT_LANGUAGE, MIN_CHARS, LINE_END = "en", 1000, 1
 SCALE = 1_000_000
+# Bits of a character in a gram's key, characters that one numpy pass takes, grams that a worker holds at once.
+BITS, PASS_CHARS, MODEL_LIMIT = 21, 500_000, 2_000_000
 
 
 def is_kept(lang: Column, text: Column, language: str = KEPT_LANGUAGE, min_chars: int = MIN_CHARS) -> Column:
@@ -33,26 +40,77 @@ def reject_counts(df: DataFrame) -> DataFrame:
     return df.groupBy("lang", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def grams(text: Column, longest: int = 3) -> Column:
-    """All character 1- to ``longest``-grams of the lowercased text: whole text, linear time."""
-    low = F.lower(text)
-    return F.concat(
-        *[F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{n}}}))."), F.lit(1)) for n in range(1, longest + 1)]
-    )
+def gram_keys(lows: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all character 1- to ``longest``-grams of a column of texts, and the row of each; no gram crosses a row.
+
+    A key holds the code points themselves, 21 bits each, so different grams (of up to three characters) have different keys.
+    """
+    if longest > 3:
+        raise ValueError("a key holds three characters")
+    texts = pc.fill_null(lows, "")
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    sizes = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(sizes.size), sizes)
+    keys, rows, run = [], [], points
+    for n in range(1, longest + 1):
+        if n > 1:
+            run = (run[: max(0, points.size - n + 1)] << np.uint64(BITS)) | points[n - 1 :]
+        inside = row[: run.size] == row[n - 1 : n - 1 + run.size]
+        keys.append(run[inside])
+        rows.append(row[: run.size][inside])
+    return np.concatenate(keys), np.concatenate(rows)
+
+
+def key_of(gram: str) -> int:
+    out = 0
+    for c in gram:
+        out = out << BITS | (ord(c) + 1)
+    return out
+
+
+def gram_of(key: int) -> str:
+    out = ""
+    while key:
+        out, key = chr((key & (1 << BITS) - 1) - 1) + out, key >> BITS
+    return out
+
+
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that one numpy pass takes about ``PASS_CHARS`` characters; a longer text stands alone."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("low")), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + PASS_CHARS, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def gram_counts(df: DataFrame, languages: list[str], longest: int = 3) -> DataFrame:
+    """``(gram, n_<language> ..)``: grams are counted per batch before anything is shuffled, and never listed."""
+    names = [f"n_{code}" for code in languages]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            keys, rows = gram_keys(batch.column("low"), longest)
+            codes = pc.fill_null(pc.index_in(batch.column("lang"), pa.array(languages, pa.string())), len(languages)).to_numpy(zero_copy_only=False)
+            kinds, which = np.unique(keys, return_inverse=True)
+            table = np.bincount(which * (len(languages) + 1) + codes[rows], minlength=kinds.size * (len(languages) + 1))
+            table = table.reshape(kinds.size, len(languages) + 1)
+            grams = pa.array([gram_of(k) for k in kinds.tolist()], pa.string())
+            yield pa.RecordBatch.from_arrays([grams, *[pa.array(table[:, j], pa.int64()) for j in range(len(languages))]], ["gram", *names])
+
+    lows = df.select("lang", F.lower("text").alias("low"))
+    found = lows.mapInArrow(count, ", ".join(["gram string", *[f"{n} bigint" for n in names]]))
+    return found.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def train_languages(df: DataFrame, languages: list[str], longest: int = 3) -> DataFrame:
     """``(gram, n, weights)``: its count, and per language the add-one log probability in millionths.
 
-    Whole numbers make the later sums exact in any order. The grams of a document are counted in
-    the map task before they are shuffled.
+    Whole numbers make the later sums exact in any order.
     """
-    exploded = df.select("lang", F.explode_outer(grams(F.col("text"), longest)).alias("gram"))
-    exploded = exploded.filter(F.col("gram").isNotNull())
-    counts = exploded.groupBy("gram").agg(
-        *[F.sum((F.col("lang") == code).cast("bigint")).alias(f"n_{code}") for code in languages]
-    )
-    counts = frozen(counts)
+    counts = frozen(gram_counts(df, languages, longest))
     kinds, *sizes = counts.agg(F.count(F.lit(1)), *[F.sum(f"n_{code}") for code in languages]).first()
     weight = [
         F.round(F.log((F.col(f"n_{code}") + 1) / F.lit(float((size or 0) + kinds))) * SCALE).cast("bigint")
@@ -63,25 +121,44 @@ def train_languages(df: DataFrame, languages: list[str], longest: int = 3) -> Da
 
 
 def predict_languages(
-    df: DataFrame, key: str, model: DataFrame, languages: list[str], longest: int = 3, limit: int = 1_000_000
+    df: DataFrame, key: str, model: DataFrame, languages: list[str], longest: int = 3, limit: int = MODEL_LIMIT
 ) -> DataFrame:
-    """``(key, lang, score)``: the language with the best summed weight, ties by name.
+    """``(key, lang, score)`` of every row: the language with the best summed weight, ties by name.
 
-    Weights are summed per document in the map task; only one row per document is shuffled.
-    Unknown grams weigh nothing. Of a model beyond ``limit`` grams the frequent ones are broadcast
-    and the others joined by shuffle.
+    One pass, no shuffle: grams meet the model's weights as sorted keys in each worker. Unknown grams and texts without any
+    weigh nothing. A model beyond ``limit`` grams is held in parts, whose sums follow each other over the same rows.
     """
-    found = df.select(key, F.explode_outer(grams(F.col("text"), longest)).alias("gram"))
-    hot, cold = hot_and_cold(model, limit)
-    scored = found.join(hot.select("gram", "weights"), "gram", "left")
-    if cold is not None:
-        missed = scored.filter(F.col("weights").isNull() & F.col("gram").isNotNull()).select(key, "gram")
-        rare = missed.join(cold.select("gram", "weights"), "gram")
-        scored = scored.select(key, "weights").unionByName(rare.select(key, "weights"))
     order = sorted(languages)
-    sums = scored.groupBy(key).agg(
-        *[F.coalesce(F.sum(F.get("weights", F.lit(languages.index(c)))), F.lit(0)).alias(f"s_{c}") for c in order]
-    )
-    best = F.greatest(*[F.col(f"s_{c}") for c in order]) if len(order) > 1 else F.col(f"s_{order[0]}")
-    name = F.coalesce(*[F.when(F.col(f"s_{c}") == best, F.lit(c)) for c in order])
+    names = [f"s_{c}" for c in order]
+    parts = max(1, -(-model.count() // limit))
+    sums = df.select(key, F.lower("text").alias("low"), *[F.lit(0).cast("bigint").alias(n) for n in names])
+    for part in range(parts):
+        some = model.filter(F.pmod(F.xxhash64("gram"), F.lit(parts)) == part).select("gram", "weights").collect()
+        rows = sorted((key_of(r["gram"]), [r["weights"][languages.index(c)] for c in order]) for r in some)
+        held = df.sparkSession.sparkContext.broadcast((
+            np.array([k for k, _ in rows], np.uint64), np.array([w for _, w in rows], np.int64).reshape(len(rows), len(order))
+        ))
+        sums = sums.mapInArrow(_adding(held, key, names, longest), sums.schema)
+    best = F.greatest(*names) if len(order) > 1 else F.col(names[0])
+    name = F.coalesce(*[F.when(F.col(n) == best, F.lit(c)) for n, c in zip(names, order)])
     return sums.select(key, name.alias("lang"), best.alias("score"))
+
+
+def _adding(held, key: str, names: list[str], longest: int):
+    """Adds a part of the model's weights to the sums of each row."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, weights = held.value
+        for batch in _pieces(batches):
+            sums = np.stack([batch.column(n).to_numpy() for n in names], 1).copy()
+            if known.size:
+                grams, row = gram_keys(batch.column("low"), longest)
+                kinds, which = np.unique(grams, return_inverse=True)
+                at = np.minimum(np.searchsorted(known, kinds), known.size - 1)
+                gains = np.where((known[at] == kinds)[:, None], weights[at], 0)
+                for j in range(len(names)):
+                    np.add.at(sums[:, j], row, gains[which, j])
+            columns = [batch.column(key), batch.column("low"), *[pa.array(sums[:, j]) for j in range(len(names))]]
+            yield pa.RecordBatch.from_arrays(columns, [key, "low", *names])
+
+    return work
