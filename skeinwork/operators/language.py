@@ -153,11 +153,11 @@ def _adding(held, key: str, names: list[str], longest: int):
             sums = np.stack([batch.column(n).to_numpy() for n in names], 1).copy()
             if known.size:
                 grams, row = gram_keys(batch.column("low"), longest)
-                kinds, which = np.unique(grams, return_inverse=True)
-                at = np.minimum(np.searchsorted(known, kinds), known.size - 1)
-                gains = np.where((known[at] == kinds)[:, None], weights[at], 0)
+                at = np.minimum(np.searchsorted(known, grams), known.size - 1)
+                met = known[at] == grams
+                at, row = at[met], row[met]
                 for j in range(len(names)):
-                    np.add.at(sums[:, j], row, gains[which, j])
+                    np.add.at(sums[:, j], row, weights[at, j])
             columns = [batch.column(key), batch.column("low"), *[pa.array(sums[:, j]) for j in range(len(names))]]
             yield pa.RecordBatch.from_arrays(columns, [key, "low", *names])
 

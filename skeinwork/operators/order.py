@@ -117,6 +117,40 @@ def batches(df: DataFrame, key: str, size: int, seed: int, epoch: int = 0, drop_
     )
 
 
+def batches_by_shard(
+    df: DataFrame, key: str, shard: str, size: int, seed: int, epochs: int = 1, drop_last: bool = False, digits: int = 3
+) -> DataFrame:
+    """Batches as a loader makes them that opens one shard after the other, by name, in every epoch.
+
+    Rows are shuffled within their shard, anew in each epoch, and each shard ends with a short batch (none with ``drop_last``).
+    Adds ``epoch``, ``step`` (from 0 through the epoch), ``batch_id`` (in the shard) and ``pos_in_batch``. Ranks come from counts
+    of even digest buckets, so a shard that holds most rows is spread like any other. ``key`` is unique in its shard.
+    """
+    rows = df.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    rows = rows.withColumn("_digest", order_digest(seed, F.concat_ws(":", "epoch", F.col(key))))
+    rows = rows.withColumn("_bucket", F.substr("_digest", F.lit(1), F.lit(digits)))
+    groups = ["epoch", shard]
+    counts = rows.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    ordered = Window.partitionBy(*groups).orderBy("_bucket")
+    offsets = counts.select(
+        *groups, "_bucket",
+        F.coalesce(F.sum("_n").over(ordered.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"),
+    )
+    whole = counts.groupBy(*groups).agg(F.sum("_n").alias("_total"))
+    kept = F.col("_total") - F.col("_total") % size if drop_last else F.col("_total")
+    earlier = Window.partitionBy("epoch").orderBy(F.asc_nulls_first(shard)).rowsBetween(Window.unboundedPreceding, -1)
+    whole = whole.withColumn("_kept", kept)
+    whole = whole.withColumn("_before", F.coalesce(F.sum(F.ceil(F.col("_kept") / size)).over(earlier), F.lit(0))).drop("_total")
+    inside = Window.partitionBy(*groups, "_bucket").orderBy("_digest", key)
+    placed = rows.withColumn("_place", F.row_number().over(inside))
+    placed = null_safe_join(placed, broadcast_checked(offsets, OFFSET_LIMIT), [*groups, "_bucket"])
+    placed = null_safe_join(placed, broadcast_checked(whole, OFFSET_LIMIT), groups)
+    placed = placed.withColumn("_rank", F.col("_offset") + F.col("_place") - 1).filter(F.col("_rank") < F.col("_kept"))
+    batch = F.floor(F.col("_rank") / size).cast("bigint")
+    placed = placed.withColumns({"step": F.col("_before") + batch, "batch_id": batch, "pos_in_batch": (F.col("_rank") % size).cast("int")})
+    return placed.drop("_digest", "_bucket", "_place", "_offset", "_kept", "_before", "_rank")
+
+
 def train_test(df: DataFrame, key: str, seed: int, test_size: float = 0.2) -> DataFrame:
     """Adds ``split``: exactly ``ceil(test_size * rows)`` rows are ``test``."""
     ranked = exact_rank(df, key, seed, rank="_rank", rows="_total")

@@ -31,6 +31,11 @@ def batches_drop_last(spark, folder):
     return order.batches(_keys(spark, folder), "doc_id", 64, SEED, drop_last=True)
 
 
+def batches_by_shard(spark, folder):
+    """Two epochs of a loader that opens one source after the other."""
+    return order.batches_by_shard(_keys(spark, folder), "doc_id", "source", BATCH, SEED, epochs=2)
+
+
 def shuffle_epoch(spark, folder):
     return order.shuffled(table(spark, folder, "events").select("event_id", "event_type"), "event_id", SEED, epoch=3)
 
@@ -172,6 +177,7 @@ QUERIES = {
     "train_test_split": train_test_split,
     "batches": batches,
     "batches_drop_last": batches_drop_last,
+    "batches_by_shard": batches_by_shard,
     "shuffle_epoch": shuffle_epoch,
     "step_counts": step_counts,
     "fold_union": fold_union,
@@ -217,6 +223,13 @@ ORACLES = {
     "batches_drop_last": f"""with r as (select doc_id, source, {sql.shuffle_rank(f'{SEED}:0', 'doc_id')} as k, count(*) over () as n from documents)
         select doc_id, source, cast(0 as integer) as epoch, k // 64 as batch_id, cast(k % 64 as integer) as pos_in_batch
         from r where k < n // 64 * 64""",
+    "batches_by_shard": f"""with r as (select doc_id, source, e as epoch, count(*) over (partition by e, source) as n,
+            row_number() over (partition by e, source order by md5(concat_ws(':', {SEED}, e, doc_id)), doc_id) - 1 as k
+            from documents, (select cast(unnest(range(0, 2)) as integer) as e)),
+        s as (select epoch, source, sum(ceil(n / {BATCH}::double)) over (partition by epoch order by source) - ceil(n / {BATCH}::double) as b
+            from (select distinct epoch, source, n from r))
+        select doc_id, r.source, r.epoch, cast(b + k // {BATCH} as bigint) as step, k // {BATCH} as batch_id,
+            cast(k % {BATCH} as integer) as pos_in_batch from r join s on r.epoch = s.epoch and r.source = s.source""",
     "shuffle_epoch": f"""select event_id, event_type, {sql.shuffle_rank(f'{SEED}:3', 'event_id')} as position,
         cast(3 as integer) as epoch from events""",
     "step_counts": """select source, count(*) as n_rows, cast(ceil(count(*) / 8::double) as bigint) as n_batches,

@@ -93,10 +93,46 @@ def encodings(spark, folder):
     path = scratch_path(spark, "encodings")
     rows = table(spark, folder, "documents").select("doc_id", "source", F.array("doc_id", "n_chars").alias("input_ids"))
     sinks.save_encodings(rows, path)
-    read = readers.encodings(spark, path, ["src1", "src2", "src3"])
+    read = readers.encodings(spark, path)
     return read.select("doc_id", "source", F.array_join(F.transform("input_ids", lambda x: x.cast("string")), " ").alias("input_ids"))
 
 
+def encodings_manifest(spark, folder):
+    """Row counts that the writer noted, beside those that are read."""
+    path = scratch_path(spark, "encodings")
+    sinks.save_encodings(table(spark, folder, "documents").select("doc_id", "source"), path)
+    noted = spark.read.parquet(f"{path}/manifest").groupBy("source").agg(F.sum("n_rows").alias("n_saved"))
+    return noted.join(readers.encodings(spark, path).groupBy("source").agg(F.count("*").alias("n_read")), "source", "full")
+
+
+def _indexed(spark, folder) -> str:
+    """Objects keyed by id, one file each for some items; files of every fifth item break off."""
+    path = scratch_path(spark, "indexed")
+    decision = F.when(F.col("item_id") % 2 == 0, "yes").otherwise("no")
+    entry = F.struct(F.col("text").alias("QUESTION"), F.split("text", " ").alias("CONTEXTS"), decision.alias("final_decision"))
+    whole = F.col("item_id") % 5 != 3
+    rows = table(spark, folder, "benchmark").select(
+        F.concat(F.floor(F.col("item_id") / 4), F.when(whole, ".json").otherwise(" cut.json")).alias("name"), whole.alias("whole"),
+        F.struct(F.col("item_id").cast("string").alias("k"), entry.alias("v")).alias("e"),
+    )
+    json = F.to_json(F.map_from_entries(F.collect_list("e")))
+    files = rows.groupBy("name", "whole").agg(json.alias("text"))
+    cut = F.when(F.col("whole"), F.col("text")).otherwise(F.substr("text", F.lit(1), F.length("text") - 3))
+    sinks.save_named_files(files.select("name", cut.alias("text")), path)
+    return path
+
+
+def indexed_json(spark, folder):
+    found = readers.indexed_json(spark, _indexed(spark, folder))
+    return found.select("id", F.col("QUESTION").alias("question"), F.size("CONTEXTS").alias("n_contexts"), "final_decision")
+
+
+def indexed_json_rejects(spark, folder):
+    """Files that hold no whole object."""
+    values = spark.read.text(_indexed(spark, folder), wholetext=True)
+    return readers.malformed(values, readers.INDEXED_SCHEMA).agg(F.count("*").alias("n_files"))
+
+
 def _logs(spark, folder) -> str:
     """A log for each event type and day, with blank lines and lines that are no number."""
     path = scratch_path(spark, "logs")
@@ -159,7 +195,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         numbered_lines, list_files, whole_files, first_lines, json_lines, json_line_rejects, nested_folder, ground_truth,
-        encodings, float_log, float_log_rejects, vocabulary, run_record_file, results_csv, dropped_columns, constant_column,
+        encodings, encodings_manifest, indexed_json, indexed_json_rejects, float_log, float_log_rejects, vocabulary, run_record_file, results_csv, dropped_columns, constant_column,
         documents_in_rows,
     )
 }
@@ -178,8 +214,11 @@ ORACLES = {
     "nested_folder": """select text as body, case item_id % 3 when 0 then 'yes' when 1 then 'no' else 'other' end as exact_answer,
         cast(len(string_split(text, ' ')) as integer) as n_snippets from benchmark""",
     "ground_truth": "select cast(doc_id as varchar) as id, cast(quality as varchar) as label from labels",
-    "encodings": """select doc_id, source, doc_id || ' ' || n_chars as input_ids from documents
-        where source in ('src1', 'src2', 'src3')""",
+    "encodings": "select doc_id, source, doc_id || ' ' || n_chars as input_ids from documents",
+    "encodings_manifest": "select source, count(*) as n_saved, count(*) as n_read from documents group by source",
+    "indexed_json": """select cast(item_id as varchar) as id, text as question, cast(len(string_split(text, ' ')) as integer) as n_contexts,
+        case when item_id % 2 = 0 then 'yes' else 'no' end as final_decision from benchmark where item_id % 5 <> 3""",
+    "indexed_json_rejects": "select count(distinct item_id // 4) as n_files from benchmark where item_id % 5 = 3",
     "float_log": f"""with {_LOG} select run, seq, value as loss, seq * 350 as step from log
         where event_id % {BLANK} <> 0 and event_id % {NO_NUMBER} <> 1""",
     "float_log_rejects": f"""with {_LOG} select run, seq, 'n/a' as value from log

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.functions import text
-from skeinwork.operators import masking, vocab, wordpiece
+from skeinwork.operators import fill, masking, vocab, wordpiece
 from skeinwork.plans import sql
 from skeinwork.plans.tables import documents, spread, table
 from skeinwork.session import frozen
@@ -124,6 +124,15 @@ def turn_pairs(turns: DataFrame) -> DataFrame:
     )
 
 
+def fill_mask(spark, folder):
+    """Every turn with its middle word masked: the five best words by their neighbours in the documents, filled in."""
+    turns = spread(table(spark, folder, "conversations"))
+    listed = frozen(turns.select(F.concat_ws("-", "conv_id", "turn").alias("id"), text.words(F.col("text")).alias("w")))
+    masked = listed.withColumn("at", F.floor(F.size("w") / 2).cast("int"))
+    found = fill.fill_masked(masked, "id", corpus_words(spark, folder).select("w"))
+    return found.select("id", "rank", "candidate", F.round("score", 6).alias("score"), "sequence")
+
+
 def pair_rejects(spark, folder):
     """Turns that are in no pair: system turns, unanswered questions, answers to nothing."""
     turns = table(spark, folder, "conversations").select("conv_id", "turn", "role")
@@ -211,6 +220,7 @@ QUERIES = {
     "training_table_trained": training_table_trained,
     "pair_encode_slice": pair_encode_slice,
     "pair_rejects": pair_rejects,
+    "fill_mask": fill_mask,
     "pair_encode_longest_first": pair_encode_longest_first,
     "mask_tokens": mask_tokens,
     "mask_fraction": mask_fraction,
@@ -349,6 +359,24 @@ select doc_id, {joined('list_resize(ids, m, 0)')} as input_ids,
 select doc_id, cast(len(ids) as integer) as n_ids, cast(len(list_filter(ids, lambda x: x = 1)) as integer) as n_unknown,
     cast(list_sum(ids) as bigint) as id_sum from enc""",
     "pair_encode_slice": pair_sql("slice", 128),
+    "fill_mask": f"""with docs as (select {sql.words('text')} as w from documents),
+places as (select coalesce(w[i - 1], '') as l, coalesce(w[i + 1], '') as r, w[i] as w
+    from (select w, unnest(range(1, len(w) + 1)) as i from docs)),
+counts as (select l, r, w, count(*) as n from places group by all),
+turns as (select conv_id || '-' || turn as id, {sql.words('text')} as w from conversations),
+asked as (select id, w, len(w) // 2 + 1 as i, case when len(w) > 1 then w[len(w) // 2] else '' end as l,
+    coalesce(w[len(w) // 2 + 2], '') as r from turns where len(w) > 0),
+both_sides as (select id, c.w, c.n / sum(c.n) over (partition by id) as s from asked a join counts c on c.l = a.l and c.r = a.r),
+lefts as (select l, w, sum(n) as n from counts group by all),
+left_side as (select id, c.w, {fill.BACK_OFF}::double * (c.n / sum(c.n) over (partition by id)) as s from asked a join lefts c on c.l = a.l),
+overall as (select w, {fill.BACK_OFF ** 2}::double * (sum(n) / sum(sum(n)) over ()) as s from counts group by w),
+top_words as (select * from overall order by s desc, w limit 5),
+every as (select * from both_sides union all select * from left_side union all select id, t.w, t.s from asked, top_words t),
+scored as (select id, w, max(s) as s from every group by all),
+ranked as (select *, row_number() over (partition by id order by s desc, w) as k from scored)
+select k.id, cast(k as integer) as rank, k.w as candidate, round(s, 6) as score,
+    array_to_string(list_concat(list_concat(a.w[:a.i - 1], [k.w]), a.w[a.i + 1:]), ' ') as sequence
+from ranked k join asked a on a.id = k.id where k <= 5""",
     "pair_rejects": """select c.conv_id || '-' || c.turn as id, c.role from conversations c where not exists (
         select 1 from conversations o where o.conv_id = c.conv_id and (c.role = 'user' and o.role = 'assistant' and o.turn = c.turn + 1
             or c.role = 'assistant' and o.role = 'user' and o.turn = c.turn - 1))""",
