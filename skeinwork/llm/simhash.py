@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skeinwork.llm import common
@@ -16,11 +16,9 @@ from skeinwork.session import broadcast_checked
 
 SHINGLE = 3
 SEED = 42
-#: The 64 bits are cut into so many segments of four; a point's coordinates are their bit counts, 0 to 4.
-SEGMENTS = 16
+#: The 64 bits are cut into so many segments of two; a point's coordinates are their bit counts, 0 to 2.
+SEGMENTS = 32
 WIDTH = 64 // SEGMENTS
-#: Room in a cell's key for one coordinate, which may be off by one either way.
-ROOM = 3
 #: Rows to drop that may be broadcast (16 bytes each); more are joined by a shuffle.
 DROPPED_ROWS = 1_000_000
 
@@ -62,45 +60,48 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(take, "doc_id long, fp long, digest long")
 
 
-def _segment_counts(fp):
-    """The point of a fingerprint: its cell key holds a count, raised by one, in each of its places."""
-    ones = F.lit(0x1111111111111111)
-    one = F.lit(1)
-    # bits of each four summed in place: counts of 0 to 4 in every four bits
-    total = fp.bitwiseAND(ones)
-    for k in range(1, WIDTH):
-        total = total + F.shiftrightunsigned(fp, k).bitwiseAND(ones)
-    key = F.lit(0).cast("long")
-    for s in range(SEGMENTS):
-        count = F.shiftrightunsigned(total, s * WIDTH).bitwiseAND(F.lit(7).cast("long")) + one
-        key = key + F.shiftleft(count, s * ROOM)
-    return key
+def _signed(mask: int) -> int:
+    return mask - (1 << 64 if mask >> 63 else 0)
 
 
-def grid_neighbours(points: DataFrame) -> DataFrame:
-    """The fingerprints of ``points`` (fp, distinct) that share a grid cell with another.
+def _point(fp: Column) -> Column:
+    """The point of a fingerprint: the count of set bits of each two, 0 to 2, in those two bits."""
+    pairs = F.lit(0x5555555555555555)
+    upper = F.shiftrightunsigned(fp, 1)
+    return fp.bitwiseXOR(upper).bitwiseAND(pairs).bitwiseOR(F.shiftleft(fp.bitwiseAND(upper).bitwiseAND(pairs), 1))
 
-    Each point stands in its own cell and in the 32 at Manhattan distance one, so two points meet in a cell exactly when
-    their distance is two at most; that distance never exceeds the number of differing bits. A cell's points are counted,
-    not paired.
+
+def _flipped(value: Column, masks: list[int]) -> Column:
+    return F.explode(F.array(*(value.bitwiseXOR(F.lit(_signed(m)).cast("long")) for m in masks)))
+
+
+#: A count, kept modulo 4, changes by one either way where its lower bit or both its bits flip.
+STEPS = [0, *(m << (WIDTH * s) for s in range(SEGMENTS) for m in (1, 3))]
+FLIPS = [0, *(1 << k for k in range(64))]
+
+
+def met_cells(points: DataFrame) -> DataFrame:
+    """The grid cells in which two of ``points`` (fp, distinct) meet.
+
+    Each point stands in its own cell and in the 64 at Manhattan distance one, so two points of distance two at most always meet;
+    that distance never exceeds the number of differing bits. A cell's points are counted, not paired. The chance that two random
+    fingerprints meet is about 2e-11.
     """
-    steps = [0, *(sign * (1 << (s * ROOM)) for s in range(SEGMENTS) for sign in (1, -1))]
-    cells = points.select("fp", _segment_counts(F.col("fp")).alias("key"))
-    cells = cells.select("fp", F.explode(F.array(*(F.col("key") + F.lit(k).cast("long") for k in steps))).alias("cell"))
-    met = cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high")
-    return cells.join(met.select("cell"), "cell", "left_semi").select("fp").distinct()
+    cells = points.select("fp", _flipped(_point(F.col("fp")), STEPS).alias("cell"))
+    return cells.groupBy("cell").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).filter("low < high").select("cell")
 
 
-def verified_links(near: DataFrame) -> DataFrame:
-    """Edges (a, b) between fingerprints that differ in at most two bits and span every such link.
+def verified_links(points: DataFrame, met: DataFrame) -> DataFrame:
+    """Edges (a, b) between fingerprints that meet in the grid and differ in at most two bits; they span every such link.
 
-    Two fingerprints differ in at most two bits exactly when some third one differs from both in at most one bit. At each
-    of these midpoints, which can have 65 visitors at most, the smallest visitor is linked with the others: each such
-    pair is a true link, and every true link's ends meet at a midpoint.
+    Two fingerprints differ in at most two bits exactly when some third one differs from both in at most one bit, and its
+    point is a cell that both stand in. So within each cell where points met, they are compared at these midpoints, which can
+    have 65 visitors at most: the smallest visitor is linked with the others. Each such pair is a true link, and every true
+    link's ends meet at a midpoint.
     """
-    masks = F.array(*(F.lit(0 if k < 0 else (1 << k) - (1 << 64 if k == 63 else 0)).cast("long") for k in range(-1, 64)))
-    visits = near.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("mid"))
-    hubs = visits.groupBy("mid").agg(F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
+    visits = points.select("fp", _flipped(F.col("fp"), FLIPS).alias("mid")).withColumn("cell", _point(F.col("mid")))
+    inside = visits.join(met, "cell", "left_semi")
+    hubs = inside.groupBy("cell", "mid").agg(F.collect_list("fp").alias("all")).filter(F.size("all") > 1)
     hubs = hubs.select(F.array_min("all").alias("a"), F.explode("all").alias("b"))
     return hubs.filter("a != b").distinct()
 
@@ -109,8 +110,8 @@ def members(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, digest, root, component_id) of every row of ``docs``; the root, a fingerprint, tells components apart."""
     marks = common.stored(fingerprints(docs), "fingerprints")
     classes = common.stored(marks.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    near = common.stored(grid_neighbours(classes.select("fp")), "near")
-    roots = components(verified_links(near))
+    points = classes.select("fp")
+    roots = components(verified_links(points, common.stored(met_cells(points), "met")))
     joined = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left")
     joined = joined.select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = joined.groupBy("root").agg(F.min("least").alias("component_id"))

@@ -110,14 +110,22 @@ def test_links_of_close_fingerprints(spark):
     points = sorted({*base.tolist(), *near, -1, -1 ^ (1 << 62), (-1 << 63), 0})
     table = spark.createDataFrame([(p,) for p in points], "fp long")
     linked = [(a, b) for a in range(len(points)) for b in range(a) if ((points[a] ^ points[b]) & (1 << 64) - 1).bit_count() <= 2]
-    found = {r["fp"] for r in simhash.grid_neighbours(table).collect()}
-    assert {points[a] for pair in linked for a in pair} <= found
-    edges = [(points.index(r["a"]), points.index(r["b"])) for r in simhash.verified_links(table).collect()]
+    edges = [(points.index(r["a"]), points.index(r["b"])) for r in simhash.verified_links(table, simhash.met_cells(table)).collect()]
     pairs = {frozenset(pair) for pair in linked}
     assert all(frozenset(e) in pairs for e in edges)
     assert brute.classes(len(points), edges) == brute.classes(len(points), linked)
 
 
+def test_random_fingerprints_do_not_meet(spark):
+    points = np.unique(np.random.default_rng(8).integers(-(1 << 63), 1 << 63, 4000, dtype=np.int64)).tolist()
+    table = spark.createDataFrame([(p,) for p in points], "fp long")
+    assert simhash.met_cells(table).count() == 0
+    twin = spark.createDataFrame([(p,) for p in [*points, points[0] ^ 3, points[1] ^ (5 << 40)]], "fp long")
+    cells = {r["cell"] for r in simhash.met_cells(twin).collect()}
+    count = lambda p: sum((p >> 2 * s & 3).bit_count() << 2 * s for s in range(32))
+    assert count(points[0]) - (1 << 64 if count(points[0]) >> 63 else 0) in cells or points[0] & 3 in (0, 3)
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 1), (7, 8), (8, 8), (None, 4), (20, 19), (19, 18), (18, 17), (17, 16), (7, 8)]
     found = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
