@@ -69,9 +69,15 @@ def parts(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def only(df: DataFrame, *columns: str) -> DataFrame:
-    """The named columns, whatever else the table holds; missing ones are not invented."""
-    return df.select(*columns)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of ``df`` has in any case, one for each given."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str, budget: int = PASS_BYTES) -> Iterator[pa.RecordBatch]:

@@ -180,9 +180,10 @@ def split_pieces(items: DataFrame, size: int) -> tuple[list[tuple[str, bytes]] |
 
 
 def joined(spark: SparkSession, docs: DataFrame, pieces: Iterator[list[tuple[str, bytes]]], size: int) -> DataFrame:
-    """``docs`` with the stored hits of their texts, null where there are none."""
-    hits = hits_by_text(spark, docs, pieces, size).withColumnsRenamed({"text_key": "_key", "ranges": "_ranges", "items": "_items"})
-    return docs.join(hits, F.sha2("text", 256) == F.col("_key"), "left").drop("_key")
+    """``docs`` with the stored hits of their texts as its last two columns, null where there are none."""
+    key, ranges, items = common.fresh(docs, "key", "ranges", "items")
+    hits = hits_by_text(spark, docs, pieces, size).select("text_key", "ranges", "items").toDF(key, ranges, items)
+    return docs.join(hits, F.sha2("text", 256) == F.col(key), "left").select(*docs.columns, ranges, items)
 
 
 def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = WINDOW, share: int = SHARE) -> DataFrame:
@@ -215,7 +216,7 @@ def told_hits(batch: pa.RecordBatch, machine) -> Iterator[tuple]:
     texts = batch.column("text").cast(pa.large_binary()).to_pylist()
     if machine is not None:
         return ((text, functools.partial(scan, machine)) for text in texts)
-    ranges, items = batch.column("_ranges").to_pylist(), batch.column("_items").to_pylist()
+    ranges, items = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
     return ((text, from_ranges(r or [], i or [])) for text, r, i in zip(texts, ranges, items, strict=True))
 
 

@@ -117,9 +117,10 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, total: float = TOTA
     """
     sized = common.stored(sizes(docs), "sizes")
     limits = common.stored(thresholds(sized, targets(sized, weights, total)), "thresholds")
-    limits = _few(limits.select(F.col("source").alias("_source"), F.col("h").alias("_top"), "edge", "times"))
-    limits = limits.select("_source", "_top", F.col("edge").alias("_edge"), F.col("times").alias("_times"))
+    source, top, edge, times, turn = common.fresh(docs, "source", "top", "edge", "times", "turn")
+    limits = _few(limits.select("source", "h", "edge", "times").toDF(source, top, edge, times))
     digest = id_digest()
-    again = (digest < F.col("_top")) | ((digest == F.col("_top")) & F.col("_edge"))
-    joined = docs.join(limits, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.withColumn("_round", F.explode(F.array_repeat(F.lit(1), F.col("_times") + again.cast("int")))).select(*docs.columns)
+    again = (digest < F.col(top)) | ((digest == F.col(top)) & F.col(edge))
+    joined = docs.join(limits, F.col("source").eqNullSafe(F.col(source)))
+    taken = F.least(F.col(times) + again.cast("int"), F.lit(MOST))
+    return joined.withColumn(turn, F.explode(F.array_repeat(F.lit(1), taken))).select(*docs.columns)

@@ -36,6 +36,8 @@ MARKS[np.frombuffer(b"0123456789@+", np.uint8)] = True
 AROUND = 2
 #: Rows of the labelled table, those of smallest id digest among the rows with a mark; feature buckets; training.
 TRAIN_ROWS, BUCKETS, EPOCHS, RATE, DECAY = 1_500, 1 << 12, 40, 0.2, 1e-4
+#: Stretches of those rows that reach the driver, those of smallest digest.
+STRETCHES = 50_000
 
 
 def luhn(digits: bytes) -> bool:
@@ -254,7 +256,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
                     labels.append(truth.astype(np.int8).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(words, pa.binary()), pa.array(labels, pa.binary())], ["doc_id", "words", "labels"])
 
-    found = texts.select("doc_id", "text").mapInArrow(take, "doc_id long, words binary, labels binary").collect()
+    found = texts.select("doc_id", "text").dropDuplicates().mapInArrow(take, "doc_id long, words binary, labels binary")
+    found = found.orderBy(F.xxhash64("words"), "doc_id", "words", "labels").limit(STRETCHES).collect()
     found.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["words"])))
     return fit([(np.frombuffer(r["words"], np.int32).reshape(-1, WIDTH).astype(np.int64), np.frombuffer(r["labels"], np.int8).astype(np.int64)) for r in found])
 

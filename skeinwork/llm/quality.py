@@ -143,7 +143,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
     """Fit on at most ``rows`` labelled documents whose id isn't held out.
 
     Features are taken on the executors; the driver gets only the sparse features of those rows. Rows with a null id, label or
-    text are left out; an id with several labels or rows gives as many examples.
+    text are left out; an id with several labels or rows gives as many examples, but all are ``rows`` at most.
     """
     chosen = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).select("doc_id", "quality")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(rows)
@@ -164,7 +164,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Machine
                 ["doc_id", "quality", "columns", "values"],
             )
 
-    sample = found.mapInArrow(take, "doc_id long, quality int, columns binary, values binary").collect()
+    sample = found.mapInArrow(take, "doc_id long, quality int, columns binary, values binary")
+    sample = sample.orderBy("doc_id", "quality", "columns").limit(rows).collect()
     sample.sort(key=lambda r: (r["doc_id"], r["quality"], bytes(r["columns"])))
     return fit([(np.frombuffer(r["columns"], np.int32), np.frombuffer(r["values"], np.float32), r["quality"]) for r in sample])
 

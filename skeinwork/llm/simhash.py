@@ -149,8 +149,9 @@ def one_of_each(docs: DataFrame, unnamed: bool = False) -> DataFrame:
         alone = others.groupBy("root").agg(F.min("digest").alias("first")).join(rows.filter("stays").select("root"), "root", "left_anti")
         others = others.join(alone, "root", "left").select("doc_id", "digest", "root", "n", stays)
         rows = common.stored(rows.unionByName(others), "rows")
-    gone = rows.filter("not stays").select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"))
-    same = F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("text") == F.col("gone_digest"))
+    other, digest = common.fresh(docs, "doc_id", "digest")
+    gone = rows.filter("not stays").select("doc_id", "digest").toDF(other, digest)
+    same = F.col("doc_id").eqNullSafe(F.col(other)) & (F.xxhash64("text") == F.col(digest))
     kept = docs.join(broadcast_checked(gone, DROPPED_ROWS), same, "left_anti")
     if rows.filter("stays and n > 1").isEmpty():
         return kept

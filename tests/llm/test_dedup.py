@@ -197,3 +197,22 @@ def test_lines(spark, empty):
         wanted.append((i, len(lines), len(lines) - len(kept), "\n".join(kept)))
     same(line_dedup.without_boilerplate(table), wanted)
     assert line_dedup.without_boilerplate(empty).count() == 0
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that the stages use for themselves, in either case, do not clash and come back as they were."""
+    from skeinwork.llm import decontam, mixing
+
+    names = ["_source", "TOP", "edge", "_times", "turn", "key", "ranges", "items", "digest", "_doc_id", "gone_id", "size", "h", "root"]
+    rows = [(i, brute.prose(i % 5, 30), f"s{i % 2}", *range(len(names))) for i in range(20)]
+    docs = spark.createDataFrame([*rows, (50, "", "s0", *range(len(names)))], f"doc_id long, text string, source string, {', '.join(f'{n} int' for n in names)}")
+    items = spark.createDataFrame([(k, brute.prose(k, 30)) for k in range(2)], "item_id long, text string")
+    kept = simhash.one_of_each(docs)
+    assert kept.columns == docs.columns and kept.count() == 6
+    for size in (decontam.AUTOMATON_BYTES, 10):
+        decontam.AUTOMATON_BYTES, before = size, decontam.AUTOMATON_BYTES
+        clean = decontam.clean(spark, docs, items)
+        assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {50, *(i for i in range(20) if i % 5 > 1)}
+        decontam.AUTOMATON_BYTES = before
+    taken = Counter(r["doc_id"] for r in mixing.mixed(docs).collect())
+    assert mixing.mixed(docs).columns == docs.columns and max(taken.values()) == 2
