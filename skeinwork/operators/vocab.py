@@ -20,7 +20,7 @@ VOCAB_SIZE, MIN_FREQUENCY, ALPHABET_LIMIT = 30_500, 2, 1000
 
 # Best pairs a training round begins to look at and most it comes to, distinct stretches of words that may reach the driver,
 # and symbols seen on each side of a pair.
-LOOK, LOOK_MOST, STRETCH_LIMIT, AROUND = 64, 8192, 60_000, 2
+LOOK, LOOK_MOST, STRETCH_LIMIT, AROUND = 16, 8192, 60_000, 2
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
