@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from skeinwork.functions.text import normalise, sentences
 from skeinwork.operators.language import accepted
 
+# Blocks of a run that share a state.
+PART = 1024
 LOSS_SCHEMA = "run STRING, epoch INT, seq BIGINT, loss DOUBLE"
 
 
@@ -18,41 +25,65 @@ def loss_stream(spark: SparkSession, path: str, files_per_trigger: int = 100) ->
     )
 
 
-def block_means(losses: DataFrame, size: int = 10) -> DataFrame:
-    """Running sum and count per block of ``size`` losses; the state is a block's losses, each line once."""
-    block = F.floor(F.col("seq") / size).cast("bigint")
-    held = losses.groupBy("run", block.alias("block")).agg(F.sort_array(F.collect_set(F.struct("seq", "loss"))).alias("s"))
-    total = F.aggregate("s", F.lit(0.0), lambda a, x: a + x["loss"])
-    return held.select("run", "block", total.alias("total"), F.size("s").alias("n"))
+def _settled(size: int):
+    """The stateful step of one part of a run: emits each block that has become whole, and forgets its losses."""
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        done, seqs, values = state.get if state.exists else (bytes(PART // 8), [], [])
+        whole = np.unpackbits(np.frombuffer(done, np.uint8)).astype(bool)
+        open_blocks: dict[int, dict[int, float | None]] = {}
+        for seq, value in zip(seqs, values, strict=True):
+            open_blocks.setdefault(seq // size, {})[seq] = value
+        first = int(key[1]) * PART
+        for frame in frames:
+            lines = frame[["seq", "loss"]].sort_values(["seq", "loss"]).drop_duplicates("seq")
+            for seq, value in zip(lines["seq"].tolist(), lines["loss"].tolist(), strict=True):
+                if not whole[seq // size - first]:
+                    open_blocks.setdefault(seq // size, {}).setdefault(seq, value)
+        rows = []
+        for block in sorted(b for b, held in open_blocks.items() if len(held) == size):
+            held = open_blocks.pop(block)
+            rows.append((key[0], block, sum(held[seq] for seq in sorted(held))))
+            whole[block - first] = True
+        left = [item for held in open_blocks.values() for item in held.items()]
+        state.update((np.packbits(whole).tobytes(), [seq for seq, _ in left], [value for _, value in left]))
+        if rows:
+            yield pd.DataFrame(rows, columns=["run", "block", "total"]).astype({"run": object, "block": "int64", "total": "float64"})
+
+    return step
+
+
+def block_totals(losses: DataFrame, size: int = 10) -> DataFrame:
+    """``(run, block, total)`` of each block of ``size`` losses, once, when its last line has come.
+
+    A line that comes again counts once, also after its block was emitted; of lines of one number in a micro-batch the smallest
+    counts. A part of a run, ``PART`` blocks, holds a bit for each emitted block and the losses of the blocks that are not whole
+    yet, and a long run is many keys. Blocks that never fill stay open; what has passed leaves a bit a block. (A timer on processing
+    time would make Spark run empty micro-batches without end where a query is to end with its input.)
+    """
+    part = F.floor(F.col("seq") / (size * PART)).cast("bigint").alias("part")
+    return losses.filter(F.col("seq") >= 0).select("run", "seq", "loss", part).groupBy("run", "part").applyInPandasWithState(
+        _settled(size), "run STRING, block BIGINT, total DOUBLE", "done BINARY, seqs ARRAY<BIGINT>, held ARRAY<DOUBLE>",
+        "append", GroupStateTimeout.NoTimeout,
+    )
 
 
-def watch_blocks(losses: DataFrame, out: str, checkpoint: str, size: int = 10, digits: int = 3) -> None:
-    """Write the mean of each block once it is complete, for all input there is now.
+def watch_blocks(losses: DataFrame, out: str, checkpoint: str, size: int = 10, digits: int = 3) -> list[int]:
+    """Write the mean of each block once it is complete, for all input there is now, exactly once, also over restarts.
 
-    A line that is appended twice counts once. A block is written by the first micro-batch in which
-    it is complete, and not again by a later one that repeats some line of it. The folder is named by
-    the batch, so a batch that runs again after a failure replaces its own output.
+    Returns the number of keys in the state after each micro-batch.
     """
-
-    def complete(batch: DataFrame, batch_id: int) -> None:
-        done = batch.filter(F.col("n") >= size).select(
-            "run", "block", F.bround(F.col("total") / F.col("n"), digits).alias("mean_loss")
-        )
-        if batch_id:
-            written = batch.sparkSession.read.schema("run STRING, block BIGINT, batch BIGINT").parquet(out)
-            earlier = written.filter(F.col("batch") < batch_id).select("run", "block")
-            done = done.join(earlier, ["run", "block"], "left_anti")
-        done.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
-
+    means = block_totals(losses, size).select("run", "block", F.bround(F.col("total") / size, digits).alias("mean_loss"))
     query = (
-        block_means(losses, size)
-        .writeStream.outputMode("update")
+        means.writeStream.format("parquet")
+        .option("path", out)
         .option("checkpointLocation", checkpoint)
+        .outputMode("append")
         .trigger(availableNow=True)
-        .foreachBatch(complete)
         .start()
     )
     query.awaitTermination()
+    return [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
 
 
 def prepared(documents: DataFrame) -> DataFrame:
