@@ -264,8 +264,8 @@ def train(
             look = max(1, look // 2)
         if merges is None:
             some = [(r["s"].split(" "), r["before"], r["after"], r["n"]) for r in found]
-            end = ranked[look - 1]
-            last = (-end["n"], end["left"], end["right"]) if len(ranked) > look else None
+            end = ranked[look - 1] if len(ranked) > look else None
+            last = (-end["n"], end["left"], end["right"]) if end else None
             merges = merge_order(some, top, last, min_frequency, known, vocab_size - len(tokens))
         for left, right in merges:
             token = _merged(left, right)

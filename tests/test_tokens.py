@@ -248,6 +248,13 @@ def test_training_equals_one_merge_at_a_time(spark, limit):
     assert got == train_by_hand(counts, 60)
 
 
+def test_training_ends_with_the_pairs(spark):
+    counts = {"abab": 3, "aab": 2, "b": 9, "ccc": 2, "cccc": 1}
+    df = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    assert [r["token"] for r in vocab.train(df).orderBy("id").collect()] == train_by_hand(counts, 30_500)
+    assert vocab.train(df.limit(0)).count() == len(vocab.SPECIALS)
+
+
 @pytest.mark.parametrize("align", ["word", "first_piece"])
 def test_entity_rows(spark, align):
     sentence = [("unaffable", "X"), ("", "O"), ("hello,b", "Y"), ("xyz", "X"), ("a", "O")]
