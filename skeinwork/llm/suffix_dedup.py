@@ -23,7 +23,12 @@ LENGTH = 100
 GRAM = 32
 SPREAD = LENGTH - GRAM + 1
 #: Segment bytes in one index; a group of segments that belongs together is never split.
-INDEX_BYTES = 2 << 20
+#: Below 2 MB, three ranks fit one sort key.
+INDEX_BYTES = 3 << 19
+#: Compared lengths whose ranks an index keeps while it is built; places between two walks at most.
+LEVELS, STRIDE = 6, 4096
+#: Grams worked on at once, so that what is computed of them stays near the processor.
+BLOCK = 1 << 15
 
 #: What travels: of minimisers 40 bits, which only choose candidates; of segments their bytes.
 MINIMISERS = [relay.HASH, relay.KEY, relay.PLACE]
@@ -55,6 +60,17 @@ def minimisers(h: np.ndarray) -> np.ndarray:
     return np.minimum(low[:windows], low[SPREAD - size : SPREAD - size + windows])
 
 
+def grams_and_minimisers(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``grams`` and ``minimisers`` of at least ``LENGTH`` bytes, block by block."""
+    n = data.size - GRAM + 1
+    h, least = np.empty(n, np.uint64), np.empty(n - SPREAD + 1, np.uint64)
+    for a in range(0, least.size, BLOCK):
+        b = min(a + BLOCK + SPREAD - 1, n)
+        h[a:b] = grams(data[a : b + GRAM - 1])
+        least[a : b - SPREAD + 1] = minimisers(h[a:b])
+    return h, least
+
+
 def _occurrences(h: np.ndarray, least: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
     """How often the minimiser itself occurs among the grams from ``begin`` to ``end`` (exclusive) of each segment."""
     seen = np.zeros(1 << 22, bool)
@@ -76,8 +92,7 @@ def segments(data: np.ndarray, offsets: np.ndarray):
     if data.size < LENGTH:
         none = np.empty(0, np.int64)
         return none, none, none, none.view(np.uint64), none.astype(bool)
-    h = grams(data)
-    least = minimisers(h)
+    h, least = grams_and_minimisers(data)
     inside = np.zeros(least.size + 1, np.int64)
     first, stop = offsets[:-1], offsets[1:] - LENGTH + 1
     rows = np.flatnonzero(stop > first)
@@ -112,7 +127,7 @@ class RunIndex:
         symbols[text] = data.astype(np.int64) + 1
         self.symbols, self.ends, self.sizes = symbols, ends, sizes
         limit = np.repeat(ends, sizes + 1)
-        order = self._sorted(symbols, limit)
+        order, levels = self._sorted(symbols, limit)
         before = symbols[order - 1]
         change = np.ones(n, bool)
         change[1:] = before[1:] != before[:-1]
@@ -125,42 +140,77 @@ class RunIndex:
         sampled = change | (before == 0)
         rows = np.flatnonzero(sampled[1:]) + 1
         here, above = order[rows], order[rows - 1]
-        shared = self._common(here, above, limit)
+        shared = self._common(levels, symbols, here, above, limit)
         self.at, by_place = np.unique(np.append(here, order[0]), return_index=True)
         self.shared = np.append(shared, 0)[by_place]
+        # walks begin at sampled ends of texts and at one sampled place in ``STRIDE``, so that long texts are cut up
+        known = (order % STRIDE == 0) | (symbols[order] == 0)
+        self.walks, by_place = np.unique(order[known], return_index=True)
+        self.walk_rows = np.flatnonzero(known)[by_place]
 
     @staticmethod
-    def _sorted(symbols: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Suffixes in order, each up to its text's end, equal ones by place; by doubling the compared length."""
-        n, place, key = symbols.size, np.arange(symbols.size), symbols.copy()
-        for k in range(1, 7):
-            key = (key << 9) | symbols[np.minimum(place + k, limit)]
-        depth, ranks = 7, 0
+    def _sorted(symbols: np.ndarray, limit: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
+        """Suffixes in order, each up to its text's end, equal ones by place; by multiplying the compared length.
+
+        A key is as many symbols, later as many ranks, as 63 bits hold. Only suffixes that are still tied are sorted again; one whose text ended within the compared length stays tied. Also
+        gives some compared lengths with the ranks under them: equal ranks are equal strings.
+        """
+        n, place = symbols.size, np.arange(symbols.size)
+        used = np.zeros(257, np.int64)
+        used[symbols] = 1
+        codes, width = np.cumsum(used)[symbols] - 1, max(1, int(used.sum() - 1).bit_length())
+        key, depth = codes, 63 // width
+        for k in range(1, depth):
+            key = (key << width) | codes[np.minimum(place + k, limit)]
+        bits = n.bit_length()
+        begin, tied, rank = depth, place, np.zeros(n, np.int64)
+        levels: list[tuple[int, np.ndarray]] = []
         while True:
-            order = np.argsort(key)
-            ordered = key[order]
-            new = np.zeros(n, np.int64)
+            by_key = np.argsort(key)
+            ordered, tied = key[by_key], tied[by_key]
+            new = np.ones(tied.size, bool)
             new[1:] = ordered[1:] != ordered[:-1]
-            new = np.cumsum(new)
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            if int(new[-1]) + 1 in (ranks, n):
-                return np.sort((rank << 32) | place) & 0xFFFFFFFF
-            ranks = int(new[-1]) + 1
-            key = (rank << 32) | rank[np.minimum(place + depth, limit)]
-            depth *= 2
-
-    def _common(self, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
-        """Bytes that the texts share from the places a and b on."""
-        out = np.zeros(a.size, np.int64)
-        going, most = np.arange(a.size), np.minimum(limit[a] - a, limit[b] - b)
-        k = 0
-        while going.size:
-            going = going[most[going] > k]
-            going = going[self.symbols[a[going] + k] == self.symbols[b[going] + k]]
-            k += 1
-            out[going] = k
-        return out
+            first = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            # a group keeps its rows: its first of them is the rank of its first part
+            if depth == begin:
+                rank[tied] = first[group]
+            else:
+                old = rank[tied[first]]
+                lead = np.ones(first.size, bool)
+                lead[1:] = old[1:] != old[:-1]
+                rank[tied] = (old + first - first[lead][np.cumsum(lead) - 1])[group]
+            if len(levels) < LEVELS:
+                levels.append((depth, rank.astype(np.int32 if n < 1 << 31 else np.int64)))
+            many = np.diff(np.append(first, tied.size)) > 1
+            tied = tied[many[group]]
+            tied = tied[limit[tied] - tied >= depth]
+            if not tied.size:
+                return np.sort((rank << 32) | place) & 0xFFFFFFFF, levels
+            key, times = rank[tied], 63 // bits
+            for k in range(1, times):
+                key = (key << bits) | rank[np.minimum(tied + k * depth, limit[tied])]
+            depth *= times
+
+    @staticmethod
+    def _common(levels: list[tuple[int, np.ndarray]], symbols: np.ndarray, a: np.ndarray, b: np.ndarray, limit: np.ndarray) -> np.ndarray:
+        """Bytes that the texts share from the places a and b on: each compared length as often as it fits, the longest
+        first, then single bytes."""
+        last_a, last_b = limit[a], limit[b]
+        most, out = np.minimum(last_a - a, last_b - b), np.zeros(a.size, np.int64)
+
+        def equal(ranks: np.ndarray, some: np.ndarray) -> np.ndarray:
+            return ranks[np.minimum(a[some] + out[some], last_a[some])] == ranks[np.minimum(b[some] + out[some], last_b[some])]
+
+        every = np.flatnonzero(most)
+        long = every[equal(levels[0][1], every)]
+        for depth, ranks, going in [*((d, r, long) for d, r in levels[::-1]), (1, symbols, every)]:
+            going = going[out[going] < most[going]]
+            while going.size:
+                going = going[equal(ranks, going)]
+                out[going] += depth
+                going = going[out[going] < most[going]]
+        return np.minimum(out, most)
 
     def statistics(self) -> np.ndarray:
         """For every place, the bytes it shares with the row above, from the samples alone."""
@@ -168,20 +218,22 @@ class RunIndex:
         return np.repeat(self.shared + self.at, gaps) - np.arange(self.symbols.size)
 
     def rows(self) -> np.ndarray:
-        """The row of every place, by streaming all texts backward through the transform at once."""
+        """The row of every place, by streaming all texts backward through the transform at once, each walk down to the
+        place after the next one's begin."""
         out = np.empty(self.symbols.size, np.int64)
-        going = np.argsort(-self.sizes, kind="stable")
-        row, left = going.copy(), self.sizes[going]  # the row of a text's end is the text's number
-        out[self.ends[going]] = row
+        left = np.diff(np.append(-1, self.walks))
+        going = np.argsort(-left, kind="stable")
+        left, row, place = left[going], self.walk_rows[going], self.walks[going]
+        out[place] = row
         shift = np.repeat(self.jump - self.starts, self.lengths)  # the runs' backward steps, row by row
         step = 0
         while True:
+            step += 1
             alive = int(np.searchsorted(-left, -step, "left"))
             if not alive:
                 return out
             row = row[:alive] + shift[row[:alive]]
-            step += 1
-            out[self.ends[going[:alive]] - step] = row
+            out[place[:alive] - step] = row
 
     def classes(self, length: int) -> np.ndarray:
         """A number per place, equal where the next ``length`` bytes are equal; -1 where fewer are left."""

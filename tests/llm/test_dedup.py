@@ -87,6 +87,20 @@ def test_run_index_is_the_suffix_order():
         assert shared[here] == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
 
 
+def test_later_strings_of_long_and_periodic_texts():
+    rng = np.random.default_rng(8)
+    noise = bytes(rng.integers(0, 256, 300).tolist())
+    texts = [b"ab" * 6000, noise, b"x" + noise[50:] + b"abab" * 90, b"", b"c" * 99, noise[:120] * 2]
+    sizes, doc = np.array([len(t) for t in texts]), np.arange(len(texts))
+    which, place = suffix_dedup.later_strings(np.frombuffer(b"".join(texts), np.uint8), sizes, doc, doc.astype(np.uint64), doc * 0)
+    seen, wanted = set(), set()
+    for i, text in enumerate(texts):
+        for k in range(len(text) - 99):
+            wanted |= {(i, k)} if text[k : k + 100] in seen else set()
+            seen.add(text[k : k + 100])
+    assert sorted(zip(which.tolist(), place.tolist())) == sorted(wanted)
+
+
 def test_simhash(docs, rows, empty):
     marks = [brute.fingerprint(t) for _, t in rows]
     assert [simhash.fingerprint((t or "").encode()) for _, t in rows] == marks
