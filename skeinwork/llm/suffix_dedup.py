@@ -26,7 +26,7 @@ SPREAD = LENGTH - GRAM + 1
 #: Below 2 MB, three ranks fit one sort key.
 INDEX_BYTES = 3 << 19
 #: Compared lengths whose ranks an index keeps while it is built; places between two walks at most.
-LEVELS, STRIDE = 6, 4096
+LEVELS, STRIDE = 4, 4096
 #: Grams worked on at once, so that what is computed of them stays near the processor.
 BLOCK = 1 << 15
 
@@ -155,23 +155,26 @@ class RunIndex:
         A key is as many symbols, later as many ranks, as 63 bits hold. Only suffixes that are still tied are sorted again; one whose text ended within the compared length stays tied. Also
         gives some compared lengths with the ranks under them: equal ranks are equal strings.
         """
-        n, place = symbols.size, np.arange(symbols.size)
+        n, small = symbols.size, np.int32 if symbols.size < 1 << 31 else np.int64
         used = np.zeros(257, np.int64)
         used[symbols] = 1
-        codes, width = np.cumsum(used)[symbols] - 1, max(1, int(used.sum() - 1).bit_length())
-        key, depth = codes, 63 // width
-        for k in range(1, depth):
-            key = (key << width) | codes[np.minimum(place + k, limit)]
-        bits = n.bit_length()
-        begin, tied, rank = depth, place, np.zeros(n, np.int64)
-        levels: list[tuple[int, np.ndarray]] = []
+        width, bits = max(1, int(used.sum() - 1).bit_length()), n.bit_length()
+        tied, rank = np.arange(n, dtype=small), np.zeros(n, small)
+        codes = (np.cumsum(used) - 1).astype(np.int16)[symbols]
+        key, begin = codes.astype(np.int64), 63 // width
+        for k in range(1, begin):
+            key <<= width
+            key |= codes[np.minimum(tied + k, limit)]
+        del codes
+        depth, levels = begin, []
         while True:
             by_key = np.argsort(key)
-            ordered, tied = key[by_key], tied[by_key]
+            tied, ordered = tied[by_key], key[by_key]
+            del by_key, key
             new = np.ones(tied.size, bool)
             new[1:] = ordered[1:] != ordered[:-1]
-            first = np.flatnonzero(new)
-            group = np.cumsum(new) - 1
+            del ordered
+            first, group = np.flatnonzero(new).astype(small), np.cumsum(new, dtype=small) - 1
             # a group keeps its rows: its first of them is the rank of its first part
             if depth == begin:
                 rank[tied] = first[group]
@@ -181,15 +184,21 @@ class RunIndex:
                 lead[1:] = old[1:] != old[:-1]
                 rank[tied] = (old + first - first[lead][np.cumsum(lead) - 1])[group]
             if len(levels) < LEVELS:
-                levels.append((depth, rank.astype(np.int32 if n < 1 << 31 else np.int64)))
+                levels.append((depth, rank.copy()))
             many = np.diff(np.append(first, tied.size)) > 1
             tied = tied[many[group]]
             tied = tied[limit[tied] - tied >= depth]
+            del first, group, new
             if not tied.size:
-                return np.sort((rank << 32) | place) & 0xFFFFFFFF, levels
-            key, times = rank[tied], 63 // bits
+                order = rank.astype(np.int64) << 32
+                order |= np.arange(n)
+                order.sort()
+                order &= 0xFFFFFFFF
+                return order, levels
+            key, times = rank[tied].astype(np.int64), 63 // bits
             for k in range(1, times):
-                key = (key << bits) | rank[np.minimum(tied + k * depth, limit[tied])]
+                key <<= bits
+                key |= rank[np.minimum(tied.astype(np.int64) + k * depth, limit[tied])]
             depth *= times
 
     @staticmethod
