@@ -1,4 +1,4 @@
-"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of the benchmark items."""
+"""Benchmark decontamination: one Aho-Corasick automaton over the normalised windows of the benchmark items, word by word."""
 
 from __future__ import annotations
 
@@ -17,9 +17,9 @@ from skeinwork.llm import common
 WINDOW = 13
 #: Of its words a document may have one in this many hit before it counts as contaminated.
 SHARE = 20
-#: Bytes of items in one automaton. A larger benchmark is split over several, each scanned in turn; driver and executors
-#: hold one at a time. Its windows take about ``WINDOW`` times as much.
-AUTOMATON_BYTES = 8 << 20
+#: Nodes of one automaton, about 48 bytes each in every worker. A benchmark of more (about 3 MB of items) is split over several,
+#: each scanned in turn; driver and executors hold one at a time.
+AUTOMATON_NODES = 5_000_000
 
 LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 NO_WORD = np.zeros(256, bool)
@@ -35,62 +35,88 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(PLAIN).split()
 
 
-def windows(items: list[tuple[str, bytes]], size: int = WINDOW) -> dict[bytes, tuple[int, list[str]]]:
-    """Each window, between spaces, with its number of words and the ids of the items that hold it."""
-    found: dict[bytes, tuple[int, list[str]]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for k in range(max(1, len(words) - size + 1) if words else 0):
-            run = words[k : k + size]
-            key = b" " + b" ".join(run) + b" "
-            holders = found.setdefault(key, (len(run), []))[1]
-            if item not in holders:
-                holders.append(item)
-    return found
+def _letter(number: int) -> str:
+    """The letter of a word; zero stands for all other words, and half characters are left out."""
+    return chr(number + 1 if number < 0xD7FF else number + 0x801)
 
 
-def automaton(held: dict[bytes, tuple[int, list[str]]]):
-    import ahocorasick
+class Windows:
+    """The windows of some items in one automaton over words: each different word of the items is a letter."""
 
-    machine = ahocorasick.Automaton()
-    for key, value in held.items():
-        machine.add_word(key.decode(), value)
-    machine.make_automaton()
-    return machine
+    def __init__(self, items: list[tuple[str, bytes]], size: int = WINDOW):
+        import ahocorasick
 
+        self.machine, self.letters = ahocorasick.Automaton(), {}
+        for item, text in items:
+            line = "".join([self.letters.setdefault(word, _letter(len(self.letters))) for word in words_of(text)])
+            own = (min(len(line), size), {item: None})  # one object for all windows of the item
+            for k in range(max(1, len(line) - size + 1) if line else 0):
+                key = line[k : k + size]
+                held = self.machine.get(key, None)
+                if held is None:
+                    self.machine.add_word(key, (*own, False))
+                elif item not in held[1]:
+                    n, holders, shared = held
+                    if not shared:
+                        self.machine.add_word(key, (n, {**holders, item: None}, True))
+                    else:
+                        holders[item] = None
+        self.machine.make_automaton()
 
-def chunks(items: DataFrame, limit: int = AUTOMATON_BYTES) -> Iterator[list[tuple[str, bytes]]]:
-    """The items in pieces of about ``limit`` bytes, streamed to the driver one partition at a time, which hold no more than
-    about ``limit`` bytes either."""
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Which words lie in an occurrence of a window, and the items of those windows."""
+        letter = self.letters.get
+        matches = list(self.machine.iter("".join([letter(word, "\0") for word in words]))) if len(self.machine) else []
+        if not matches:
+            return np.zeros(len(words), bool), set()
+        last = np.array([end for end, _ in matches]) + 1
+        spans = np.array([n for _, (n, _, _) in matches])
+        items = set().union(*{id(holders): holders for _, (_, holders, _) in matches}.values())
+        return common.covered(len(words), last - spans, last), items
+
+
+_WINDOWS: dict[str, Windows] = {}
+
+
+def held_windows(name: str, items: list[tuple[str, bytes]], size: int) -> Windows:
+    """The worker's automaton of a piece; kept from task to task until another piece is asked for."""
+    if name not in _WINDOWS:
+        _WINDOWS.clear()
+        _WINDOWS[name] = Windows(items, size)
+    return _WINDOWS[name]
+
+
+def sent(spark: SparkSession, piece: list[tuple[str, bytes]], size: int):
+    """A broadcast of a piece's items and their name, from which each worker builds the automaton once."""
+    digest = hashlib.sha256(repr(size).encode())
+    for item, text in piece:
+        digest.update(b"%d:%b%d:%b" % (len(item.encode()), item.encode(), len(text), text))
+    return spark.sparkContext.broadcast((digest.hexdigest(), piece, size))
+
+
+def weight(data: bytes, size: int) -> int:
+    """A bound of an item's nodes in an automaton; not less than its bytes, and five a word, so that the letters suffice."""
+    words = len(words_of(data))
+    return max(len(data), 5 * words, min(words, size) * max(words - size + 1, 1))
+
+
+def chunks(parts: DataFrame, limit: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The parts (item_id, text, weight) in pieces of about ``limit``, streamed to the driver one partition at a time, which
+    hold no more than about ``limit`` either."""
+    total = parts.agg(F.sum("weight")).first()[0] or 0
     if total > limit:
-        items = items.repartition(-(-total // limit))
+        parts = parts.repartition(-(-total // limit))
     held, size = [], 0
-    for row in items.toLocalIterator():
-        text = (row["text"] or "").encode()
-        if held and size + len(text) > limit:
+    for row in parts.toLocalIterator():
+        if held and size + row["weight"] > limit:
             yield held
             held, size = [], 0
-        held.append((str(row["item_id"]), text))
-        size += len(text)
+        held.append((str(row["item_id"]), row["text"].encode()))
+        size += row["weight"]
     if held:
         yield held
 
 
-def scan(machine, text: bytes, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
-    """Which words lie in an occurrence of a window, and the items of those windows."""
-    line = b" " + b" ".join(words) + b" "
-    matches = list(machine.iter(line.decode())) if len(machine) else []
-    if not matches:
-        return np.zeros(len(words), bool), set()
-    sizes = np.fromiter(map(len, (w.decode() for w in words)), np.int64, len(words))
-    closes = np.cumsum(sizes + 1)  # place of the space after each word
-    last = np.searchsorted(closes, np.array([end for end, _ in matches]))
-    spans = np.array([n for _, (n, _) in matches])
-    items = {item for _, (_, holders) in matches for item in holders}
-    return common.covered(len(words), last + 1 - spans, last + 1), items
-
-
 def original_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
     """Runs of hit words as code-point ranges of the text as it was given."""
     data = np.frombuffer(text, np.uint8)
@@ -102,26 +128,25 @@ def original_spans(text: bytes, hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def cut_items(items: DataFrame, size: int, limit: int) -> DataFrame:
-    """(item_id, text), items of over ``limit`` bytes cut into parts with the same windows: they overlap by a window less
-    one word."""
+    """(item_id, text, weight), items of a weight over ``limit`` cut into parts with the same windows: they overlap by a window
+    less one word. Null texts are empty."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            names, texts = [], []
             for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 data = (text.as_py() or "").encode()
                 parts = [data]
-                if len(data) > limit:
+                if weight(data, size) > limit:
                     words = words_of(data)
                     # so many windows begin in one part
-                    step = max(1, len(words) * limit // len(data))
+                    step = max(1, limit // max(size, -(-len(data) // len(words)))) if words else 1
                     starts = range(0, max(1, len(words) - size + 1), step)
                     parts = [b" ".join(words[a : a + step + size - 1]) for a in starts]
-                names.extend([item] * len(parts))
-                texts.extend(part.decode() for part in parts)
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], ["item_id", "text"])
+                columns = [[item] * len(parts), [part.decode() for part in parts], [weight(part, size) for part in parts]]
+                types = [pa.string(), pa.string(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["item_id", "text", "weight"])
 
-    return items.select(F.col("item_id").cast("string"), "text").mapInArrow(work, "item_id string, text string")
+    return items.select(F.col("item_id").cast("string"), "text").mapInArrow(work, "item_id string, text string, weight long")
 
 
 def hits_by_text(spark: SparkSession, docs: DataFrame, pieces: Iterator[list[tuple[str, bytes]]], size: int) -> DataFrame:
@@ -129,14 +154,14 @@ def hits_by_text(spark: SparkSession, docs: DataFrame, pieces: Iterator[list[tup
     piece's windows are held anywhere."""
     found = [spark.createDataFrame([], HITS)]
     for piece in pieces:
-        held = spark.sparkContext.broadcast(windows(piece, size))
+        held = sent(spark, piece, size)
 
         def look(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            machine = automaton(held.value)
+            windows = held_windows(*held.value)
             for batch in common.slices(batches, "text", common.ROW_BYTES):
                 out = []
                 for key, text in zip(batch.column("text_key").to_pylist(), batch.column("text").cast(pa.large_binary()).to_pylist(), strict=True):
-                    hit, met = scan(machine, text, words_of(text))
+                    hit, met = windows.scan(words_of(text))
                     if met:
                         edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
                         out.append((key, edges.astype("<i8").tobytes(), sorted(met)))
@@ -155,7 +180,7 @@ def hits_by_text(spark: SparkSession, docs: DataFrame, pieces: Iterator[list[tup
 def judge(text: bytes | None, hit_of, share: int) -> tuple:
     text = text or b""
     words = words_of(text)
-    hit, met = hit_of(text, words)
+    hit, met = hit_of(words)
     n_hit = int(hit.sum())
     spans = ",".join(f"{a}:{b}" for a, b in original_spans(text, hit)) if n_hit else ""
     digest = hashlib.sha256(",".join(sorted(met)).encode()).hexdigest()
@@ -164,7 +189,8 @@ def judge(text: bytes | None, hit_of, share: int) -> tuple:
 
 def from_ranges(ranges: list[bytes], items: list[str]):
     """The hits of a text as they were stored, in the form of ``scan``."""
-    def hit_of(text: bytes, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
+
+    def hit_of(words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         edges = np.frombuffer(b"".join(ranges), "<i8")
         return common.covered(len(words), edges[0::2], edges[1::2]), set(items)
 
@@ -173,7 +199,7 @@ def from_ranges(ranges: list[bytes], items: list[str]):
 
 def split_pieces(items: DataFrame, size: int) -> tuple[list[tuple[str, bytes]] | None, Iterator[list[tuple[str, bytes]]]]:
     """The benchmark if it is one piece, else none; and its pieces, of which no more than two are held at once."""
-    pieces = chunks(cut_items(items, size, AUTOMATON_BYTES))
+    pieces = chunks(cut_items(items, size, AUTOMATON_NODES), AUTOMATON_NODES)
     first = next(pieces, [])
     second = next(pieces, None)
     return (first, iter(())) if second is None else (None, itertools.chain([first, second], pieces))
@@ -197,12 +223,12 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, size:
     whole, pieces = split_pieces(items, size)
     if whole is None:
         docs = joined(spark, docs, pieces, size)
-    held = None if whole is None else spark.sparkContext.broadcast(windows(whole, size))
+    held = None if whole is None else sent(spark, whole, size)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None if held is None else automaton(held.value)
+        windows = None if held is None else held_windows(*held.value)
         for batch in common.slices(batches, "text", common.ROW_BYTES):
-            columns = list(zip(*(judge(text, hit_of, share) for text, hit_of in told_hits(batch, machine)), strict=True))
+            columns = list(zip(*(judge(text, hit_of, share) for text, hit_of in told_hits(batch, windows)), strict=True))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").cast(pa.int64()), *map(pa.array, columns)],
                 ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"],
@@ -211,11 +237,11 @@ def contamination(spark: SparkSession, docs: DataFrame, items: DataFrame, size:
     return docs.mapInArrow(look, FOUND)
 
 
-def told_hits(batch: pa.RecordBatch, machine) -> Iterator[tuple]:
+def told_hits(batch: pa.RecordBatch, windows: Windows | None) -> Iterator[tuple]:
     """Each text of the batch and how to find its hits: with the automaton, or as they were stored."""
     texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-    if machine is not None:
-        return ((text, functools.partial(scan, machine)) for text in texts)
+    if windows is not None:
+        return ((text, windows.scan) for text in texts)
     ranges, items = (batch.column(batch.num_columns - k).to_pylist() for k in (2, 1))
     return ((text, from_ranges(r or [], i or [])) for text, r, i in zip(texts, ranges, items, strict=True))
 
@@ -226,15 +252,15 @@ def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, size: int = WI
     whole, pieces = split_pieces(items, size)
     if whole is None:
         docs = joined(spark, docs, pieces, size)
-    held = None if whole is None else spark.sparkContext.broadcast(windows(whole, size))
+    held = None if whole is None else sent(spark, whole, size)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = None if held is None else automaton(held.value)
+        windows = None if held is None else held_windows(*held.value)
         for batch in common.slices(batches, "text", common.ROW_BYTES):
             good = []
-            for text, hit_of in told_hits(batch, machine):
+            for text, hit_of in told_hits(batch, windows):
                 words = words_of(text or b"")
-                n_hit = int(hit_of(text or b"", words)[0].sum())
+                n_hit = int(hit_of(words)[0].sum())
                 good.append(not (n_hit and share * n_hit >= len(words)))
             yield batch.select(schema.names).filter(pa.array(good))
 

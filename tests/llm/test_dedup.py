@@ -223,10 +223,10 @@ def test_stages_keep_columns_of_any_name(spark):
     items = spark.createDataFrame([(k, brute.prose(k, 30)) for k in range(2)], "item_id long, text string")
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns and kept.count() == 6
-    for size in (decontam.AUTOMATON_BYTES, 10):
-        decontam.AUTOMATON_BYTES, before = size, decontam.AUTOMATON_BYTES
+    for size in (decontam.AUTOMATON_NODES, 10):
+        decontam.AUTOMATON_NODES, before = size, decontam.AUTOMATON_NODES
         clean = decontam.clean(spark, docs, items)
         assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == {50, *(i for i in range(20) if i % 5 > 1)}
-        decontam.AUTOMATON_BYTES = before
+        decontam.AUTOMATON_NODES = before
     taken = Counter(r["doc_id"] for r in mixing.mixed(docs).collect())
     assert mixing.mixed(docs).columns == docs.columns and max(taken.values()) == 2

@@ -100,22 +100,20 @@ def test_contamination(spark, docs, rows, empty):
 def test_benchmark_in_several_automata(spark, docs, rows, monkeypatch):
     items = [(k, brute.prose(1, 60)[k : k + 200]) for k in range(12)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    chunks = decontam.chunks
-    monkeypatch.setattr(decontam, "chunks", lambda table: chunks(table, 300))
-    assert len(list(decontam.chunks(bench))) > 3
+    monkeypatch.setattr(decontam, "AUTOMATON_NODES", 300)
+    assert len(list(decontam.chunks(decontam.cut_items(bench, decontam.WINDOW, 300), 300))) > 3
     same(decontam.contamination(spark, docs, bench).drop("spans"), brute.contamination(rows, items))
 
 
 def test_large_benchmark_is_held_a_piece_at_a_time(spark, docs, rows, monkeypatch):
     items = [(1, brute.prose(1, 60) + " " + brute.prose(5, 300)), *((k, brute.prose(k, 30)) for k in range(2, 9)), (9, None)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    monkeypatch.setattr(decontam, "AUTOMATON_BYTES", 600)
-    chunks, context, sizes, live = decontam.chunks, type(spark.sparkContext), [], []
-    monkeypatch.setattr(decontam, "chunks", lambda table: chunks(table, 600))
+    monkeypatch.setattr(decontam, "AUTOMATON_NODES", 600)
+    context, sizes, live = type(spark.sparkContext), [], []
     broadcast = context.broadcast
 
     def counted(self, value):
-        sizes.append(sum(map(len, value)))
+        sizes.append(decontam.Windows(*value[1:]).machine.get_stats()["nodes_count"])
         held = broadcast(self, value)
         live.append(held)
         destroy = held.destroy
@@ -127,7 +125,7 @@ def test_large_benchmark_is_held_a_piece_at_a_time(spark, docs, rows, monkeypatc
     wanted = brute.contamination(rows, items)
     same(decontam.contamination(spark, docs, bench).drop("spans"), wanted)
     same(decontam.clean(spark, docs, bench).select("doc_id", "text"), [r for r, w in zip(rows, wanted) if not w[-1]])
-    assert len(sizes) > 8 and max(sizes) < 2 * decontam.WINDOW * 600 and not live
+    assert len(sizes) > 8 and max(sizes) <= 600 and not live
 
 
 def test_pairs_in_linear_time():
