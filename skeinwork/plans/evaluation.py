@@ -173,6 +173,27 @@ def head_fit(spark, folder):
     return records.select("model_name", shown("seeds").alias("seeds"), "epochs", "metric", F.size("scores").alias("n_scores"), "mean_score")
 
 
+STEPS = 5
+
+
+def head_fit_seeds(spark, folder):
+    """Heads of all seeds fitted in the same passes over the table; accuracy on each seed's held-out rows, as one run record."""
+    parts = table(spark, folder, "embeddings").select("vec_id", "embedding", "label")
+    dims = _width(parts)
+    names = [f"split_{seed}" for seed in SEEDS]
+    for seed, name in zip(SEEDS, names):
+        parts = order.train_test(parts, "vec_id", seed).withColumnRenamed("split", name)
+    parts = frozen(spread(parts))
+    classes, weights = head.fit_heads(parts, "embedding", "label", names, dims, STEPS)
+    told = head.heads_predicted(parts, "embedding", ["label", *names], classes, weights).select(
+        "label", F.posexplode(F.arrays_zip(F.array(*[F.lit(s) for s in SEEDS]).alias("seed"), F.array(*names).alias("split"), F.col("preds").alias("pred"))).alias("no", "x"))
+    told = told.filter("x.split = 'test' and label is not null")
+    right = (F.get(F.lit(classes), F.col("x.pred")) == F.col("label")).cast("double")
+    scores = told.groupBy((F.col("no") + 1).alias("run_no"), F.col("x.seed").alias("seed")).agg(F.avg(right).alias("score"))
+    records = runs.run_records(scores.withColumn("model_name", F.lit("softmax")), 0, STEPS, "accuracy")
+    return records.select("model_name", shown("seeds").alias("seeds"), "epochs", "metric", F.explode("scores").alias("score"), "mean_score")
+
+
 QUERIES = {
     "train_test_split": train_test_split,
     "batches": batches,
@@ -194,8 +215,37 @@ QUERIES = {
     "head_score": head_score,
     "gather_concat": gather_concat,
     "head_fit": head_fit,
+    "head_fit_seeds": head_fit_seeds,
 }
 
+
+def _heads_sql() -> str:
+    """Full-batch steps from zero weights, one chain of tables a step."""
+    seeds = ", ".join(map(str, SEEDS))
+    parts = [f"""with r as materialized (select seed, vec_id, label,
+            row_number() over (partition by seed order by md5(concat_ws(':', seed, vec_id)), vec_id) - 1 as k,
+            count(*) over (partition by seed) as n from embeddings, (select unnest([{seeds}]) as seed)),
+        cells as materialized (select vec_id, i, embedding[i]::double as x
+            from (select vec_id, embedding, unnest(range(1, len(embedding) + 1)) as i from embeddings)),
+        t as materialized (select seed, vec_id, label, count(*) over (partition by seed) as n from r where k >= ceil(0.2::double * n)),
+        w0 as (select seed, c, i, 0::double as w from (select unnest([{seeds}]) as seed), (select distinct label as c from embeddings),
+            (select distinct i from cells))"""]
+    for k in range(1, STEPS + 1):
+        parts.append(f"""z{k} as (select t.seed, vec_id, label, n, c, sum(x * w) as z
+            from t join cells using (vec_id) join w{k - 1} as w on w.seed = t.seed and w.i = cells.i group by all),
+        e{k} as (select *, exp(z - max(z) over (partition by seed, vec_id)) as e from z{k}),
+        d{k} as (select seed, vec_id, n, c, e / sum(e) over (partition by seed, vec_id) - (c = label)::integer as d from e{k}),
+        g{k} as (select seed, c, i, sum(d * x / n) as g from d{k} join cells using (vec_id) group by all),
+        w{k} as materialized (select seed, c, i, w - g as w from w{k - 1} join g{k} using (seed, c, i))""")
+    parts.append(f"""raw as (select r.seed, vec_id, label, c, sum(x * w) as z from r join cells using (vec_id)
+            join w{STEPS} as w on w.seed = r.seed and w.i = cells.i where k < ceil(0.2::double * n) group by all),
+        best as (select seed, vec_id, label, arg_max(c, z) as pred from raw group by all),
+        scores as (select seed, round_even(avg((pred = label)::integer), 6) as score from best group by seed)
+        select 'softmax' as model_name, '{seeds.replace(",", "")}' as seeds, cast({STEPS} as integer) as epochs, 'accuracy' as metric, score,
+            round_even(avg(score) over (), 4) as mean_score from scores""")
+    return ",\n        ".join(parts)
+
+
 _JUDGED = """
 judged as (select d.doc_id, source, lang, cast(n_chars % 3 > 0 as integer) as pred,
     cast(n_chars % 10 = 0 as integer) as pred_toxic, quality, toxic
@@ -289,4 +339,5 @@ ORACLES = {
             from (select *, (select max(len(embedding)) // 8 from embeddings) as k from embeddings))
         select vec_id, cast(len(h) as integer) as n,
             round_even(list_sum(list_transform(h, lambda x, i: x * i)), 6) as weighted from h""",
+    "head_fit_seeds": _heads_sql(),
 }
