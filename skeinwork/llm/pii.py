@@ -1,7 +1,8 @@
 """Personal data: fixed patterns, and a linear-chain conditional random field over word shapes that adds what they miss.
 
-The field is trained on a small labelled table drawn from the corpus itself: stretches around digits, ``@`` and ``+``, whose
-words are labelled by the patterns. It is decoded by Viterbi, many stretches at once.
+The field is trained on a small labelled table: hand-labelled lines below, of shapes that no pattern holds, and stretches of the
+corpus in which the patterns find something, or of texts with a number that only fails their check, whose words are labelled by them.
+It is decoded by Viterbi, many stretches at once.
 """
 
 from __future__ import annotations
@@ -40,6 +41,85 @@ TRAIN_ROWS, BUCKETS, EPOCHS, RATE, DECAY = 1_500, 1 << 12, 40, 0.2, 1e-4
 STRETCHES = 50_000
 
 
+#: Hand-labelled lines: personal data in angle brackets after its kind; the rest is none. Each is learnt with its digits as they
+#: are and with smaller ones, drawn so many times.
+REDRAWN = 8
+LINES = """
+please call <phone:(030) 412-7789> after six
+my number is <phone:0049 30 9876543> at work
+reach us under <phone:0049-89-5554321> any day
+dial <phone:00 44 20 7946 0958> from abroad
+ring <phone:555-867-5309> and ask for anna
+tel <phone:555.867.5309> or come by
+office <phone:(555) 867-5309>, ground floor
+fax <phone:089/9876543> please
+mobile <phone:0171/9876543> evenings only
+text me <phone:+49/171/9876543> tonight
+her phone <phone:0171-9876543> was off
+phone <phone:(0)30 9876 5432> for tickets
+write to <email:anna99[@]mail7.org> today
+ask <email:bob.m[@]example.com> about it
+send it to <email:carla@mail[.]example[.]org> soon
+mail <email:dave@example[.]com>, thanks
+contact <email:eve.k @ example.com> first
+from <email:frank_9 @ mail.example.org> we heard
+cc <email:gina(@)example.net> as well
+address <email:hugo{@}example.com> works
+reply to <email:ida@example,com> instead
+paid with <card:4111.1111.1111.1111> yesterday
+card <card:5500/0000/0000/0004> was charged
+visa <card:4111_1111_1111_1111> expires soon
+account <card:4111-****-****-1234> is closed
+card <card:XXXX-XXXX-XXXX-9876> on file
+card <card:xxxx-xxxx-xxxx-9876> again
+charged <card:****-****-****-9876> twice
+ending <card:************9876> was used
+host <ip:192[.]168[.]99[.]17> was scanned
+traffic from <ip:99[.]77[.]88[.]99> stopped
+server <ip:192.168.99[.]17> is down
+login from <ip:192(.)168(.)99(.)17> failed
+client <ip:2001:db8:85a3::8a2e:370:7334> joined
+peer <ip:fe80::9ff:fe23:4567:890a> left
+gateway <ip:2001:0db8:85a3:0000:0000:8a2e:0370:7334> answered
+on 28.09.2019 we met again
+since 2019-09-28 it rains
+at 2019-09-28T19:59:59 it began
+open 09:00-18:30 on weekdays
+see 09/28/2019 for details
+version 9.12.4 is out
+section 9.8.7.6.5 says so
+chapter 9.8. begins here
+step 9. mix the flour
+isbn 978-9-99-999999-9 in print
+pages 199-289 are missing
+from 1989-1999 they lived there
+it costs 9,999,999.99 euro
+about 99.9% of 1,999 people
+won 99:89 in the end
+order 20190928-0099 was sent
+ticket #98765 is closed
+invoice 2019/09/9876 is due
+code c++17 and 9+9=18
+reads @home and @work often
+hash 9f8e7d6c5b4a99887766554433221100ffeeddcc here
+serial 9999888877776666 was lost
+number 9876543210 in the list
+weighs 9.5kg and 99cm tall
+flight lh9876 at gate b29
+ratio 9/99 of all
+sum 9 + 9 = 18 and 9 - 5 = 4
+x = 9 + y and 9 * 9 = 81
+needs 9+ items or 99+ points
+paste 9 - 99 = 0
+serial 9876543298765432 was lost
+code 9999999999999999 printed
+parcel 8888777766665555 arrives
+device 7777666655554444 paired
+batch 99998888777766665 is next
+room 9-129 upstairs
+"""
+
+
 def luhn(digits: bytes) -> bool:
     values = [d - 48 for d in digits[::-1]]
     return sum(v if k % 2 == 0 else (2 * v - 9 if v > 4 else 2 * v) for k, v in enumerate(values)) % 10 == 0
@@ -228,7 +308,11 @@ def fit(examples: list[tuple[np.ndarray, np.ndarray]]) -> Field:
 
 def labelled(text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     """Stretches of a text with their words labelled by the fixed patterns."""
-    spans = [(a, b, k) for k, kind in enumerate(KINDS) for a, b in base_spans(text)[kind]]
+    return with_labels(text, [(a, b, k) for k, kind in enumerate(KINDS) for a, b in base_spans(text)[kind]])
+
+
+def with_labels(text: bytes, spans: list[tuple[int, int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Stretches of a text with the words of each (start, end, kind) labelled."""
     out = []
     for starts, ends in stretches(text):
         labels = np.zeros(len(starts), np.int64)
@@ -240,17 +324,39 @@ def labelled(text: bytes) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def hand_labelled(lines: str = LINES, redrawn: int = REDRAWN, seed: int = 1) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Stretches of hand-labelled lines, as they are and with each digit drawn anew, not above the old one."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for line in lines.encode().split(b"\n"):
+        text, spans = b"", []
+        for k, part in enumerate(re.split(rb"<([a-z]+:[^>]*)>", line)):
+            if k % 2:
+                kind, part = part.split(b":", 1)
+                spans.append((len(text), len(text) + len(part), KINDS.index(kind.decode())))
+            text += part
+        for turn in range(1 + redrawn):
+            drawn = text if not turn else re.sub(rb"[0-9]", lambda m: b"%d" % rng.integers(int(m[0]) + 1), text)
+            if spans or not any(base_spans(drawn).values()):  # a number drawn may pass a check by chance
+                out.extend(with_labels(drawn, spans))
+    return out
+
+
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
-    """Fit on the stretches of at most ``rows`` texts, those of smallest id digest that have a mark."""
+    """Fit on the hand-labelled lines and the stretches of at most ``rows`` texts, those of smallest id digest that have a mark."""
     marked = docs.select("doc_id", "text").filter(F.col("text").rlike("[0-9@+]")).select(F.xxhash64("doc_id").alias("h"), "doc_id", F.xxhash64("text").alias("t"))
     chosen = marked.orderBy("h", "doc_id", "t").limit(rows).select(F.col("doc_id").alias("c"), "t").distinct()
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("c")) & (F.xxhash64("text") == F.col("t")))
 
+    refused = re.compile("(?<![0-9])[0-9]{16,19}(?![0-9])")
+
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, words, labels = [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for features, truth in labelled(text.encode()):
+                    if not truth.any() and not refused.search(text):
+                        continue  # nothing is known of it: the patterns miss what the hand-labelled lines teach
                     ids.append(doc_id)
                     words.append(features.astype(np.int32).tobytes())
                     labels.append(truth.astype(np.int8).tobytes())
@@ -259,7 +365,8 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Field:
     found = texts.select("doc_id", "text").dropDuplicates().mapInArrow(take, "doc_id long, words binary, labels binary")
     found = found.orderBy(F.xxhash64("words"), "doc_id", "words", "labels").limit(STRETCHES).collect()
     found.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, bytes(r["words"])))
-    return fit([(np.frombuffer(r["words"], np.int32).reshape(-1, WIDTH).astype(np.int64), np.frombuffer(r["labels"], np.int8).astype(np.int64)) for r in found])
+    corpus = [(np.frombuffer(r["words"], np.int32).reshape(-1, WIDTH).astype(np.int64), np.frombuffer(r["labels"], np.int8).astype(np.int64)) for r in found]
+    return fit(corpus + hand_labelled())
 
 
 def added_spans(text: bytes, starts: list[int], ends: list[int], labels: np.ndarray, taken: list[tuple[int, int]]) -> Iterator[tuple[str, int, int]]:
@@ -294,7 +401,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, field: Field | None = No
     """Per row of ``docs`` (doc_id, text): counts of the fixed patterns, their digest, and all spans.
 
     Spans are kind:start:end in code points, end exclusive, by kind and start. The field's spans never touch a pattern's.
-    Null and empty texts have none; repeated rows each get a row; a corpus without marks trains a field that adds nothing.
+    Null and empty texts have none; repeated rows each get a row; a corpus
+    without marks trains the field on the hand-labelled lines alone.
     """
     docs = docs.select("doc_id", "text")
     field = field or train(docs, rows)
