@@ -180,6 +180,38 @@ def test_embeddings(spark, monkeypatch):
     assert embed_dedup.near_duplicates(table.filter("false")).count() == 0
 
 
+def test_embedding_blocks():
+    """Points meet in cells and boxes exactly as by brute force, and most pairs of isotropic points are never looked at."""
+    rng = np.random.default_rng(5)
+    points = np.rint(rng.normal(size=(3000, 10)) * 1000)
+    points[:40] = points[0] + np.rint(rng.normal(size=(40, 10)) * 20)
+    points[40:60] = points[40]
+    square = (points**2).sum(1)
+    wanted = square[:, None] + square[None, :] - 2 * points @ points.T <= 650.0**2
+    np.fill_diagonal(wanted, False)
+    assert 60 <= wanted.any(1).sum() < 1000
+    home = np.ones(len(points), bool)
+    found, looked = embed_dedup.meets(points, home, None, 650.0**2)
+    assert np.array_equal(found, wanted.any(1)) and looked < 0.2 * len(points) * (len(points) - 1) / 2
+    home, second = rng.random(len(points)) < 0.5, rng.random(len(points)) < 0.3
+    found, _ = embed_dedup.meets(points, home, second, 650.0**2)
+    assert np.array_equal(found, (wanted & (home[:, None] | home[None, :]) & (second[:, None] != second[None, :])).any(1))
+    cuts = np.quantile(points, [0.25, 0.5, 0.75], axis=0).round().astype(np.int64)
+    for halvings in (0, 1, 7, 14, 20):
+        own, row, cell = embed_dedup.cells(points.astype(np.int32), cuts, halvings, 650.0**2)
+        there = [dict() for _ in range(2)]
+        for i, c in enumerate(own.tolist()):
+            there[0].setdefault(c, []).append(i)
+        for i, c in zip(row.tolist(), cell.tolist(), strict=True):
+            there[1].setdefault(c, []).append(i)
+        times = np.zeros(wanted.shape, int)
+        for c, homes in there[0].items():
+            times[np.ix_(homes, homes)] += 1
+            times[np.ix_(homes, there[1].get(c, []))] += 1
+            times[np.ix_(there[1].get(c, []), homes)] += 1
+        assert (times[wanted] == 1).all() and times.max() == 1
+
+
 def test_embeddings_of_repeated_ids(spark):
     rng = np.random.default_rng(8)
     base = rng.normal(size=(4, 12))
