@@ -32,7 +32,7 @@ SIDE = 8192
 #: Vectors that the places of the cuts are read from, and the most times a label is halved. Links don't depend on either.
 SAMPLE, HALVINGS = 1000, 40
 #: Points of a box that are compared without splitting it again, and rows of a matrix of whole vectors.
-LEAF, ROWS = 16, 256
+LEAF, ROWS = 32, 256
 SEED = 11
 
 
