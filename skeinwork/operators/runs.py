@@ -90,15 +90,9 @@ def run_records(scores: DataFrame, batch_size: int, epochs: int, metric: str, by
     )
 
 
-def stacked_results(**records: DataFrame) -> DataFrame:
-    """Model, metric and mean score of the run records of each task, one table with ``task``."""
-    out = None
-    for task, frame in records.items():
-        part = frame.select(
-            F.lit(task).alias("task"), "model_name", "metric", F.col("mean_score").alias("score")
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+def stacked_results(records: DataFrame) -> DataFrame:
+    """Model, metric and mean score of the run records of all tasks, one table with ``task``."""
+    return records.select("task", "model_name", "metric", F.col("mean_score").alias("score"))
 
 
 def with_columns_by_row(df: DataFrame, extra: DataFrame, row: str = "row_idx", limit: int = 1_000_000) -> DataFrame:

@@ -64,11 +64,6 @@ def run_grid(spark, folder):
     return runs.run_grid(sources.select(path.alias("model_path")), SEEDS)
 
 
-def _kinds(spark, folder) -> list[str]:
-    """The event types, which stand for tasks; they are a handful."""
-    return sorted(r[0] for r in table(spark, folder, "events").select("event_type").distinct().collect())
-
-
 def _records(spark, folder) -> DataFrame:
     """Run records per task and model from the events of all types."""
     events = table(spark, folder, "events")
@@ -100,8 +95,7 @@ def results_table(spark, folder):
 
 
 def stacked_results(spark, folder):
-    records = frozen(_records(spark, folder))
-    return runs.stacked_results(**{kind: records.filter(F.col("task") == kind) for kind in _kinds(spark, folder)})
+    return runs.stacked_results(_records(spark, folder))
 
 
 QUERIES = {

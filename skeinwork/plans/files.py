@@ -19,12 +19,11 @@ def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
     path = scratch_path(spark, "lines")
     one_line = F.regexp_replace("text", r"[\r\n]+", " ")
     lines = table(spark, folder, "documents").select(F.concat(F.format_string("%012d", "doc_id"), F.lit("\t"), one_line).alias("value"))
-    sinks.append_lines(lines.repartitionByRange(4, "value").sortWithinPartitions("value"), path)
-    read = readers.numbered_lines(spark, path)
-    place = F.row_number().over(Window.partitionBy("file").orderBy("value")) - 1
+    sinks.append_lines(lines.repartitionByRange("value").sortWithinPartitions("value"), path)
+    read = order.ordinal_within(readers.numbered_lines(spark, path), ["file"], ["value"], "place")
     return read.select(
         F.split_part("value", F.lit("\t"), F.lit(1)).cast("bigint").alias("doc_id"), F.length("value").alias("n_chars"),
-        (F.col("line_no") == place).alias("in_place"))
+        (F.col("line_no") == F.col("place")).alias("in_place"))
 
 
 def _items(spark, folder, name) -> str:

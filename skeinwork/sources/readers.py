@@ -26,7 +26,8 @@ SPLIT_LIMIT = 500_000
 def list_files(spark: SparkSession, path: str, prefix: str = "", suffix: str = "", first: int | None = None) -> DataFrame:
     """Sorted ``(path, name)`` of the files under ``path`` by name prefix and suffix; the first n.
 
-    Only names and sizes are read. An unknown path is an error.
+    Only names and sizes are read. An unknown path is an error. Spark's scans pass over files without a byte: they are not
+    listed, nor read by any reader here.
     """
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"{prefix}*{suffix}").load(path)
     named = files.select("path", F.element_at(F.split("path", "/"), -1).alias("name")).orderBy("path")

@@ -165,3 +165,30 @@ def test_size_check_and_bounds(spark):
 
 def test_shared_dir_is_the_sessions(spark):
     assert shared_dir(spark) == shared_dir(local_session())
+
+
+def test_named_files_appear_all_or_none(spark, folder):
+    """Files appear when all tasks are done; a task that fails for good, or a name given twice, leaves nothing behind."""
+    rows = spark.createDataFrame([(f"f{i}.txt", f"text {i}") for i in range(40)] + [("ü .txt", "é"), ("empty.txt", None)], "name string, text string")
+    assert sinks.save_named_files(rows.repartition(5), f"{folder}/all") == 42
+    assert sorted(os.listdir(f"{folder}/all")) == sorted([r["name"] for r in rows.collect()] + ["_commits", "_pending"])
+    assert os.listdir(f"{folder}/all/_pending") == []
+    assert open(f"{folder}/all/ü .txt", encoding="utf-8").read() == "é" and open(f"{folder}/all/empty.txt").read() == ""
+    record = json.load(open(f"{folder}/all/_commits/" + os.listdir(f"{folder}/all/_commits")[0]))
+    assert record == {"files": 42, "bytes": sum(len((r["text"] or "").encode()) for r in rows.collect())}
+    assert sinks.save_named_files(spark.createDataFrame([("f1.txt", "new")], "name string, text string"), f"{folder}/all") == 1
+    assert open(f"{folder}/all/f1.txt").read() == "new" and open(f"{folder}/all/f2.txt").read() == "text 2"
+    assert readers.list_files(spark, f"{folder}/all").count() == 41  # all but the empty one
+    assert sinks.save_named_files(rows.filter("false"), f"{folder}/none") == 0
+
+    for case, text in enumerate(["raise_error('lost')", "text"]):
+        bad = rows.repartition(5).withColumn("text", F.when(F.col("name") == "f7.txt", F.expr(text)).otherwise(F.col("text")))
+        bad = bad if case == 0 else bad.unionByName(rows.filter("name = 'f7.txt'"))
+        with pytest.raises(Exception):
+            sinks.save_named_files(bad, f"{folder}/bad{case}")
+        left = [f for _, _, files in os.walk(f"{folder}/bad{case}") for f in files]
+        assert left == []
+    for name in (None, "", "a/b"):
+        with pytest.raises(Exception):
+            sinks.save_named_files(spark.createDataFrame([(name, "x")], "name string, text string"), f"{folder}/odd")
+    assert [f for _, _, files in os.walk(f"{folder}/odd") for f in files] == []
