@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skeinwork.operators import order, vocab
@@ -20,10 +20,10 @@ def numbered_lines(spark: SparkSession, folder: str) -> DataFrame:
     one_line = F.regexp_replace("text", r"[\r\n]+", " ")
     lines = table(spark, folder, "documents").select(F.concat(F.format_string("%012d", "doc_id"), F.lit("\t"), one_line).alias("value"))
     sinks.append_lines(lines.repartitionByRange("value").sortWithinPartitions("value"), path)
-    read = order.ordinal_within(readers.numbered_lines(spark, path), ["file"], ["value"], "place")
-    return read.select(
-        F.split_part("value", F.lit("\t"), F.lit(1)).cast("bigint").alias("doc_id"), F.length("value").alias("n_chars"),
-        (F.col("line_no") == F.col("place")).alias("in_place"))
+    doc_id = F.split_part("value", F.lit("\t"), F.lit(1)).cast("bigint").alias("doc_id")
+    read = readers.numbered_lines(spark, path).select("file", "line_no", doc_id, F.length("value").alias("n_chars"))
+    placed = order.ordinal_within(read, ["file"], ["doc_id"], "place")  # ids lead the lines, so their order is the lines'
+    return placed.select("doc_id", "n_chars", (F.col("line_no") == F.col("place")).alias("in_place"))
 
 
 def _items(spark, folder, name) -> str:
