@@ -22,8 +22,9 @@ def stream_loss(spark, folder):
 
 
 def _document_stream(spark, folder):
+    """The documents as a stream, one file or a folder of parts. The path is a pattern, since Spark takes a plain one for a folder."""
     schema = table(spark, folder, "documents").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(folder)
+    return spark.readStream.schema(schema).parquet(f"{folder}/documents.parque[t]")
 
 
 def stream_prep(spark, folder):

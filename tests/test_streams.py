@@ -70,3 +70,15 @@ def test_masked_words_of_a_stream_are_those_of_a_batch(spark, folder):
     live.run_to_files(masked(stream), f"{folder}/out", f"{folder}/state")
     found = sorted(map(tuple, spark.read.parquet(f"{folder}/out").collect()))
     assert found == sorted(map(tuple, masked(spark.read.parquet(f"{folder}/docs")).collect())) and len(found) == 8
+
+
+def test_documents_in_one_file_or_in_parts_are_streamed(spark, folder):
+    from skeinwork.plans import streams
+
+    rows = [(k, "Some words are here. " * 60, "en") for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    docs.repartition(3).write.parquet(f"{folder}/parts/documents.parquet")
+    docs.toPandas().to_parquet(f"{folder}/documents.parquet")
+    for query, columns in ((streams.stream_prep, 3), (streams.stream_mask, 3), (streams.stream_mask_whole_word, 3)):
+        parts, one = (sorted(map(tuple, query(spark, path).collect())) for path in (f"{folder}/parts", folder))
+        assert parts == one and len(one) == 6 and len(one[0]) == columns
