@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skeinwork.session import scratch_path
+from skeinwork.session import stored  # noqa: F401
 
 #: Bytes of text that one numpy pass takes at once; bounds a worker's memory, not what is read.
 PASS_BYTES = 4 << 20
@@ -32,14 +32,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: later steps don't repeat the work, and no
-    lost executor takes it along."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def removed(spark: SparkSession, df: DataFrame) -> None:
     """Delete the files of a stored stage that nothing reads any more."""
     jvm = spark.sparkContext._jvm

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from skeinwork.functions import arrays
 from skeinwork.functions.arrays import let
 from skeinwork.functions.text import words
-from skeinwork.operators.labelled import labels_on_pieces, padded_labels, with_label_ids
+from skeinwork.operators.labelled import first_label_ids, labels_on_pieces, padded_labels, with_label_ids
 from skeinwork.operators.masking import PAD
+from skeinwork.operators.order import null_safe_join
 from skeinwork.operators.wordpiece import cut_words, template
 
 # Sequence length and the class of positions without a word.
@@ -48,6 +49,25 @@ def entity_rows(
         listed = rows.select(
             "id", F.slice(F.flatten(parts), 1, length).alias("w"), F.slice(per_token, 1, length).alias("l")
         )
+    return _encoded(listed, vocab, length, pad_label, align)
+
+
+def block_entity_rows(
+    blocks: DataFrame, index: DataFrame, vocab: DataFrame, length: int = LENGTH, pad_label: int = PAD_LABEL,
+) -> DataFrame:
+    """``entity_rows`` with ``align='word'`` of ``span_blocks``: a piece moves no more labels and pre-tokens of its own than the
+    ``length`` that can reach the output."""
+    labels = first_label_ids(blocks, index, length)
+    # Pre-tokens hold no space, so they move as one text. An empty text has none but stands for a word: both sides hold every document.
+    parts = blocks.select("id", "pos", F.array_join(F.slice(words(F.col("text")), 1, length), " ").alias("_w"))
+    grouped = parts.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("pos", "_w"))).alias("_t"))
+    listed = F.filter(F.split(F.array_join("_t._w", " "), " "), lambda w: w != "")
+    rows = grouped.select("id", F.slice(listed, 1, length).alias("w"))
+    listed = null_safe_join(rows, labels.select("id", padded_labels(F.col("label_ids"), length, pad_label).alias("l")), ["id"])
+    return _encoded(listed, vocab, length, pad_label, "word")
+
+
+def _encoded(listed: DataFrame, vocab: DataFrame, length: int, pad_label: int, align: str) -> DataFrame:
     both = cut_words(listed, ["w"], vocab).withColumn("_ids", template(F.col("w_ids"), length))
     labels = F.col("l") if align == "word" else labels_on_pieces(F.col("l"), F.col("w_sizes"), length, pad_label)
     return both.select(

@@ -10,7 +10,7 @@ from skeinwork.operators import entities, labelled
 from skeinwork.plans import sql, tokens
 from skeinwork.plans.tables import documents, spread, table
 from skeinwork.plans.tokens import shown, turn_pairs
-from skeinwork.session import frozen
+from skeinwork.session import frozen, stored
 from skeinwork.sources import readers
 
 STEP = 40
@@ -52,39 +52,39 @@ def tagged_lines(docs: DataFrame) -> DataFrame:
     return clean.select(F.inline_outer(F.concat(texts, spans)))
 
 
-def _labelled_words(spark, folder):
-    lines = frozen(tagged_lines(documents(spark, folder)))
+def _tagged(spark, folder):
+    """Texts and spans of the documents. The lines are stored, since both are read from them."""
+    lines = stored(tagged_lines(documents(spark, folder)), "lines")
     docs, spans, _ = labelled.split_tagged_lines(lines)
-    return labelled.span_labels(docs, spans)
+    return docs, spans
 
 
 def span_labels(spark, folder):
-    return _labelled_words(spark, folder)
+    return labelled.span_labels(*_tagged(spark, folder))
 
 
 def sentence_group(spark, folder):
-    grouped = labelled.grouped_sentences(_labelled_words(spark, folder))
-    return grouped.select(
-        "id", F.size("words").alias("n_words"), F.array_join("labels", " ").alias("labels"), "sentence"
-    )
+    grouped = labelled.grouped_blocks(labelled.span_blocks(*_tagged(spark, folder)))
+    return grouped.select("id", F.size("words").alias("n_words"), F.array_join("labels", " ").alias("labels"), "sentence")
+
+
+def _index(blocks) -> DataFrame:
+    return labelled.label_index(blocks.select(F.explode_outer("labels").alias("label")))
 
 
 def label_index(spark, folder):
-    return labelled.label_index(_labelled_words(spark, folder))
+    return _index(labelled.span_blocks(*_tagged(spark, folder)))
 
 
 def label_pad(spark, folder):
-    words = frozen(_labelled_words(spark, folder))
-    known = labelled.with_label_ids(words, frozen(labelled.label_index(words)))
-    ordered = F.sort_array(F.collect_list(F.struct("pos", "label_id")))
-    grouped = known.filter(F.col("pos") < labelled.LABEL_LENGTH).groupBy("id").agg(ordered.alias("t"))
-    return grouped.select("id", shown(labelled.padded_labels(F.col("t.label_id"))).alias("label_ids"))
+    blocks = stored(labelled.span_blocks(*_tagged(spark, folder)).select("id", "pos", "labels"), "blocks")
+    known = labelled.first_label_ids(blocks, frozen(_index(blocks)))
+    return known.select("id", shown(labelled.padded_labels(F.col("label_ids"))).alias("label_ids"))
 
 
 def entity_encode(spark, folder):
-    words = frozen(_labelled_words(spark, folder))
-    index = frozen(labelled.label_index(words))
-    rows = entities.entity_rows(words, index, tokens.corpus_vocabulary(spark, folder))
+    blocks = stored(labelled.span_blocks(*_tagged(spark, folder)).select("id", "pos", "text", "labels"), "blocks")
+    rows = entities.block_entity_rows(blocks, frozen(_index(blocks)), tokens.corpus_vocabulary(spark, folder))
     return rows.select("id", *[shown(c).alias(c) for c in ("input_ids", "attention_mask", "labels")])
 
 

@@ -65,6 +65,14 @@ def frozen(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, in compressed columns: later steps don't repeat the work, read only
+    the columns they use, and no lost executor takes it along."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def at_most(df: DataFrame, limit: int) -> bool:
     """Whether ``df`` has no more than ``limit`` rows; reads ``limit + 1`` at most."""
     return df.limit(limit + 1).count() <= limit

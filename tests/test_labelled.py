@@ -161,3 +161,36 @@ def test_language_model_beyond_the_limit_gives_the_same(spark):
     whole = language.predict_languages(df, "k", model, ["en", "fr"]).collect()
     assert sorted(map(tuple, small)) == sorted(map(tuple, whole)) and len(whole) == 5
     assert {r["k"]: r["lang"] for r in whole}[2] == "fr"
+
+
+def test_pieces_meet_spans_over_block_ends(spark):
+    """Blocks of five characters: words longer than a block, brackets and empty words at their ends, copies of one text."""
+    chance = random.Random(8)
+    values, texts, marks = [], {}, {}
+    for doc in "abcdef":
+        for line in range(3):
+            text = "".join(chance.choice("xy(( é😀 ") for _ in range(chance.randrange(0, 40)))
+            values.append(f"{doc}|a|{text}")
+            texts.setdefault(doc, []).append(text)
+        for _ in range(12):
+            start = chance.randrange(0, 100)
+            end, label = start + chance.randrange(0, 12), f"L{chance.randrange(4)}"
+            values.append(f"{doc}\t{start}\t{end}\ts\t{label}\tc")
+            marks |= {(doc, i): label for i in range(start, end)}
+    wanted, sentences = [], {}
+    for doc, parts in texts.items():
+        at = 0
+        for pos, word in enumerate(" ".join(parts).split(" ")):
+            wanted.append((doc, pos, at, word, marks.get((doc, at + word.startswith("(")), "O")))
+            at += len(word) + 1
+    docs, spans, _ = labelled.split_tagged_lines(lines_of(spark, values))
+    blocks = labelled.span_blocks(docs, spans, 5)
+    assert sorted(map(tuple, labelled.block_words(blocks).collect())) == sorted(wanted)
+    assert blocks.count() < len(wanted)
+    for r in labelled.grouped_blocks(blocks).collect():
+        mine = [w for w in sorted(wanted) if w[0] == r["id"]]
+        assert (r["words"], r["labels"], r["sentence"]) == ([w[3] for w in mine], [w[4] for w in mine], " ".join(texts[r["id"]]))
+    index = labelled.label_index(spark.createDataFrame(wanted, "id string, pos int, start int, word string, label string"))
+    number = {r["label"]: r["idx"] for r in index.collect()}
+    for r in labelled.first_label_ids(blocks, index, 7).collect():
+        assert r["label_ids"] == [number[w[4]] for w in sorted(wanted) if w[0] == r["id"]][:7]
