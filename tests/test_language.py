@@ -37,3 +37,18 @@ def test_scores(spark, monkeypatch, limit):
         best = max(sums.values())
         wanted.append((k, min(c for c in CODES if sums[c] == best), best))
     assert sorted(map(repr, map(tuple, found.collect()))) == sorted(map(repr, wanted))
+
+
+def test_rare_characters_and_tasks_of_many_passes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    chance = random.Random(9)
+    texts = ["".join(chance.choice("ab\x00é中文😀") for _ in range(chance.randrange(0, 30))) for _ in range(40)] + [None, ""]
+    codes = np.array([chance.randrange(3) for _ in texts])
+    wanted = Counter((g, c) for t, c in zip(texts, codes.tolist()) for g in grams(t))
+    monkeypatch.setattr(language, "CELLS", 80)
+    found = [language.pass_counts(pa.array(texts[i : i + 5], pa.string()), codes[i : i + 5], 3, 3) for i in range(0, len(texts), 5)]
+    keys, table = language.merged_counts(found)
+    assert len(set(keys.tolist())) == keys.size
+    assert {(language.gram_of(k), c): n for k, row in zip(keys.tolist(), table.tolist()) for c, n in enumerate(row) if n} == wanted
