@@ -21,8 +21,8 @@ from skeinwork.session import frozen
 # Longest word that is cut into pieces, and the default sequence length.
 MAX_WORD_CHARS, MAX_LENGTH = 100, 512
 VOCAB_LIMIT = 500_000
-# Cut words that a worker remembers.
-MEMO_WORDS = 300_000
+# Cut words that a worker remembers, and words that one pass takes: what a worker holds does not grow with its batches.
+MEMO_WORDS, PASS_WORDS = 100_000, 200_000
 
 
 class Trie:
@@ -118,12 +118,23 @@ def _cut_lists(lists: pa.Array, trie: Trie, memo: dict[str, tuple[int, ...]], ma
     )
 
 
-def cut_words(df: DataFrame, lists: list[str], vocab: DataFrame, max_chars: int = MAX_WORD_CHARS) -> DataFrame:
+def _passes(batch: pa.RecordBatch, lists: list[str], most: int = PASS_WORDS) -> Iterator[pa.RecordBatch]:
+    """A batch cut so that one pass takes about ``most`` words; a longer row stands alone."""
+    words = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in lists)
+    ends, start = np.cumsum(words), 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
+def cut_words(df: DataFrame, lists: list[str], vocab: DataFrame, max_chars: int = MAX_WORD_CHARS, keep: bool = True) -> DataFrame:
     """``df`` with ``<list>_ids`` and ``<list>_sizes`` for each array column of words: piece ids, and pieces per word, in order.
 
     Pieces are the greedy longest match from the left; a word that cannot be covered, is longer than ``max_chars`` or is empty
     is the unknown id. A missing array is empty. Nothing moves: rows are cut where they lie, in a batch or a stream, against a trie
-    that each worker builds once. The vocabulary, which is small by construction, may have ``VOCAB_LIMIT`` tokens.
+    that each worker builds once. The vocabulary, which is small by construction, may have ``VOCAB_LIMIT`` tokens. Without ``keep``
+    the words do not come back.
     """
     rows = sorted(((r["id"], r["token"]) for r in vocab.select("token", "id").limit(VOCAB_LIMIT + 1).collect()))
     if len(rows) > VOCAB_LIMIT:
@@ -131,13 +142,15 @@ def cut_words(df: DataFrame, lists: list[str], vocab: DataFrame, max_chars: int
     ids, tokens = [i for i, _ in rows], [t for _, t in rows]
     digest = hashlib.sha256(repr(rows).encode()).hexdigest()
     held = df.sparkSession.sparkContext.broadcast((tokens, ids))
-    schema = StructType([*df.schema.fields, *[StructField(f"{c}_{x}", ArrayType(IntegerType())) for c in lists for x in ("ids", "sizes")]])
+    stay = [f for f in df.schema.fields if keep or f.name not in lists]
+    schema = StructType([*stay, *[StructField(f"{c}_{x}", ArrayType(IntegerType())) for c in lists for x in ("ids", "sizes")]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, memo = _held(digest, *held.value)
-        for batch in batches:
-            added = [x for c in lists for x in _cut_lists(batch.column(c), trie, memo, max_chars)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
+        for whole in batches:
+            for batch in _passes(whole, lists):
+                added = [x for c in lists for x in _cut_lists(batch.column(c), trie, memo, max_chars)]
+                yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in stay], *added], schema.names)
 
     return df.mapInArrow(work, schema)
 
@@ -161,7 +174,7 @@ def decode_words(df: DataFrame, ids: str, sizes: str, vocab: DataFrame, name: st
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = pa.array(held.value, pa.string())
-        for batch in batches:
+        for batch in (b for whole in batches for b in _passes(whole, [ids])):
             lengths = batch.column(sizes)
             ends = np.concatenate([[0], np.cumsum(lengths.flatten().to_numpy(zero_copy_only=False))])
             words = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), texts.take(batch.column(ids).flatten())), "")
@@ -225,7 +238,7 @@ def encode_words(
 ) -> DataFrame:
     """``encode`` for texts that are arrays of words already."""
     kept = F.col(listed) if max_len is None else F.slice(listed, 1, max_len)
-    ids = cut_words(df.select(key, kept.alias("w")), ["w"], vocab)
+    ids = cut_words(df.select(key, kept.alias("w")), ["w"], vocab, keep=False)
     whole = 2_147_483_647 if max_len is None else max_len
     return padded(ids.select(key, template(F.col("w_ids"), whole, mode).alias("input_ids")), key, max_len, pad)
 
@@ -256,7 +269,7 @@ def encode_pair(
 ) -> DataFrame:
     """``(key, input_ids, token_type_ids, attention_mask)`` of two text columns, filled to ``max_len``."""
     listed = [F.slice(words(F.col(c)), 1, max_len).alias(name) for c, name in ((first, "a"), (second, "b"))]
-    ids = cut_words(df.select(key, *listed), ["a", "b"], vocab)
+    ids = cut_words(df.select(key, *listed), ["a", "b"], vocab, keep=False)
     both = ids.select(key, pair_template(F.col("a_ids"), F.col("b_ids"), max_len, mode).alias("p"))
     return both.select(
         key,

@@ -275,3 +275,14 @@ def test_entity_rows(spark, align):
     if align == "word":
         labels = [number[label] for _, label in sentence]
     assert got["1"]["labels"] == labels + [9] * (12 - len(labels))
+
+
+def test_a_pass_takes_few_words_however_large_the_batch():
+    import pyarrow as pa
+
+    rows = [["a"] * n for n in (3, 0, 4, 30, 1, 1)] + [None, ["b"] * 9]
+    batch = pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], ["w"])
+    cut = list(wordpiece._passes(batch, ["w"], 10))
+    assert [row for part in cut for row in part.column(0).to_pylist()] == rows
+    assert [sum(len(r or []) for r in part.column(0).to_pylist()) for part in cut] == [7, 30, 2, 9] or max(
+        sum(len(r or []) for r in part.column(0).to_pylist()) for part in cut if part.num_rows > 1) <= 10
