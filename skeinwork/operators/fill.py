@@ -7,31 +7,50 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skeinwork.functions.arrays import let
 from skeinwork.operators.metrics import top_candidates
-from skeinwork.session import broadcast_checked, frozen
+from skeinwork.operators.vocab import counted
+from skeinwork.session import broadcast_checked, frozen, stored
 
 # What a candidate keeps of its share where only its left neighbour, or none, is asked for.
 BACK_OFF = 0.4
 CONTEXT_LIMIT = 200_000
+# Numbers that contexts are dealt to.
+CELLS = 1 << 23
 
 
-def _beside(words: str, at: Column, step: int) -> Column:
+def _beside(words: str | Column, at: Column, step: int) -> Column:
     """The word beside a position; the empty word at either end."""
     return F.coalesce(F.get(words, at + step), F.lit(""))
 
 
-def neighbour_counts(corpus: DataFrame, words: str = "w") -> DataFrame:
-    """``(l, r, w, n)``: how often each word stands between two others; counted in the map task before the shuffle."""
-    placed = F.transform(
-        words, lambda w, i: F.struct(_beside(words, i, -1).alias("l"), _beside(words, i, 1).alias("r"), w.alias("w"))
+def places(corpus: DataFrame, words: str = "w") -> DataFrame:
+    """``(l, r, w)``: each word with the words beside it."""
+    placed = let(
+        F.col(words),
+        lambda a: F.transform(
+            a, lambda w, i: F.struct(_beside(a, i, -1).alias("l"), _beside(a, i, 1).alias("r"), w.alias("w"))
+        ),
     )
-    rows = corpus.select(F.explode_outer(placed).alias("p")).filter(F.col("p").isNotNull()).select("p.*")
-    return rows.groupBy("l", "r", "w").agg(F.count(F.lit(1)).alias("n"))
+    return corpus.select(F.explode_outer(placed).alias("p")).filter(F.col("p").isNotNull()).select("p.*")
+
+
+def neighbour_counts(corpus: DataFrame, asked: DataFrame, words: str = "w") -> DataFrame:
+    """``(*context, w, n)``: how often each word stands beside the contexts ``asked`` for, which are distinct rows of ``l``, or ``l``
+    and ``r``; counted in the map task before the shuffle.
+
+    What is not asked for goes before that too: a context has one of ``CELLS`` numbers, and the numbers asked for are broadcast.
+    """
+    context = asked.columns
+    cell = F.pmod(F.xxhash64(*context), F.lit(CELLS)).alias("_cell")
+    some = places(corpus, words).select(*context, "w", cell).join(F.broadcast(asked.select(cell).distinct()), "_cell", "left_semi")
+    counts = some.groupBy(*context, "w").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(broadcast_checked(asked, CONTEXT_LIMIT), context, "left_semi")
 
 
 def _best(counts: DataFrame, context: list[str], weight: float, k: int) -> DataFrame:
     """``(*context, found)``: the ``k`` most frequent words of each context with their weighted shares."""
-    known = counts.withColumn("_context", F.struct(*[F.col(c) for c in context]) if context else F.lit(0))
+    known = stored(counts, "counts").withColumn("_context", F.struct(*[F.col(c) for c in context]) if context else F.lit(0))
     totals = known.groupBy("_context").agg(F.sum("n").alias("_total"))
     best = top_candidates(known.select("_context", "w", "n"), "_context", "w", "n", k)
     shares = best.join(totals, "_context").withColumn("score", F.lit(weight) * F.col("n") / F.col("_total"))
@@ -50,11 +69,9 @@ def fill_masked(masked: DataFrame, key: str, corpus: DataFrame, k: int = 5, word
         key, words, at, _beside(words, F.col(at), -1).alias("l"), _beside(words, F.col(at), 1).alias("r")
     )
     contexts = frozen(asked.select("l", "r").distinct())
-    counts = frozen(neighbour_counts(corpus, words))
-    lefts = contexts.select("l").distinct()
-    after = counts.join(broadcast_checked(lefts, CONTEXT_LIMIT), "l", "left_semi").groupBy("l", "w").agg(F.sum("n").alias("n"))
-    between = counts.join(broadcast_checked(contexts, CONTEXT_LIMIT), ["l", "r"], "left_semi")
-    overall = counts.groupBy("w").agg(F.sum("n").alias("n"))
+    between = neighbour_counts(corpus, contexts, words)
+    after = neighbour_counts(corpus, frozen(contexts.select("l").distinct()), words)
+    overall = counted(corpus, F.col(words)).withColumnRenamed("word", "w")
     lists = [_best(between, ["l", "r"], 1.0, k), _best(after, ["l"], BACK_OFF, k)]
     common = _best(overall, [], BACK_OFF**2, k).first()
     everywhere = F.array(*[F.struct(F.lit(w).alias("w"), F.lit(s).alias("score")) for w, s in (common["found"] if common else [])])

@@ -9,7 +9,7 @@ from skeinwork.functions import text
 from skeinwork.operators import fill, masking, vocab, wordpiece
 from skeinwork.plans import sql
 from skeinwork.plans.tables import documents, spread, table
-from skeinwork.session import frozen
+from skeinwork.session import frozen, stored
 
 # The vocabulary of the queries that have a SQL twin: specials, all characters alone and as continuation, the most frequent
 # words and word endings, up to the size of a trained one. The queries named "trained" train theirs.
@@ -45,8 +45,11 @@ def rule_vocabulary(counts: DataFrame) -> DataFrame:
 
 
 def corpus_words(spark, folder) -> DataFrame:
-    """``(doc_id, w)``: the normalised words of each document, written once."""
-    return frozen(documents(spark, folder).select("doc_id", text.words(F.col("text")).alias("w")))
+    """``(doc_id, w)``: the normalised words of each document, written once, as one text each: no word holds a space."""
+    joined = F.array_join(text.words(F.col("text")), " ").alias("joined")
+    written = stored(documents(spark, folder).select("doc_id", joined), "words")
+    none = F.array().cast("array<string>")
+    return written.select("doc_id", F.when(F.col("joined") == "", none).otherwise(F.split("joined", " ")).alias("w"))
 
 
 def vocabulary_of(listed: DataFrame) -> DataFrame:

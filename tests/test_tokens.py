@@ -286,3 +286,23 @@ def test_a_pass_takes_few_words_however_large_the_batch():
     assert [row for part in cut for row in part.column(0).to_pylist()] == rows
     assert [sum(len(r or []) for r in part.column(0).to_pylist()) for part in cut] == [7, 30, 2, 9] or max(
         sum(len(r or []) for r in part.column(0).to_pylist()) for part in cut if part.num_rows > 1) <= 10
+
+
+def test_only_contexts_that_are_asked_for_are_counted(spark):
+    from collections import Counter
+
+    from skeinwork.operators import fill
+
+    texts = ["a b c a b d", "a", "", "b c a b c", None]
+    corpus = spark.createDataFrame([(t.split() if t is not None else None,) for t in texts], "w array<string>")
+    every = Counter()
+    for words in (t.split(" ") for t in texts if t):
+        every.update(zip(["", *words], [*words[1:], ""], words))
+    both = spark.createDataFrame([("a", "c"), ("", ""), ("x", "y")], "l string, r string")
+    found = {tuple(r) for r in fill.neighbour_counts(corpus, both).collect()}
+    assert found == {(k[0], k[1], k[2], n) for k, n in every.items() if k[:2] in {("a", "c"), ("", "")}}
+    left = Counter()
+    for (before, _, word), n in every.items():
+        left[before, word] += n
+    found = {tuple(r) for r in fill.neighbour_counts(corpus, both.select("l").distinct()).collect()}
+    assert found == {(*k, n) for k, n in left.items() if k[0] in {"a", ""}}
