@@ -20,7 +20,9 @@ VOCAB_SIZE, MIN_FREQUENCY, ALPHABET_LIMIT = 30_500, 2, 1000
 
 # Best pairs a training round begins to look at and most it comes to, distinct stretches of words that may reach the driver,
 # and symbols seen on each side of a pair.
-LOOK, LOOK_MOST, STRETCH_LIMIT, AROUND = 16, 8192, 60_000, 2
+LOOK, LOOK_MOST, STRETCH_LIMIT, AROUND = 16, 8192, 200_000, 2
+# Pairs that a counting task holds before it passes them on.
+PAIRS_HELD = 300_000
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
@@ -76,6 +78,29 @@ def pair_counts(counts: DataFrame, parts: Column | None = None) -> DataFrame:
     return pairs.groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
 
 
+def state_pairs(state: DataFrame) -> DataFrame:
+    """``(left, right, n)`` of words ``(s, n)`` whose symbols stand apart by spaces; pairs are added up by task before the shuffle."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple[str, str], int] = {}
+        for batch in batches:
+            for s, n in zip(batch.column("s").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                parts = s.split(" ")
+                for pair in zip(parts, parts[1:]):
+                    found[pair] = found.get(pair, 0) + n
+            if len(found) >= PAIRS_HELD:
+                yield rows(found)
+                found = {}
+        yield rows(found)
+
+    def rows(found: dict[tuple[str, str], int]) -> pa.RecordBatch:
+        columns = [pa.array([p[0] for p in found], pa.string()), pa.array([p[1] for p in found], pa.string())]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(list(found.values()), pa.int64())], ["left", "right", "n"])
+
+    pairs = state.select("s", "n").mapInArrow(find, "left string, right string, n bigint")
+    return pairs.groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+
 def _merged(left: str, right: str) -> str:
     return left + right.removeprefix(PREFIX)
 
@@ -250,7 +275,7 @@ def train(
     tokens = SPECIALS + letters + sorted(r["t"] for r in inner.limit(2 * alphabet_limit).collect())
     known = set(tokens)
     while len(tokens) < vocab_size:
-        ranked = pair_counts(state, parts).filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "left", "right").limit(look + 1).collect()
+        ranked = state_pairs(state).filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "left", "right").limit(look + 1).collect()
         if not ranked:
             break
         while True:

@@ -306,3 +306,10 @@ def test_only_contexts_that_are_asked_for_are_counted(spark):
         left[before, word] += n
     found = {tuple(r) for r in fill.neighbour_counts(corpus, both.select("l").distinct()).collect()}
     assert found == {(*k, n) for k, n in left.items() if k[0] in {"a", ""}}
+
+
+def test_pairs_of_a_training_round_are_those_of_all_words(spark):
+    words = spark.createDataFrame([("abab", 3), ("b", 5), ("bab", 2)], "word string, n bigint")
+    spelled = words.select("n", F.array_join(vocab.symbols(F.col("word")), " ").alias("s")).repartition(2)
+    found = {tuple(r) for r in vocab.state_pairs(spelled).collect()}
+    assert found == {tuple(r) for r in vocab.pair_counts(words).collect()} and len(found) == 4
