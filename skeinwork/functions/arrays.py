@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,3 +67,23 @@ def top_k(scores: Column, k: int) -> Column:
 def gather_concat(vectors: Column, *positions: Column) -> Column:
     """Vectors at the given zero-based positions, one after the other."""
     return F.concat(*[F.get(vectors, p) for p in positions])
+
+
+def cuts(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """First row and number of rows of parts of about ``most`` in size; a larger row stands alone."""
+    ends, start = np.cumsum(sizes), 0
+    while start < ends.size:
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
+        yield start, stop - start
+        start = stop
+
+
+def lengths(column: pa.Array) -> np.ndarray:
+    """Elements of each array, or bytes of each text, of a column; 0 where it is missing."""
+    measure = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
+    return pc.fill_null(measure(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def passes(column: pa.Array, most: int) -> Iterator[pa.Array]:
+    """A column in parts of about ``most`` elements or bytes."""
+    return (column.slice(*part) for part in cuts(lengths(column), most))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import unicodedata
 from functools import lru_cache
@@ -165,6 +166,11 @@ def strip_accents(text: Column) -> Column:
     return F.regexp_replace(F.translate(text, source, target), r"\p{Mn}+", "")
 
 
+def beyond_latin(text: Column) -> Column:
+    """Whether a text has characters after the Latin blocks."""
+    return text.rlike(rf"[^\x{{0}}-\x{{{LATIN_END:x}}}]")
+
+
 def normalise(text: Column, accents: bool = True, lowercase: bool = True, ideographs: bool = True) -> Column:
     """Clean control characters, space out ideographs, strip accents, lower the case.
 
@@ -178,8 +184,7 @@ def normalise(text: Column, accents: bool = True, lowercase: bool = True, ideogr
     if accents:
         full = strip_accents(full)
     source, target = character_table(LATIN_END, accents)
-    beyond = text.rlike(rf"[^\x{{0}}-\x{{{LATIN_END:x}}}]")
-    out = F.when(beyond, full).otherwise(F.translate(text, source, target))
+    out = F.when(beyond_latin(text), full).otherwise(F.translate(text, source, target))
     return F.lower(out) if lowercase else out
 
 
@@ -193,6 +198,29 @@ def words(text: Column) -> Column:
     return pre_tokens(normalise(text))
 
 
+def spaced(text: Column) -> Column:
+    """Text whose words ``token_words`` finds: one within the Latin blocks as it is, another as its words."""
+    return F.when(beyond_latin(text), F.array_join(words(text), " ")).otherwise(text)
+
+
+@lru_cache(maxsize=None)
+def latin_words() -> dict[int, str]:
+    """``words`` of the Latin blocks as a table for ``str.translate``: what each character becomes, punctuation between spaces."""
+    source, target = character_table(LATIN_END)
+    plain = dict(zip(source, target)) | dict.fromkeys(source[len(target) :], "")
+    table = {}
+    for point in range(LATIN_END + 1):
+        char = plain.get(chr(point), chr(point)).lower()
+        mark = char in string.punctuation or unicodedata.category(char).startswith("P") if char else False
+        table[point] = f" {char} " if mark else char
+    return table
+
+
+def token_words(token: str) -> list[str]:
+    """``words`` of a part between spaces of a ``spaced`` text."""
+    return token.translate(latin_words()).split()
+
+
 def characters(text: Column) -> Column:
     """Array of code points, in linear time."""
     return F.filter(F.split(text, ""), lambda c: c != "")

@@ -6,11 +6,12 @@ import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinwork.functions.arrays import let
-from skeinwork.functions.text import characters, words
+from skeinwork.functions.arrays import let, passes
+from skeinwork.functions.text import characters, spaced, token_words
 from skeinwork.session import frozen
 
 # Special tokens (ids 0..4), continuation prefix and training limits.
@@ -21,13 +22,29 @@ VOCAB_SIZE, MIN_FREQUENCY, ALPHABET_LIMIT = 30_500, 2, 1000
 # Best pairs a training round begins to look at and most it comes to, distinct stretches of words that may reach the driver,
 # and symbols seen on each side of a pair.
 LOOK, LOOK_MOST, STRETCH_LIMIT, AROUND = 16, 8192, 200_000, 2
-# Pairs that a counting task holds before it passes them on.
-PAIRS_HELD = 300_000
+# Pairs that a counting task holds before it passes them on, and bytes of text whose words it counts together.
+PAIRS_HELD, PASS_BYTES = 300_000, 32_000_000
+# ASCII marks that stand alone, and the line feed.
+MARK = r"([!-/:-@\[-`{-~\n])"
 
 
 def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
-    """``(word, n)`` of normalised, pre-tokenised text; counted in the map task before the shuffle."""
-    return counted(df, words(F.col(text)))
+    """``(word, n)`` of normalised, pre-tokenised text. No rule looks beyond a space, so each distinct token of a pass is worked
+    through once (ASCII letters are lowered and ASCII marks set apart before, which leaves fewer); words are added up by pass
+    before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in passes(batch.column("text"), PASS_BYTES):
+                plainer = pc.replace_substring_regex(pc.ascii_lower(texts), MARK, r" \1 ")
+                tokens, found = pc.split_pattern(plainer, " ").flatten().value_counts().flatten(), {}
+                for token, n in zip(*(column.to_pylist() for column in tokens), strict=True):
+                    for word in token_words(token):
+                        found[word] = found.get(word, 0) + n
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.string()), pa.array(found.values(), pa.int64())], ["word", "n"])
+
+    counts = df.select(spaced(F.col(text)).alias("text")).mapInArrow(count, "word string, n bigint")
+    return counts.groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def counted(df: DataFrame, lists: Column) -> DataFrame:

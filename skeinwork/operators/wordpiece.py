@@ -3,17 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from skeinwork.functions import arrays
-from skeinwork.functions.text import words
+from skeinwork.functions.text import spaced, token_words, words
 from skeinwork.operators.masking import CLS, PAD, SEP, UNK
 from skeinwork.operators.vocab import PREFIX
 from skeinwork.session import frozen
@@ -21,8 +22,8 @@ from skeinwork.session import frozen
 # Longest word that is cut into pieces, and the default sequence length.
 MAX_WORD_CHARS, MAX_LENGTH = 100, 512
 VOCAB_LIMIT = 500_000
-# Cut words that a worker remembers, and words that one pass takes: what a worker holds does not grow with its batches.
-MEMO_WORDS, PASS_WORDS = 100_000, 200_000
+# Cut words that a worker remembers, and words or bytes of text that one pass takes: what a worker holds does not grow with its batches.
+MEMO_WORDS, PASS_WORDS, PASS_BYTES = 250_000, 200_000, 8_000_000
 
 
 class Trie:
@@ -35,6 +36,7 @@ class Trie:
 
     def __init__(self, tokens: list[str], ids: list[int]) -> None:
         self.child: list[dict[str, int]] = [{}, {}]
+        self.alone = {token: (number,) for token, number in zip(tokens, ids, strict=True) if token}
         whole: dict[int, int] = {}
         parents: list[tuple[int, str]] = [(0, ""), (0, "")]
         for token, number in zip(tokens, ids, strict=True):
@@ -66,6 +68,8 @@ class Trie:
 
     def pieces(self, word: str) -> tuple[int, ...]:
         """Ids of the greedy longest match; the unknown id alone for a word that cannot be covered, or is empty."""
+        if (alone := self.alone.get(word)) is not None:
+            return alone
         node, out = 0, ()
         for c in word:
             while (below := self.child[node].get(c)) is None:
@@ -91,15 +95,15 @@ def _held(digest: str, tokens: list[str], ids: list[int]) -> tuple[Trie, dict[st
     return _HELD[digest]
 
 
-def _cut_lists(lists: pa.Array, trie: Trie, memo: dict[str, tuple[int, ...]], max_chars: int) -> tuple[pa.Array, pa.Array]:
+def _cut_lists(lists: pa.Array, cut: Callable[[str], tuple[int, ...]], memo: dict[str, tuple[int, ...]]) -> tuple[pa.Array, pa.Array]:
     """Piece ids of a column of word arrays, and pieces of each word; each distinct word of the batch is looked at once."""
-    counts = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    counts = arrays.lengths(lists)
     coded = lists.flatten().dictionary_encode()
     types = []
     for word in coded.dictionary.to_pylist():
         ids = memo.get(word)
         if ids is None:
-            ids = trie.pieces(word) if len(word) <= max_chars else (UNK,)
+            ids = cut(word)
             if len(memo) >= MEMO_WORDS:
                 memo.clear()
             memo[word] = ids
@@ -118,14 +122,32 @@ def _cut_lists(lists: pa.Array, trie: Trie, memo: dict[str, tuple[int, ...]], ma
     )
 
 
+def _text_ids(texts: pa.Array, cut: Callable[[str], tuple[int, ...]], memo: dict[str, tuple[int, ...]], most: int | None) -> pa.Array:
+    """Piece ids of a column of texts whose tokens stand apart by spaces, the first ``most`` of each. As many tokens are taken at
+    first; a token may have no word, so more are where a text isn't through."""
+    lists = pc.split_pattern(pc.fill_null(texts, ""), " ")
+    if most is None:
+        return _cut_lists(lists, cut, memo)[0]
+    take, tokens = most, arrays.lengths(lists)
+    while True:
+        ids, _ = _cut_lists(pc.list_slice(lists, 0, take), cut, memo)
+        if not np.any((tokens > take) & (arrays.lengths(ids) < most)):
+            return pc.list_slice(ids, 0, most)
+        take *= 4
+
+
 def _passes(batch: pa.RecordBatch, lists: list[str], most: int = PASS_WORDS) -> Iterator[pa.RecordBatch]:
     """A batch cut so that one pass takes about ``most`` words; a longer row stands alone."""
-    words = sum(pc.fill_null(pc.list_value_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in lists)
-    ends, start = np.cumsum(words), 0
-    while start < batch.num_rows:
-        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
-        yield batch.slice(start, stop - start)
-        start = stop
+    return (batch.slice(*part) for part in arrays.cuts(sum(arrays.lengths(batch.column(c)) for c in lists), most))
+
+
+def _sent(vocab: DataFrame) -> tuple[str, Broadcast]:
+    """A vocabulary's digest, and its tokens and ids for the workers."""
+    rows = sorted(((r["id"], r["token"]) for r in vocab.select("token", "id").limit(VOCAB_LIMIT + 1).collect()))
+    if len(rows) > VOCAB_LIMIT:
+        raise ValueError(f"more than {VOCAB_LIMIT} tokens")
+    ids, tokens = [i for i, _ in rows], [t for _, t in rows]
+    return hashlib.sha256(repr(rows).encode()).hexdigest(), vocab.sparkSession.sparkContext.broadcast((tokens, ids))
 
 
 def cut_words(df: DataFrame, lists: list[str], vocab: DataFrame, max_chars: int = MAX_WORD_CHARS, keep: bool = True) -> DataFrame:
@@ -136,25 +158,48 @@ def cut_words(df: DataFrame, lists: list[str], vocab: DataFrame, max_chars: int
     that each worker builds once. The vocabulary, which is small by construction, may have ``VOCAB_LIMIT`` tokens. Without ``keep``
     the words do not come back.
     """
-    rows = sorted(((r["id"], r["token"]) for r in vocab.select("token", "id").limit(VOCAB_LIMIT + 1).collect()))
-    if len(rows) > VOCAB_LIMIT:
-        raise ValueError(f"more than {VOCAB_LIMIT} tokens")
-    ids, tokens = [i for i, _ in rows], [t for _, t in rows]
-    digest = hashlib.sha256(repr(rows).encode()).hexdigest()
-    held = df.sparkSession.sparkContext.broadcast((tokens, ids))
+    digest, held = _sent(vocab)
     stay = [f for f in df.schema.fields if keep or f.name not in lists]
     schema = StructType([*stay, *[StructField(f"{c}_{x}", ArrayType(IntegerType())) for c in lists for x in ("ids", "sizes")]])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, memo = _held(digest, *held.value)
+
+        def cut(word: str) -> tuple[int, ...]:
+            return trie.pieces(word) if len(word) <= max_chars else (UNK,)
+
         for whole in batches:
             for batch in _passes(whole, lists):
-                added = [x for c in lists for x in _cut_lists(batch.column(c), trie, memo, max_chars)]
+                added = [x for c in lists for x in _cut_lists(batch.column(c), cut, memo)]
                 yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in stay], *added], schema.names)
 
     return df.mapInArrow(work, schema)
 
 
+def cut_texts(df: DataFrame, key: str, text: str, vocab: DataFrame, most: int | None, max_chars: int = MAX_WORD_CHARS) -> DataFrame:
+    """``(key, ids)``: the first ``most`` piece ids of the words of a text column, or all. As ``cut_words`` of its ``words``, but
+    texts move as they are, and each distinct part between spaces is normalised and cut once."""
+    digest, held = _sent(vocab)
+    texts = df.select(key, spaced(F.col(text)).alias("ids"))
+    schema = StructType([texts.schema[0], StructField("ids", ArrayType(IntegerType()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        trie, memo = _held(f"{digest}:texts", *held.value)
+
+        def cut(token: str) -> tuple[int, ...]:
+            out = ()
+            for word in token_words(token):
+                out += trie.pieces(word) if len(word) <= max_chars else (UNK,)
+            return out
+
+        for batch in batches:
+            for start, n in arrays.cuts(arrays.lengths(batch.column(1)), PASS_BYTES):
+                ids = _text_ids(batch.column(1).slice(start, n), cut, memo, most)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(start, n), ids], schema.names)
+
+    return texts.mapInArrow(work, schema)
+
+
 def segment(types: DataFrame, vocab: DataFrame, max_chars: int = MAX_WORD_CHARS) -> DataFrame:
     """Adds ``pieces`` to a table with ``word``: ids of the greedy longest match from the left."""
     cut = cut_words(types.withColumn("_w", F.array("word")), ["_w"], vocab, max_chars)
@@ -224,23 +269,30 @@ def encode(
 ) -> DataFrame:
     """``(key, input_ids, attention_mask, token_type_ids)`` of one text column.
 
-    A word gives one piece at least, so only the first ``max_len`` words can reach the output;
-    the rest is cut off before words are exploded. ``pad`` is ``none``, ``longest`` (of the whole
+    Of a text only what can reach the output is normalised and cut. ``pad`` is ``none``, ``longest`` (of the whole
     table) or ``max_length``. ``max_len=None`` keeps whole texts. Every row of ``df`` gets a row,
     whether its key repeats or is NULL.
     """
-    return encode_words(df.select(key, words(F.col(text)).alias("w")), key, vocab, "w", max_len, mode, pad)
+    return _framed(cut_texts(df, key, text, vocab, max_len), key, "ids", max_len, mode, pad)
 
 
 def encode_words(
     df: DataFrame, key: str, vocab: DataFrame, listed: str = "w", max_len: int | None = MAX_LENGTH,
     mode: str = "truncate", pad: str = "none",
 ) -> DataFrame:
-    """``encode`` for texts that are arrays of words already."""
+    """``encode`` for texts that are arrays of words already.
+
+    A word gives one piece at least, so only the first ``max_len`` words can reach the output.
+    """
     kept = F.col(listed) if max_len is None else F.slice(listed, 1, max_len)
     ids = cut_words(df.select(key, kept.alias("w")), ["w"], vocab, keep=False)
+    return _framed(ids, key, "w_ids", max_len, mode, pad)
+
+
+def _framed(cut: DataFrame, key: str, ids: str, max_len: int | None, mode: str, pad: str) -> DataFrame:
+    """Piece ids between boundary ids, filled."""
     whole = 2_147_483_647 if max_len is None else max_len
-    return padded(ids.select(key, template(F.col("w_ids"), whole, mode).alias("input_ids")), key, max_len, pad)
+    return padded(cut.select(key, template(F.col(ids), whole, mode).alias("input_ids")), key, max_len, pad)
 
 
 def padded(encoded: DataFrame, key: str, max_len: int | None, pad: str) -> DataFrame:

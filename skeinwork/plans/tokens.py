@@ -52,10 +52,6 @@ def corpus_words(spark, folder) -> DataFrame:
     return written.select("doc_id", F.when(F.col("joined") == "", none).otherwise(F.split("joined", " ")).alias("w"))
 
 
-def vocabulary_of(listed: DataFrame) -> DataFrame:
-    return rule_vocabulary(frozen(vocab.counted(listed, F.col("w"))))
-
-
 def corpus_vocabulary(spark, folder) -> DataFrame:
     return rule_vocabulary(frozen(vocab.word_counts(documents(spark, folder))))
 
@@ -71,8 +67,7 @@ def shown(column: str):
 
 
 def wordpiece_encode(spark, folder):
-    listed = corpus_words(spark, folder)
-    encoded = wordpiece.encode_words(listed, "doc_id", vocabulary_of(listed), pad="longest")
+    encoded = wordpiece.encode(documents(spark, folder), "doc_id", corpus_vocabulary(spark, folder), pad="longest")
     return encoded.select(
         "doc_id",
         shown("input_ids").alias("input_ids"),
@@ -83,8 +78,7 @@ def wordpiece_encode(spark, folder):
 
 def wordpiece_whole(spark, folder):
     """Whole texts, no cut: the subword count of every document."""
-    listed = corpus_words(spark, folder)
-    encoded = wordpiece.encode_words(listed, "doc_id", vocabulary_of(listed), max_len=None)
+    encoded = wordpiece.encode(documents(spark, folder), "doc_id", corpus_vocabulary(spark, folder), max_len=None)
     ids = F.col("input_ids")
     return encoded.select(
         "doc_id",
@@ -163,9 +157,8 @@ def pair_encode_longest_first(spark, folder):
 
 
 def _encoded(spark, folder, pad: str = "none"):
-    listed = corpus_words(spark, folder)
-    words = vocabulary_of(listed)
-    return wordpiece.encode_words(listed, "doc_id", words, pad=pad).drop("token_type_ids"), words
+    words = corpus_vocabulary(spark, folder)
+    return wordpiece.encode(documents(spark, folder), "doc_id", words, pad=pad).drop("token_type_ids"), words
 
 
 def training_table(spark, folder):

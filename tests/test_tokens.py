@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from skeinwork.functions import text
 from skeinwork.operators import entities, labelled, masking, vocab, wordpiece
 from skeinwork.plans import tokens
 from skeinwork.session import frozen
@@ -312,3 +313,52 @@ def test_pairs_of_a_training_round_are_those_of_all_words(spark):
     spelled = words.select("n", F.array_join(vocab.symbols(F.col("word")), " ").alias("s")).repartition(2)
     found = {tuple(r) for r in vocab.state_pairs(spelled).collect()}
     assert found == {tuple(r) for r in vocab.pair_counts(words).collect()} and len(found) == 4
+
+
+def test_each_distinct_token_of_a_pass_is_cut_once(spark):
+    import pyarrow as pa
+
+    seen = []
+
+    def note(token):
+        seen.append(token)
+        return tuple(i for word in token.split() for i in cut(word))
+
+    texts = ["b b a b", None, "", "   b  a", "a" + " " * 9 + "b b b b", "a b"]
+    got = wordpiece._text_ids(pa.array(texts, pa.string()), note, {}, 3).to_pylist()
+    assert got == [[i for word in (t or "").split() for i in cut(word)][:3] for t in texts]
+    assert sorted(seen) == ["", "a", "b"]
+    every = wordpiece._text_ids(pa.array(texts, pa.string()), note, {}, None).to_pylist()
+    assert every == [[i for word in (t or "").split() for i in cut(word)] for t in texts]
+
+
+def test_texts_are_cut_as_their_words_are(spark):
+    words = vocab.from_tokens(spark, [*TOKENS, "é", "e", "σ", "ς", "##ς", "日"])
+    texts = ["Una,b Hello\nÉ é b", "日本b ΑΣ σ—b", "x" * 101 + " b", "", None, "­ ­" * 40 + " hello b"]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    for most in (4, None):
+        one = wordpiece.encode(df, "k", words, max_len=most)
+        two = wordpiece.encode_words(df.select("k", text.words(F.col("text")).alias("w")), "k", words, max_len=most)
+        assert sorted(one.collect()) == sorted(two.collect())
+
+
+def test_words_are_counted_by_tokens(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "PASS_BYTES", 10)
+    chars = [chr(p) for p in range(0x300) if not 0xD800 <= p < 0xE000]
+    texts = [f"A{c}b{c}" for c in chars] + [" ".join(f"x{c}Y" for c in chars), "Éé—É “a” ΟΔΟΣ, b", "가 a日b", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    want = {tuple(r) for r in vocab.counted(df, text.words(F.col("text"))).collect()}
+    assert {tuple(r) for r in vocab.word_counts(df).collect()} == want
+
+
+def test_whole_words_are_masked_by_passes(spark, monkeypatch):
+    """Rows are worked on in batches of arrays, not id by id; a pass may end anywhere, and what is missing stays missing."""
+    rows = [(k, [2, *range(5, 5 + k % 9), 3]) for k in range(50)] + [(50, None), (51, [2, None, 7, None, 3]), (None, [5, 6, 7])]
+    df = spark.createDataFrame(rows, "k int, input_ids array<int>").coalesce(1)
+    masked = masking.mask_whole_words(df, "k", 3, [False] * 7 + [True] * 9)
+    assert "ArrowEvalPython" in masked._jdf.queryExecution().toString()
+    whole = masked.collect()
+    monkeypatch.setattr(masking, "PASS_IDS", 7)
+    assert masking.mask_whole_words(df, "k", 3, [False] * 7 + [True] * 9).collect() == whole
+    assert [tuple(r)[::2] for r in whole] == rows and whole[50]["input_ids"] is None
+    assert [x is None for x in whole[51]["input_ids"]] == [False, True, False, True, False]
