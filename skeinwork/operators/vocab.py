@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skeinwork.functions.arrays import let, passes
+from skeinwork.functions.arrays import lengths, let, passes
 from skeinwork.functions.text import characters, spaced, token_words
+from skeinwork.operators import merges
+from skeinwork.operators.merges import PREFIX, merged_name
 from skeinwork.session import frozen
 
 # Special tokens (ids 0..4), continuation prefix and training limits.
 SPECIALS = ["[PAD]", "[UNK]", "[CLS]", "[SEP]", "[MASK]"]
-PREFIX = "##"
 VOCAB_SIZE, MIN_FREQUENCY, ALPHABET_LIMIT = 30_500, 2, 1000
 
-# Best pairs a training round begins to look at and most it comes to, distinct stretches of words that may reach the driver,
-# and symbols seen on each side of a pair.
-LOOK, LOOK_MOST, STRETCH_LIMIT, AROUND = 16, 8192, 200_000, 2
+# Best pairs a training round begins to look at and most it comes to, cells of words or stretches of words that may reach the driver
+# (some 6 bytes each there), and symbols seen on each side of a pair.
+LOOK, LOOK_MOST, CELLS, AROUND = 64, 8192, 60_000_000, 2
 # Pairs that a counting task holds before it passes them on, and bytes of text whose words it counts together.
 PAIRS_HELD, PASS_BYTES = 300_000, 32_000_000
 # ASCII marks that stand alone, and the line feed.
@@ -118,13 +119,9 @@ def state_pairs(state: DataFrame) -> DataFrame:
     return pairs.groupBy("left", "right").agg(F.sum("n").alias("n"))
 
 
-def _merged(left: str, right: str) -> str:
-    return left + right.removeprefix(PREFIX)
-
-
 def marked_pairs(top: list[tuple[str, str]], known: set[str]) -> tuple[frozenset, frozenset]:
     """Pairs whose every occurrence a round must see: the best ones, and all beside a token that one of them makes again."""
-    return frozenset(top), frozenset(t for t in (_merged(left, right) for left, right in top) if t in known)
+    return frozenset(top), frozenset(t for t in (merged_name(left, right) for left, right in top) if t in known)
 
 
 def stretches(parts: list[str], pairs: frozenset, again: frozenset) -> list[tuple[int, int]]:
@@ -164,67 +161,35 @@ def contexts(state: DataFrame, top: list[tuple[str, str]], known: set[str]) -> D
     return state.select("s", "n").mapInArrow(find, schema).groupBy("s", "before", "after").agg(F.sum("n").alias("n"))
 
 
-def merge_order(
-    found: list[tuple[list[str], bool, bool, int]], top: list[tuple[str, str]], last: tuple | None, least: int, known: set[str], room: int
-) -> list[tuple[str, str]]:
-    """The next merges of one-at-a-time training, as far as the stretches tell them.
+def held_cells(words: DataFrame, tokens: list[str], most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Words or stretches ``(s, before, after, n)`` on the driver, heaviest first: their symbols' numbers as ``merges`` lays them, and ``n``."""
+    numbers = words.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(tokens, merges.FIRST)})
+    kind = merges.number_kind(most)
 
-    A pair that was not among the best counts no more than the last of them, ``last`` (None: there are no others), and its count
-    only falls, so nothing unseen comes before ``last``. Counts of pairs with a new symbol are whole but for
-    occurrences at the end of a stretch that goes on; merging ends where such a pair could win, and after a token that exists
-    already though its surroundings were not asked for. ``room`` is the number of tokens still wanted.
-    """
-    pairs, again = marked_pairs(top, known)
-    parts = [list(p) for p, *_ in found]
-    counts: dict[tuple[str, str], int] = {}
-    where: dict[tuple[str, str], set[int]] = {}
-    for i, (some, _, _, n) in enumerate(found):
-        for pair in zip(some, some[1:]):
-            counts[pair] = counts.get(pair, 0) + n
-            where.setdefault(pair, set()).add(i)
-    fresh: set[str] = set()
-    heap = [(-counts[p], *p) for p in pairs if p in counts]
-    heap += [(-n, *p) for p, n in counts.items() if p not in pairs and (p[0] in again or p[1] in again)]
-    heapq.heapify(heap)
-    edges: dict[str, int] = {}
-    unseen, out = 0, []
-    while heap and room > 0:
-        rank = heapq.heappop(heap)
-        pair = rank[1:]
-        if -rank[0] != counts.get(pair, 0):
-            continue
-        if -rank[0] < least or -rank[0] <= unseen or (last is not None and rank > last):
-            break
-        token = _merged(*pair)
-        out.append(pair)
-        strange = token in known and token not in again
-        if token not in known and token not in fresh:
-            room -= 1
-        fresh.add(token)
-        changed: set[tuple[str, str]] = set()
-        for i in where.pop(pair):
-            old, (_, before, after, n) = parts[i], found[i]
-            for p in zip(old, old[1:]):
-                counts[p] -= n
-                changed.add(p)
-            new = joined_at(old, pair, token)
-            parts[i] = new
-            for p in zip(new, new[1:]):
-                counts[p] = counts.get(p, 0) + n
-                where.setdefault(p, set()).add(i)
-                changed.add(p)
-            if before and new[0] == token and old[0] != token:
-                edges[token] = edges.get(token, 0) + n
-            if after and new[-1] == token and old[-1] != token:
-                edges[token + " "] = edges.get(token + " ", 0) + n
-        unseen = max(unseen, edges.get(token, 0), edges.get(token + " ", 0))
-        counts.pop(pair, None)
-        for p in changed:
-            if counts.get(p, 0) > 0 and (p in pairs or p[0] in fresh or p[1] in fresh or p[0] in again or p[1] in again):
-                heapq.heappush(heap, (-counts[p], *p))
-        if strange:
-            break
-    return out
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = numbers.value
+        for batch in batches:
+            lists = pc.split_pattern(batch.column("s"), " ")
+            coded = lists.flatten().dictionary_encode()
+            ids = np.array([known[t] for t in coded.dictionary.to_pylist()], kind)[coded.indices.to_numpy(zero_copy_only=False)]
+            edges = [batch.column(c).to_numpy(zero_copy_only=False).astype(bool) for c in ("before", "after")]
+            cells, n = merges.laid(ids, lengths(lists), *edges), batch.column("n").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array([cells.tobytes()]), pa.array([n.tobytes()])], ["cells", "n"])
+
+    rows = words.orderBy(F.desc("n"), "s").mapInArrow(work, "cells binary, n binary").collect()
+    weights = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["n"], np.int64) for r in rows]])
+    cells, size = np.zeros(sum(len(r["cells"]) for r in rows) // np.dtype(kind).itemsize + 1, kind), 0
+    rows.reverse()
+    while rows:
+        part = np.frombuffer(rows.pop()["cells"], kind)
+        cells[size : size + part.size] = part
+        size += part.size
+    return cells, weights
+
+
+def cell_count(words: DataFrame) -> int:
+    """Cells that words ``s`` take: their symbols and a gap each."""
+    return words.agg(F.sum(F.length("s") - F.length(F.replace("s", F.lit(" "))) + 2)).first()[0] or 0
 
 
 def joined_at(parts: list[str], pair: tuple[str, str], token: str) -> list[str]:
@@ -253,7 +218,7 @@ def apply_merges(state: DataFrame, merges: list[tuple[str, str]]) -> DataFrame:
             if not due:
                 break
             now = min(due)
-            parts = joined_at(parts, merges[now], _merged(*merges[now]))
+            parts = joined_at(parts, merges[now], merged_name(*merges[now]))
             now += 1
         return " ".join(parts)
 
@@ -271,15 +236,16 @@ def train(
     min_frequency: int = MIN_FREQUENCY,
     alphabet_limit: int = ALPHABET_LIMIT,
     look: int = LOOK,
-    limit: int = STRETCH_LIMIT,
+    limit: int = CELLS,
 ) -> DataFrame:
     """Vocabulary ``(token, id)`` from word counts: specials, alphabet, continuations, then merges.
 
     The result is that of merging one pair at a time; equal counts go by left, then right symbol. Characters outside the
-    alphabet drop out. A round counts all pairs and takes the ``look`` best (up to ``LOOK_MOST`` as rounds go on); the words'
-    stretches around them, counted together, are all that decides the next merges. At most ``limit`` distinct stretches come
-    to the driver: beyond that fewer pairs are looked at, and of a single pair nothing but its merge. So a round settles
-    hundreds or thousands of merges and the driver's share is bounded; words are counted, searched and rewritten where they lie.
+    alphabet drop out. Words that take at most ``limit`` cells (a symbol or a gap each) come to the driver, which does all merges on
+    them. Of more, a round counts all pairs where the words lie and takes the ``look`` best (up to ``LOOK_MOST`` as rounds go on); the words'
+    stretches around them, counted together, are all that decides the next merges. Beyond ``limit`` cells of them fewer
+    pairs are looked at, and of a single pair nothing but its merge. Then the words are rewritten where they lie, which
+    leaves fewer cells. So the driver's share is bounded, and a round settles many merges.
     """
     spark = counts.sparkSession
     letters = sorted(r["char"] for r in alphabet(counts, alphabet_limit).collect())
@@ -291,36 +257,49 @@ def train(
     inner = state.select(F.explode(parts).alias("t")).filter(F.col("t").startswith(PREFIX)).distinct()
     tokens = SPECIALS + letters + sorted(r["t"] for r in inner.limit(2 * alphabet_limit).collect())
     known = set(tokens)
+    whole = F.lit(False)
     while len(tokens) < vocab_size:
-        ranked = state_pairs(state).filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "left", "right").limit(look + 1).collect()
-        if not ranked:
-            break
-        while True:
-            top = [(r["left"], r["right"]) for r in ranked[:look]]
-            merges = top if look == 1 else None
-            if merges:
-                break
-            found = contexts(state, top, known).limit(limit + 1).collect()
-            if len(found) <= limit:
+        room, names = vocab_size - len(tokens), ["", "", *tokens]
+        done = cell_count(state) <= limit
+        if done:
+            merger = merges.Merger(*held_cells(state.select("s", whole.alias("before"), whole.alias("after"), "n"), tokens, vocab_size), names)
+            order = merger.merges(known, room, min_frequency)
+        else:
+            ranked = state_pairs(state).filter(F.col("n") >= min_frequency).orderBy(F.desc("n"), "left", "right").limit(look + 1).collect()
+            if not ranked:
                 break
-            look = max(1, look // 2)
-        if merges is None:
-            some = [(r["s"].split(" "), r["before"], r["after"], r["n"]) for r in found]
-            end = ranked[look - 1] if len(ranked) > look else None
-            last = (-end["n"], end["left"], end["right"]) if end else None
-            merges = merge_order(some, top, last, min_frequency, known, vocab_size - len(tokens))
-        for left, right in merges:
-            token = _merged(left, right)
+            order, look = next_merges(state, [tuple(r) for r in ranked], look, limit, tokens, room, min_frequency, vocab_size)
+        for left, right in order:
+            token = merged_name(left, right)
             if token not in known:
                 tokens.append(token)
                 known.add(token)
+        if done:
+            break
         if len(tokens) < vocab_size:
-            state = frozen(apply_merges(state, merges))
-        if look == 1 or len(found) * 3 <= limit:
-            look = min(2 * look, LOOK_MOST)
+            state = frozen(apply_merges(state, order))
     return from_tokens(spark, tokens)
 
 
+def next_merges(
+    state: DataFrame, ranked: list[tuple[str, str, int]], look: int, limit: int, tokens: list[str], room: int, least: int, most: int
+) -> tuple[list[tuple[str, str]], int]:
+    """The merges that the stretches around the ``look`` best pairs settle, ``ranked`` having one more, and how many to look at next."""
+    known = set(tokens)
+    while look > 1:
+        top = [pair[:2] for pair in ranked[:look]]
+        found = frozen(contexts(state, top, known))
+        cells = cell_count(found)
+        if cells <= limit:
+            last = (-ranked[look][2], *ranked[look][:2]) if len(ranked) > look else None
+            _, again = marked_pairs(top, known)
+            held = held_cells(found, tokens, most)
+            merger = merges.StretchMerger(*held, ["", "", *tokens], top=top, again=again, last=last, known=known)
+            return merger.merges(known, room, least), min(2 * look, LOOK_MOST) if cells * 3 <= limit else look
+        look //= 2
+    return [ranked[0][:2]], min(2, LOOK_MOST)
+
+
 def from_tokens(spark: SparkSession, tokens: list[str]) -> DataFrame:
     return spark.createDataFrame([(t, i) for i, t in enumerate(tokens)], "token string, id int")
 

@@ -249,6 +249,60 @@ def test_training_equals_one_merge_at_a_time(spark, limit):
     assert got == train_by_hand(counts, 60)
 
 
+def some_words(seed, letters="aabcde", most=8, words=120):
+    chance = random.Random(seed)
+    counts = {}
+    for _ in range(words):
+        word = "".join(chance.choice(letters) for _ in range(chance.randrange(1, most)))
+        counts[word] = counts.get(word, 0) + chance.choice([1, 2, 3, 40])
+    return counts
+
+
+def test_words_that_fit_are_merged_without_rounds(spark, monkeypatch):
+    def no_round(*_):
+        raise AssertionError("the words were gone through for a round")
+
+    monkeypatch.setattr(vocab, "state_pairs", no_round)
+    counts = some_words(5)
+    df = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    assert [r["token"] for r in vocab.train(df, vocab_size=200).orderBy("id").collect()] == train_by_hand(counts, 200)
+
+
+def test_words_that_do_not_fit_are_merged_by_their_stretches(spark, monkeypatch):
+    from skeinwork.operators import merges
+
+    settled = []
+    merged = merges.StretchMerger.merges
+    monkeypatch.setattr(merges.StretchMerger, "merges", lambda self, *a: settled.append(merged(self, *a)) or settled[-1])
+    counts = some_words(6, most=12)
+    df = spark.createDataFrame(list(counts.items()), "word string, n bigint")
+    got = [r["token"] for r in vocab.train(df, vocab_size=80, look=8, limit=620).orderBy("id").collect()]
+    assert got == train_by_hand(counts, 80) and max(map(len, settled)) > 1
+
+
+@pytest.mark.parametrize("passes", [3, 1000])
+@pytest.mark.parametrize("letters", ["ab", "aabcde"])
+def test_merges_in_one_process_equal_one_at_a_time(monkeypatch, passes, letters):
+    import numpy as np
+
+    from skeinwork.operators import merges
+
+    monkeypatch.setattr(merges, "PASS", passes)
+    monkeypatch.setattr(merges, "PAIRS_MOST", passes)
+    monkeypatch.setattr(merges, "SHARE", 2)
+    monkeypatch.setattr(merges, "TABLE_SYMBOLS", passes)
+    for seed in range(6):
+        counts = some_words(seed, letters, 10)
+        start = train_by_hand(counts, 0)
+        numbers = {t: i for i, t in enumerate(start, merges.FIRST)}
+        words = sorted(counts, key=lambda w: -counts[w])
+        flat = np.array([numbers[c if i == 0 else "##" + c] for w in words for i, c in enumerate(w)], np.uint16)
+        whole = np.zeros(len(words), bool)
+        cells = np.append(merges.laid(flat, np.array([len(w) for w in words]), whole, whole), flat.dtype.type(merges.GAP))
+        found = merges.Merger(cells, np.array([counts[w] for w in words]), ["", "", *start]).merges(set(start), 10_000, 2)
+        assert list(dict.fromkeys([*start, *(merges.merged_name(*pair) for pair in found)])) == train_by_hand(counts, 10_000)
+
+
 def test_training_ends_with_the_pairs(spark):
     counts = {"abab": 3, "aab": 2, "b": 9, "ccc": 2, "cccc": 1}
     df = spark.createDataFrame(list(counts.items()), "word string, n bigint")
