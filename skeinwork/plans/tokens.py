@@ -98,7 +98,7 @@ def wordpiece_encode_trained(spark, folder):
 def trained_round_trip(spark, folder):
     """Whole texts on a trained vocabulary and back: the words as they were, none unknown but those too long to be cut."""
     listed, words = trained_vocabulary(spark, folder)
-    cut = wordpiece.decode_words(wordpiece.cut_words(listed, ["w"], words), "w_ids", "w_sizes", words)
+    cut = wordpiece.decode_words(wordpiece.cut_words(listed, ["w"], words, keep=False), "w_ids", "w_sizes", words)
     return cut.select("doc_id", F.size("w_sizes").alias("n_words"), F.col("decoded").alias("words"))
 
 

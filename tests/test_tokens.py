@@ -274,6 +274,17 @@ def test_a_trained_training_table_takes_no_rounds(spark, monkeypatch):
     assert tokens.training_table_trained(spark, TABLES).count() == tokens.documents(spark, TABLES).count()
 
 
+def test_a_round_trip_carries_pieces_alone(spark, monkeypatch):
+    carried = []
+    decode = wordpiece.decode_words
+    monkeypatch.setattr(wordpiece, "decode_words", lambda df, *a: carried.append(df.columns) or decode(df, *a))
+    monkeypatch.setattr(vocab.train, "__defaults__", (300, *vocab.train.__defaults__[1:]))
+    got = {r["doc_id"]: (r["n_words"], r["words"]) for r in tokens.trained_round_trip(spark, TABLES).collect()}
+    listed = tokens.corpus_words(spark, TABLES).collect()
+    assert got == {r["doc_id"]: (len(r["w"]), " ".join(w if len(w) <= 100 else "[UNK]" for w in r["w"])) for r in listed}
+    assert carried == [["doc_id", "w_ids", "w_sizes"]]
+
+
 def test_words_that_do_not_fit_are_merged_by_their_stretches(spark, monkeypatch):
     from skeinwork.operators import merges
 
