@@ -268,6 +268,12 @@ def test_words_that_fit_are_merged_without_rounds(spark, monkeypatch):
     assert [r["token"] for r in vocab.train(df, vocab_size=200).orderBy("id").collect()] == train_by_hand(counts, 200)
 
 
+def test_encoding_on_a_trained_vocabulary_takes_no_rounds(spark, monkeypatch):
+    monkeypatch.setattr(vocab, "state_pairs", None)
+    monkeypatch.setattr(vocab.train, "__defaults__", (300, *vocab.train.__defaults__[1:]))
+    assert tokens.wordpiece_encode_trained(spark, TABLES).count() == tokens.documents(spark, TABLES).count()
+
+
 def test_a_trained_training_table_takes_no_rounds(spark, monkeypatch):
     monkeypatch.setattr(vocab, "state_pairs", None)
     monkeypatch.setattr(vocab.train, "__defaults__", (300, *vocab.train.__defaults__[1:]))
